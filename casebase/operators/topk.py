@@ -78,6 +78,9 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
         "_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))) if rb > 1 else F.lit(0))
     R = right.withColumn("_rb", rblock).withColumn(
         "_lb", F.explode(F.sequence(F.lit(0), F.lit(lb - 1))) if lb > 1 else F.lit(0))
+    # fresh attributes on both sides: a self search co-groups one lineage with itself
+    L = L.select(*[F.col(c).alias(c) for c in L.columns])
+    R = R.select(*[F.col(c).alias(c) for c in R.columns])
 
     fields = ({f.name: f for f in left.schema.fields} | {f.name: f for f in right.schema.fields})
     out_schema = T.StructType(
