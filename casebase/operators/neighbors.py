@@ -30,20 +30,22 @@ def build_kernels(spec: FeatureSpec, values: DataFrame, vdm_sparse: DataFrame,
     driver to be broadcast.
     """
     by = list(by)
-    n_pairs = vdm_sparse.count()
-    n_vals = values.count()
-    if n_pairs > max_rows or n_vals > max_rows:
-        raise ValueError(f"metric tables too large to broadcast: {n_pairs} pairs, "
-                         f"{n_vals} values (limit {max_rows})")
+
+    def bounded(df: DataFrame, what: str) -> list:
+        rows = df.limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
+            raise ValueError(f"{what} exceeds {max_rows} rows: too large to broadcast")
+        return rows
+
     vals: dict = {}
-    for r in values.select(*by, "feature", "value").collect():
+    for r in bounded(values.select(*by, "feature", "value"), "value table"):
         vals.setdefault(tuple(r[c] for c in by), {}).setdefault(r["feature"], []).append(r["value"])
     pairs: dict = {}
-    for r in vdm_sparse.select(*by, "feature", "v1", "v2", "vdm").collect():
+    for r in bounded(vdm_sparse.select(*by, "feature", "v1", "v2", "vdm"), "vdm table"):
         pairs.setdefault(tuple(r[c] for c in by), {}).setdefault(r["feature"], {})[
             (r["v1"], r["v2"])] = r["vdm"]
     sigmas: dict = {}
-    for r in sig.select(*by, "feature", "sigma").collect():
+    for r in bounded(sig.select(*by, "feature", "sigma"), "sigma table"):
         sigmas.setdefault(tuple(r[c] for c in by), {})[r["feature"]] = r["sigma"]
     keys = set(vals) | set(sigmas) | ({()} if not by else set())
     kinds = {f: spec.kind(f) for f in spec.order}
