@@ -127,10 +127,6 @@ def loo_neighbors_docs(spark, sf):
 
 
 # ----------------------------------------------------------------------- rules
-def _rule_cols(df):
-    return df
-
-
 def rules_docs(spark, sf):
     return model(spark, sf, "docs", RADIUS).rules
 
@@ -245,3 +241,98 @@ holdout_adapt_docs = _holdout("docs", "adapt")
 def full_classify_docs(spark, sf) -> DataFrame:
     """Flagship: adaptation classify with metrics, all stages from the tables."""
     return metrics_adapt_docs(spark, sf)
+
+
+# ----------------------------------------------------------------- preparation
+def string_index_docs(spark, sf):
+    from ..operators.prepare import string_index
+    _, train, _ = sides(spark, sf, "docs")
+    return string_index(train, ["lang", "source"]).select("doc_id", "lang_idx", "source_idx")
+
+
+def assembled_docs(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    from ..operators.prepare import assemble
+    spec, train, _ = sides(spark, sf, "docs")
+    a = assemble(train, spec).withColumn("_v", vector_to_array("features"))
+    return a.select("doc_id", "label_idx",
+                    *[F.col("_v").getItem(i).alias(f"x_{f}") for i, f in enumerate(spec.order)])
+
+
+def drop_missing_docs(spark, sf):
+    from ..operators.prepare import drop_missing
+    spec, cases = CB.docs(spark, sf)
+    return drop_missing(cases, spec.order)
+
+
+def split_counts_docs(spark, sf):
+    from ..functions.splits import is_train
+    from ..operators.prepare import replicate
+    spec, cases = CB.docs(spark, sf)
+    r = replicate(cases, REPS)
+    side = F.when(is_train(spec.id, "rep"), F.lit("train")).otherwise(F.lit("test"))
+    return r.groupBy("rep", side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def kfold_counts_docs(spark, sf):
+    from ..operators.prepare import with_fold
+    spec, cases = CB.docs(spark, sf)
+    return with_fold(cases, spec.id, 10).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------- sinks and round trips
+def _out_path(spark, name: str) -> str:
+    import uuid
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/casebase-out/{name}-{uuid.uuid4().hex}"
+
+
+def csv_roundtrip_docs(spark, sf):
+    """Write the docs case base as headerless CSV, scan it back by layout."""
+    from ..sources.delimited import DataSet, read_delimited
+    spec, cases = CB.docs(spark, sf)
+    path = _out_path(spark, "docs-csv")
+    cases.write.option("header", "false").csv(path)
+    layout = DataSet(("doc_id", "label", "lang", "source", "n_chars"), "label",
+                     ("doc_id", "n_chars"))
+    return read_delimited(spark, path, layout, id_col=None)
+
+
+def libsvm_roundtrip_docs(spark, sf):
+    """Assembled training cases written as libsvm lines and read back."""
+    from ..operators.prepare import assemble
+    from ..sources.sinks import read_libsvm, write_libsvm
+    spec, train, _ = sides(spark, sf, "docs")
+    path = _out_path(spark, "docs-libsvm")
+    write_libsvm(assemble(train, spec), path)
+    back = read_libsvm(spark, path, len(spec.order))
+    return back.select(F.col("label").alias("label_idx"),
+                       *[F.col("features").getItem(i).alias(f"x_{f}")
+                         for i, f in enumerate(spec.order)])
+
+
+def model_roundtrip_docs(spark, sf):
+    """Save the fitted model (with rules), load it, classify."""
+    m = model(spark, sf, "docs", RADIUS)
+    path = _out_path(spark, "docs-model")
+    m.save(path)
+    loaded = CaseModel.load(spark, path)
+    return adapt_classify(queries_of(spark, sf, "docs"), loaded, K, RNO)
+
+
+def neighbours_sink_docs(spark, sf):
+    """O2: neighbour lists written as parquet (bucketed by query) and read back."""
+    from ..sources.sinks import write_neighbours
+    path = _out_path(spark, "docs-neighbours")
+    write_neighbours(knn_topk_docs(spark, sf), path)
+    return spark.read.parquet(path).select("query_id", "rank", "case_id", "distance")
+
+
+def results_sink_docs(spark, sf):
+    """O1: hold-out metrics written as a tab-separated result file and read back."""
+    from ..sources.sinks import read_results, write_results
+    df = holdout_knn_docs(spark, sf)
+    path = _out_path(spark, "docs-results")
+    write_results(df, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return read_results(spark, path, schema=schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.splits import BUCKETS, MUL_ID, MUL_REP
 from .jobs import K, RADIUS, REPS, RNO
 from .sql_forms import Forms, _uniq, query
 
@@ -103,8 +104,51 @@ def _antecedents_docs() -> str:
                  + ", ".join(f.spec.order) + " FROM an")
 
 
-def oracle_sql() -> dict[str, str]:
+def _index(col: str, name: str, expr: str | None = None) -> str:
+    e = expr or col
+    return (f"{name} AS (SELECT {e} AS value, CAST(row_number() OVER (ORDER BY count(*) DESC, "
+            f"{e}) - 1 AS DOUBLE) AS idx FROM tr GROUP BY {e})")
+
+
+def _indexed(select: str) -> str:
+    f = _f("docs")
+    ctes = f.base() + [_index("lang", "li"), _index("source", "si"),
+                       _index("label", "yi", "CAST(label AS VARCHAR)")]
+    return query(ctes, select + " FROM tr JOIN li ON li.value = tr.lang "
+                 "JOIN si ON si.value = tr.source JOIN yi ON yi.value = CAST(tr.label AS VARCHAR)")
+
+
+def _prep() -> dict[str, str]:
+    f = _f("docs")
+    f10 = _f("docs", reps=REPS, split=False)
+    b = f"(cb.id * {MUL_ID} + gs.g * {MUL_REP}) % {BUCKETS}"
     return {
+        "string_index_docs": _indexed("SELECT tr.id AS doc_id, li.idx AS lang_idx, "
+                                      "si.idx AS source_idx"),
+        "assembled_docs": _indexed("SELECT tr.id AS doc_id, yi.idx AS label_idx, li.idx AS x_lang, "
+                                   "si.idx AS x_source, tr.n_chars AS x_n_chars"),
+        "libsvm_roundtrip_docs": _indexed("SELECT yi.idx AS label_idx, li.idx AS x_lang, "
+                                          "si.idx AS x_source, tr.n_chars AS x_n_chars"),
+        "drop_missing_docs": query(
+            f.base(), "SELECT id AS doc_id, label, lang, source, n_chars FROM cb WHERE "
+            "lang <> '?' AND source <> '?' AND CAST(n_chars AS VARCHAR) <> '?'"),
+        "split_counts_docs": query(
+            f10.base()[:2], f"SELECT gs.g AS rep, CASE WHEN {b} < 700 THEN 'train' ELSE 'test' END "
+            f"AS side, count(*) AS n FROM cb CROSS JOIN gs GROUP BY ALL"),
+        "kfold_counts_docs": query(
+            f.base()[:1], f"SELECT CAST(((id * {MUL_ID}) % {BUCKETS}) % 10 AS INTEGER) AS fold, "
+            f"count(*) AS n FROM cb GROUP BY ALL"),
+        "csv_roundtrip_docs": query(
+            f.base()[:1], "SELECT CAST(id AS DOUBLE) AS doc_id, CAST(label AS VARCHAR) AS label, "
+            "lang, source, n_chars FROM cb"),
+        "model_roundtrip_docs": _adapt_predict("docs"),
+        "neighbours_sink_docs": _knn_topk("docs"),
+        "results_sink_docs": _holdout("docs", "knn"),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return _prep() | {
         "class_counts_docs": _stats("docs", "SELECT label, count(*) AS n FROM tr GROUP BY label"),
         "joint_counts_docs": _stats("docs", "SELECT feature, value, label, n FROM jt"),
         "value_counts_docs": _stats("docs", "SELECT feature, value, n FROM tot"),
