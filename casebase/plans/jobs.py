@@ -336,3 +336,55 @@ def results_sink_docs(spark, sf):
     write_results(df, path)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     return read_results(spark, path, schema=schema)
+
+
+# -------------------------------------------------------------------- baselines
+def _baseline_sides(spark, sf):
+    return sides(spark, sf, "docs")
+
+
+def nb_predict_docs(spark, sf):
+    from .baselines import naive_bayes
+    spec, train, test = _baseline_sides(spark, sf)
+    return naive_bayes(train, test, spec)
+
+
+def lr_predict_docs(spark, sf):
+    from .baselines import logistic
+    spec, train, test = _baseline_sides(spark, sf)
+    return logistic(train, test, spec)
+
+
+def _rf(spark, sf, small: bool):
+    from .baselines import RF_GRID, RF_GRID_SMALL, random_forest_cv
+    key = _key(spark, sf, "rf", small)
+    if key not in _CACHE:
+        spec, train, test = _baseline_sides(spark, sf)
+        _CACHE[key] = random_forest_cv(train, test, spec, RF_GRID_SMALL if small else RF_GRID)
+    return _CACHE[key]
+
+
+def rf_cv_docs(spark, sf):
+    return _rf(spark, sf, False)[0]
+
+
+def rf_cv_report_docs(spark, sf):
+    return _rf(spark, sf, False)[1]
+
+
+def rf_tune_small_docs(spark, sf):
+    return _rf(spark, sf, True)[0]
+
+
+def tvs_predict_docs(spark, sf):
+    from .baselines import random_forest_tvs
+    spec, train, test = _baseline_sides(spark, sf)
+    return random_forest_tvs(train, test, spec)[0]
+
+
+def metrics_nb_docs(spark, sf):
+    return E.metrics(nb_predict_docs(spark, sf))
+
+
+def metrics_rf_docs(spark, sf):
+    return E.metrics(rf_cv_docs(spark, sf))

@@ -147,8 +147,45 @@ def _prep() -> dict[str, str]:
     }
 
 
+def _nb_ctes() -> list[str]:
+    """Multinomial naive Bayes (smoothing 1) over indexed features, argmax with first-max ties."""
+    f = _f("docs")
+    ctes = f.base() + [_index("lang", "li"), _index("source", "si"),
+                       _index("label", "yi", "CAST(label AS VARCHAR)")]
+    x = ("{t}.id AS id, {t}.label AS label, coalesce(li.idx, (SELECT count(*) FROM li)) AS x0, "
+         "coalesce(si.idx, (SELECT count(*) FROM si)) AS x1, {t}.n_chars AS x2")
+    j = (" FROM {t} LEFT JOIN li ON li.value = {t}.lang LEFT JOIN si ON si.value = {t}.source")
+    ctes += [
+        "xtr AS (SELECT yi.idx AS y, " + x.format(t="tr") + j.format(t="tr")
+        + " JOIN yi ON yi.value = CAST(tr.label AS VARCHAR))",
+        "xte AS (SELECT " + x.format(t="te") + j.format(t="te") + ")",
+        "cc AS (SELECT y, count(*) AS n, sum(x0) AS s0, sum(x1) AS s1, sum(x2) AS s2 "
+        "FROM xtr GROUP BY y)",
+        "nl AS (SELECT count(*) AS c, sum(n) AS nn FROM cc)",
+        "th AS (SELECT y, ln(n + 1.0) - ln(nn + c * 1.0) AS pi, "
+        "ln(s0 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t0, ln(s1 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t1, "
+        "ln(s2 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t2 FROM cc CROSS JOIN nl)",
+        "sc AS (SELECT xte.id, xte.label, th.y, "
+        "t0 * x0 + t1 * x1 + t2 * x2 + pi AS score FROM xte CROSS JOIN th)",
+        "pred AS (SELECT sc.id AS query_id, sc.label, CAST(yi.value AS INTEGER) AS prediction "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, y) AS r FROM sc) sc "
+        "JOIN yi ON yi.idx = sc.y WHERE r = 1)",
+    ]
+    return ctes
+
+
+def _baselines() -> dict[str, str]:
+    nb = _nb_ctes()
+    g = [c.replace("pred AS (SELECT sc.id AS query_id,", "pred AS (SELECT 0 AS g, sc.id AS query_id,")
+         for c in nb]
+    return {
+        "nb_predict_docs": query(nb, "SELECT query_id, label, prediction FROM pred"),
+        "metrics_nb_docs": query(g + Forms.metrics(), f"SELECT {_METRIC_COLS} FROM mt"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return _prep() | {
+    return _prep() | _baselines() | {
         "class_counts_docs": _stats("docs", "SELECT label, count(*) AS n FROM tr GROUP BY label"),
         "joint_counts_docs": _stats("docs", "SELECT feature, value, label, n FROM jt"),
         "value_counts_docs": _stats("docs", "SELECT feature, value, n FROM tot"),
