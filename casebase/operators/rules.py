@@ -134,18 +134,20 @@ def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, kernels
     Ordered by ``(rule distance, src_id, dst_id, direction)``.  The label is an
     equality key of the blocked search, so the dominant class is split into
     blocks like any other key instead of landing in one task.
-    Returns ``(by.., query_id, base_id, src_id, dst_id, direction, rule_rank,
-    rule_distance, to_label)``.
+    Returns ``(by.., query_id, base_id, base_rank, src_id, dst_id, direction,
+    rule_rank, rule_distance, to_label)``.
     """
     by = list(by)
-    left = ante.select(*by, F.col("base_label").alias("_cls"), "query_id", "base_id", *spec.order)
+    left = ante.select(*by, F.col("base_label").alias("_cls"), "query_id", "base_id",
+                       "base_rank", *spec.order)
     right = rcases.select(*by, F.col("from_label").alias("_cls"), *RULE_KEY, *spec.order)
-    top = blocked_topk(left, right, left_key=["query_id", "base_id"], right_key=RULE_KEY,
-                       eq=[*by, "_cls"], kernel_by=by, k=rno, kernels=kernels)
+    top = blocked_topk(left, right, left_key=["query_id", "base_id", "base_rank"],
+                       right_key=RULE_KEY, eq=[*by, "_cls"], kernel_by=by, k=rno, kernels=kernels)
     targets = rcases.select(*by, *RULE_KEY, "to_label")
     return (top.join(targets, on=[*by, *RULE_KEY])
-            .select(*by, "query_id", "base_id", *RULE_KEY, F.col("rank").alias("rule_rank"),
-                    F.col("distance").alias("rule_distance"), "to_label"))
+            .select(*by, "query_id", "base_id", "base_rank", *RULE_KEY,
+                    F.col("rank").alias("rule_rank"), F.col("distance").alias("rule_distance"),
+                    "to_label"))
 
 
 __all__ = ["rules", "rule_cases", "rule_spec", "rule_class_counts", "rule_joint_counts",

@@ -388,3 +388,10 @@ def metrics_nb_docs(spark, sf):
 
 def metrics_rf_docs(spark, sf):
     return E.metrics(rf_cv_docs(spark, sf))
+
+
+# ------------------------------------------------------------------------ sweep
+def sweep_docs(spark, sf):
+    from .experiment import sweep
+    spec, cases = CB.docs(spark, sf)
+    return sweep(cases, spec)

@@ -46,7 +46,7 @@ def _adapt_predict(cb: str) -> str:
 
 def _rule_topk(cb: str) -> str:
     return query(_adapt_ctes(cb),
-                 "SELECT query_id, base_id, src_id, dst_id, direction, rule_rank, "
+                 "SELECT query_id, base_id, base_rank, src_id, dst_id, direction, rule_rank, "
                  "rule_distance, to_label FROM rt")
 
 
@@ -184,8 +184,41 @@ def _baselines() -> dict[str, str]:
     }
 
 
+def _sweep_docs() -> str:
+    from .experiment import KS, RADII, RNOS
+    f = Forms("docs", k=max(KS), rno=max(RNOS), folds=10)
+    ctes = f.base() + f.stats() + f.antecedents()
+    parts = []
+    for r in RADII:
+        ctes += _uniq(f.rules(radius=r, sfx=f"_{r}")) + f.retrieval(sfx=f"_{r}")
+        parts.append(f"SELECT {r} AS radius, g, query_id, base_id, base_rank, rule_rank, to_label "
+                     f"FROM rt_{r}")
+    ks = ", ".join(f"({k})" for k in KS)
+    rs = ", ".join(f"({r})" for r in RNOS)
+    ctes += [
+        f"ch AS ({' UNION ALL '.join(parts)})",
+        f"grid AS (SELECT * FROM (VALUES {ks}) kk(k) CROSS JOIN (VALUES {rs}) rr(rno))",
+        "gv AS (SELECT ch.*, grid.k, grid.rno FROM ch JOIN grid ON ch.base_rank <= grid.k "
+        "AND ch.rule_rank <= grid.rno)",
+        "bv AS (SELECT radius, k, rno, g, query_id, base_id, to_label AS target FROM (SELECT "
+        "radius, k, rno, g, query_id, base_id, to_label, row_number() OVER (PARTITION BY radius, "
+        "k, rno, g, query_id, base_id ORDER BY count(*) DESC, to_label) AS r FROM gv GROUP BY "
+        "radius, k, rno, g, query_id, base_id, to_label) WHERE r = 1)",
+        "pv AS (SELECT radius, k, rno, g, query_id, target AS prediction FROM (SELECT radius, k, "
+        "rno, g, query_id, target, row_number() OVER (PARTITION BY radius, k, rno, g, query_id "
+        "ORDER BY count(*) DESC, target) AS r FROM bv GROUP BY radius, k, rno, g, query_id, "
+        "target) WHERE r = 1)",
+        "er AS (SELECT pv.radius, pv.k, pv.rno, pv.g, avg(CASE WHEN pv.prediction = te.label "
+        "THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) AS e FROM pv JOIN te "
+        "ON te.g = pv.g AND te.id = pv.query_id GROUP BY pv.radius, pv.k, pv.rno, pv.g)",
+    ]
+    return query(ctes, "SELECT CAST(radius AS INTEGER) AS radius, CAST(k AS INTEGER) AS k, "
+                       "CAST(rno AS INTEGER) AS rno, round(avg(e), 9) AS mean_error FROM er "
+                       "GROUP BY radius, k, rno")
+
+
 def oracle_sql() -> dict[str, str]:
-    return _prep() | _baselines() | {
+    return _prep() | _baselines() | {"sweep_docs": _sweep_docs()} | {
         "class_counts_docs": _stats("docs", "SELECT label, count(*) AS n FROM tr GROUP BY label"),
         "joint_counts_docs": _stats("docs", "SELECT feature, value, label, n FROM jt"),
         "value_counts_docs": _stats("docs", "SELECT feature, value, n FROM tot"),

@@ -70,8 +70,8 @@ class Forms:
     """SQL builder for one case base; ``reps`` > 0 adds the repetition key."""
 
     def __init__(self, cb: str, reps: int = 0, k: int = 5, radius: int = 3, rno: int = 5,
-                 split: bool = True):
-        self.cb, self.spec, self.reps = cb, _SPECS[cb], reps
+                 split: bool = True, folds: int = 0):
+        self.cb, self.spec, self.reps, self.folds = cb, _SPECS[cb], reps or folds, folds
         self.k, self.radius, self.rno, self.split = k, radius, rno, split
 
     # ------------------------------------------------------------- base CTEs
@@ -80,7 +80,11 @@ class Forms:
               else "SELECT 0 AS g")
         bucket = f"(cb.id * {MUL_ID} + gs.g * {MUL_REP}) % {BUCKETS}"
         ctes = [f"cb AS ({_SOURCES[self.cb]})", f"gs AS ({gs})"]
-        if self.split:
+        if self.folds:
+            fold = f"((cb.id * {MUL_ID}) % {BUCKETS}) % {self.folds}"
+            ctes += [f"tr AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE {fold} <> gs.g)",
+                     f"te AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE {fold} = gs.g)"]
+        elif self.split:
             ctes += [f"tr AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE {bucket} < 700)",
                      f"te AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE {bucket} >= 700)"]
         else:
@@ -127,15 +131,16 @@ class Forms:
              f"{_rn('g, query_id', 'distance, case_id')} AS rank FROM {name}_d) WHERE rank <= {k})")
         return [d, r]
 
-    def rules(self) -> list[str]:
-        spec = self.spec
+    def rules(self, radius: int | None = None, sfx: str = "") -> list[str]:
+        spec, radius = self.spec, radius or self.radius
         cols = ", ".join(f"a.{f} AS {f}_from, b.{f} AS {f}_to" for f in spec.order)
-        ctes = self.knn("lo", self.radius, left="tr", loo=True)
+        lo = f"lo{sfx}"
+        ctes = self.knn(lo, radius, left="tr", loo=True)
         ctes.append(
-            f"rl AS (SELECT lo.g, lo.query_id AS src_id, lo.case_id AS dst_id, 0 AS direction, "
-            f"lo.rank, a.label AS from_label, b.label AS to_label, {cols} FROM lo "
-            f"JOIN tr a ON a.g = lo.g AND a.id = lo.query_id "
-            f"JOIN tr b ON b.g = lo.g AND b.id = lo.case_id)")
+            f"rl{sfx} AS (SELECT {lo}.g, {lo}.query_id AS src_id, {lo}.case_id AS dst_id, "
+            f"0 AS direction, {lo}.rank, a.label AS from_label, b.label AS to_label, {cols} "
+            f"FROM {lo} JOIN tr a ON a.g = {lo}.g AND a.id = {lo}.query_id "
+            f"JOIN tr b ON b.g = {lo}.g AND b.id = {lo}.case_id)")
         enc = []
         for f in spec.order:
             if spec.kind(f) == "cat":
@@ -143,44 +148,49 @@ class Forms:
             else:
                 enc.append(f"{f}_from - {f}_to AS {f}")
         ctes.append(
-            f"rc AS (SELECT g, src_id, dst_id, direction, from_label, to_label, "
+            f"rc{sfx} AS (SELECT g, src_id, dst_id, direction, from_label, to_label, "
             f"CAST(from_label AS VARCHAR) || {SEP} || CAST(to_label AS VARCHAR) AS rule_class, "
-            f"{', '.join(enc)} FROM rl)")
+            f"{', '.join(enc)} FROM rl{sfx})")
         if spec.categorical:
             parts = [f"SELECT g, '{f}' AS feature, {f} AS value, rule_class AS label, "
-                     f"count(*) AS n FROM rc GROUP BY g, {f}, rule_class" for f in spec.categorical]
-            ctes += [f"rjt AS ({' UNION ALL '.join(parts)})",
-                     "rtot AS (SELECT g, feature, value, CAST(sum(n) AS BIGINT) AS n FROM rjt "
-                     "GROUP BY g, feature, value)",
-                     "rcls AS (SELECT DISTINCT g, rule_class AS label FROM rc)",
-                     _vdm_cte("rvdm", "rjt", "rtot", "rcls")]
+                     f"count(*) AS n FROM rc{sfx} GROUP BY g, {f}, rule_class"
+                     for f in spec.categorical]
+            ctes += [f"rjt{sfx} AS ({' UNION ALL '.join(parts)})",
+                     f"rtot{sfx} AS (SELECT g, feature, value, CAST(sum(n) AS BIGINT) AS n "
+                     f"FROM rjt{sfx} GROUP BY g, feature, value)",
+                     f"rcls{sfx} AS (SELECT DISTINCT g, rule_class AS label FROM rc{sfx})",
+                     _vdm_cte(f"rvdm{sfx}", f"rjt{sfx}", f"rtot{sfx}", f"rcls{sfx}")]
         return ctes
 
-    def adaptation(self) -> list[str]:
+    def antecedents(self) -> list[str]:
         spec = self.spec
-        ctes = self.knn("nb", self.k)
         enc = []
         for f in spec.order:
             if spec.kind(f) == "cat":
                 enc.append(f"b.{f} || {SEP} || q.{f} AS {f}")
             else:
                 enc.append(f"b.{f} - q.{f} AS {f}")
-        ctes.append(
+        return self.knn("nb", self.k) + [
             f"an AS (SELECT nb.g, nb.query_id, nb.case_id AS base_id, nb.rank AS base_rank, "
             f"b.label AS base_label, {', '.join(enc)} FROM nb "
             f"JOIN te q ON q.g = nb.g AND q.id = nb.query_id "
-            f"JOIN tr b ON b.g = nb.g AND b.id = nb.case_id)")
-        expr, joins = self._distance("a", "r", "rvdm", "w")
-        joins = joins.replace("LEFT JOIN rvdm", "LEFT JOIN rvdm")
-        ctes.append(
-            f"rd AS (SELECT a.g, a.query_id, a.base_id, r.src_id, r.dst_id, r.direction, "
-            f"r.to_label, sqrt({expr}) AS rule_distance FROM an a "
-            f"JOIN rc r ON r.g = a.g AND r.from_label = a.base_label "
-            f"JOIN sig s ON s.g = a.g {joins})")
-        ctes.append(
-            f"rt AS (SELECT * FROM (SELECT *, "
+            f"JOIN tr b ON b.g = nb.g AND b.id = nb.case_id)"]
+
+    def retrieval(self, sfx: str = "", rno: int | None = None) -> list[str]:
+        """Rule distances of every antecedent to the rules of its base label, top ``rno``."""
+        rno = rno or self.rno
+        expr, joins = self._distance("a", "r", f"rvdm{sfx}", "w")
+        return [
+            f"rd{sfx} AS (SELECT a.g, a.query_id, a.base_id, a.base_rank, r.src_id, r.dst_id, "
+            f"r.direction, r.to_label, sqrt({expr}) AS rule_distance FROM an a "
+            f"JOIN rc{sfx} r ON r.g = a.g AND r.from_label = a.base_label "
+            f"JOIN sig s ON s.g = a.g {joins})",
+            f"rt{sfx} AS (SELECT * FROM (SELECT *, "
             f"{_rn('g, query_id, base_id', 'rule_distance, src_id, dst_id, direction')} "
-            f"AS rule_rank FROM rd) WHERE rule_rank <= {self.rno})")
+            f"AS rule_rank FROM rd{sfx}) WHERE rule_rank <= {rno})"]
+
+    def adaptation(self) -> list[str]:
+        ctes = self.antecedents() + self.retrieval()
         ctes.append(
             "bv AS (SELECT g, query_id, base_id, to_label AS target FROM (SELECT g, query_id, "
             "base_id, to_label, row_number() OVER (PARTITION BY g, query_id, base_id "
