@@ -223,14 +223,9 @@ def metrics_adapt_cust(spark, sf):
 
 def _holdout(cb, method):
     def job(spark, sf):
+        from .experiment import holdout
         spec, cases = CB.CASEBASES[cb](spark, sf)
-        train, test = holdout_sides(cases, spec.id, REPS)
-        m = CaseModel.fit(train, spec, radius=RADIUS if method == "adapt" else None, by=["rep"])
-        if method == "adapt":
-            pred = adapt_classify(test, m, K, RNO)
-        else:
-            pred = knn_classify(test, m, K)
-        return E.metrics(pred, ["rep"]).withColumn("method", F.lit(method))
+        return holdout(cases, spec, method, REPS, K, RNO, RADIUS)
     return job
 
 
