@@ -101,11 +101,18 @@ class Kernel:
                 if s is None or not np.isfinite(s) or s == 0.0:
                     t = np.where(a == b, 0.0, 1.0)
                 else:
-                    t = np.minimum(1.0, np.abs(a - b) / (4.0 * s))
-            acc = t if acc is None else acc + t
+                    # least(1, abs(a - b) / (4 * s)), evaluated in place
+                    t = np.subtract(a, b)
+                    np.abs(t, out=t)
+                    np.divide(t, 4.0 * s, out=t)
+                    np.minimum(t, 1.0, out=t)
+            if acc is None:
+                acc = t
+            else:
+                np.add(acc, t, out=acc)
         if acc is None:
             acc = np.zeros((len(left), len(right)))
-        return np.sqrt(acc)
+        return np.sqrt(acc, out=acc)
 
 
 def topk_per_row(d: np.ndarray, k: int):

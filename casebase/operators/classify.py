@@ -1,4 +1,10 @@
-"""Classification by neighbour vote (C2) and by ensembles of adaptations."""
+"""Classification by neighbour vote (C2) and by ensembles of adaptations.
+
+The neighbour search carries everything the later steps read (the query's
+true label and features, the neighbour's label and features) as payload, so
+labels, antecedents and votes are projections and bounded aggregations of the
+search output: no join back to the case tables on possibly skewed keys.
+"""
 
 from __future__ import annotations
 
@@ -7,35 +13,58 @@ from pyspark.sql import functions as F
 
 from . import rules as R
 from .neighbors import nearest, with_labels
-from .vote import vote
+from .vote import vote_bounded
 
 
-def _with_truth(pred: DataFrame, queries: DataFrame, model) -> DataFrame:
-    spec, by = model.spec, list(model.by)
-    truth = queries.select(*by, F.col(spec.id).alias("query_id"), F.col(spec.label).alias("label"))
-    return truth.join(pred, on=[*by, "query_id"], how="left")
+def neighbours_with_payload(queries: DataFrame, model, k: int,
+                            n_queries: int | None = None) -> DataFrame:
+    """K1 plus the columns C2/C3 need: ``label``, ``case_label``/``base_label``,
+    ``<f>_q`` and ``<f>_b``."""
+    spec = model.spec
+    qp = {"label": spec.label, **{f"{f}_q": f for f in spec.order}}
+    cp = {"case_label": spec.label, **{f"{f}_b": f for f in spec.order}}
+    nb = nearest(queries, model, k, n_queries, query_payload=qp, case_payload=cp)
+    return nb.withColumn("base_label", F.col("case_label"))
 
 
 def knn_classify(queries: DataFrame, model, k: int, neighbours: DataFrame | None = None,
                  with_truth: bool = True) -> DataFrame:
     """``(by.., query_id, label, prediction)`` by majority of the k nearest labels."""
-    by = list(model.by)
-    nb = neighbours if neighbours is not None else nearest(queries, model, k)
+    spec, by = model.spec, list(model.by)
+    if neighbours is None:
+        nb = nearest(queries, model, k, query_payload={"label": spec.label},
+                     case_payload={"case_label": spec.label})
+    else:
+        nb = neighbours
+        if "case_label" not in nb.columns:
+            nb = with_labels(nb, model)
+        if "label" not in nb.columns:
+            truth = queries.select(*by, F.col(spec.id).alias("query_id"),
+                                   F.col(spec.label).alias("label"))
+            nb = nb.join(truth, on=[*by, "query_id"])
     nb = nb.where(F.col("rank") <= k)
-    pred = vote(with_labels(nb, model), [*by, "query_id"], "case_label")
-    return _with_truth(pred, queries, model) if with_truth else pred
+    keys = [*by, "query_id", "label"] if with_truth else [*by, "query_id"]
+    return vote_bounded(nb, keys, "case_label")
 
 
 def adaptation_votes(queries: DataFrame, model, k: int, rno: int,
-                     neighbours: DataFrame | None = None) -> DataFrame:
+                     neighbours: DataFrame | None = None, keep_label: bool = False) -> DataFrame:
     """R5 + J3 + D2 + K7: the chosen rules of every (query, base neighbour)."""
     if model.rules is None:
         raise ValueError("model was fitted without rules (radius)")
     spec, by = model.spec, list(model.by)
-    nb = neighbours if neighbours is not None else nearest(queries, model, k)
-    nb = nb.where(F.col("rank") <= k)
-    ante = R.antecedents(queries, nb, model.cases, spec, by)
-    return R.nearest_rules(ante, model.rule_cases, spec, model.rule_kernels, rno, by)
+    n_queries = queries.count()
+    if neighbours is None:
+        nb = neighbours_with_payload(queries, model, k, n_queries)
+    else:
+        nb = neighbours
+    nb = nb.where(F.col("rank") <= k).withColumnRenamed("case_id", "base_id") \
+        .withColumnRenamed("rank", "base_rank")
+    keep = ["label"] if keep_label else []
+    ante = R.antecedents_from(nb, spec, by, keep)
+    # at most k antecedents per query; the rule table is materialised at fit
+    return R.nearest_rules(ante, model.rule_cases, spec, model.rule_kernels, rno, by,
+                           n_ante=n_queries * k, n_rules=model.n_rules, keep=keep)
 
 
 def adapt_classify(queries: DataFrame, model, k: int, rno: int,
@@ -43,7 +72,7 @@ def adapt_classify(queries: DataFrame, model, k: int, rno: int,
     """Every base neighbour's label is adapted by its ``rno`` closest rules
     (vote over their target labels), then the bases vote."""
     by = list(model.by)
-    chosen = adaptation_votes(queries, model, k, rno, neighbours)
-    per_base = vote(chosen, [*by, "query_id", "base_id"], "to_label", out="target")
-    pred = vote(per_base, [*by, "query_id"], "target")
-    return _with_truth(pred, queries, model) if with_truth else pred
+    chosen = adaptation_votes(queries, model, k, rno, neighbours, keep_label=True)
+    per_base = vote_bounded(chosen, [*by, "query_id", "label", "base_id"], "to_label", "target")
+    pred = vote_bounded(per_base, [*by, "query_id", "label"], "target")
+    return pred if with_truth else pred.drop("label")

@@ -57,31 +57,54 @@ def build_kernels(spec: FeatureSpec, values: DataFrame, vdm_sparse: DataFrame,
     return out
 
 
-def _side(df: DataFrame, spec: FeatureSpec, by: Sequence[str], key: str) -> DataFrame:
-    return df.select(*by, F.col(spec.id).alias(key), *spec.order)
+def _side(df: DataFrame, spec: FeatureSpec, by: Sequence[str], key: str,
+          extra: Sequence[str] = ()) -> DataFrame:
+    cols = list(dict.fromkeys([*spec.order, *extra]))
+    return df.select(*by, F.col(spec.id).alias(key), *cols)
 
 
-def nearest(queries: DataFrame, model, k: int) -> DataFrame:
+def _payload(spec: FeatureSpec, prefix: str, label_as: str | None) -> dict:
+    out = {f"{f}_{prefix}": f for f in spec.order}
+    if label_as:
+        out[label_as] = spec.label
+    return out
+
+
+def nearest(queries: DataFrame, model, k: int, n_queries: int | None = None,
+            query_payload: dict | None = None, case_payload: dict | None = None) -> DataFrame:
     """``(by.., query_id, rank, case_id, distance)``, the ``k`` nearest
     training cases of every query by ``(distance, case_id)``.
 
-    Fewer than ``k`` training cases: all of them are returned.
+    Fewer than ``k`` training cases: all of them are returned.  Payload maps
+    (output name -> column) copy query or case columns onto the result rows.
     """
     spec, by = model.spec, list(model.by)
-    res = blocked_topk(_side(queries, spec, by, "query_id"), _side(model.cases, spec, by, "case_id"),
+    qp, cp = dict(query_payload or {}), dict(case_payload or {})
+    res = blocked_topk(_side(queries, spec, by, "query_id", qp.values()),
+                       _side(model.cases, spec, by, "case_id", cp.values()),
                        left_key=["query_id"], right_key=["case_id"], eq=by, kernel_by=by,
-                       k=k, kernels=model.kernels)
-    return res.select(*by, "query_id", "rank", "case_id", "distance")
+                       k=k, kernels=model.kernels, n_left=n_queries, n_right=model.n_cases,
+                       left_payload=qp, right_payload=cp)
+    return res.select(*by, "query_id", "rank", "case_id", "distance", *qp, *cp)
 
 
-def nearest_within(model, radius: int) -> DataFrame:
-    """K2: leave-self-out ``radius`` nearest training cases of every training case."""
+def nearest_within(model, radius: int, payload: bool = False) -> DataFrame:
+    """K2: leave-self-out ``radius`` nearest training cases of every training case.
+
+    ``payload=True`` adds both cases' labels and features (``from_label``,
+    ``<f>_from``, ``to_label``, ``<f>_to``), which is all a rule needs.
+    """
     spec, by = model.spec, list(model.by)
+    lp = _payload(spec, "from", "from_label") if payload else {}
+    rp = _payload(spec, "to", "to_label") if payload else {}
     side = model.cases
-    res = blocked_topk(_side(side, spec, by, "query_id"), _side(side, spec, by, "case_id"),
+    res = blocked_topk(_side(side, spec, by, "query_id", [spec.label]),
+                       _side(side, spec, by, "case_id", [spec.label]),
                        left_key=["query_id"], right_key=["case_id"], eq=by, kernel_by=by,
-                       k=radius, kernels=model.kernels, exclude_self=("query_id", "case_id"))
-    return res.select(*by, "query_id", "rank", "case_id", "distance")
+                       k=radius, kernels=model.kernels, exclude_self=("query_id", "case_id"),
+                       n_left=model.n_cases, n_right=model.n_cases,
+                       left_payload=lp, right_payload=rp)
+    return res.select(*by, "query_id", "rank", "case_id", "distance", *lp, *rp)
 
 
 def kth_distance(neighbours: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:

@@ -37,6 +37,8 @@ def rules(neighbours: DataFrame, cases: DataFrame, spec: FeatureSpec, by: Sequen
     <f>_from, <f>_to`` for every feature.
     """
     by = list(by)
+    if "from_label" in neighbours.columns:        # search already carried both cases
+        return _rules_from_payload(neighbours, spec, by, bidirectional)
 
     def side(prefix: str, key: str, lab: str) -> DataFrame:
         return cases.select(*by, F.col(spec.id).alias(key), F.col(spec.label).alias(lab),
@@ -59,6 +61,22 @@ def rules(neighbours: DataFrame, cases: DataFrame, spec: FeatureSpec, by: Sequen
     return out.select(*cols)
 
 
+def _rules_from_payload(nb: DataFrame, spec: FeatureSpec, by: list,
+                        bidirectional: bool) -> DataFrame:
+    """R1-R3 as a projection of a leave-self-out search that carried both cases."""
+    feats = [c for f in spec.order for c in (f"{f}_from", f"{f}_to")]
+    fwd = nb.select(*by, F.col("query_id").alias("src_id"), F.col("case_id").alias("dst_id"),
+                    F.lit(0).alias("direction"), "rank", "from_label", "to_label", *feats)
+    if not bidirectional:
+        return fwd
+    swapped = [F.col(f"{f}_{b}").alias(f"{f}_{a}") for f in spec.order
+               for a, b in (("from", "to"), ("to", "from"))]
+    rev = nb.select(*by, F.col("case_id").alias("src_id"), F.col("query_id").alias("dst_id"),
+                    F.lit(1).alias("direction"), "rank", F.col("to_label").alias("from_label"),
+                    F.col("from_label").alias("to_label"), *swapped)
+    return fwd.unionByName(rev)
+
+
 RULE_KEY = ["src_id", "dst_id", "direction"]
 
 
@@ -120,15 +138,22 @@ def antecedents(queries: DataFrame, neighbours: DataFrame, cases: DataFrame, spe
     nb = neighbours.select(*by, "query_id", F.col("case_id").alias("base_id"),
                            F.col("rank").alias("base_rank"))
     j = nb.join(q, on=[*by, "query_id"]).join(b, on=[*by, "base_id"])
-    cols = [*by, "query_id", "base_id", "base_rank", "base_label"]
+    return antecedents_from(j, spec, by)
+
+
+def antecedents_from(nb: DataFrame, spec: FeatureSpec, by: Sequence[str] = (),
+                     keep: Sequence[str] = ()) -> DataFrame:
+    """R5 as a projection of neighbours carrying ``base_label``, ``<f>_b``, ``<f>_q``."""
+    cols = [*by, "query_id", *keep, "base_id", "base_rank", "base_label"]
     for f in spec.order:
         a, c = F.col(f"{f}_b"), F.col(f"{f}_q")
         cols.append((_pair(a, c) if spec.kind(f) == "cat" else (a - c)).alias(f))
-    return j.select(*cols)
+    return nb.select(*cols)
 
 
 def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, kernels, rno: int,
-                  by: Sequence[str] = ()) -> DataFrame:
+                  by: Sequence[str] = (), n_ante: int | None = None,
+                  n_rules: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """J3 + D2 + K7: the ``rno`` closest rules with ``from_label = base_label``.
 
     Ordered by ``(rule distance, src_id, dst_id, direction)``.  The label is an
@@ -138,16 +163,18 @@ def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, kernels
     rule_rank, rule_distance, to_label)``.
     """
     by = list(by)
+    keep = list(keep)
     left = ante.select(*by, F.col("base_label").alias("_cls"), "query_id", "base_id",
-                       "base_rank", *spec.order)
-    right = rcases.select(*by, F.col("from_label").alias("_cls"), *RULE_KEY, *spec.order)
+                       "base_rank", *keep, *spec.order)
+    right = rcases.select(*by, F.col("from_label").alias("_cls"), *RULE_KEY, "to_label",
+                          *spec.order)
     top = blocked_topk(left, right, left_key=["query_id", "base_id", "base_rank"],
-                       right_key=RULE_KEY, eq=[*by, "_cls"], kernel_by=by, k=rno, kernels=kernels)
-    targets = rcases.select(*by, *RULE_KEY, "to_label")
-    return (top.join(targets, on=[*by, *RULE_KEY])
-            .select(*by, "query_id", "base_id", "base_rank", *RULE_KEY,
-                    F.col("rank").alias("rule_rank"), F.col("distance").alias("rule_distance"),
-                    "to_label"))
+                       right_key=RULE_KEY, eq=[*by, "_cls"], kernel_by=by, k=rno, kernels=kernels,
+                       n_left=n_ante, n_right=n_rules, left_payload={c: c for c in keep},
+                       right_payload={"to_label": "to_label"})
+    return top.select(*by, "query_id", *keep, "base_id", "base_rank", *RULE_KEY,
+                      F.col("rank").alias("rule_rank"), F.col("distance").alias("rule_distance"),
+                      "to_label")
 
 
 __all__ = ["rules", "rule_cases", "rule_spec", "rule_class_counts", "rule_joint_counts",

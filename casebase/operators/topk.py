@@ -52,24 +52,33 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
                  right_key: Sequence[str], k: int, kernels, kernel_by: Sequence[str] = (),
                  eq: Sequence[str] = (), exclude_self: tuple[str, str] | None = None,
                  left_block_rows: int = 4096, right_block_rows: int = 32768,
-                 min_groups: int | None = None) -> DataFrame:
+                 min_groups: int | None = None, n_left: int | None = None,
+                 n_right: int | None = None, left_payload: dict | None = None,
+                 right_payload: dict | None = None) -> DataFrame:
     """Top-``k`` right rows per left row, by ``(distance, right key)``.
 
     ``kernels`` maps a tuple of ``kernel_by`` values (a subset of ``eq``) to a
     kernel with a ``distances(left_pdf, right_pdf)`` method; it is shipped once
-    per executor as a broadcast variable.  Returns
-    ``(eq.., left_key.., right_key.., distance, rank)``.
+    per executor as a broadcast variable.  ``n_left``/``n_right`` are size
+    hints for the grid (counted when absent; a hint avoids re-running an
+    expensive upstream plan just to size blocks).  ``left_payload`` /
+    ``right_payload`` map output names to input columns copied onto every
+    result row, so callers need no join back to either side.  Returns
+    ``(eq.., left_key.., left payload.., right_key.., right payload.., distance,
+    rank)``.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     left_key, right_key, eq, kernel_by = (list(left_key), list(right_key), list(eq),
                                           list(kernel_by))
+    lpay, rpay = dict(left_payload or {}), dict(right_payload or {})
     spark = left.sparkSession
     ship_package(spark)
     sc = spark.sparkContext
     if min_groups is None:
         min_groups = 2 * sc.defaultParallelism
-    n_left, n_right = left.count(), right.count()
+    n_left = left.count() if n_left is None else n_left
+    n_right = right.count() if n_right is None else n_right
     lb, rb = _grid(n_left, n_right, left_block_rows, right_block_rows, min_groups)
 
     lblock = F.pmod(F.xxhash64(*[F.col(c) for c in left_key]), F.lit(lb)).cast("int")
@@ -86,8 +95,10 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
     out_schema = T.StructType(
         [T.StructField(c, fields[c].dataType) for c in eq]
         + [T.StructField(c, left.schema[c].dataType) for c in left_key]
+        + [T.StructField(o, left.schema[c].dataType) for o, c in lpay.items()]
         + [T.StructField(c, right.schema[c].dataType) for c in right_key]
-        + [T.StructField("distance", T.DoubleType())])
+        + [T.StructField(o, right.schema[c].dataType) for o, c in rpay.items()]
+        + [T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
     out_cols = [f.name for f in out_schema.fields]
     bk = sc.broadcast(kernels if isinstance(kernels, dict) else {(): kernels})
     n_eq, kb_idx = len(eq), [eq.index(c) for c in kernel_by]
@@ -95,7 +106,8 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
 
     def run(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({c: [] for c in out_cols})
+            # object dtype: an empty float column would not convert to a string field
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in out_cols})
         kernel = bk.value[tuple(key[i] for i in kb_idx)]
         rpdf = rpdf.sort_values(right_key, kind="mergesort").reset_index(drop=True)
         chunk = max(1, CHUNK_CELLS // len(rpdf))
@@ -106,21 +118,30 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
             if self_l is not None:
                 same = lch[self_l].to_numpy()[:, None] == rpdf[self_r].to_numpy()[None, :]
                 d = np.where(same, np.inf, d)
-            rows, cols, vals, _ = topk_per_row(d, k)
+            rows, cols, vals, rank = topk_per_row(d, k)
             part = {}
             for i, c in enumerate(eq):
                 part[c] = [key[i]] * len(rows)
             for c in left_key:
                 part[c] = lch[c].to_numpy()[rows]
+            for o, c in lpay.items():
+                part[o] = lch[c].to_numpy()[rows]
             for c in right_key:
                 part[c] = rpdf[c].to_numpy()[cols]
+            for o, c in rpay.items():
+                part[o] = rpdf[c].to_numpy()[cols]
             part["distance"] = vals
+            part["rank"] = rank.astype(np.int32)
             parts.append(pd.DataFrame(part, columns=out_cols))
         return pd.concat(parts, ignore_index=True)
 
     winners = (L.groupBy(*eq, "_lb", "_rb")
                .cogroup(R.groupBy(*eq, "_lb", "_rb"))
                .applyInPandas(run, schema=out_schema))
+    if rb == 1:
+        # one right block: every left row met all right rows in a single group,
+        # so the per-group ranking is already final (no merge shuffle)
+        return winners
     w = Window.partitionBy(*eq, *left_key).orderBy("distance", *right_key)
     return (winners.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k))

@@ -19,3 +19,21 @@ def vote(df: DataFrame, keys: Sequence[str], value: str, out: str = "prediction"
     w = Window.partitionBy(*keys).orderBy(F.col("_votes").desc(), F.col(value).asc())
     return (counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
             .select(*keys, F.col(value).alias(out)))
+
+
+def vote_bounded(df: DataFrame, keys: Sequence[str], value: str,
+                 out: str = "prediction") -> DataFrame:
+    """C1 for groups of known small size (k neighbours, rno rules).
+
+    One aggregation: the group's values (at most k, by construction) are
+    collected, and the most frequent, smallest value is picked with array
+    functions inside the aggregate's projection.  Input already partitioned
+    by ``keys`` (as after the neighbour search) needs no further shuffle.
+    """
+    keys = list(keys)
+    vals = F.collect_list(value)
+    pick = F.element_at(F.array_sort(F.transform(
+        F.array_distinct(F.col("_v")),
+        lambda v: F.struct((-F.size(F.filter(F.col("_v"), lambda x: x == v))).alias("n"),
+                           v.alias("v")))), 1).getField("v")
+    return df.groupBy(*keys).agg(vals.alias("_v")).select(*keys, pick.alias(out))

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
-from ..operators.classify import adapt_classify, adaptation_votes, knn_classify
-from ..operators.neighbors import nearest
+from ..operators.classify import (adapt_classify, adaptation_votes, knn_classify,
+                                   neighbours_with_payload)
 from ..operators.prepare import fold_sides, holdout_sides
-from ..operators.vote import vote
+from ..operators.vote import vote_bounded
 from ..session import cut_lineage
 from ..spec import FeatureSpec
 from .model import CaseModel
@@ -53,21 +53,20 @@ def sweep(cases: DataFrame, spec: FeatureSpec, ks: Sequence[int] = KS,
     """``(radius, k, rno, mean_error)``: mean over folds of the per-fold error."""
     train, test = fold_sides(cases, spec.id, folds, seed)
     base = CaseModel.fit(train, spec, by=["fold"])
-    nb = cut_lineage(nearest(test, base, max(ks)))
-    truth = test.select("fold", F.col(spec.id).alias("query_id"), F.col(spec.label).alias("label"))
+    nb = cut_lineage(neighbours_with_payload(test, base, max(ks)))
     preds = None
     for radius in radii:
         m = base.with_rules(radius)
-        chosen = adaptation_votes(test, m, max(ks), max(rnos), neighbours=nb)
+        chosen = adaptation_votes(test, m, max(ks), max(rnos), neighbours=nb, keep_label=True)
         grid = (chosen.withColumn("k", _grid_col(ks, "base_rank"))
                 .withColumn("rno", _grid_col(rnos, "rule_rank")))
-        per_base = vote(grid, ["fold", "k", "rno", "query_id", "base_id"], "to_label", "target")
-        pred = vote(per_base, ["fold", "k", "rno", "query_id"], "target")
+        per_base = vote_bounded(grid, ["fold", "k", "rno", "query_id", "label", "base_id"],
+                                "to_label", "target")
+        pred = vote_bounded(per_base, ["fold", "k", "rno", "query_id", "label"], "target")
         pred = pred.withColumn("radius", F.lit(int(radius)))
         preds = pred if preds is None else preds.unionByName(pred)
     wrong = F.when(F.col("prediction") == F.col("label"), F.lit(0.0)).otherwise(F.lit(1.0))
-    per_fold = (preds.join(truth, ["fold", "query_id"])
-                .groupBy("radius", "k", "rno", "fold").agg(F.avg(wrong).alias("e")))
+    per_fold = preds.groupBy("radius", "k", "rno", "fold").agg(F.avg(wrong).alias("e"))
     return per_fold.groupBy("radius", "k", "rno").agg(F.round(F.avg("e"), 9).alias("mean_error"))
 
 

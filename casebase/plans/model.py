@@ -37,6 +37,8 @@ class CaseModel:
     rule_cases: DataFrame | None = None
     rule_joint: DataFrame | None = None
     rule_kernels: dict | None = None
+    n_cases: int | None = None
+    n_rules: int | None = None
 
     # ---------------------------------------------------------------- fit
     @classmethod
@@ -56,13 +58,13 @@ class CaseModel:
         vs = vdm(joint, by, dense=False)
         sig = sigma(cases, spec, by)
         kernels = build_kernels(spec, values, vs, sig, by)
-        model = cls(spec, by, cases, joint, values, vs, sig, kernels)
+        model = cls(spec, by, cases, joint, values, vs, sig, kernels, n_cases=cases.count())
         if radius:
             model = model.with_rules(radius, bidirectional)
         return model
 
     def with_rules(self, radius: int, bidirectional: bool = False) -> CaseModel:
-        nb = nearest_within(self, radius)
+        nb = nearest_within(self, radius, payload=True)
         rule_df = cut_lineage(R.rules(nb, self.cases, self.spec, self.by, bidirectional))
         return self._attach_rules(radius, rule_df)
 
@@ -76,7 +78,8 @@ class CaseModel:
         rk = build_kernels(R.rule_spec(spec), value_counts(rj, by), vdm(rj, by, dense=False),
                            self.sigma, by)
         return CaseModel(spec, by, self.cases, self.joint, self.values, self.vdm_sparse,
-                         self.sigma, self.kernels, radius, rule_df, rc, rj, rk)
+                         self.sigma, self.kernels, radius, rule_df, rc, rj, rk,
+                         n_cases=self.n_cases, n_rules=rule_df.count())
 
     # ---------------------------------------------------------- metric views
     def vdm(self) -> DataFrame:
@@ -113,7 +116,7 @@ class CaseModel:
         values = value_counts(joint, by)
         vs = vdm(joint, by, dense=False)
         model = cls(spec, by, cases, joint, values, vs, sig,
-                    build_kernels(spec, values, vs, sig, by))
+                    build_kernels(spec, values, vs, sig, by), n_cases=cases.count())
         if meta["radius"]:
             model = model._attach_rules(meta["radius"], spark.read.parquet(f"{path}/rules"))
         return model

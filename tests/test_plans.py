@@ -1,7 +1,10 @@
-"""Physical-plan checks: pruning, group limits, no cartesian products."""
+"""Physical-plan checks: pruning, group limits, no cartesian products, no joins back."""
+
+from pyspark.sql import functions as F
 
 from casebase import CaseModel
-from casebase.operators.classify import knn_classify
+from casebase.operators.classify import adapt_classify, knn_classify
+from casebase.operators.topk import blocked_topk
 from casebase.plans import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +20,25 @@ def test_knn_plan(spark):
     p = plan(knn_classify(test, m, 5))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "FlatMapCoGroupsInPandas" in p
-    assert "WindowGroupLimit" in p
+    # labels travel with the search: the only joins are inside the case-base scan
+    assert p.count("Join") == plan(test).count("Join") + plan(m.cases).count("Join")
+
+
+def test_multi_block_merge_uses_group_limit(spark):
+    spec, train, test = jobs.sides(spark, SF, "docs")
+    m = CaseModel.fit(train, spec)
+    left = test.select(F.col(spec.id).alias("query_id"), *spec.order)
+    right = m.cases.select(F.col(spec.id).alias("case_id"), *spec.order)
+    res = blocked_topk(left, right, left_key=["query_id"], right_key=["case_id"], k=5,
+                       kernels=m.kernels, right_block_rows=16)
+    assert "WindowGroupLimit" in plan(res)
+
+
+def test_adapt_plan_has_no_cartesian(spark):
+    spec, train, test = jobs.sides(spark, SF, "docs")
+    m = CaseModel.fit(train, spec, radius=3)
+    p = plan(adapt_classify(test, m, 5, 5))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_scan_prunes_text_column(spark):
