@@ -22,6 +22,8 @@ import pandas as pd
 
 # categorical values of a feature beyond this count use a dict lookup per block
 DENSE_CARDINALITY = 2048
+# largest (seen values x right rows) term table precomputed per block
+COLUMN_CELLS = 8_000_000
 
 
 @dataclass
@@ -47,6 +49,43 @@ class CatTable:
             table.dense = m
         return table
 
+    def codes(self, values: np.ndarray) -> np.ndarray:
+        """Index of every value among the seen values, -1 if never seen."""
+        if not hasattr(self, "_index"):
+            self._index = pd.Index(self.values)
+        if len(self.values) == 0:
+            return np.full(len(values), -1, dtype=np.int64)
+        return self._index.get_indexer(values)
+
+    def columns(self, rc: np.ndarray) -> np.ndarray | None:
+        """Per right block: terms of every seen value against every right row."""
+        if self.dense is None or len(self.values) * len(rc) > COLUMN_CELLS:
+            return None
+        m = self.dense[:, np.where(rc < 0, 0, rc)]
+        m[:, rc < 0] = 1.0
+        return m
+
+    def terms_coded(self, lv: np.ndarray, lc: np.ndarray, rv: np.ndarray,
+                    rc: np.ndarray, cols: np.ndarray | None = None) -> np.ndarray:
+        """Term matrix from precomputed codes (values only consulted if unseen)."""
+        lu, ru = lc < 0, rc < 0
+        if self.dense is None:
+            return self.terms(lv, rv)
+        if cols is not None:                     # contiguous row gather
+            t = cols[np.where(lu, 0, lc)]
+        else:
+            t = self.dense[np.ix_(np.where(lu, 0, lc), np.where(ru, 0, rc))]
+        if lu.any() or ru.any():
+            t[lu, :] = 1.0
+            t[:, ru] = 1.0
+            if lu.any() and ru.any():
+                both = np.concatenate([lv[lu], rv[ru]])
+                codes, _ = pd.factorize(both, use_na_sentinel=False)
+                a, b = codes[: lu.sum()], codes[lu.sum():]
+                li, ri = np.nonzero(lu)[0], np.nonzero(ru)[0]
+                t[np.ix_(li, ri)] = np.where(a[:, None] == b[None, :], 0.0, 1.0)
+        return t
+
     def terms(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         both = np.concatenate([left, right])
         inverse, local = pd.factorize(both, use_na_sentinel=False)  # local codes
@@ -88,15 +127,33 @@ class Kernel:
     cats: dict              # feature -> CatTable
     sigma: dict             # feature -> float | None
 
-    def distances(self, left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    def prepare(self, side: pd.DataFrame, right: bool = False) -> dict:
+        """Encode a block once: value codes for categorical, arrays for numeric.
+
+        For the right block also the per-value term rows, so each left chunk
+        only gathers rows.
+        """
+        out = {}
+        for f in self.order:
+            if self.kinds[f] == "cat":
+                v = side[f].to_numpy(dtype=object)
+                c = self.cats[f].codes(v)
+                out[f] = (v, c, self.cats[f].columns(c) if right else None)
+            else:
+                out[f] = side[f].to_numpy(dtype=np.float64)
+        return out
+
+    def distances(self, left: pd.DataFrame | dict, right: pd.DataFrame | dict) -> np.ndarray:
+        lp = left if isinstance(left, dict) else self.prepare(left)
+        rp = right if isinstance(right, dict) else self.prepare(right, right=True)
         acc = None
         for f in self.order:
             if self.kinds[f] == "cat":
-                t = self.cats[f].terms(left[f].to_numpy(dtype=object),
-                                       right[f].to_numpy(dtype=object))
+                (lv, lc, _), (rv, rc, cols) = lp[f], rp[f]
+                t = self.cats[f].terms_coded(lv, lc, rv, rc, cols)
             else:
-                a = left[f].to_numpy(dtype=np.float64)[:, None]
-                b = right[f].to_numpy(dtype=np.float64)[None, :]
+                a = lp[f][:, None]
+                b = rp[f][None, :]
                 s = self.sigma.get(f)
                 if s is None or not np.isfinite(s) or s == 0.0:
                     t = np.where(a == b, 0.0, 1.0)
@@ -111,7 +168,9 @@ class Kernel:
             else:
                 np.add(acc, t, out=acc)
         if acc is None:
-            acc = np.zeros((len(left), len(right)))
+            n_l = len(next(iter(lp.values()))) if lp else 0
+            n_r = len(next(iter(rp.values()))) if rp else 0
+            acc = np.zeros((n_l, n_r))
         return np.sqrt(acc, out=acc)
 
 
@@ -119,20 +178,33 @@ def topk_per_row(d: np.ndarray, k: int):
     """Per row of ``d``, the ``k`` smallest entries ordered by (value, column).
 
     Columns are expected in key order, so the column index is the tie-break.
-    Returns ``(rows, cols, values, rank)`` with rank starting at 1.
+    ``argpartition`` yields k candidates per row; only rows where more than k
+    entries reach the k-th value (ties at the boundary) are rescanned in full.
+    Infinite entries (excluded pairs) are dropped.  Returns
+    ``(rows, cols, values, rank)`` with rank starting at 1.
     """
     c, n = d.shape
     if c == 0 or n == 0:
         e = np.zeros(0, dtype=np.int64)
         return e, e, np.zeros(0), e
-    if n > k:
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        mask = d <= kth[:, None]
+    if n <= k:
+        rows = np.repeat(np.arange(c), n)
+        cols = np.tile(np.arange(n), c)
     else:
-        mask = np.ones(d.shape, dtype=bool)
-    mask &= np.isfinite(d)
-    rows, cols = np.nonzero(mask)
+        part = np.argpartition(d, k - 1, axis=1)[:, :k]
+        kth = np.take_along_axis(d, part, axis=1).max(axis=1)
+        tie = np.count_nonzero(d <= kth[:, None], axis=1) > k
+        keep_rows = ~tie
+        rows = np.repeat(np.nonzero(keep_rows)[0], k)
+        cols = part[keep_rows].ravel()
+        if tie.any():
+            tr = np.nonzero(tie)[0]
+            r2, c2 = np.nonzero(d[tr] <= kth[tr][:, None])
+            rows = np.concatenate([rows, tr[r2]])
+            cols = np.concatenate([cols, c2])
     vals = d[rows, cols]
+    fin = np.isfinite(vals)
+    rows, cols, vals = rows[fin], cols[fin], vals[fin]
     order = np.lexsort((cols, vals, rows))
     rows, cols, vals = rows[order], cols[order], vals[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from ..functions.kernels import topk_per_row
 from ..session import ship_package
 
-CHUNK_CELLS = 4_000_000
+CHUNK_CELLS = 1_000_000
 
 
 def _grid(n_left: int, n_right: int, left_block_rows: int, right_block_rows: int,
@@ -111,10 +111,11 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
         kernel = bk.value[tuple(key[i] for i in kb_idx)]
         rpdf = rpdf.sort_values(right_key, kind="mergesort").reset_index(drop=True)
         chunk = max(1, CHUNK_CELLS // len(rpdf))
+        renc = kernel.prepare(rpdf, right=True)  # right block encoded once per group
         parts = []
         for start in range(0, len(lpdf), chunk):
             lch = lpdf.iloc[start:start + chunk].reset_index(drop=True)
-            d = kernel.distances(lch, rpdf)
+            d = kernel.distances(kernel.prepare(lch), renc)
             if self_l is not None:
                 same = lch[self_l].to_numpy()[:, None] == rpdf[self_r].to_numpy()[None, :]
                 d = np.where(same, np.inf, d)
