@@ -210,3 +210,26 @@ def topk_per_row(d: np.ndarray, k: int):
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
     keep = rank < k
     return rows[keep], cols[keep], vals[keep], rank[keep] + 1
+
+
+def topk_weighted(d: np.ndarray, w: np.ndarray, k: int):
+    """Per row, every column up to the smallest distance whose cumulative weight
+    reaches ``k`` (all ties at that distance included).
+
+    Used on compressed blocks where a column is a profile standing for ``w``
+    cases: the selected profiles hold every case of the exact top-k.
+    Returns ``(rows, cols, values)``.
+    """
+    c, n = d.shape
+    if c == 0 or n == 0:
+        e = np.zeros(0, dtype=np.int64)
+        return e, e, np.zeros(0)
+    order = np.argsort(d, axis=1, kind="stable")
+    ds = np.take_along_axis(d, order, axis=1)
+    reach = np.cumsum(w[order], axis=1) >= k
+    pos = np.where(reach.any(axis=1), reach.argmax(axis=1), n - 1)
+    thr = ds[np.arange(c), pos]
+    rows, cols = np.nonzero(d <= thr[:, None])
+    vals = d[rows, cols]
+    fin = np.isfinite(vals)
+    return rows[fin], cols[fin], vals[fin]

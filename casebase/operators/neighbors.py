@@ -80,6 +80,9 @@ def nearest(queries: DataFrame, model, k: int, n_queries: int | None = None,
     """
     spec, by = model.spec, list(model.by)
     qp, cp = dict(query_payload or {}), dict(case_payload or {})
+    if getattr(model, "use_profiles", False):
+        from .compressed import nearest_profiles
+        return nearest_profiles(queries, model, k, qp, cp)
     res = blocked_topk(_side(queries, spec, by, "query_id", qp.values()),
                        _side(model.cases, spec, by, "case_id", cp.values()),
                        left_key=["query_id"], right_key=["case_id"], eq=by, kernel_by=by,
@@ -97,6 +100,9 @@ def nearest_within(model, radius: int, payload: bool = False) -> DataFrame:
     spec, by = model.spec, list(model.by)
     lp = _payload(spec, "from", "from_label") if payload else {}
     rp = _payload(spec, "to", "to_label") if payload else {}
+    if getattr(model, "use_profiles", False):
+        from .compressed import nearest_profiles
+        return nearest_profiles(None, model, radius, lp, rp, loo=True, left_is_cases=True)
     side = model.cases
     res = blocked_topk(_side(side, spec, by, "query_id", [spec.label]),
                        _side(side, spec, by, "case_id", [spec.label]),

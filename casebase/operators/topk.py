@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kernels import topk_per_row
+from ..functions.kernels import topk_per_row, topk_weighted
 from ..session import ship_package
 
 CHUNK_CELLS = 1_000_000
@@ -54,7 +54,7 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
                  left_block_rows: int = 4096, right_block_rows: int = 32768,
                  min_groups: int | None = None, n_left: int | None = None,
                  n_right: int | None = None, left_payload: dict | None = None,
-                 right_payload: dict | None = None) -> DataFrame:
+                 right_payload: dict | None = None, weight: str | None = None) -> DataFrame:
     """Top-``k`` right rows per left row, by ``(distance, right key)``.
 
     ``kernels`` maps a tuple of ``kernel_by`` values (a subset of ``eq``) to a
@@ -66,6 +66,11 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
     result row, so callers need no join back to either side.  Returns
     ``(eq.., left_key.., left payload.., right_key.., right payload.., distance,
     rank)``.
+
+    With ``weight`` (a right column), right rows are profiles standing for
+    that many cases: each left row keeps every profile up to the distance at
+    which the cumulative weight reaches ``k`` (see ``topk_weighted``); the
+    result is unranked and the caller expands and ranks the cases.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -119,7 +124,11 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
             if self_l is not None:
                 same = lch[self_l].to_numpy()[:, None] == rpdf[self_r].to_numpy()[None, :]
                 d = np.where(same, np.inf, d)
-            rows, cols, vals, rank = topk_per_row(d, k)
+            if weight is None:
+                rows, cols, vals, rank = topk_per_row(d, k)
+            else:
+                rows, cols, vals = topk_weighted(d, rpdf[weight].to_numpy(np.float64), k)
+                rank = np.zeros(len(rows), dtype=np.int32)
             part = {}
             for i, c in enumerate(eq):
                 part[c] = [key[i]] * len(rows)
@@ -139,7 +148,7 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
     winners = (L.groupBy(*eq, "_lb", "_rb")
                .cogroup(R.groupBy(*eq, "_lb", "_rb"))
                .applyInPandas(run, schema=out_schema))
-    if rb == 1:
+    if rb == 1 or weight is not None:
         # one right block: every left row met all right rows in a single group,
         # so the per-group ranking is already final (no merge shuffle)
         return winners

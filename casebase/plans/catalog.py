@@ -8,7 +8,8 @@ NAMES = [
     "class_counts_docs", "joint_counts_docs", "value_counts_docs", "joint_counts_line",
     "sigma_docs", "sigma_cust", "sigma_evt",
     "vdm_docs", "vdm_cust", "vdm_evt", "vdm_line", "value_profile_docs",
-    "knn_topk_docs", "knn_topk_cust", "knn_topk_evt", "knn_topk_emb",
+    "knn_topk_docs", "knn_topk_cust", "knn_topk_evt", "knn_topk_emb", "knn_topk_ord",
+    "loo_neighbors_ord", "knn_predict_ord", "adapt_predict_ord",
     "kth_distance_docs", "loo_neighbors_docs",
     "rules_docs", "rules_union_docs", "rule_class_counts_docs", "rule_pair_counts_docs",
     "rule_joint_counts_docs", "rule_vdm_docs", "antecedents_docs",

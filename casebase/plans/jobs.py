@@ -115,6 +115,11 @@ def _knn_topk(cb):
 
 knn_topk_docs, knn_topk_cust = _knn_topk("docs"), _knn_topk("cust")
 knn_topk_evt, knn_topk_emb = _knn_topk("evt"), _knn_topk("emb")
+knn_topk_ord = _knn_topk("ord")
+
+
+def loo_neighbors_ord(spark, sf):
+    return nearest_within(model(spark, sf, "ord"), RADIUS)
 
 
 def kth_distance_docs(spark, sf):
@@ -186,6 +191,7 @@ def _adapt_predict(cb):
 knn_predict_docs, knn_predict_cust = _knn_predict("docs"), _knn_predict("cust")
 knn_predict_evt, knn_predict_emb = _knn_predict("evt"), _knn_predict("emb")
 adapt_predict_docs, adapt_predict_cust = _adapt_predict("docs"), _adapt_predict("cust")
+knn_predict_ord, adapt_predict_ord = _knn_predict("ord"), _adapt_predict("ord")
 
 
 # ------------------------------------------------------------------ evaluation

@@ -39,12 +39,18 @@ class CaseModel:
     rule_kernels: dict | None = None
     n_cases: int | None = None
     n_rules: int | None = None
+    # search distinct feature profiles; None = automatic (all features categorical)
+    compress: bool | None = None
+
+    @property
+    def use_profiles(self) -> bool:
+        return (not self.spec.numeric) if self.compress is None else bool(self.compress)
 
     # ---------------------------------------------------------------- fit
     @classmethod
     def fit(cls, cases: DataFrame, spec: FeatureSpec, radius: int | None = None,
             by: Sequence[str] = (), bidirectional: bool = False,
-            persist: bool = True) -> CaseModel:
+            persist: bool = True, compress: bool | None = None) -> CaseModel:
         by = tuple(by)
         if persist:
             cases = cases.persist(StorageLevel.MEMORY_AND_DISK)
@@ -58,7 +64,8 @@ class CaseModel:
         vs = vdm(joint, by, dense=False)
         sig = sigma(cases, spec, by)
         kernels = build_kernels(spec, values, vs, sig, by)
-        model = cls(spec, by, cases, joint, values, vs, sig, kernels, n_cases=cases.count())
+        model = cls(spec, by, cases, joint, values, vs, sig, kernels, n_cases=cases.count(),
+                    compress=compress)
         if radius:
             model = model.with_rules(radius, bidirectional)
         return model
@@ -79,7 +86,7 @@ class CaseModel:
                            self.sigma, by)
         return CaseModel(spec, by, self.cases, self.joint, self.values, self.vdm_sparse,
                          self.sigma, self.kernels, radius, rule_df, rc, rj, rk,
-                         n_cases=self.n_cases, n_rules=rule_df.count())
+                         n_cases=self.n_cases, n_rules=rule_df.count(), compress=self.compress)
 
     # ---------------------------------------------------------- metric views
     def vdm(self) -> DataFrame:

@@ -30,13 +30,18 @@ _SOURCES = {
     "emb": ("SELECT vec_id AS id, label, " + ", ".join(
         f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(CB.EMB_DIMS))
         + " FROM embeddings"),
+    "ord": ("SELECT o_orderkey AS id, o_orderpriority AS label, "
+            "CAST(o_orderstatus AS VARCHAR) AS o_orderstatus, "
+            "CAST(year(o_orderdate) AS VARCHAR) AS o_year, "
+            "CAST(month(o_orderdate) AS VARCHAR) AS o_month FROM orders"),
     "line": ("SELECT CAST(0 AS BIGINT) AS id, l_returnflag AS label, "
              "CAST(l_linestatus AS VARCHAR) AS l_linestatus, "
              "CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_tax AS VARCHAR) AS l_tax, "
              "CAST(l_discount AS VARCHAR) AS l_discount FROM lineitem"),
 }
 
-_SPECS = {"docs": CB.DOCS, "cust": CB.CUST, "evt": CB.EVT, "emb": CB.EMB, "line": CB.LINE}
+_SPECS = {"docs": CB.DOCS, "cust": CB.CUST, "evt": CB.EVT, "emb": CB.EMB, "ord": CB.ORD,
+          "line": CB.LINE}
 
 
 def _rn(part: str, order: str) -> str:

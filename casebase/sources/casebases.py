@@ -10,6 +10,9 @@ holds exactly those) and returns ``(spec, cases)``.
 * ``evt``: ``events``; label ``event_type``; categorical hour of ``ts``;
   numeric ``value``.
 * ``emb``: ``embeddings``; label ``label``; 64 numeric dimensions.
+* ``ord``: ``orders``; label ``o_orderpriority``; categorical ``o_orderstatus``
+  and year and month of ``o_orderdate`` (all categorical: searched on
+  distinct profiles).
 * ``line``: ``lineitem`` for statistics only (no unique key); label
   ``l_returnflag``; categorical ``l_linestatus, l_linenumber, l_tax, l_discount``.
 """
@@ -32,6 +35,7 @@ DOCS = FeatureSpec("doc_id", "label", ("lang", "source"), ("n_chars",))
 CUST = FeatureSpec("c_custkey", "c_mktsegment", ("c_nationkey",), ("c_acctbal",))
 EVT = FeatureSpec("event_id", "event_type", ("hour",), ("value",))
 EMB = FeatureSpec("vec_id", "label", (), tuple(f"e{i}" for i in range(EMB_DIMS)))
+ORD = FeatureSpec("o_orderkey", "o_orderpriority", ("o_orderstatus", "o_year", "o_month"), ())
 LINE = FeatureSpec("l_rowkey", "l_returnflag",
                    ("l_linestatus", "l_linenumber", "l_tax", "l_discount"), ())
 
@@ -59,6 +63,13 @@ def emb(spark: SparkSession, sf_dir: str) -> tuple[FeatureSpec, DataFrame]:
     return EMB, to_cases(e.select("vec_id", "label", *dims), EMB)
 
 
+def ord_(spark: SparkSession, sf_dir: str) -> tuple[FeatureSpec, DataFrame]:
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", "o_orderstatus",
+        F.year("o_orderdate").alias("o_year"), F.month("o_orderdate").alias("o_month"))
+    return ORD, to_cases(o, ORD)
+
+
 def line(spark: SparkSession, sf_dir: str) -> tuple[FeatureSpec, DataFrame]:
     li = table(spark, sf_dir, "lineitem").select(
         F.lit(0).cast("long").alias("l_rowkey"), "l_returnflag", "l_linestatus",
@@ -66,4 +77,4 @@ def line(spark: SparkSession, sf_dir: str) -> tuple[FeatureSpec, DataFrame]:
     return LINE, to_cases(li, LINE)
 
 
-CASEBASES = {"docs": docs, "cust": cust, "evt": evt, "emb": emb, "line": line}
+CASEBASES = {"docs": docs, "cust": cust, "evt": evt, "emb": emb, "ord": ord_, "line": line}

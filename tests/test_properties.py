@@ -83,3 +83,15 @@ def test_fewer_candidates_than_k(spark, micro):
     spec = FeatureSpec("id", "label", ("f1", "f2"), ("f3",))
     m = CaseModel.fit(micro[0].limit(3), spec)
     assert nearest(micro[1], m, 10).count() == 3 * 3
+
+
+def test_profile_search_equals_plain_search(spark):
+    """Compressed (profile) search returns exactly the plain search's rows."""
+    from casebase.operators.classify import adapt_classify
+    spec, train, test = jobs.sides(spark, SF, "ord")
+    plain = CaseModel.fit(train, spec, radius=3, compress=False)
+    prof = CaseModel.fit(train, spec, radius=3, compress=True)
+    for f in (lambda m: nearest(test, m, 5), lambda m: nearest_within(m, 3),
+              lambda m: m.rules, lambda m: adapt_classify(test, m, 5, 5)):
+        assert sorted(tuple(r) for r in f(plain).collect()) == \
+            sorted(tuple(r) for r in f(prof).collect())
