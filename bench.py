@@ -6,7 +6,8 @@ Each stage is forced with a ``noop`` write so the whole plan executes without
 collecting results.  Stages: VDM fit, kNN search + vote, rule fit
 (leave-self-out search, rules, rule VDM), ensemble-of-adaptations classify
 with metrics, a 10-repetition kNN hold-out, and kNN on the events case base
-(the largest search: every query against 70% of the events table).
+(the largest search: every query against 70% of the events table), and the
+orders case base, all categorical, searched on distinct profiles.
 """
 
 from __future__ import annotations
@@ -65,6 +66,14 @@ def main() -> None:
     em = timed("vdm_fit_evt", lambda: CaseModel.fit(etrain, espec))
     timed("knn_classify_evt", lambda: run(knn_classify(etest, em, jobs.K)))
 
+    ospec, otrain, otest = jobs.sides(spark, sf_dir, "ord")
+    info["ord_train"], info["ord_test"] = otrain.count(), otest.count()
+    om = timed("vdm_fit_ord", lambda: CaseModel.fit(otrain, ospec))
+    timed("knn_classify_ord_profiles", lambda: run(knn_classify(otest, om, jobs.K)))
+    omr = timed("rule_fit_ord_profiles", lambda: om.with_rules(jobs.RADIUS))
+    timed("adapt_classify_ord",
+          lambda: run(E.metrics(adapt_classify(otest, omr, jobs.K, jobs.RNO))))
+
     total = round(sum(times.values()), 3)
     pairs = info["evt_train"] * info["evt_test"]
     print(json.dumps({

@@ -198,8 +198,15 @@ def topk_per_row(d: np.ndarray, k: int):
         rows = np.repeat(np.nonzero(keep_rows)[0], k)
         cols = part[keep_rows].ravel()
         if tie.any():
+            # rows with more than k entries at the k-th value: everything below
+            # it, then the first (smallest-key) columns at it, k per row at most
             tr = np.nonzero(tie)[0]
-            r2, c2 = np.nonzero(d[tr] <= kth[tr][:, None])
+            sub, kv = d[tr], kth[tr][:, None]
+            lt = sub < kv
+            eqm = sub == kv
+            need = k - np.count_nonzero(lt, axis=1)
+            take = eqm & (np.cumsum(eqm, axis=1, dtype=np.int32) <= need[:, None])
+            r2, c2 = np.nonzero(lt | take)
             rows = np.concatenate([rows, tr[r2]])
             cols = np.concatenate([cols, c2])
     vals = d[rows, cols]

@@ -64,7 +64,8 @@ def adaptation_votes(queries: DataFrame, model, k: int, rno: int,
     ante = R.antecedents_from(nb, spec, by, keep)
     # at most k antecedents per query; the rule table is materialised at fit
     return R.nearest_rules(ante, model.rule_cases, spec, model.rule_kernels, rno, by,
-                           n_ante=n_queries * k, n_rules=model.n_rules, keep=keep)
+                           n_ante=n_queries * k, n_rules=model.n_rules, keep=keep,
+                           use_profiles=getattr(model, "use_profiles", False))
 
 
 def adapt_classify(queries: DataFrame, model, k: int, rno: int,

@@ -1,70 +1,76 @@
-"""Exact neighbour search over distinct feature profiles.
+"""Exact top-k search over distinct feature profiles.
 
-Cases with identical feature vectors are at identical distances from every
+Rows with identical feature vectors are at identical distances from every
 query.  On categorical case bases the number of distinct vectors is bounded
-by the product of the feature arities, not by the number of cases, so the
+by the product of the feature arities, not by the number of rows, so the
 search runs on profiles:
 
-1. every training profile keeps its ``k`` smallest case ids (``k + 1`` when
-   the query is itself a training case) - a ``row_number`` group limit that
-   Spark applies partially before the shuffle, so a profile holding a third of
-   all cases is cut to ``k`` rows in every map task;
-2. distinct query profiles are searched against training profiles with a
+1. every right profile keeps its ``k`` smallest right keys - a ``row_number``
+   group limit that Spark applies partially before the shuffle, so a profile
+   holding a third of all rows is cut to ``k`` rows in every map task;
+2. distinct left profiles are searched against right profiles with a
    count-weighted selection: all profiles up to the distance where the kept
-   cases reach ``k``, ties included;
-3. the selected profiles are expanded to their kept ids and ranked by
-   ``(distance, case_id)``; queries join their profile's ranking.
+   rows reach ``k``, ties included (``topk_weighted``);
+3. the selected profiles are expanded to their kept keys and ranked by
+   ``(distance, right key)``; left rows join their profile's ranking.
 
-The result is identical, row for row, to the plain search.
+The result is identical, row for row, to the plain blocked search; it is used
+for case neighbours (K1, K2) and rule retrieval (K7) when every feature is
+categorical.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .topk import blocked_topk
 
 
-def nearest_profiles(queries: DataFrame, model, k: int, query_payload: dict | None = None,
-                     case_payload: dict | None = None, loo: bool = False,
-                     left_is_cases: bool = False) -> DataFrame:
-    """Same output as ``nearest`` / ``nearest_within`` (``loo=True``)."""
-    spec, by = model.spec, list(model.by)
-    feats = list(spec.order)
-    kk = k + 1 if loo else k
-    qp, cp = dict(query_payload or {}), dict(case_payload or {})
+def profile_topk(left: DataFrame, right: DataFrame, *, feats: Sequence[str],
+                 left_key: Sequence[str], right_key: Sequence[str], k: int, kernels,
+                 eq: Sequence[str] = (), kernel_by: Sequence[str] = (),
+                 left_payload: dict | None = None, right_payload: dict | None = None,
+                 exclude_self: tuple[str, str] | None = None) -> DataFrame:
+    """Same contract as ``blocked_topk``: ``(eq.., left_key.., left payload..,
+    right_key.., right payload.., distance, rank)``."""
+    feats, lk, rk, eq = list(feats), list(left_key), list(right_key), list(eq)
+    lp, rp = dict(left_payload or {}), dict(right_payload or {})
+    kk = k + 1 if exclude_self else k
 
-    cases = model.cases.select(*by, F.col(spec.id).alias("case_id"), *feats,
-                               *[F.col(c).alias(f"_cp_{o}") for o, c in cp.items()])
-    w = Window.partitionBy(*by, *feats).orderBy("case_id")
-    kept = cases.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= kk)
-    prof = (kept.groupBy(*by, *feats)
-            .agg(F.min("case_id").alias("_pmin"), F.count(F.lit(1)).alias("_w"),
+    r = right.select(*eq, *rk, *feats, *[F.col(c).alias(f"_rp_{o}") for o, c in rp.items()])
+    w = Window.partitionBy(*eq, *feats).orderBy(*rk)
+    kept = r.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= kk)
+    prof = (kept.groupBy(*eq, *feats)
+            .agg(F.min(F.struct(*rk)).alias("_pk"), F.count(F.lit(1)).alias("_w"),
                  # at most kk entries per profile (group limit above)
-                 F.collect_list(F.struct("case_id", *[f"_cp_{o}" for o in cp])).alias("_ids")))
+                 F.collect_list(F.struct(*rk, *[f"_rp_{o}" for o in rp])).alias("_ids"))
+            .select(*eq, *feats, "_w", "_ids", *[F.col(f"_pk.{c}").alias(f"_pk_{c}") for c in rk]))
+    pkeys = [f"_pk_{c}" for c in rk]
 
-    src = model.cases if left_is_cases else queries
-    q = src.select(*by, F.col(spec.id).alias("query_id"), *feats,
-                   *[F.col(c).alias(f"_qp_{o}") for o, c in qp.items()])
-    qprof = q.groupBy(*by, *feats).agg(F.min("query_id").alias("_qmin"))
+    lsel = left.select(*eq, *lk, *feats, *[F.col(c).alias(f"_lp_{o}") for o, c in lp.items()])
+    lprof = (lsel.groupBy(*eq, *feats).agg(F.min(F.struct(*lk)).alias("_qk"))
+             .select(*eq, *feats, *[F.col(f"_qk.{c}").alias(f"_qk_{c}") for c in lk]))
+    qkeys = [f"_qk_{c}" for c in lk]
 
-    sel = blocked_topk(qprof, prof.select(*by, "_pmin", "_w", *feats),
-                       left_key=["_qmin"], right_key=["_pmin"], eq=by, kernel_by=by, k=kk,
-                       kernels=model.kernels, weight="_w")
-    cand = (sel.join(prof.select(*by, "_pmin", "_ids"), [*by, "_pmin"])
-            .select(*by, "_qmin", "distance", F.explode("_ids").alias("_c"))
-            .select(*by, "_qmin", "distance", "_c.*"))
-    wr = Window.partitionBy(*by, "_qmin").orderBy("distance", "case_id")
+    sel = blocked_topk(lprof, prof.select(*eq, *pkeys, "_w", *feats), left_key=qkeys,
+                       right_key=pkeys, eq=eq, kernel_by=kernel_by, k=kk, kernels=kernels,
+                       weight="_w")
+    cand = (sel.join(prof.select(*eq, *pkeys, "_ids"), [*eq, *pkeys])
+            .select(*eq, *qkeys, "distance", F.explode("_ids").alias("_c"))
+            .select(*eq, *qkeys, "distance", "_c.*"))
+    wr = Window.partitionBy(*eq, *qkeys).orderBy("distance", *rk)
     top = cand.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= kk)
 
-    members = q.join(qprof, [*by, *feats]).select(
-        *by, "query_id", "_qmin", *[f"_qp_{o}" for o in qp])
-    out = members.join(top, [*by, "_qmin"])
-    if loo:
-        out = out.where(F.col("case_id") != F.col("query_id"))
-        wq = Window.partitionBy(*by, "query_id").orderBy("distance", "case_id")
+    members = lsel.join(lprof, [*eq, *feats]).select(*eq, *lk, *qkeys,
+                                                    *[f"_lp_{o}" for o in lp])
+    out = members.join(top, [*eq, *qkeys])
+    if exclude_self:
+        a, b = exclude_self
+        out = out.where(F.col(a) != F.col(b))
+        wq = Window.partitionBy(*eq, *lk).orderBy("distance", *rk)
         out = out.withColumn("rank", F.row_number().over(wq)).where(F.col("rank") <= k)
-    return out.select(*by, "query_id", "rank", "case_id", "distance",
-                      *[F.col(f"_qp_{o}").alias(o) for o in qp],
-                      *[F.col(f"_cp_{o}").alias(o) for o in cp])
+    return out.select(*eq, *lk, *[F.col(f"_lp_{o}").alias(o) for o in lp], *rk,
+                      *[F.col(f"_rp_{o}").alias(o) for o in rp], "distance", "rank")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import CatTable, Kernel
 from ..spec import FeatureSpec
+from .compressed import profile_topk
 from .topk import blocked_topk
 
 # upper bound for the metric tables shipped to executors (rows of sparse VDM)
@@ -80,14 +81,16 @@ def nearest(queries: DataFrame, model, k: int, n_queries: int | None = None,
     """
     spec, by = model.spec, list(model.by)
     qp, cp = dict(query_payload or {}), dict(case_payload or {})
+    left = _side(queries, spec, by, "query_id", qp.values())
+    right = _side(model.cases, spec, by, "case_id", cp.values())
     if getattr(model, "use_profiles", False):
-        from .compressed import nearest_profiles
-        return nearest_profiles(queries, model, k, qp, cp)
-    res = blocked_topk(_side(queries, spec, by, "query_id", qp.values()),
-                       _side(model.cases, spec, by, "case_id", cp.values()),
-                       left_key=["query_id"], right_key=["case_id"], eq=by, kernel_by=by,
-                       k=k, kernels=model.kernels, n_left=n_queries, n_right=model.n_cases,
-                       left_payload=qp, right_payload=cp)
+        res = profile_topk(left, right, feats=spec.order, left_key=["query_id"],
+                           right_key=["case_id"], eq=by, kernel_by=by, k=k,
+                           kernels=model.kernels, left_payload=qp, right_payload=cp)
+    else:
+        res = blocked_topk(left, right, left_key=["query_id"], right_key=["case_id"], eq=by,
+                           kernel_by=by, k=k, kernels=model.kernels, n_left=n_queries,
+                           n_right=model.n_cases, left_payload=qp, right_payload=cp)
     return res.select(*by, "query_id", "rank", "case_id", "distance", *qp, *cp)
 
 
@@ -100,16 +103,18 @@ def nearest_within(model, radius: int, payload: bool = False) -> DataFrame:
     spec, by = model.spec, list(model.by)
     lp = _payload(spec, "from", "from_label") if payload else {}
     rp = _payload(spec, "to", "to_label") if payload else {}
+    left = _side(model.cases, spec, by, "query_id", [spec.label])
+    right = _side(model.cases, spec, by, "case_id", [spec.label])
     if getattr(model, "use_profiles", False):
-        from .compressed import nearest_profiles
-        return nearest_profiles(None, model, radius, lp, rp, loo=True, left_is_cases=True)
-    side = model.cases
-    res = blocked_topk(_side(side, spec, by, "query_id", [spec.label]),
-                       _side(side, spec, by, "case_id", [spec.label]),
-                       left_key=["query_id"], right_key=["case_id"], eq=by, kernel_by=by,
-                       k=radius, kernels=model.kernels, exclude_self=("query_id", "case_id"),
-                       n_left=model.n_cases, n_right=model.n_cases,
-                       left_payload=lp, right_payload=rp)
+        res = profile_topk(left, right, feats=spec.order, left_key=["query_id"],
+                           right_key=["case_id"], eq=by, kernel_by=by, k=radius,
+                           kernels=model.kernels, left_payload=lp, right_payload=rp,
+                           exclude_self=("query_id", "case_id"))
+    else:
+        res = blocked_topk(left, right, left_key=["query_id"], right_key=["case_id"], eq=by,
+                           kernel_by=by, k=radius, kernels=model.kernels,
+                           exclude_self=("query_id", "case_id"), n_left=model.n_cases,
+                           n_right=model.n_cases, left_payload=lp, right_payload=rp)
     return res.select(*by, "query_id", "rank", "case_id", "distance", *lp, *rp)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..spec import FeatureSpec
 from .stats import class_counts, joint_counts, value_counts
+from .compressed import profile_topk
 from .topk import blocked_topk
 from .vdm import vdm
 
@@ -153,7 +154,8 @@ def antecedents_from(nb: DataFrame, spec: FeatureSpec, by: Sequence[str] = (),
 
 def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, kernels, rno: int,
                   by: Sequence[str] = (), n_ante: int | None = None,
-                  n_rules: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+                  n_rules: int | None = None, keep: Sequence[str] = (),
+                  use_profiles: bool = False) -> DataFrame:
     """J3 + D2 + K7: the ``rno`` closest rules with ``from_label = base_label``.
 
     Ordered by ``(rule distance, src_id, dst_id, direction)``.  The label is an
@@ -168,10 +170,18 @@ def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, kernels
                        "base_rank", *keep, *spec.order)
     right = rcases.select(*by, F.col("from_label").alias("_cls"), *RULE_KEY, "to_label",
                           *spec.order)
-    top = blocked_topk(left, right, left_key=["query_id", "base_id", "base_rank"],
-                       right_key=RULE_KEY, eq=[*by, "_cls"], kernel_by=by, k=rno, kernels=kernels,
-                       n_left=n_ante, n_right=n_rules, left_payload={c: c for c in keep},
-                       right_payload={"to_label": "to_label"})
+    if use_profiles:
+        top = profile_topk(left, right, feats=spec.order,
+                           left_key=["query_id", "base_id", "base_rank"], right_key=RULE_KEY,
+                           eq=[*by, "_cls"], kernel_by=by, k=rno, kernels=kernels,
+                           left_payload={c: c for c in keep},
+                           right_payload={"to_label": "to_label"})
+    else:
+        top = blocked_topk(left, right, left_key=["query_id", "base_id", "base_rank"],
+                           right_key=RULE_KEY, eq=[*by, "_cls"], kernel_by=by, k=rno,
+                           kernels=kernels, n_left=n_ante, n_right=n_rules,
+                           left_payload={c: c for c in keep},
+                           right_payload={"to_label": "to_label"})
     return top.select(*by, "query_id", *keep, "base_id", "base_rank", *RULE_KEY,
                       F.col("rank").alias("rule_rank"), F.col("distance").alias("rule_distance"),
                       "to_label")

@@ -37,6 +37,8 @@ from ..functions.kernels import topk_per_row, topk_weighted
 from ..session import ship_package
 
 CHUNK_CELLS = 1_000_000
+# bound on distinct equality keys (classes x repetitions) whose grid is planned
+MAX_KEYS = 100_000
 
 
 def _grid(n_left: int, n_right: int, left_block_rows: int, right_block_rows: int,
@@ -84,14 +86,38 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
         min_groups = 2 * sc.defaultParallelism
     n_left = left.count() if n_left is None else n_left
     n_right = right.count() if n_right is None else n_right
-    lb, rb = _grid(n_left, n_right, left_block_rows, right_block_rows, min_groups)
-
-    lblock = F.pmod(F.xxhash64(*[F.col(c) for c in left_key]), F.lit(lb)).cast("int")
-    rblock = F.pmod(F.xxhash64(*[F.col(c) for c in right_key]), F.lit(rb)).cast("int")
-    L = left.withColumn("_lb", lblock).withColumn(
-        "_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))) if rb > 1 else F.lit(0))
-    R = right.withColumn("_rb", rblock).withColumn(
-        "_lb", F.explode(F.sequence(F.lit(0), F.lit(lb - 1))) if lb > 1 else F.lit(0))
+    lhash = F.xxhash64(*[F.col(c) for c in left_key])
+    rhash = F.xxhash64(*[F.col(c) for c in right_key])
+    if eq:
+        # the equality keys already split the work: size the grid per key from
+        # the right side's key counts (one row per key, collected with a bound)
+        counts = right.groupBy(*eq).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_KEYS + 1).collect()
+        if len(counts) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} equality keys")
+        total_r = max(1, sum(r["_n"] for r in counts))
+        plan_rows = []
+        for r in counts:
+            share = r["_n"] / total_r
+            lb_e, rb_e = _grid(max(1, round(n_left * share)), r["_n"], left_block_rows,
+                               right_block_rows, max(1, round(min_groups * share)))
+            plan_rows.append((*[r[c] for c in eq], lb_e, rb_e))
+        grid_schema = T.StructType([right.schema[c] for c in eq]
+                                   + [T.StructField("_lbn", T.IntegerType()),
+                                      T.StructField("_rbn", T.IntegerType())])
+        grid = F.broadcast(spark.createDataFrame(plan_rows, grid_schema))
+        rb = max((x[-1] for x in plan_rows), default=1)
+        L = left.join(grid, on=eq)
+        R = right.join(grid, on=eq)
+        L = L.withColumn("_lb", F.pmod(lhash, F.col("_lbn")).cast("int")).withColumn(
+            "_rb", F.explode(F.sequence(F.lit(0), F.col("_rbn") - 1))).drop("_lbn", "_rbn")
+        R = R.withColumn("_rb", F.pmod(rhash, F.col("_rbn")).cast("int")).withColumn(
+            "_lb", F.explode(F.sequence(F.lit(0), F.col("_lbn") - 1))).drop("_lbn", "_rbn")
+    else:
+        lb, rb = _grid(n_left, n_right, left_block_rows, right_block_rows, min_groups)
+        L = left.withColumn("_lb", F.pmod(lhash, F.lit(lb)).cast("int")).withColumn(
+            "_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))) if rb > 1 else F.lit(0))
+        R = right.withColumn("_rb", F.pmod(rhash, F.lit(rb)).cast("int")).withColumn(
+            "_lb", F.explode(F.sequence(F.lit(0), F.lit(lb - 1))) if lb > 1 else F.lit(0))
     # fresh attributes on both sides: a self search co-groups one lineage with itself
     L = L.select(*[F.col(c).alias(c) for c in L.columns])
     R = R.select(*[F.col(c).alias(c) for c in R.columns])
