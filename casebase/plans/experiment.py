@@ -31,17 +31,46 @@ RNOS = (1, 2, 3, 5, 10)
 RADII = (5, 10, 20)
 
 
+METHODS = ("knn", "adapt", "nb", "lr", "rf")
+
+
 def holdout(cases: DataFrame, spec: FeatureSpec, method: str, reps: int = 10, k: int = 5,
             rno: int = 5, radius: int = 3, fraction: float = 0.7) -> DataFrame:
-    """Metrics per repetition for ``knn`` or ``adapt`` (one job for all reps)."""
-    if method not in ("knn", "adapt"):
-        raise ValueError(f"unknown method {method!r}: expected 'knn' or 'adapt'")
+    """Metrics per repetition.
+
+    ``knn``/``adapt`` run all repetitions in one job (``rep`` is a key);
+    the library learners (``nb``, ``lr``, ``rf``) fit one model per
+    repetition and the predictions are unioned before one metrics pass.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}: expected one of {METHODS}")
+    if method in ("nb", "lr", "rf"):
+        return _holdout_baseline(cases, spec, method, reps, fraction)
     train, test = holdout_sides(cases, spec.id, reps, fraction)
     m = CaseModel.fit(train, spec, radius=radius if method == "adapt" else None, by=["rep"])
     pred = knn_classify(test, m, k) if method == "knn" else adapt_classify(test, m, k, rno)
     return E.metrics(pred, ["rep"]).withColumn("method", F.lit(method))
 
 
+def _holdout_baseline(cases: DataFrame, spec: FeatureSpec, method: str, reps: int,
+                      fraction: float) -> DataFrame:
+    from ..functions.splits import is_train
+    from . import baselines as B
+    preds = None
+    for rep in range(reps):
+        t = is_train(spec.id, rep, fraction)
+        train, test = cases.where(t), cases.where(~t)
+        if method == "nb":
+            p = B.naive_bayes(train, test, spec)
+        elif method == "lr":
+            p = B.logistic(train, test, spec)
+        else:
+            p = B.random_forest_cv(train, test, spec)[0]
+        p = p.withColumn("rep", F.lit(rep))
+        preds = p if preds is None else preds.unionByName(p)
+    return E.metrics(preds, ["rep"]).withColumn("method", F.lit(method))
+
+
 def _grid_col(values: Sequence[int], rank: str):
     arr = F.array(*[F.lit(int(v)) for v in sorted(values)])
     return F.explode(F.filter(arr, lambda x: x >= F.col(rank)))

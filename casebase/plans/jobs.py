@@ -237,6 +237,7 @@ def _holdout(cb, method):
 
 holdout_knn_docs = _holdout("docs", "knn")
 holdout_adapt_docs = _holdout("docs", "adapt")
+holdout_nb_docs = _holdout("docs", "nb")
 
 
 def full_classify_docs(spark, sf) -> DataFrame:
