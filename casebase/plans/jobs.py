@@ -151,9 +151,12 @@ def rule_pair_counts_docs(spark, sf):
 
 
 def rule_joint_counts_docs(spark, sf):
-    rj = model(spark, sf, "docs", RADIUS).rule_joint
-    return rj.select("feature", *R.decode_pair("value", "from_value", "to_value"),
-                     *R.decode_pair("label", "from_label", "to_label"), "n")
+    m = model(spark, sf, "docs", RADIUS)
+    typ = m.cases.schema[m.spec.label].dataType
+    a, b = R.decode_pair("label", "from_label", "to_label")
+    return m.rule_joint.select("feature", *R.decode_pair("value", "from_value", "to_value"),
+                               a.cast(typ).alias("from_label"), b.cast(typ).alias("to_label"),
+                               "n")
 
 
 def rule_vdm_docs(spark, sf):

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
+_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 TABLES = ["customer", "events", "documents", "embeddings", "labels", "lineitem", "orders"]
 
 
@@ -36,6 +37,9 @@ def test_job_matches_oracle(spark, con, name):
     if not os.path.exists(SF):
         pytest.skip("no test data")
     df = E.queries()[name](spark, SF)
+    types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    for f in df.schema.fields:
+        assert _DUCK.get(f.dataType.simpleString()) == types.get(f.name), f.name
     rel = con.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in rel.description]
     assert sorted(df.columns) == sorted(ocols)
