@@ -95,3 +95,24 @@ def test_profile_search_equals_plain_search(spark):
               lambda m: m.rules, lambda m: adapt_classify(test, m, 5, 5)):
         assert sorted(tuple(r) for r in f(plain).collect()) == \
             sorted(tuple(r) for r in f(prof).collect())
+
+
+def test_one_nn_returns_own_label_on_distinct_rows(spark):
+    """Classifying the training rows themselves with k=1 returns their labels
+    when no two training rows share a feature vector (own distance is 0)."""
+    from casebase.operators.classify import knn_classify
+    spec, train, _ = jobs.sides(spark, SF, "cust")
+    m = CaseModel.fit(train, spec)
+    rows = knn_classify(train, m, 1).collect()
+    assert rows and all(r.label == r.prediction for r in rows)
+
+
+def test_weighted_recall_equals_accuracy(spark):
+    from casebase.operators import evaluate as E
+    from casebase.operators.classify import knn_classify
+    spec, train, test = jobs.sides(spark, SF, "docs")
+    pred = knn_classify(test, CaseModel.fit(train, spec), 5)
+    m = E.metrics(pred).collect()[0]
+    acc = sum(r.label == r.prediction for r in pred.collect()) / m.n_test
+    assert m.weighted_recall == round(acc, 9) == m.weighted_tpr
+    assert m.error_rate == round(1 - acc, 9)
