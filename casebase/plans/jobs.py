@@ -15,7 +15,7 @@ from ..operators import evaluate as E
 from ..operators import rules as R
 from ..operators.classify import adapt_classify, adaptation_votes, knn_classify
 from ..operators.neighbors import kth_distance, nearest, nearest_within
-from ..operators.prepare import holdout_sides, split
+from ..operators.prepare import split
 from ..operators.stats import class_counts, joint_counts, sigma, value_counts
 from ..operators.vdm import value_profile, vdm
 from ..sources import casebases as CB
