@@ -116,3 +116,21 @@ def test_weighted_recall_equals_accuracy(spark):
     acc = sum(r.label == r.prediction for r in pred.collect()) / m.n_test
     assert m.weighted_recall == round(acc, 9) == m.weighted_tpr
     assert m.error_rate == round(1 - acc, 9)
+
+
+def test_repetition_key_equals_separate_runs(spark):
+    """Hold-out with rep as a key gives, for every rep, the single-split result."""
+    from casebase.functions.splits import is_train
+    from casebase.operators import evaluate as E
+    from casebase.operators.classify import adapt_classify
+    from casebase.plans.experiment import holdout
+    from casebase.sources import casebases as CB
+    spec, cases = CB.docs(spark, SF)
+    keyed = {r.rep: r for r in holdout(cases, spec, "adapt", reps=3).collect()}
+    for rep in range(3):
+        t = is_train(spec.id, rep)
+        m = CaseModel.fit(cases.where(t), spec, radius=3)
+        single = E.metrics(adapt_classify(cases.where(~t), m, 5, 5)).collect()[0]
+        got = keyed[rep]
+        assert (got.n_test, got.n_errors, got.weighted_f1) == \
+            (single.n_test, single.n_errors, single.weighted_f1)
