@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -79,6 +80,8 @@ def random_forest_cv(train: DataFrame, test: DataFrame, spec: FeatureSpec, grid:
     Returns ``(predictions, report)``; candidate fits run ``parallelism`` at a time.
     """
     tr, te, labels = _prepare(train, test, spec)
+    # every fold and grid point re-reads the training vectors: materialise once
+    tr = tr.select("label_idx", "features").persist(StorageLevel.MEMORY_AND_DISK)
     rf = RandomForestClassifier(labelCol="label_idx", featuresCol="features", seed=seed,
                                 featureSubsetStrategy="auto")
     maps = _rf_grid(rf, grid)

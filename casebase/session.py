@@ -62,7 +62,9 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``casebase`` importable in Python workers (``addPyFile`` of a zip).
 
-    Needed by the Arrow-batched task functions; done once per SparkContext.
+    Needed by the Arrow-batched task functions; done once per SparkContext,
+    and skipped when the application already ships the package
+    (``spark-submit --py-files``), as on a cluster.
     """
     import zipfile
 
@@ -70,6 +72,10 @@ def ship_package(spark: SparkSession) -> None:
     ident = sc.applicationId
     if ident in _SHIPPED:
         return
+    shipped = sc.getConf().get("spark.submit.pyFiles", "") or ""
+    if "casebase" in shipped:         # already distributed by spark-submit --py-files
+        _SHIPPED.add(ident)
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="casebase-py-"), "casebase.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
