@@ -36,7 +36,8 @@ class CatTable:
 
     @classmethod
     def build(cls, values, pairs: dict) -> CatTable:
-        vals = np.array(sorted(values), dtype=object)
+        # NULL is never a seen value: like SQL, it is at 1.0 from everything
+        vals = np.array(sorted(v for v in values if v is not None), dtype=object)
         table = cls(vals, pairs)
         n = len(vals)
         if n <= DENSE_CARDINALITY:
@@ -80,10 +81,11 @@ class CatTable:
             t[:, ru] = 1.0
             if lu.any() and ru.any():
                 both = np.concatenate([lv[lu], rv[ru]])
-                codes, _ = pd.factorize(both, use_na_sentinel=False)
+                codes, _ = pd.factorize(both)          # NULL -> -1, equal to nothing
                 a, b = codes[: lu.sum()], codes[lu.sum():]
                 li, ri = np.nonzero(lu)[0], np.nonzero(ru)[0]
-                t[np.ix_(li, ri)] = np.where(a[:, None] == b[None, :], 0.0, 1.0)
+                same = (a[:, None] == b[None, :]) & (a[:, None] >= 0)
+                t[np.ix_(li, ri)] = np.where(same, 0.0, 1.0)
         return t
 
     def terms(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -115,6 +117,8 @@ class CatTable:
         m[unseen, :] = 1.0
         m[:, unseen] = 1.0
         np.fill_diagonal(m, 0.0)
+        isnull = np.array([v is None or v != v for v in local], dtype=bool)
+        m[np.ix_(isnull, isnull)] = 1.0           # NULL is not equal to NULL
         return m[np.ix_(li, ri)]
 
 

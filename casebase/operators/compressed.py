@@ -64,8 +64,12 @@ def profile_topk(left: DataFrame, right: DataFrame, *, feats: Sequence[str],
     wr = Window.partitionBy(*eq, *qkeys).orderBy("distance", *rk)
     top = cand.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= kk)
 
-    members = lsel.join(lprof, [*eq, *feats]).select(*eq, *lk, *qkeys,
-                                                    *[f"_lp_{o}" for o in lp])
+    # null-safe: a NULL categorical value is a value of its own, as in the plain search
+    ml, mr = lsel.alias("_m"), lprof.alias("_p")
+    cond = [F.col(f"_m.{c}").eqNullSafe(F.col(f"_p.{c}")) for c in [*eq, *feats]]
+    members = ml.join(mr, cond).select(*[F.col(f"_m.{c}") for c in [*eq, *lk]],
+                                       *[F.col(f"_p.{c}") for c in qkeys],
+                                       *[F.col(f"_m._lp_{o}") for o in lp])
     out = members.join(top, [*eq, *qkeys])
     if exclude_self:
         a, b = exclude_self

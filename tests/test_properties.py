@@ -134,3 +134,24 @@ def test_repetition_key_equals_separate_runs(spark):
         got = keyed[rep]
         assert (got.n_test, got.n_errors, got.weighted_f1) == \
             (single.n_test, single.n_errors, single.weighted_f1)
+
+
+def test_profile_search_keeps_null_values(spark):
+    """A NULL categorical value is its own value in both search paths."""
+    from casebase import FeatureSpec
+    spec = FeatureSpec("id", "label", ("f1", "f2"))
+    train = spark.createDataFrame(
+        [(0, "a", "x", "P"), (1, None, "y", "P"), (2, "b", None, "N"), (3, None, "y", "N"),
+         (4, "c", "x", "P"), (5, "b", "y", "N"), (6, "a", None, "P"), (7, None, None, "N")],
+        "id long, f1 string, f2 string, label string")
+    q = spark.createDataFrame([(100, None, "y", "P"), (101, "b", None, "N"), (102, "z", "x", "P")],
+                              "id long, f1 string, f2 string, label string")
+    plain = CaseModel.fit(train, spec, compress=False)
+    prof = CaseModel.fit(train, spec, compress=True)
+    key = lambda r: tuple("" if v is None else v for v in r)
+    a = sorted((tuple(r) for r in nearest(q, plain, 3).collect()), key=key)
+    b = sorted((tuple(r) for r in nearest(q, prof, 3).collect()), key=key)
+    assert a == b and len(a) == 9
+    # SQL semantics: NULL is at 1.0 from everything, NULL included
+    d = {(r.query_id, r.case_id): r.distance for r in nearest(q, plain, 8).collect()}
+    assert d[(101, 7)] == d[(101, 1)]      # f2: NULL vs NULL and NULL vs y are both 1.0
