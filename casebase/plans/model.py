@@ -88,6 +88,18 @@ class CaseModel:
                          self.sigma, self.kernels, radius, rule_df, rc, rj, rk,
                          n_cases=self.n_cases, n_rules=rule_df.count(), compress=self.compress)
 
+    # -------------------------------------------------------------- scoring
+    def transform(self, queries: DataFrame, k: int, rno: int | None = None) -> DataFrame:
+        """Score query cases; ``(by.., query_id, label, prediction)``.
+
+        With ``rno`` (and a model fitted with rules) the ensemble of adaptations
+        decides, otherwise the vote of the ``k`` nearest cases.
+        """
+        from ..operators.classify import adapt_classify, knn_classify
+        if rno is None:
+            return knn_classify(queries, self, k)
+        return adapt_classify(queries, self, k, rno)
+
     # ---------------------------------------------------------- metric views
     def vdm(self) -> DataFrame:
         return vdm(self.joint, self.by, dense=True)

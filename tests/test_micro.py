@@ -80,3 +80,14 @@ def test_predictions(model, micro):
     eac = {r.query_id: r.prediction for r in adapt_classify(micro[1], model, 2, 3).collect()}
     assert knn == {100: "P", 101: "N", 102: "P"}
     assert eac == {100: "P", 101: "N", 102: "P"}
+
+
+def test_transform_and_roundtrip(spark, micro, tmp_path):
+    m = CaseModel.fit(micro[0], SPEC, radius=2)
+    m.save(str(tmp_path / "model"))
+    loaded = CaseModel.load(spark, str(tmp_path / "model"))
+    for model in (m, loaded):
+        assert {r.query_id: r.prediction for r in model.transform(micro[1], 3).collect()} == \
+            {100: "P", 101: "N", 102: "P"}
+        assert {r.query_id: r.prediction for r in model.transform(micro[1], 2, 3).collect()} == \
+            {100: "P", 101: "N", 102: "P"}
