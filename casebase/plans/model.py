@@ -55,7 +55,11 @@ class CaseModel:
         if persist:
             cases = cases.persist(StorageLevel.MEMORY_AND_DISK)
         if spec.categorical:
+            # small (distinct values x classes) and read by the value table, the
+            # VDM and the profile views: computed once
             joint = joint_counts(cases, spec, by)
+            if persist:
+                joint = joint.persist(StorageLevel.MEMORY_AND_DISK)
         else:
             joint = cases.sparkSession.createDataFrame(
                 [], ", ".join([f"`{b}` string" for b in by] +
