@@ -45,3 +45,16 @@ def test_scan_prunes_text_column(spark):
     spec, train, test = jobs.sides(spark, SF, "docs")
     p = plan(train)
     assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>" in p
+
+
+def test_profile_search_limits_hot_profiles_before_shuffle(spark):
+    """The per-profile id limit is a WindowGroupLimit, which Spark also runs
+    partially in the map stage: a profile holding a third of the rows is cut
+    to k rows per task before it is shuffled."""
+    from casebase.operators.neighbors import nearest
+    spec, train, test = jobs.sides(spark, SF, "ord")
+    m = CaseModel.fit(train, spec)
+    assert m.use_profiles
+    p = plan(nearest(test, m, 5))
+    assert "WindowGroupLimit" in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
