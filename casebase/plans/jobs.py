@@ -397,6 +397,16 @@ def metrics_rf_docs(spark, sf):
 
 # ------------------------------------------------------------------------ sweep
 def sweep_docs(spark, sf):
+    from ..session import cut_lineage
     from .experiment import sweep
-    spec, cases = CB.docs(spark, sf)
-    return sweep(cases, spec)
+    key = _key(spark, sf, "sweep")
+    if key not in _CACHE:
+        spec, cases = CB.docs(spark, sf)
+        _CACHE[key] = cut_lineage(sweep(cases, spec))
+    return _CACHE[key]
+
+
+def sweep_best_docs(spark, sf):
+    """The best (radius, k, rno) of the sweep (a top-1 report)."""
+    from .experiment import best
+    return best(sweep_docs(spark, sf))

@@ -218,7 +218,9 @@ def _sweep_docs() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _prep() | _baselines() | {"sweep_docs": _sweep_docs()} | {
+    return _prep() | _baselines() | {
+        "sweep_docs": _sweep_docs(),
+        "sweep_best_docs": _sweep_docs() + " ORDER BY mean_error, k, rno, radius LIMIT 1"} | {
         "class_counts_docs": _stats("docs", "SELECT label, count(*) AS n FROM tr GROUP BY label"),
         "joint_counts_docs": _stats("docs", "SELECT feature, value, label, n FROM jt"),
         "value_counts_docs": _stats("docs", "SELECT feature, value, n FROM tot"),
