@@ -241,11 +241,10 @@ def oracle_sql() -> dict[str, str]:
         "knn_topk_evt": _knn_topk("evt"),
         "knn_topk_emb": _knn_topk("emb"),
         "knn_topk_ord": _knn_topk("ord"),
-        "loo_neighbors_ord": query(
-            _f("ord").base() + _f("ord").stats() + _f("ord").knn("lo", RADIUS, "tr", True),
-            "SELECT query_id, rank, case_id, distance FROM lo"),
+        # loo_neighbors_ord and adapt_predict_ord have no oracle: their plain SQL
+        # materialises 110 M / 140 M candidate rows at sf0.01; they are checked
+        # against the plain blocked search instead (tests/test_properties.py)
         "knn_predict_ord": _knn_predict("ord"),
-        "adapt_predict_ord": _adapt_predict("ord"),
         "kth_distance_docs": query(
             _f("docs").base() + _f("docs").stats() + _f("docs").knn("nb", K + 1),
             f"SELECT query_id, distance AS kth_distance FROM nb WHERE rank = {K + 1}"),
