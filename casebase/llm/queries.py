@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, simhash
-from .common import held_out
+from . import ann, decontaminate, langid, quality, sharding, simhash, trainorder, urlrules, warc
+from .common import held_out, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,57 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         _table(spark, sf_dir, "benchmark"))
 
 
+def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+URL_POLICY = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
+              ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_POLICY)
+
+
+SEQUENCE = 256
+
+
+def _encoder():
+    """The encoder of a task: text -> ids."""
+    import public_tokenizers
+    import tiktoken
+
+    from .bpe import read_ranks
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                             special_tokens={}).encode_ordinary
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``documents`` as shards, read them back: a row a sequence, in training order."""
+    shards = trainorder.materialise(_table(spark, sf_dir, "documents"), _encoder,
+                                    shared_folder(spark, "training-order"), length=SEQUENCE, seed=11)
+    rows = trainorder.read_shards(shards, SEQUENCE)
+    return rows.select("slot", F.col("key").alias("doc_id"), "part", "n_tokens",
+                       F.sha2("ids", 256).alias("ids_sha256"))
+
+
+def op7_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    pages = warc.with_revisits(_table(spark, sf_dir, "pages"))
+    members = warc.normalise(warc.write_archives(pages, folder + "/whole"), folder + "/members")
+    if members.limit(1).count() == 0:
+        return warc.read_archives(spark.createDataFrame([], warc.INDEX)).withColumnRenamed("key", "page_id")
+    found = warc.read_archives(warc.read_index(spark, folder + "/members"))
+    return found.withColumnRenamed("key", "page_id")
+
+
+def op8_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.interleave(_table(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "source", "position")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
@@ -47,8 +98,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  public_tokenizers.PATTERN)
 
 
-QUERIES = (op1_quality_gam, op2_simhash_near_dedup, op3_template_decontamination, op9_language_id,
-           op10_byte_bpe)
+QUERIES = (op1_quality_gam, op2_simhash_near_dedup, op3_template_decontamination,
+           op4_learned_partitions, op5_url_rules, op6_training_order, op7_warc_members,
+           op8_stratified_interleave, op9_language_id, op10_byte_bpe)
 
 
 def queries() -> dict:
