@@ -206,14 +206,30 @@ def _routed(rows: DataFrame, router: Router | None, dim: int, probes: int) -> Da
     return main.union(rows.where(F.col("dim") != dim).withColumn("parts", odd))
 
 
+def _distinct(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rows without equal ones, and how many rows an id has at most."""
+    names, count = np.unique(ids, return_counts=True)
+    if len(names) == len(ids):
+        return ids, v, 1
+    often = set(names[count > 1].tolist())
+    seen: set = set()
+    keep = np.ones(len(ids), bool)
+    for i in np.flatnonzero(np.isin(ids, list(often))):
+        row = (int(ids[i]), v[i].tobytes())
+        keep[i] = row not in seen
+        seen.add(row)
+    return ids[keep], v[keep], int(np.unique(ids[keep], return_counts=True)[1].max())
+
+
 def best_of(query_id, q, vec_id, v, k: int):
     """``(query_id, vec_id, score)`` of each query's k nearest vectors of a block, exactly."""
     out: list[list[np.ndarray]] = [[], [], []]
+    vec_id, v, most = _distinct(vec_id, v)
     step = max(1, 4_000_000 // max(1, len(v)))
     for at in range(0, len(q), step):
         d = squares(q[at:at + step], v)
         d[query_id[at:at + step][:, None] == vec_id[None, :]] = np.inf
-        kk = min(k, d.shape[1])
+        kk = min(k * most, d.shape[1])
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
         # the quick distances round differently: keep all within their error, rank exactly
         big = (q[at:at + step] ** 2).sum(1) + (v ** 2).sum(1).max()
@@ -222,9 +238,8 @@ def best_of(query_id, q, vec_id, v, k: int):
                 else np.flatnonzero(np.isfinite(row))
             exact = np.sqrt(((v[near] - q[at + i]) ** 2).sum(axis=1))
             first = np.lexsort((vec_id[near], exact))
-            ids, place = np.unique(vec_id[near][first], return_index=True)
-            top = np.sort(place)[:k]                     # repeated rows count once
-            del ids
+            place = np.unique(vec_id[near][first], return_index=True)[1]
+            top = np.sort(place)[:k]                     # an id counts once
             out[0].append(np.full(len(top), query_id[at + i]))
             out[1].append(vec_id[near][first][top])
             out[2].append(exact[first][top])

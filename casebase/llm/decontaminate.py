@@ -5,11 +5,11 @@ is itself (lower-cased); numbers, names (capitalised words) and units (after a
 number) become typed placeholders whose values are kept as slots.  Windows of
 ``window`` template tokens with at least ``literals`` tokens that are no
 placeholder are hash-joined with those of the benchmark.  For every document, item and
-alignment the slots must then be consistent: one value of the item always stands
-for one value of the document and the other way round, so a re-parameterised question
-is caught (every 3 became a 7) and a chance meeting of templates is not.  A document
-is contaminated by an item if the consistent windows cover ``min_tokens`` tokens of
-the item (or all tokens of a shorter one).
+alignment the slots must then be consistent: one value of the item stands for one value
+of the document and the other way round (the most frequent counterpart); windows with a
+slot that breaks this do not count.  So a re-parameterised question is caught (every 3
+became a 7) and a chance meeting of templates is not.  A document is contaminated by an item if the consistent windows of one alignment cover
+``min_tokens`` tokens of the item (or all tokens of a shorter one).
 
 Only windows whose hash is in the benchmark leave the scan: the set of those hashes goes
 to the tasks if it has at most ``sent_hashes`` entries; a larger one is met by a
@@ -238,6 +238,13 @@ def _scan(docs: DataFrame, text: str, sizes: list[int], window: int, literals: i
                              "slots array<struct<k:int,kind:int,value:string>>"))
 
 
+def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the keys of ``a`` stay."""
+    b = b.withColumnsRenamed({c: "_k_" + c for c in keys})
+    out = a.join(b, [a[c].eqNullSafe(b["_k_" + c]) for c in keys], how)
+    return out.drop(*["_k_" + c for c in keys])
+
+
 def contaminated_contents(docs: DataFrame, items: DataFrame, *, text: str = "text",
                           item: str = "item_id", item_text: str = "text", window: int = 8,
                           literals: int = 5, min_tokens: int = 13,
@@ -256,25 +263,32 @@ def contaminated_contents(docs: DataFrame, items: DataFrame, *, text: str = "tex
     pairs = hits.join(bench.withColumnRenamed("slots", "item_slots"), ["n", "hash", "template"])
     pairs = pairs.withColumn("shift", F.col("i") - F.col("j"))
     line = ["content", "item", "shift"]
-    slot = (pairs.select(*line, F.explode(F.arrays_zip("slots", "item_slots")).alias("z"))
-            .select(*line, F.col("z.slots.kind").alias("kind"), F.col("z.slots.value").alias("mine"),
-                    F.col("z.item_slots.value").alias("theirs")))
-    mixed = [slot.groupBy(*line, "kind", a).agg(F.min(b).alias("x"), F.max(b).alias("y"))
-             .where("x <> y").select(*line) for a, b in (("mine", "theirs"), ("theirs", "mine"))]
-    bad = mixed[0].union(mixed[1]).distinct()
-    cover = (pairs.join(bad, [pairs[c].eqNullSafe(bad[c]) for c in line], "left_anti")
+    slot = (pairs.select(*line, "i", F.explode(F.arrays_zip("slots", "item_slots")).alias("z"))
+            .select(*line, "i", F.col("z.slots.kind").alias("kind"),
+                    F.col("z.slots.value").alias("mine"), F.col("z.item_slots.value").alias("theirs")))
+    # what each value stands for in this alignment: its most frequent counterpart, either way
+    votes = slot.groupBy(*line, "kind", "mine", "theirs").agg(F.count(F.lit(1)).alias("n"))
+    agreed = votes
+    for a, b in (("mine", "theirs"), ("theirs", "mine")):
+        first = votes.groupBy(*line, "kind", a).agg(F.max(F.struct("n", b))[b].alias("_" + b))
+        agreed = _join(agreed, first, [*line, "kind", a])
+    odd = agreed.where("_mine <> mine OR _theirs <> theirs").select(*line, "kind", "mine", "theirs")
+    bad = _join(slot, odd, [*line, "kind", "mine", "theirs"]).select(*line, "i").distinct()
+    cover = (_join(pairs, bad, [*line, "i"], "left_anti")
              .withColumn("token", F.explode(F.sequence("j", F.expr("j + n - 1")))))
-    changed = slot.groupBy("content", "item").agg(
-        F.count_distinct(F.when(F.col("mine") != F.col("theirs"), F.col("theirs")))
-        .alias("replaced_slots"))
-    found = (cover.groupBy("content", "item")
-             .agg(F.count_distinct("token").cast("int").alias("covered_tokens"),
+    changed = (agreed.where("_mine = mine AND _theirs = theirs AND mine <> theirs").groupBy(*line)
+               .agg(F.count(F.lit(1)).cast("int").alias("replaced")))
+    found = (cover.groupBy(*line)
+             .agg(F.count_distinct("token").cast("int").alias("covered"),
                   F.max("n_tokens").alias("item_tokens"))
-             .where(F.col("covered_tokens") >= F.least(F.lit(min_tokens), F.col("item_tokens"))))
-    return found.join(changed, found["content"].eqNullSafe(changed["content"])
-                      & found["item"].eqNullSafe(changed["item"]), "left").select(
-        found["content"], found["item"], "covered_tokens", "item_tokens",
-        F.coalesce("replaced_slots", F.lit(0)).cast("int").alias("replaced_slots"))
+             .where(F.col("covered") >= F.least(F.lit(min_tokens), F.col("item_tokens"))))
+    found = _join(found, changed, line, "left")
+    # of several alignments the one that covers most, and then replaces least
+    best = F.max(F.struct("covered", (-F.coalesce("replaced", F.lit(0))).alias("kept")))
+    return (found.groupBy("content", "item")
+            .agg(best.alias("best"), F.max("item_tokens").alias("item_tokens"))
+            .select("content", "item", F.col("best.covered").alias("covered_tokens"), "item_tokens",
+                    (-F.col("best.kept")).alias("replaced_slots")))
 
 
 def contaminations(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text",

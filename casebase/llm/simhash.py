@@ -214,17 +214,54 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
 
 
+def component_names(prints: DataFrame, key: str, max_bits: int, unit_rows: int) -> DataFrame:
+    """``(fp, component_id, lead)`` of the distinct fingerprints of ``prints(key, fp)``:
+    the smallest key of the component, and the fingerprint that has it (the smallest such)."""
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min(key).alias("low")))
+    label = connected(links(distinct.select("fp"), max_bits, unit_rows), cut_lineage)
+    named = distinct.join(label.withColumnRenamed("v", "fp"), "fp", "left").select(
+        "fp", F.coalesce("label", "fp").alias("label"),
+        F.struct(F.col("low").isNull().alias("none"), "low", "fp").alias("first"))
+    names = named.groupBy("label").agg(F.min("first").alias("first"))
+    return named.drop("first").join(names, "label").select(
+        "fp", F.col("first.low").alias("component_id"), F.col("first.fp").alias("lead"))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     shingle: int = 3, max_bits: int = 3, unit_rows: int = 4096) -> DataFrame:
     """``(key, fp, component_id)`` for every row; ``component_id`` is the smallest key
     of the rows reachable by links of at most ``max_bits`` differing bits."""
     prints = cut_lineage(fingerprints(docs, key=key, text=text, shingle=shingle))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min(key).alias("low")))
-    label = connected(links(distinct.select("fp"), max_bits, unit_rows), cut_lineage)
-    named = distinct.join(label.withColumnRenamed("v", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("label", "fp").alias("label"))
-    names = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    # most fingerprints are alone: only the linked ones need the second join
-    own = named.where("label = fp").join(names, "label").select("fp", "component_id")
-    rest = named.where("label <> fp").join(names, "label").select("fp", "component_id")
-    return prints.join(own.union(rest), "fp").select(key, "fp", "component_id")
+    names = component_names(prints, key, max_bits, unit_rows)
+    return prints.join(names, "fp").select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3,
+                max_bits: int = 3, unit_rows: int = 4096) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest key; of rows that
+    repeat it, or if no row of the component has a key, the first by the text's digest."""
+    own = cut_lineage(fingerprints(docs.select(
+        F.struct(F.col(key).alias("k"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("t"),
+                 F.col(text).isNull().alias("n")).alias("row"), text),
+        key="row", text=text, shingle=shingle))
+    names = component_names(own.select(F.col("row.k").alias("k"), "fp"), "k", max_bits, unit_rows)
+    leads = names.where("fp = lead").select("fp", "component_id")
+    alike = own.groupBy("row", "fp").agg(F.count(F.lit(1)).alias("n"))
+    kept = cut_lineage(alike.join(leads, "fp")
+                       .where(F.col("row.k").eqNullSafe(F.col("component_id")))
+                       .groupBy("fp").agg(F.min(F.struct("row", "n")).alias("first"))
+                       .select("first.row.*", F.col("first.n").alias("rows")))
+    mark = [F.col(key).alias("k"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("t"),
+            F.col(text).isNull().alias("n")]
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), *mark)
+
+    def of(wanted: DataFrame) -> DataFrame:
+        on = [marked[c].eqNullSafe(wanted[c]) for c in ("k", "t", "n")]
+        return marked.join(wanted, on, "left_semi")
+
+    found = of(kept).select("doc.*")
+    if kept.where("rows > 1").limit(1).count():          # rows that agree in key and text
+        found = of(kept.where("rows = 1")).select("doc.*").union(
+            of(kept.where("rows > 1")).groupBy("k", "t", "n").agg(F.min("doc").alias("doc"))
+            .select("doc.*"))
+    return found
