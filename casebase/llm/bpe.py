@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 CHUNK_BYTES = 400_000        # bytes of distinct pieces in one recursive query
-CACHE_ENTRIES = 1_000_000    # remembered pieces of a worker (about 200 MB each way)
+CACHE_ENTRIES = 250_000      # remembered pieces of a worker (about 50 MB each way)
+GROUP_BYTES = 4_000_000      # bytes of texts or ids that are worked on together
 CACHE_LEN = 64               # longer pieces are not remembered
 LONG_PIECE = 48              # pieces above this contract equal ranks together
 MARKS = ".,;:!?*#$%&|)"      # ASCII marks that often end a segment
@@ -213,6 +214,9 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
+        return [x for part in _groups(texts) for x in self._encode(part)]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._cut(x) if x else [] for x in texts]
         parts = {s: self._split(s) for s in set().union(*cut)}
         new = set().union(*parts.values()).difference(self.pieces)
@@ -226,6 +230,9 @@ class Codec:
     # -- decoding ---------------------------------------------------------
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of every id sequence."""
+        return [x for part in _groups(ids) for x in self._decode(part)]
+
+    def _decode(self, ids: list[bytes]) -> list[bytes]:
         runs = []
         for x in ids:
             a = np.frombuffer(x, dtype="<u4")
@@ -258,6 +265,17 @@ class Codec:
                 for x in "".join(got.column("chars").to_pylist()).split(_END)]
 
 
+def _groups(rows: list) -> Iterator[list]:
+    """The rows in runs of about GROUP_BYTES; bounds what a batch takes in memory."""
+    at = size = 0
+    for i, x in enumerate(rows):
+        if size and size + len(x or "") > GROUP_BYTES:
+            yield rows[at:i]
+            at, size = i, 0
+        size += len(x or "")
+    yield rows[at:]
+
+
 def _trim(known: dict, new, longest: int) -> None:
     """Forget long entries; forget all when there are too many."""
     if len(known) > CACHE_ENTRIES:
@@ -304,15 +322,16 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, key: str = "doc_id",
 
 
 def roundtrip_digests(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id",
-                      text: str = "text") -> DataFrame:
+                      text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode, decode the ids again, and return per row
-    ``(key, n_tokens, ids_sha256, decoded_sha256)``."""
-    return _apply(docs, path, pattern, key, text, digests=True)
+    ``(key, n_tokens, ids_sha256, decoded_sha256)``, and the ``ids`` if asked for."""
+    return _apply(docs, path, pattern, key, text, digests=True, with_ids=with_ids)
 
 
-def _apply(docs, path, pattern, key, text, digests):
+def _apply(docs, path, pattern, key, text, digests, with_ids=True):
     ship_package(docs.sparkSession)
     src = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x"))
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -323,15 +342,16 @@ def _apply(docs, path, pattern, key, text, digests):
                                                  ["_k", "ids"])
                 continue
             back = c.decode(ids)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in back])],
-                ["_k", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
+            if with_ids:
+                cols.append(pa.array(ids, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["_k", *names[:len(cols)]])
 
     kind = docs.schema[key].dataType.simpleString()
     if not digests:
         return src.mapInArrow(run, f"_k {kind}, ids binary").toDF(key, "ids")
-    return (src.mapInArrow(run, f"_k {kind}, n_tokens long, ids_sha256 string, "
-                                "decoded_sha256 string")
-            .toDF(key, "n_tokens", "ids_sha256", "decoded_sha256"))
+    types = ["long", "string", "string", "binary"][:3 + with_ids]
+    return src.mapInArrow(run, f"_k {kind}, " + ", ".join(
+        f"{n} {t}" for n, t in zip(names, types, strict=False))).toDF(key, *names[:len(types)])
