@@ -2,124 +2,99 @@
 
 These are the per-block helpers of the blocked top-k operator: given a block
 of left rows and a block of right rows (pandas, delivered by Arrow), they
-return the matrix of distances.  The arithmetic follows the SQL form term by
-term so results are bit-identical to a plain SQL evaluation:
-
-* categorical: ``0`` if equal; ``vdm^2`` if both values are seen in
-  training (``vdm`` is 2.0 for seen pairs without a common class); ``1.0``
-  otherwise (a value never seen in training);
+return the matrix of distances.  The metric comes with the rows: a categorical
+value carries its class counts (``_v_<feature>``, a JSON object label -> count,
+NULL for a value never seen in training) and a numeric feature its spread
+(``_s_<feature>``), so nothing is collected or broadcast.  The arithmetic follows
+the SQL form term by term so results are bit-identical to a plain SQL evaluation:
+
+* categorical: ``0`` if equal; ``vdm^2`` if both values are seen in training, with
+  ``vdm = (2 N1 N2 - 2 sum_c min(n1c N2, n2c N1)) / (N1 N2)`` in exact integers and
+  one division; ``1.0`` otherwise (a value never seen, or NULL);
 * numeric: ``least(1.0, abs(a - b) / (4.0 * sigma))``; with a null or zero
-  sigma ``0`` if equal else ``1``;
+  sigma ``0`` if equal else ``1``; a missing number is at ``1.0`` from everything;
 * terms summed left to right in the spec order, then ``sqrt``.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 
-# categorical values of a feature beyond this count use a dict lookup per block
-DENSE_CARDINALITY = 2048
-# largest (seen values x right rows) term table precomputed per block
+# largest term table (distinct left values x right rows) kept for a whole block
 COLUMN_CELLS = 8_000_000
 
 
+def vdm_terms(left: list[dict | None], right: list[dict | None]) -> np.ndarray:
+    """Squared VDM between the class counts of two lists of values; 1.0 where one is unseen."""
+    labels: dict = {}
+    for counts in (*left, *right):
+        for c in counts or ():
+            labels.setdefault(c, len(labels))
+    largest = [max((sum(v.values()) for v in side if v), default=0) for side in (left, right)]
+    kind = np.int64 if 2 * largest[0] * largest[1] < 2**62 else object     # Python integers beyond
+
+    def matrix(side):
+        out = np.zeros((len(labels), len(side)), dtype=kind)
+        for i, counts in enumerate(side):
+            for c, n in (counts or {}).items():
+                out[labels[c], i] = n
+        return out, np.array([sum(v.values()) if v else 1 for v in side], dtype=kind)
+
+    a, n1 = matrix(left)
+    b, n2 = matrix(right)
+    shared = np.zeros((len(left), len(right)), dtype=kind)
+    for c in range(len(labels)):
+        i, j = np.flatnonzero(a[c]), np.flatnonzero(b[c])
+        if len(i) and len(j):
+            shared[np.ix_(i, j)] += np.minimum(np.outer(a[c, i], n2[j]), np.outer(n1[i], b[c, j]))
+    product = np.outer(n1, n2)
+    vdm = (2 * product - 2 * shared).astype(np.float64) / product.astype(np.float64)
+    terms = vdm * vdm
+    terms[np.array([v is None for v in left], dtype=bool), :] = 1.0
+    terms[:, np.array([v is None for v in right], dtype=bool)] = 1.0
+    return terms
+
+
 @dataclass
-class CatTable:
-    """Seen values of one categorical feature and their squared VDM terms."""
+class Values:
+    """The values of one categorical feature in a block: codes into distinct values with
+    their class counts; code ``len(distinct)`` is NULL."""
 
-    values: np.ndarray                 # sorted seen values (object array of str)
-    pairs: dict                        # (v1, v2) with v1 < v2 -> vdm (sparse)
-    dense: np.ndarray | None = None    # len(values)^2 matrix of terms
+    codes: np.ndarray
+    distinct: np.ndarray
+    counts: list
 
     @classmethod
-    def build(cls, values, pairs: dict) -> CatTable:
-        # NULL is never a seen value: like SQL, it is at 1.0 from everything
-        vals = np.array(sorted(v for v in values if v is not None), dtype=object)
-        table = cls(vals, pairs)
-        n = len(vals)
-        if n <= DENSE_CARDINALITY:
-            m = np.full((n, n), 4.0)          # seen, no common class: 2.0 ** 2
-            np.fill_diagonal(m, 0.0)
-            pos = {v: i for i, v in enumerate(vals)}
-            for (a, b), d in pairs.items():
-                i, j = pos[a], pos[b]
-                m[i, j] = m[j, i] = d * d
-            table.dense = m
-        return table
-
-    def codes(self, values: np.ndarray) -> np.ndarray:
-        """Index of every value among the seen values, -1 if never seen."""
-        if not hasattr(self, "_index"):
-            self._index = pd.Index(self.values)
-        if len(self.values) == 0:
-            return np.full(len(values), -1, dtype=np.int64)
-        return self._index.get_indexer(values)
-
-    def columns(self, rc: np.ndarray) -> np.ndarray | None:
-        """Per right block: terms of every seen value against every right row."""
-        if self.dense is None or len(self.values) * len(rc) > COLUMN_CELLS:
-            return None
-        m = self.dense[:, np.where(rc < 0, 0, rc)]
-        m[:, rc < 0] = 1.0
-        return m
-
-    def terms_coded(self, lv: np.ndarray, lc: np.ndarray, rv: np.ndarray,
-                    rc: np.ndarray, cols: np.ndarray | None = None) -> np.ndarray:
-        """Term matrix from precomputed codes (values only consulted if unseen)."""
-        lu, ru = lc < 0, rc < 0
-        if self.dense is None:
-            return self.terms(lv, rv)
-        if cols is not None:                     # contiguous row gather
-            t = cols[np.where(lu, 0, lc)]
-        else:
-            t = self.dense[np.ix_(np.where(lu, 0, lc), np.where(ru, 0, rc))]
-        if lu.any() or ru.any():
-            t[lu, :] = 1.0
-            t[:, ru] = 1.0
-            if lu.any() and ru.any():
-                both = np.concatenate([lv[lu], rv[ru]])
-                codes, _ = pd.factorize(both)          # NULL -> -1, equal to nothing
-                a, b = codes[: lu.sum()], codes[lu.sum():]
-                li, ri = np.nonzero(lu)[0], np.nonzero(ru)[0]
-                same = (a[:, None] == b[None, :]) & (a[:, None] >= 0)
-                t[np.ix_(li, ri)] = np.where(same, 0.0, 1.0)
-        return t
-
-    def terms(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        both = np.concatenate([left, right])
-        inverse, local = pd.factorize(both, use_na_sentinel=False)  # local codes
-        li, ri = inverse[: len(left)], inverse[len(left):]
-        local = np.asarray(local, dtype=object)
-        pos = np.searchsorted(self.values, local) if len(self.values) else np.zeros(len(local), int)
-        pos = np.minimum(pos, max(len(self.values) - 1, 0))
-        seen = (len(self.values) > 0) & (self.values[pos] == local) if len(self.values) \
-            else np.zeros(len(local), bool)
-        u = len(local)
-        if self.dense is not None:
-            g = np.where(seen, pos, 0)
-            m = self.dense[np.ix_(g, g)]
-        else:
-            m = np.full((u, u), 4.0)
-            for i in range(u):
-                for j in range(u):
-                    if i == j:
-                        m[i, j] = 0.0
-                    elif seen[i] and seen[j]:
-                        a, b = local[i], local[j]
-                        key = (a, b) if a < b else (b, a)
-                        d = self.pairs.get(key)
-                        if d is not None:
-                            m[i, j] = d * d
-        unseen = ~seen
-        m[unseen, :] = 1.0
-        m[:, unseen] = 1.0
-        np.fill_diagonal(m, 0.0)
-        isnull = np.array([v is None or v != v for v in local], dtype=bool)
-        m[np.ix_(isnull, isnull)] = 1.0           # NULL is not equal to NULL
-        return m[np.ix_(li, ri)]
+    def of(cls, side: pd.DataFrame, feature: str) -> Values:
+        codes, distinct = pd.factorize(side[feature].to_numpy(dtype=object))
+        first = np.zeros(len(distinct), dtype=np.int64)
+        rows = np.arange(len(codes))[::-1]
+        known = codes[::-1] >= 0
+        first[codes[::-1][known]] = rows[known]
+        packed = side["_v_" + feature].to_numpy(dtype=object)[first]
+        counts = [json.loads(x) if isinstance(x, str) else None for x in packed]
+        return cls(np.where(codes < 0, len(distinct), codes), np.asarray(distinct, object), counts)
+
+    def rows(self, start: int, stop: int) -> Values:
+        """The same for a slice of the block, with only its own values."""
+        own, codes = np.unique(self.codes[start:stop], return_inverse=True)
+        real = own[own < len(self.distinct)]
+        return Values(codes, self.distinct[real], [self.counts[i] for i in real])
+
+
+def term_table(left: Values, right: Values) -> np.ndarray:
+    """Terms between distinct values; the last row and column stand for NULL."""
+    out = np.ones((len(left.distinct) + 1, len(right.distinct) + 1))
+    if len(left.distinct) and len(right.distinct):
+        out[:-1, :-1] = vdm_terms(left.counts, right.counts)
+        at = pd.Index(right.distinct).get_indexer(left.distinct)
+        same = np.flatnonzero(at >= 0)
+        out[same, at[same]] = 0.0
+    return out
 
 
 @dataclass
@@ -128,53 +103,51 @@ class Kernel:
 
     order: tuple            # feature names in summation order
     kinds: dict             # feature -> "cat" | "num"
-    cats: dict              # feature -> CatTable
-    sigma: dict             # feature -> float | None
-
-    def prepare(self, side: pd.DataFrame, right: bool = False) -> dict:
-        """Encode a block once: value codes for categorical, arrays for numeric.
-
-        For the right block also the per-value term rows, so each left chunk
-        only gathers rows.
-        """
-        out = {}
-        for f in self.order:
-            if self.kinds[f] == "cat":
-                v = side[f].to_numpy(dtype=object)
-                c = self.cats[f].codes(v)
-                out[f] = (v, c, self.cats[f].columns(c) if right else None)
-            else:
-                out[f] = side[f].to_numpy(dtype=np.float64)
-        return out
-
-    def distances(self, left: pd.DataFrame | dict, right: pd.DataFrame | dict) -> np.ndarray:
-        lp = left if isinstance(left, dict) else self.prepare(left)
-        rp = right if isinstance(right, dict) else self.prepare(right, right=True)
-        acc = None
-        for f in self.order:
-            if self.kinds[f] == "cat":
-                (lv, lc, _), (rv, rc, cols) = lp[f], rp[f]
-                t = self.cats[f].terms_coded(lv, lc, rv, rc, cols)
-            else:
-                a = lp[f][:, None]
-                b = rp[f][None, :]
-                s = self.sigma.get(f)
-                if s is None or not np.isfinite(s) or s == 0.0:
-                    t = np.where(a == b, 0.0, 1.0)
-                else:
-                    # least(1, abs(a - b) / (4 * s)), evaluated in place
-                    t = np.subtract(a, b)
-                    np.abs(t, out=t)
-                    np.divide(t, 4.0 * s, out=t)
-                    np.minimum(t, 1.0, out=t)
-            if acc is None:
-                acc = t
+
+    def columns(self) -> list[str]:
+        """The metric columns that both sides carry."""
+        return [("_v_" if self.kinds[f] == "cat" else "_s_") + f for f in self.order]
+
+    def block(self, left: pd.DataFrame, right: pd.DataFrame) -> Block:
+        return Block(self, left, right)
+
+
+class Block:
+    """Two blocks, encoded once; ``distances`` gives slices of left rows."""
+
+    def __init__(self, kernel: Kernel, left: pd.DataFrame, right: pd.DataFrame):
+        self.kernel, self.n_right = kernel, len(right)
+        self.left, self.right, self.table, self.sigma = {}, {}, {}, {}
+        for f in kernel.order:
+            if kernel.kinds[f] == "cat":
+                a, b = self.left[f], self.right[f] = Values.of(left, f), Values.of(right, f)
+                if (len(a.distinct) + 1) * max(len(right), len(b.distinct)) <= COLUMN_CELLS:
+                    self.table[f] = term_table(a, b)[:, b.codes]
             else:
-                np.add(acc, t, out=acc)
-        if acc is None:
-            n_l = len(next(iter(lp.values()))) if lp else 0
-            n_r = len(next(iter(rp.values()))) if rp else 0
-            acc = np.zeros((n_l, n_r))
+                self.left[f] = left[f].to_numpy(dtype=np.float64)
+                self.right[f] = right[f].to_numpy(dtype=np.float64)
+                self.sigma[f] = float(right["_s_" + f].iloc[0]) if len(right) else np.nan
+
+    def _term(self, f: str, start: int, stop: int) -> np.ndarray:
+        if self.kernel.kinds[f] == "cat":
+            if f in self.table:
+                return self.table[f][self.left[f].codes[start:stop]]
+            own = self.left[f].rows(start, stop)
+            return term_table(own, self.right[f])[own.codes][:, self.right[f].codes]
+        a, b = self.left[f][start:stop, None], self.right[f][None, :]
+        s = self.sigma[f]
+        if not np.isfinite(s) or s == 0.0:
+            return np.where(a == b, 0.0, 1.0)
+        t = np.subtract(a, b)              # least(1, abs(a - b) / (4 * s)), in place
+        np.abs(t, out=t)
+        np.divide(t, 4.0 * s, out=t)
+        return np.fmin(t, 1.0, out=t)      # a missing number is at 1.0
+
+    def distances(self, start: int, stop: int) -> np.ndarray:
+        acc = np.zeros((stop - start, self.n_right))
+        for i, f in enumerate(self.kernel.order):
+            t = self._term(f, start, stop)
+            acc = t if i == 0 else np.add(acc, t, out=acc)
         return np.sqrt(acc, out=acc)
 
 
@@ -184,8 +157,8 @@ def topk_per_row(d: np.ndarray, k: int):
     Columns are expected in key order, so the column index is the tie-break.
     ``argpartition`` yields k candidates per row; only rows where more than k
     entries reach the k-th value (ties at the boundary) are rescanned in full.
-    Infinite entries (excluded pairs) are dropped.  Returns
-    ``(rows, cols, values, rank)`` with rank starting at 1.
+    Infinite entries are excluded pairs (every distance is finite) and dropped.
+    Returns ``(rows, cols, values, rank)`` with rank starting at 1.
     """
     c, n = d.shape
     if c == 0 or n == 0:
@@ -224,23 +197,29 @@ def topk_per_row(d: np.ndarray, k: int):
 
 
 def topk_weighted(d: np.ndarray, w: np.ndarray, k: int):
-    """Per row, every column up to the smallest distance whose cumulative weight
-    reaches ``k`` (all ties at that distance included).
-
-    Used on compressed blocks where a column is a profile standing for ``w``
-    cases: the selected profiles hold every case of the exact top-k.
-    Returns ``(rows, cols, values)``.
+    """Per row, the columns up to the smallest distance whose cumulative weight
+    reaches ``k``; of those at that distance, the first ``k``.
+
+    Used on compressed blocks where a column is a profile standing for ``w >= 1``
+    cases, in the order of each profile's smallest key: of profiles at one distance, only
+    the first ``k`` can hold one of the ``k`` smallest keys.  The ``k`` nearest
+    columns weigh at least ``k``, so the distance is found among them.  At most
+    ``2 k`` columns a row.  Returns ``(rows, cols, values)``.
     """
     c, n = d.shape
     if c == 0 or n == 0:
         e = np.zeros(0, dtype=np.int64)
         return e, e, np.zeros(0)
-    order = np.argsort(d, axis=1, kind="stable")
-    ds = np.take_along_axis(d, order, axis=1)
-    reach = np.cumsum(w[order], axis=1) >= k
-    pos = np.where(reach.any(axis=1), reach.argmax(axis=1), n - 1)
-    thr = ds[np.arange(c), pos]
-    rows, cols = np.nonzero(d <= thr[:, None])
+    m = min(k, n)
+    part = np.argpartition(d, m - 1, axis=1)[:, :m]
+    near = np.take_along_axis(d, part, axis=1)
+    order = np.argsort(near, axis=1, kind="stable")
+    near = np.take_along_axis(near, order, axis=1)
+    reach = np.cumsum(w[np.take_along_axis(part, order, axis=1)], axis=1) >= k
+    pos = np.where(reach.any(axis=1), reach.argmax(axis=1), m - 1)
+    thr = near[np.arange(c), pos][:, None]
+    at = d == thr
+    rows, cols = np.nonzero((d < thr) | (at & (np.cumsum(at, axis=1, dtype=np.int32) <= k)))
     vals = d[rows, cols]
     fin = np.isfinite(vals)
     return rows[fin], cols[fin], vals[fin]

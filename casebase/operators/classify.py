@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import rules as R
 from .neighbors import nearest, with_labels
 from .vote import vote_bounded
@@ -27,24 +28,28 @@ def neighbours_with_payload(queries: DataFrame, model, k: int,
     return nb.withColumn("base_label", F.col("case_label"))
 
 
+def every_query(queries: DataFrame, model, votes: DataFrame, with_truth: bool) -> DataFrame:
+    """One row a query: its vote, or NULL if nothing could vote."""
+    spec, by = model.spec, list(model.by)
+    asked = queries.select(*by, F.col(spec.id).alias("query_id"), F.col(spec.label).alias("label"))
+    votes = votes.select(*by, "query_id", "prediction")
+    out = asked.join(votes, [*by, "query_id"], "left").select(*by, "query_id", "label", "prediction")
+    return out if with_truth else out.drop("label")
+
+
 def knn_classify(queries: DataFrame, model, k: int, neighbours: DataFrame | None = None,
                  with_truth: bool = True) -> DataFrame:
-    """``(by.., query_id, label, prediction)`` by majority of the k nearest labels."""
+    """``(by.., query_id, label, prediction)`` by majority of the k nearest labels;
+    one row a query, with a NULL prediction if no neighbour has a label."""
     spec, by = model.spec, list(model.by)
     if neighbours is None:
-        nb = nearest(queries, model, k, query_payload={"label": spec.label},
-                     case_payload={"case_label": spec.label})
+        nb = nearest(queries, model, k, case_payload={"case_label": spec.label})
     else:
         nb = neighbours
         if "case_label" not in nb.columns:
             nb = with_labels(nb, model)
-        if "label" not in nb.columns:
-            truth = queries.select(*by, F.col(spec.id).alias("query_id"),
-                                   F.col(spec.label).alias("label"))
-            nb = nb.join(truth, on=[*by, "query_id"])
-    nb = nb.where(F.col("rank") <= k)
-    keys = [*by, "query_id", "label"] if with_truth else [*by, "query_id"]
-    return vote_bounded(nb, keys, "case_label")
+    votes = vote_bounded(nb.where(F.col("rank") <= k), [*by, "query_id"], "case_label")
+    return every_query(queries, model, votes, with_truth)
 
 
 def adaptation_votes(queries: DataFrame, model, k: int, rno: int,
@@ -61,9 +66,10 @@ def adaptation_votes(queries: DataFrame, model, k: int, rno: int,
     nb = nb.where(F.col("rank") <= k).withColumnRenamed("case_id", "base_id") \
         .withColumnRenamed("rank", "base_rank")
     keep = ["label"] if keep_label else []
-    ante = R.antecedents_from(nb, spec, by, keep)
-    # at most k antecedents per query; the rule table is materialised at fit
-    return R.nearest_rules(ante, model.rule_cases, spec, model.rule_kernels, rno, by,
+    # at most k antecedents per query, read by the grid, the profiles and the search:
+    # materialised once, as the rule table is at fit
+    ante = cut_lineage(R.antecedents_from(nb, spec, by, keep))
+    return R.nearest_rules(ante, model.rule_cases, spec, model.rule_metric, rno, by,
                            n_ante=n_queries * k, n_rules=model.n_rules, keep=keep,
                            use_profiles=getattr(model, "use_profiles", False))
 
@@ -71,9 +77,8 @@ def adaptation_votes(queries: DataFrame, model, k: int, rno: int,
 def adapt_classify(queries: DataFrame, model, k: int, rno: int,
                    neighbours: DataFrame | None = None, with_truth: bool = True) -> DataFrame:
     """Every base neighbour's label is adapted by its ``rno`` closest rules
-    (vote over their target labels), then the bases vote."""
+    (vote over their target labels), then the bases vote; one row a query."""
     by = list(model.by)
-    chosen = adaptation_votes(queries, model, k, rno, neighbours, keep_label=True)
-    per_base = vote_bounded(chosen, [*by, "query_id", "label", "base_id"], "to_label", "target")
-    pred = vote_bounded(per_base, [*by, "query_id", "label"], "target")
-    return pred if with_truth else pred.drop("label")
+    chosen = adaptation_votes(queries, model, k, rno, neighbours)
+    per_base = vote_bounded(chosen, [*by, "query_id", "base_id"], "to_label", "target")
+    return every_query(queries, model, vote_bounded(per_base, [*by, "query_id"], "target"), with_truth)

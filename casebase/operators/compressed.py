@@ -10,7 +10,7 @@ search runs on profiles:
    holding a third of all rows is cut to ``k`` rows in every map task;
 2. distinct left profiles are searched against right profiles with a
    count-weighted selection: all profiles up to the distance where the kept
-   rows reach ``k``, ties included (``topk_weighted``);
+   rows reach ``k``, with the ties that can hold a result (``topk_weighted``);
 3. the selected profiles are expanded to their kept keys and ranked by
    ``(distance, right key)``; left rows join their profile's ranking.
 
@@ -30,8 +30,8 @@ from .topk import blocked_topk
 
 
 def profile_topk(left: DataFrame, right: DataFrame, *, feats: Sequence[str],
-                 left_key: Sequence[str], right_key: Sequence[str], k: int, kernels,
-                 eq: Sequence[str] = (), kernel_by: Sequence[str] = (),
+                 left_key: Sequence[str], right_key: Sequence[str], k: int, kernel, attach,
+                 eq: Sequence[str] = (),
                  left_payload: dict | None = None, right_payload: dict | None = None,
                  exclude_self: tuple[str, str] | None = None) -> DataFrame:
     """Same contract as ``blocked_topk``: ``(eq.., left_key.., left payload..,
@@ -56,7 +56,7 @@ def profile_topk(left: DataFrame, right: DataFrame, *, feats: Sequence[str],
     qkeys = [f"_qk_{c}" for c in lk]
 
     sel = blocked_topk(lprof, prof.select(*eq, *pkeys, "_w", *feats), left_key=qkeys,
-                       right_key=pkeys, eq=eq, kernel_by=kernel_by, k=kk, kernels=kernels,
+                       right_key=pkeys, eq=eq, k=kk, kernel=kernel, attach=attach,
                        weight="_w")
     cand = (sel.join(prof.select(*eq, *pkeys, "_ids"), [*eq, *pkeys])
             .select(*eq, *qkeys, "distance", F.explode("_ids").alias("_c"))

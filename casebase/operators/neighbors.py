@@ -1,8 +1,7 @@
 """Neighbour search over a case base (J2, J4, K1-K7 minus the all-pairs forms).
 
-All searches go through :func:`blocked_topk`; the kernels carry the learned
-metric (VDM tables and spreads) as a broadcast of proven small size: one entry
-per pair of *seen values* of a feature, independent of the number of cases.
+All searches go through :func:`blocked_topk`; the learned metric comes as columns of
+the rows (:mod:`casebase.operators.metric`), so its size is not bounded by the driver.
 """
 
 from __future__ import annotations
@@ -12,51 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import CatTable, Kernel
 from ..spec import FeatureSpec
 from .compressed import profile_topk
 from .topk import blocked_topk
 
-# upper bound for the metric tables shipped to executors (rows of sparse VDM)
-MAX_METRIC_ROWS = 5_000_000
-
-
-def build_kernels(spec: FeatureSpec, values: DataFrame, vdm_sparse: DataFrame,
-                  sig: DataFrame, by: Sequence[str] = (),
-                  max_rows: int = MAX_METRIC_ROWS) -> dict:
-    """Kernels per ``by`` key from the (small) metric tables.
-
-    The metric tables grow with the number of distinct values, not with the
-    number of cases; their size is checked before they are brought to the
-    driver to be broadcast.
-    """
-    by = list(by)
-
-    def bounded(df: DataFrame, what: str) -> list:
-        rows = df.limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            raise ValueError(f"{what} exceeds {max_rows} rows: too large to broadcast")
-        return rows
-
-    vals: dict = {}
-    for r in bounded(values.select(*by, "feature", "value"), "value table"):
-        vals.setdefault(tuple(r[c] for c in by), {}).setdefault(r["feature"], []).append(r["value"])
-    pairs: dict = {}
-    for r in bounded(vdm_sparse.select(*by, "feature", "v1", "v2", "vdm"), "vdm table"):
-        pairs.setdefault(tuple(r[c] for c in by), {}).setdefault(r["feature"], {})[
-            (r["v1"], r["v2"])] = r["vdm"]
-    sigmas: dict = {}
-    for r in bounded(sig.select(*by, "feature", "sigma"), "sigma table"):
-        sigmas.setdefault(tuple(r[c] for c in by), {})[r["feature"]] = r["sigma"]
-    keys = set(vals) | set(sigmas) | ({()} if not by else set())
-    kinds = {f: spec.kind(f) for f in spec.order}
-    out = {}
-    for key in keys:
-        cats = {f: CatTable.build(vals.get(key, {}).get(f, []), pairs.get(key, {}).get(f, {}))
-                for f in spec.categorical}
-        out[key] = Kernel(spec.order, kinds, cats, sigmas.get(key, {}))
-    return out
-
 
 def _side(df: DataFrame, spec: FeatureSpec, by: Sequence[str], key: str,
           extra: Sequence[str] = ()) -> DataFrame:
@@ -85,11 +43,12 @@ def nearest(queries: DataFrame, model, k: int, n_queries: int | None = None,
     right = _side(model.cases, spec, by, "case_id", cp.values())
     if getattr(model, "use_profiles", False):
         res = profile_topk(left, right, feats=spec.order, left_key=["query_id"],
-                           right_key=["case_id"], eq=by, kernel_by=by, k=k,
-                           kernels=model.kernels, left_payload=qp, right_payload=cp)
+                           right_key=["case_id"], eq=by, k=k, kernel=model.metric.kernel,
+                           attach=model.metric.attach, left_payload=qp, right_payload=cp)
     else:
         res = blocked_topk(left, right, left_key=["query_id"], right_key=["case_id"], eq=by,
-                           kernel_by=by, k=k, kernels=model.kernels, n_left=n_queries,
+                           k=k, kernel=model.metric.kernel, attach=model.metric.attach,
+                           n_left=n_queries,
                            n_right=model.n_cases, left_payload=qp, right_payload=cp)
     return res.select(*by, "query_id", "rank", "case_id", "distance", *qp, *cp)
 
@@ -107,12 +66,12 @@ def nearest_within(model, radius: int, payload: bool = False) -> DataFrame:
     right = _side(model.cases, spec, by, "case_id", [spec.label])
     if getattr(model, "use_profiles", False):
         res = profile_topk(left, right, feats=spec.order, left_key=["query_id"],
-                           right_key=["case_id"], eq=by, kernel_by=by, k=radius,
-                           kernels=model.kernels, left_payload=lp, right_payload=rp,
+                           right_key=["case_id"], eq=by, k=radius,
+                           kernel=model.metric.kernel, attach=model.metric.attach, left_payload=lp, right_payload=rp,
                            exclude_self=("query_id", "case_id"))
     else:
         res = blocked_topk(left, right, left_key=["query_id"], right_key=["case_id"], eq=by,
-                           kernel_by=by, k=radius, kernels=model.kernels,
+                           k=radius, kernel=model.metric.kernel, attach=model.metric.attach,
                            exclude_self=("query_id", "case_id"), n_left=model.n_cases,
                            n_right=model.n_cases, left_payload=lp, right_payload=rp)
     return res.select(*by, "query_id", "rank", "case_id", "distance", *lp, *rp)

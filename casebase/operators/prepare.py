@@ -48,9 +48,13 @@ def assemble(df: DataFrame, spec: FeatureSpec, label_col: str = "label_idx",
     and raw numeric values.
     """
     cat = list(spec.categorical)
-    indexed = string_index(df, [*cat, spec.label], fit_on=fit_on)
-    if spec.label + "_idx" != label_col:
-        indexed = indexed.withColumnRenamed(spec.label + "_idx", label_col)
+    indexed = string_index(df, cat, fit_on=fit_on) if cat else df
+    # exactly the classes that occur: no index for an unknown label
+    label = StringIndexer(inputCol="_label", outputCol=label_col, stringOrderType="frequencyDesc",
+                          handleInvalid="error")
+    named = F.col(spec.label).cast("string").alias("_label")
+    indexed = label.fit((fit_on if fit_on is not None else df).select(named)).transform(
+        indexed.withColumn("_label", F.col(spec.label).cast("string")))
     inputs = [f + "_idx" if spec.kind(f) == "cat" else f for f in spec.order]
     va = VectorAssembler(inputCols=inputs, outputCol="features")
     return va.transform(indexed).select(spec.id, spec.label, label_col, "features")

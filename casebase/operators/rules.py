@@ -152,7 +152,7 @@ def antecedents_from(nb: DataFrame, spec: FeatureSpec, by: Sequence[str] = (),
     return nb.select(*cols)
 
 
-def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, kernels, rno: int,
+def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, metric, rno: int,
                   by: Sequence[str] = (), n_ante: int | None = None,
                   n_rules: int | None = None, keep: Sequence[str] = (),
                   use_profiles: bool = False) -> DataFrame:
@@ -173,13 +173,13 @@ def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, kernels
     if use_profiles:
         top = profile_topk(left, right, feats=spec.order,
                            left_key=["query_id", "base_id", "base_rank"], right_key=RULE_KEY,
-                           eq=[*by, "_cls"], kernel_by=by, k=rno, kernels=kernels,
+                           eq=[*by, "_cls"], k=rno, kernel=metric.kernel, attach=metric.attach,
                            left_payload={c: c for c in keep},
                            right_payload={"to_label": "to_label"})
     else:
         top = blocked_topk(left, right, left_key=["query_id", "base_id", "base_rank"],
-                           right_key=RULE_KEY, eq=[*by, "_cls"], kernel_by=by, k=rno,
-                           kernels=kernels, n_left=n_ante, n_right=n_rules,
+                           right_key=RULE_KEY, eq=[*by, "_cls"], k=rno,
+                           kernel=metric.kernel, attach=metric.attach, n_left=n_ante, n_right=n_rules,
                            left_payload={c: c for c in keep},
                            right_payload={"to_label": "to_label"})
     return top.select(*by, "query_id", *keep, "base_id", "base_rank", *RULE_KEY,

@@ -52,15 +52,15 @@ def value_counts(joint: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def sigma(cases: DataFrame, spec: FeatureSpec, by: Sequence[str] = ()) -> DataFrame:
-    """A4: ``(by.., feature, sigma)``, sample standard deviation rounded to 6 places.
+    """A4: ``(by.., feature, sigma)``, sample standard deviation to 10 significant digits.
 
     Rounding makes the value independent of the order in which partial
-    variances are merged.  Constants in ``spec.sigma`` override the estimate.
+    variances are merged; significant digits keep small units as exact as large ones.  Constants in ``spec.sigma`` override the estimate.
     """
     if not spec.numeric:
         schema = ", ".join([f"`{b}` string" for b in by] + ["feature string", "sigma double"])
         return cases.sparkSession.createDataFrame([], schema)
-    aggs = [F.round(F.stddev_samp(F.col(f)), 6).alias(f) for f in spec.numeric]
+    aggs = [F.format_string("%.9e", F.stddev_samp(F.col(f))).cast("double").alias(f) for f in spec.numeric]
     wide = cases.groupBy(*by).agg(*aggs)
     long = wide.unpivot(ids=list(by), values=list(spec.numeric),
                         variableColumnName="feature", valueColumnName="sigma")

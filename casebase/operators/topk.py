@@ -17,15 +17,16 @@ therefore works on a grid of blocks:
 Blocks come from hashing unique keys, so a hot equality key (one class holding
 a third of all rules) is spread over ``Lb * Rb`` groups like every other key,
 and no group ever holds more than about ``left_block_rows * right_block_rows``
-pairs.  Nothing is collected to the driver except two row counts used to size
-the grid.  Ties are broken by the right key, so results are deterministic
+pairs.  With equality keys the grid of each key is a row of a small table, computed
+from the key's counts on *both* sides and joined to them; only two row counts reach
+the driver.  Ties are broken by the right key, so results are deterministic
 and independent of partitioning.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,12 +34,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kernels import topk_per_row, topk_weighted
+from ..functions.kernels import Kernel, topk_per_row, topk_weighted
 from ..session import ship_package
 
 CHUNK_CELLS = 1_000_000
-# bound on distinct equality keys (classes x repetitions) whose grid is planned
-MAX_KEYS = 100_000
 
 
 def _grid(n_left: int, n_right: int, left_block_rows: int, right_block_rows: int,
@@ -50,8 +49,24 @@ def _grid(n_left: int, n_right: int, left_block_rows: int, right_block_rows: int
     return lb, rb
 
 
+def key_grid(left: DataFrame, right: DataFrame, eq: Sequence[str], left_block_rows: int,
+             right_block_rows: int, min_groups: int, n_right: int) -> DataFrame:
+    """``(eq.., _lbn, _rbn)``: the blocks of every equality key, from its counts on both sides."""
+    eq = list(eq)
+    nl = left.groupBy(*eq).agg(F.count(F.lit(1)).alias("_nl"))
+    nr = right.groupBy(*eq).agg(F.count(F.lit(1)).alias("_nr"))
+    share = F.greatest(F.lit(1), F.round(F.col("_nr") * (min_groups / max(1, n_right)))).cast("int")
+    rb = F.ceil(F.col("_nr") / right_block_rows).cast("int")
+    lb = F.ceil(F.col("_nl") / left_block_rows).cast("int")
+    more = F.least(F.ceil(share / F.col("_rbn")), F.greatest(F.lit(1), F.floor(F.col("_nl") / 64)))
+    return (nl.join(nr, eq).withColumn("_rbn", rb).withColumn(
+        "_lbn", F.when(lb * F.col("_rbn") < share, F.greatest(lb, more)).otherwise(lb).cast("int"))
+        .select(*eq, "_lbn", "_rbn"))
+
+
 def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
-                 right_key: Sequence[str], k: int, kernels, kernel_by: Sequence[str] = (),
+                 right_key: Sequence[str], k: int, kernel: Kernel,
+                 attach: Callable[[DataFrame], DataFrame],
                  eq: Sequence[str] = (), exclude_self: tuple[str, str] | None = None,
                  left_block_rows: int = 4096, right_block_rows: int = 32768,
                  min_groups: int | None = None, n_left: int | None = None,
@@ -59,64 +74,45 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
                  right_payload: dict | None = None, weight: str | None = None) -> DataFrame:
     """Top-``k`` right rows per left row, by ``(distance, right key)``.
 
-    ``kernels`` maps a tuple of ``kernel_by`` values (a subset of ``eq``) to a
-    kernel with a ``distances(left_pdf, right_pdf)`` method; it is shipped once
-    per executor as a broadcast variable.  ``n_left``/``n_right`` are size
-    hints for the grid (counted when absent; a hint avoids re-running an
-    expensive upstream plan just to size blocks).  ``left_payload`` /
-    ``right_payload`` map output names to input columns copied onto every
+    ``attach`` adds the kernel's metric columns to the rows of a side.
+    ``n_left``/``n_right`` are size hints for the grid (counted when absent; a hint
+    avoids re-running an expensive upstream plan just to size blocks).
+    ``left_payload`` / ``right_payload`` map output names to input columns copied onto every
     result row, so callers need no join back to either side.  Returns
     ``(eq.., left_key.., left payload.., right_key.., right payload.., distance,
     rank)``.
 
     With ``weight`` (a right column), right rows are profiles standing for
-    that many cases: each left row keeps every profile up to the distance at
+    that many cases: each left row keeps the profiles up to the distance at
     which the cumulative weight reaches ``k`` (see ``topk_weighted``); the
     result is unranked and the caller expands and ranks the cases.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    left_key, right_key, eq, kernel_by = (list(left_key), list(right_key), list(eq),
-                                          list(kernel_by))
+    left_key, right_key, eq = list(left_key), list(right_key), list(eq)
     lpay, rpay = dict(left_payload or {}), dict(right_payload or {})
     spark = left.sparkSession
     ship_package(spark)
-    sc = spark.sparkContext
     if min_groups is None:
-        min_groups = 2 * sc.defaultParallelism
-    n_left = left.count() if n_left is None else n_left
+        min_groups = 2 * spark.sparkContext.defaultParallelism
     n_right = right.count() if n_right is None else n_right
     lhash = F.xxhash64(*[F.col(c) for c in left_key])
     rhash = F.xxhash64(*[F.col(c) for c in right_key])
     if eq:
-        # the equality keys already split the work: size the grid per key from
-        # the right side's key counts (one row per key, collected with a bound)
-        counts = right.groupBy(*eq).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_KEYS + 1).collect()
-        if len(counts) > MAX_KEYS:
-            raise ValueError(f"more than {MAX_KEYS} equality keys")
-        total_r = max(1, sum(r["_n"] for r in counts))
-        plan_rows = []
-        for r in counts:
-            share = r["_n"] / total_r
-            lb_e, rb_e = _grid(max(1, round(n_left * share)), r["_n"], left_block_rows,
-                               right_block_rows, max(1, round(min_groups * share)))
-            plan_rows.append((*[r[c] for c in eq], lb_e, rb_e))
-        grid_schema = T.StructType([right.schema[c] for c in eq]
-                                   + [T.StructField("_lbn", T.IntegerType()),
-                                      T.StructField("_rbn", T.IntegerType())])
-        grid = F.broadcast(spark.createDataFrame(plan_rows, grid_schema))
-        rb = max((x[-1] for x in plan_rows), default=1)
-        L = left.join(grid, on=eq)
-        R = right.join(grid, on=eq)
+        grid = key_grid(left, right, eq, left_block_rows, right_block_rows, min_groups, n_right)
+        L = attach(left).join(grid, on=eq)
+        R = attach(right).join(grid, on=eq)
         L = L.withColumn("_lb", F.pmod(lhash, F.col("_lbn")).cast("int")).withColumn(
             "_rb", F.explode(F.sequence(F.lit(0), F.col("_rbn") - 1))).drop("_lbn", "_rbn")
         R = R.withColumn("_rb", F.pmod(rhash, F.col("_rbn")).cast("int")).withColumn(
             "_lb", F.explode(F.sequence(F.lit(0), F.col("_lbn") - 1))).drop("_lbn", "_rbn")
+        rb = None
     else:
+        n_left = left.count() if n_left is None else n_left
         lb, rb = _grid(n_left, n_right, left_block_rows, right_block_rows, min_groups)
-        L = left.withColumn("_lb", F.pmod(lhash, F.lit(lb)).cast("int")).withColumn(
+        L = attach(left).withColumn("_lb", F.pmod(lhash, F.lit(lb)).cast("int")).withColumn(
             "_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))) if rb > 1 else F.lit(0))
-        R = right.withColumn("_rb", F.pmod(rhash, F.lit(rb)).cast("int")).withColumn(
+        R = attach(right).withColumn("_rb", F.pmod(rhash, F.lit(rb)).cast("int")).withColumn(
             "_lb", F.explode(F.sequence(F.lit(0), F.lit(lb - 1))) if lb > 1 else F.lit(0))
     # fresh attributes on both sides: a self search co-groups one lineage with itself
     L = L.select(*[F.col(c).alias(c) for c in L.columns])
@@ -131,22 +127,19 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
         + [T.StructField(o, right.schema[c].dataType) for o, c in rpay.items()]
         + [T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
     out_cols = [f.name for f in out_schema.fields]
-    bk = sc.broadcast(kernels if isinstance(kernels, dict) else {(): kernels})
-    n_eq, kb_idx = len(eq), [eq.index(c) for c in kernel_by]
     self_l, self_r = exclude_self if exclude_self else (None, None)
 
     def run(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
             # object dtype: an empty float column would not convert to a string field
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in out_cols})
-        kernel = bk.value[tuple(key[i] for i in kb_idx)]
         rpdf = rpdf.sort_values(right_key, kind="mergesort").reset_index(drop=True)
         chunk = max(1, CHUNK_CELLS // len(rpdf))
-        renc = kernel.prepare(rpdf, right=True)  # right block encoded once per group
+        block = kernel.block(lpdf, rpdf)          # both sides encoded once per group
         parts = []
         for start in range(0, len(lpdf), chunk):
-            lch = lpdf.iloc[start:start + chunk].reset_index(drop=True)
-            d = kernel.distances(kernel.prepare(lch), renc)
+            lch = lpdf.iloc[start:start + chunk]
+            d = block.distances(start, start + len(lch))
             if self_l is not None:
                 same = lch[self_l].to_numpy()[:, None] == rpdf[self_r].to_numpy()[None, :]
                 d = np.where(same, np.inf, d)

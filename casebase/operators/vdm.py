@@ -9,11 +9,9 @@ computed bit-exactly as one division of two integers::
     sum_c |n1c*N2 - n2c*N1| / (N1*N2)
       = (2*N1*N2 - 2*sum_{c common} min(n1c*N2, n2c*N1)) / (N1*N2)
 
-The second form needs only the equi-join of the joint counts on
-``(feature, label)``: classes present on one side only contribute through
-``2*N1*N2``.  Products are exact ``decimal(38,0)`` so no count can overflow.
-Pairs of seen values without a common class have vdm 2.0; the sparse table
-omits them and distance kernels test "seen" against the value table instead.
+The second form needs only the classes that the two values share: classes of one
+side only contribute through ``2*N1*N2``.  Products are exact ``decimal(38,0)`` so no
+count can overflow.  Pairs of seen values without a common class have vdm 2.0.
 """
 
 from __future__ import annotations
@@ -26,6 +24,7 @@ from pyspark.sql import functions as F
 from .stats import value_counts
 
 _DEC = "decimal(38,0)"
+SALT = 16
 
 
 def _with_totals(joint: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -40,36 +39,30 @@ def _ratio(num, den):
 def vdm(joint: DataFrame, by: Sequence[str] = (), dense: bool = True) -> DataFrame:
     """``(by.., feature, v1, v2, vdm)`` with ``v1 < v2``.
 
-    ``dense=True`` lists every pair of seen values (the full metric);
-    ``dense=False`` lists only pairs sharing a class (all others are 2.0).
+    ``dense=True`` lists every pair of seen values (the full metric, an output of
+    the square of the number of values); ``dense=False`` only pairs that share a class
+    (all others are 2.0).  Values carry their class counts as a map, so there is one join
+    on the feature, dealt over ``SALT`` parts of the first value, and no join on classes.
     """
-    jt = _with_totals(joint, by)
-    a = jt.select(*by, "feature", "label", F.col("value").alias("v1"),
-                  F.col("n").alias("n1"), F.col("total").alias("t1"))
-    b = jt.select(*by, "feature", "label", F.col("value").alias("v2"),
-                  F.col("n").alias("n2"), F.col("total").alias("t2"))
-    common = (
-        a.join(b, on=[*by, "feature", "label"])
-        .where(F.col("v1") < F.col("v2"))
-        .groupBy(*by, "feature", "v1", "v2")
-        .agg(F.sum(F.least(F.col("n1").cast(_DEC) * F.col("t2").cast(_DEC),
-                           F.col("n2").cast(_DEC) * F.col("t1").cast(_DEC))).alias("s"),
-             F.max("t1").alias("t1"), F.max("t2").alias("t2"))
-    )
-    if dense:
-        totals = value_counts(joint, by)
-        ta = totals.select(*by, "feature", F.col("value").alias("v1"), F.col("n").alias("t1"))
-        tb = totals.select(*by, "feature", F.col("value").alias("v2"), F.col("n").alias("t2"))
-        pairs = ta.join(tb, on=[*by, "feature"]).where(F.col("v1") < F.col("v2"))
-        base = pairs.join(common.drop("t1", "t2"), on=[*by, "feature", "v1", "v2"], how="left")
-        s = F.coalesce(F.col("s"), F.lit(0).cast(_DEC))
-    else:
-        base = common
-        s = F.col("s")
+    counts = F.map_from_entries(F.collect_list(F.struct("label", "n")))
+    jt = (joint.where(F.col("value").isNotNull() & F.col("label").isNotNull())
+          .groupBy(*by, "feature", "value").agg(counts.alias("m"), F.sum("n").alias("t")))
+    a = jt.select(*by, "feature", F.col("value").alias("v1"), F.col("m").alias("m1"),
+                  F.col("t").alias("t1"), F.pmod(F.xxhash64("value"), F.lit(SALT)).alias("_p"))
+    b = jt.select(*by, "feature", F.col("value").alias("v2"), F.col("m").alias("m2"),
+                  F.col("t").alias("t2"),
+                  F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("_p"))
+    pairs = a.join(b, [*by, "feature", "_p"]).where(F.col("v1") < F.col("v2"))
+    both = F.array_intersect(F.map_keys("m1"), F.map_keys("m2"))
+    shared = F.aggregate(both, F.lit(0).cast(_DEC), lambda s, c: (
+        s + F.least(F.col("m1")[c].cast(_DEC) * F.col("t2").cast(_DEC),
+                    F.col("m2")[c].cast(_DEC) * F.col("t1").cast(_DEC))).cast(_DEC))
+    if not dense:
+        pairs = pairs.where(F.size(both) > 0)
     prod = F.col("t1").cast(_DEC) * F.col("t2").cast(_DEC)
-    return base.select(*by, "feature", "v1", "v2",
-                       _ratio(F.lit(2).cast(_DEC) * prod - F.lit(2).cast(_DEC) * s, prod)
-                       .alias("vdm"))
+    return pairs.select(*by, "feature", "v1", "v2",
+                        _ratio(F.lit(2).cast(_DEC) * prod - F.lit(2).cast(_DEC) * shared, prod)
+                        .alias("vdm"))
 
 
 def value_profile(joint: DataFrame, by: Sequence[str] = ()) -> DataFrame:

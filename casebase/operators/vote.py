@@ -1,4 +1,4 @@
-"""Majority vote with a total tie rule."""
+"""Majority vote with a total tie rule (C1).  NULL does not vote; without votes it wins."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ def vote(df: DataFrame, keys: Sequence[str], value: str, out: str = "prediction"
     never holds more than a handful of rows per key.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_votes"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_votes"))
     w = Window.partitionBy(*keys).orderBy(F.col("_votes").desc(), F.col(value).asc())
     return (counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
             .select(*keys, F.col(value).alias(out)))
@@ -32,8 +32,8 @@ def vote_bounded(df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
     vals = F.collect_list(value)
-    pick = F.element_at(F.array_sort(F.transform(
+    pick = F.try_element_at(F.array_sort(F.transform(
         F.array_distinct(F.col("_v")),
         lambda v: F.struct((-F.size(F.filter(F.col("_v"), lambda x: x == v))).alias("n"),
-                           v.alias("v")))), 1).getField("v")
+                           v.alias("v")))), F.lit(1)).getField("v")
     return df.groupBy(*keys).agg(vals.alias("_v")).select(*keys, pick.alias(out))

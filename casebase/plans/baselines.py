@@ -32,19 +32,22 @@ FOLDS = 10
 
 def _prepare(train: DataFrame, test: DataFrame, spec: FeatureSpec):
     cat = list(spec.categorical)
-    cols = [*cat, spec.label]
 
     def as_str(df):
-        return df.select(spec.id, *[F.col(c).cast("string").alias(c + "_s") for c in cols],
+        return df.select(spec.id, *[F.col(c).cast("string").alias(c + "_s")
+                                    for c in [*cat, spec.label]],
                          *[F.col(c) for c in spec.numeric], F.col(spec.label))
-    idx = StringIndexer(inputCols=[c + "_s" for c in cols],
-                        outputCols=[c + "_idx" for c in cat] + ["label_idx"],
-                        stringOrderType="frequencyDesc", handleInvalid="keep")
+    train = as_str(train.where(F.col(spec.label).isNotNull()))
+    idx = [StringIndexer(inputCols=[c + "_s" for c in cat], outputCols=[c + "_idx" for c in cat],
+                         stringOrderType="frequencyDesc", handleInvalid="keep")] if cat else []
     asm = VectorAssembler(inputCols=[f + "_idx" if spec.kind(f) == "cat" else f
                                      for f in spec.order], outputCol="features")
-    model = Pipeline(stages=[idx, asm]).fit(as_str(train))
-    labels = model.stages[0].labelsArray[-1]
-    return model.transform(as_str(train)), model.transform(as_str(test)), labels
+    model = Pipeline(stages=[*idx, asm]).fit(train)
+    # the label on its own: exactly the classes of training, no index for unknown ones;
+    # test labels are only carried along
+    label = StringIndexer(inputCol=spec.label + "_s", outputCol="label_idx",
+                          stringOrderType="frequencyDesc", handleInvalid="error").fit(train)
+    return label.transform(model.transform(train)), model.transform(as_str(test)), label.labels
 
 
 def _predictions(fitted, test_vec: DataFrame, labels, spec: FeatureSpec) -> DataFrame:
@@ -89,6 +92,7 @@ def random_forest_cv(train: DataFrame, test: DataFrame, spec: FeatureSpec, grid:
                         evaluator=MulticlassClassificationEvaluator(labelCol="label_idx"),
                         numFolds=folds, seed=seed, parallelism=parallelism)
     cvm = cv.fit(tr)
+    tr.unpersist()
     return (_predictions(cvm.bestModel, te, labels, spec),
             _report(train.sparkSession, maps, cvm.avgMetrics))
 
@@ -97,6 +101,7 @@ def random_forest_tvs(train: DataFrame, test: DataFrame, spec: FeatureSpec, grid
                       train_ratio: float = 0.75, seed: int = SEED, parallelism: int = 8):
     """train/validation-split tuned random forest."""
     tr, te, labels = _prepare(train, test, spec)
+    tr = tr.select("label_idx", "features").persist(StorageLevel.MEMORY_AND_DISK)
     rf = RandomForestClassifier(labelCol="label_idx", featuresCol="features", seed=seed,
                                 featureSubsetStrategy="auto")
     maps = _rf_grid(rf, grid)
@@ -104,6 +109,7 @@ def random_forest_tvs(train: DataFrame, test: DataFrame, spec: FeatureSpec, grid
                                evaluator=MulticlassClassificationEvaluator(labelCol="label_idx"),
                                trainRatio=train_ratio, seed=seed, parallelism=parallelism)
     m = tvs.fit(tr)
+    tr.unpersist()
     return (_predictions(m.bestModel, te, labels, spec),
             _report(train.sparkSession, maps, m.validationMetrics))
 

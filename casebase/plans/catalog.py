@@ -19,6 +19,7 @@ NAMES = [
     "confusion_knn_docs", "confusion_adapt_docs", "error_count_knn_docs",
     "error_rate_adapt_docs", "metrics_knn_docs", "metrics_adapt_docs", "metrics_knn_cust",
     "metrics_adapt_cust", "holdout_knn_docs", "holdout_adapt_docs", "holdout_nb_docs",
+    "holdout_lr_docs", "holdout_rf_docs",
     "string_index_docs", "assembled_docs", "drop_missing_docs", "split_counts_docs",
     "kfold_counts_docs", "csv_roundtrip_docs", "libsvm_roundtrip_docs", "model_roundtrip_docs",
     "neighbours_sink_docs", "results_sink_docs",

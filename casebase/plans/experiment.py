@@ -2,7 +2,8 @@
 
 Repetitions and folds are key columns, so every repetition or fold runs in the
 same jobs as the others.  In the sweep, neighbours are searched once at the
-largest ``k`` and rules retrieved once per radius at the largest ``rno``;
+largest ``k``, leave-self-out neighbours once at the largest radius, and rules
+retrieved once per radius at the largest ``rno``;
 every grid point is then a pair of rank filters, expressed by exploding each
 chosen rule into the grid points it belongs to (a generator, not a join).
 Only the radius changes the rule base (and its metric), so there are
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators.classify import (adapt_classify, adaptation_votes, knn_classify,
                                    neighbours_with_payload)
+from ..operators.neighbors import nearest_within
 from ..operators.prepare import fold_sides, holdout_sides
 from ..operators.vote import vote_bounded
 from ..session import cut_lineage
@@ -40,7 +42,8 @@ def holdout(cases: DataFrame, spec: FeatureSpec, method: str, reps: int = 10, k:
 
     ``knn``/``adapt`` run all repetitions in one job (``rep`` is a key);
     the library learners (``nb``, ``lr``, ``rf``) fit one model per
-    repetition and the predictions are unioned before one metrics pass.
+    repetition and the predictions are unioned before one metrics pass
+    (``rf`` tuned on the small grid by a train/validation split).
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}: expected one of {METHODS}")
@@ -65,7 +68,7 @@ def _holdout_baseline(cases: DataFrame, spec: FeatureSpec, method: str, reps: in
         elif method == "lr":
             p = B.logistic(train, test, spec)
         else:
-            p = B.random_forest_cv(train, test, spec)[0]
+            p = B.random_forest_tvs(train, test, spec, B.RF_GRID_SMALL)[0]
         p = p.withColumn("rep", F.lit(rep))
         preds = p if preds is None else preds.unionByName(p)
     return E.metrics(preds, ["rep"]).withColumn("method", F.lit(method))
@@ -83,9 +86,10 @@ def sweep(cases: DataFrame, spec: FeatureSpec, ks: Sequence[int] = KS,
     train, test = fold_sides(cases, spec.id, folds, seed)
     base = CaseModel.fit(train, spec, by=["fold"])
     nb = cut_lineage(neighbours_with_payload(test, base, max(ks)))
+    near = cut_lineage(nearest_within(base, max(radii), payload=True))   # one search for all radii
     preds = None
     for radius in radii:
-        m = base.with_rules(radius)
+        m = base.with_rules(radius, neighbours=near)
         chosen = adaptation_votes(test, m, max(ks), max(rnos), neighbours=nb, keep_label=True)
         grid = (chosen.withColumn("k", _grid_col(ks, "base_rank"))
                 .withColumn("rno", _grid_col(rnos, "rule_rank")))

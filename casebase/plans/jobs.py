@@ -22,10 +22,12 @@ from ..sources import casebases as CB
 from .model import CaseModel
 
 # fixed parameters of the registered jobs
-K = 5
-RADIUS = 3
-RNO = 5
+K = 10
+RADIUS = 10
+RNO = 10
 REPS = 10
+# the value that marks a missing one in drop_missing_docs
+MISSING = "fr"
 
 _CACHE: dict = {}
 
@@ -34,6 +36,14 @@ def _key(spark: SparkSession, *parts) -> tuple:
     return (spark.sparkContext.applicationId, *parts)
 
 
+def release(keep: tuple = ()) -> None:
+    """Drop the models and tables kept for other sessions or inputs than ``keep``."""
+    for key in [x for x in _CACHE if x[:2] != keep]:
+        kept = _CACHE.pop(key)
+        if isinstance(kept, CaseModel) and key[:1] == keep[:1]:
+            kept.release()
+
+
 def sides(spark: SparkSession, sf_dir: str, cb: str):
     spec, cases = CB.CASEBASES[cb](spark, sf_dir)
     train, test = split(cases, spec.id)
@@ -42,6 +52,7 @@ def sides(spark: SparkSession, sf_dir: str, cb: str):
 
 def model(spark: SparkSession, sf_dir: str, cb: str, radius: int | None = None) -> CaseModel:
     key = _key(spark, sf_dir, cb, radius)
+    release(keep=(spark.sparkContext.applicationId, sf_dir))
     if key not in _CACHE:
         spec, train, _ = sides(spark, sf_dir, cb)
         base = _CACHE.get(_key(spark, sf_dir, cb, None))
@@ -241,6 +252,8 @@ def _holdout(cb, method):
 holdout_knn_docs = _holdout("docs", "knn")
 holdout_adapt_docs = _holdout("docs", "adapt")
 holdout_nb_docs = _holdout("docs", "nb")
+holdout_lr_docs = _holdout("docs", "lr")
+holdout_rf_docs = _holdout("docs", "rf")
 
 
 def full_classify_docs(spark, sf) -> DataFrame:
@@ -267,7 +280,7 @@ def assembled_docs(spark, sf):
 def drop_missing_docs(spark, sf):
     from ..operators.prepare import drop_missing
     spec, cases = CB.docs(spark, sf)
-    return drop_missing(cases, spec.order)
+    return drop_missing(cases, spec.order, MISSING)
 
 
 def split_counts_docs(spark, sf):
@@ -338,9 +351,10 @@ def results_sink_docs(spark, sf):
     from ..sources.sinks import read_results, write_results
     df = holdout_knn_docs(spark, sf)
     path = _out_path(spark, "docs-results")
-    write_results(df, path)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return read_results(spark, path, schema=schema)
+    write_results(df, path, run_id="docs")
+    schema = "run_id string, started timestamp, ended timestamp, " + ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return read_results(spark, path, schema=schema).drop("run_id", "started", "ended")
 
 
 # -------------------------------------------------------------------- baselines

@@ -2,7 +2,7 @@
 
 ``fit`` learns the value difference metric, the numeric spreads and,
 optionally, the adaptation rules with their own metric.  Saving writes each
-table as parquet; loading reads them back and rebuilds the broadcast kernels.
+table as parquet; loading reads them back.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import rules as R
-from ..operators.neighbors import build_kernels, nearest_within
+from ..operators.metric import Metric
+from ..operators.neighbors import nearest_within
 from ..operators.stats import joint_counts, sigma, value_counts
 from ..operators.vdm import vdm
 from ..session import cut_lineage
@@ -29,14 +30,13 @@ class CaseModel:
     cases: DataFrame
     joint: DataFrame
     values: DataFrame
-    vdm_sparse: DataFrame
     sigma: DataFrame
-    kernels: dict
+    metric: Metric
     radius: int | None = None
     rules: DataFrame | None = None
     rule_cases: DataFrame | None = None
     rule_joint: DataFrame | None = None
-    rule_kernels: dict | None = None
+    rule_metric: Metric | None = None
     n_cases: int | None = None
     n_rules: int | None = None
     # search distinct feature profiles; None = automatic (all features categorical)
@@ -65,17 +65,20 @@ class CaseModel:
                 [], ", ".join([f"`{b}` string" for b in by] +
                               ["feature string", "value string", "label string", "n bigint"]))
         values = value_counts(joint, by)
-        vs = vdm(joint, by, dense=False)
-        sig = sigma(cases, spec, by)
-        kernels = build_kernels(spec, values, vs, sig, by)
-        model = cls(spec, by, cases, joint, values, vs, sig, kernels, n_cases=cases.count(),
+        sig = cut_lineage(sigma(cases, spec, by))        # a row a numeric feature and key
+        model = cls(spec, by, cases, joint, values, sig, Metric.of(spec, joint, sig, by),
+                    n_cases=cases.count(),
                     compress=compress)
         if radius:
             model = model.with_rules(radius, bidirectional)
         return model
 
-    def with_rules(self, radius: int, bidirectional: bool = False) -> CaseModel:
-        nb = nearest_within(self, radius, payload=True)
+    def with_rules(self, radius: int, bidirectional: bool = False,
+                   neighbours: DataFrame | None = None) -> CaseModel:
+        """Rules of the ``radius`` nearest; ``neighbours`` is a leave-self-out search (with
+        payload) of at least that depth, if there is one already."""
+        nb = nearest_within(self, radius, payload=True) if neighbours is None \
+            else neighbours.where(f"rank <= {radius}")
         rule_df = cut_lineage(R.rules(nb, self.cases, self.spec, self.by, bidirectional))
         return self._attach_rules(radius, rule_df)
 
@@ -86,12 +89,16 @@ class CaseModel:
             rj = R.rule_joint_counts(rc, spec, by)
         else:
             rj = self.joint.limit(0)
-        rk = build_kernels(R.rule_spec(spec), value_counts(rj, by), vdm(rj, by, dense=False),
-                           self.sigma, by)
-        return CaseModel(spec, by, self.cases, self.joint, self.values, self.vdm_sparse,
-                         self.sigma, self.kernels, radius, rule_df, rc, rj, rk,
+        rm = Metric.of(R.rule_spec(spec), rj, self.sigma, by)
+        return CaseModel(spec, by, self.cases, self.joint, self.values,
+                         self.sigma, self.metric, radius, rule_df, rc, rj, rm,
                          n_cases=self.n_cases, n_rules=rule_df.count(), compress=self.compress)
 
+    def release(self) -> None:
+        """Drop what ``fit`` keeps in memory."""
+        self.cases.unpersist()
+        self.joint.unpersist()
+
     # -------------------------------------------------------------- scoring
     def transform(self, queries: DataFrame, k: int, rno: int | None = None) -> DataFrame:
         """Score query cases; ``(by.., query_id, label, prediction)``.
@@ -137,9 +144,8 @@ class CaseModel:
         joint = spark.read.parquet(f"{path}/joint")
         sig = spark.read.parquet(f"{path}/sigma")
         values = value_counts(joint, by)
-        vs = vdm(joint, by, dense=False)
-        model = cls(spec, by, cases, joint, values, vs, sig,
-                    build_kernels(spec, values, vs, sig, by), n_cases=cases.count())
+        model = cls(spec, by, cases, joint, values, sig, Metric.of(spec, joint, sig, by),
+                    n_cases=cases.count())
         if meta["radius"]:
             model = model._attach_rules(meta["radius"], spark.read.parquet(f"{path}/rules"))
         return model

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.splits import BUCKETS, MUL_ID, MUL_REP
-from .jobs import K, RADIUS, REPS, RNO
+from ..functions.splits import sql_fold, sql_is_train
+from .jobs import K, MISSING, RADIUS, REPS, RNO
 from .sql_forms import Forms, _uniq, query
 
 
@@ -106,8 +106,8 @@ def _antecedents_docs() -> str:
 
 def _index(col: str, name: str, expr: str | None = None) -> str:
     e = expr or col
-    return (f"{name} AS (SELECT {e} AS value, CAST(row_number() OVER (ORDER BY count(*) DESC, "
-            f"{e}) - 1 AS DOUBLE) AS idx FROM tr GROUP BY {e})")
+    return (f"{name} AS (SELECT g, {e} AS value, CAST(row_number() OVER (PARTITION BY g ORDER BY "
+            f"count(*) DESC, {e}) - 1 AS DOUBLE) AS idx FROM tr GROUP BY g, {e})")
 
 
 def _indexed(select: str) -> str:
@@ -121,7 +121,7 @@ def _indexed(select: str) -> str:
 def _prep() -> dict[str, str]:
     f = _f("docs")
     f10 = _f("docs", reps=REPS, split=False)
-    b = f"(cb.id * {MUL_ID} + gs.g * {MUL_REP}) % {BUCKETS}"
+    train = sql_is_train("cb.id", "gs.g")
     return {
         "string_index_docs": _indexed("SELECT tr.id AS doc_id, li.idx AS lang_idx, "
                                       "si.idx AS source_idx"),
@@ -131,12 +131,12 @@ def _prep() -> dict[str, str]:
                                           "si.idx AS x_source, tr.n_chars AS x_n_chars"),
         "drop_missing_docs": query(
             f.base(), "SELECT id AS doc_id, label, lang, source, n_chars FROM cb WHERE "
-            "lang <> '?' AND source <> '?' AND CAST(n_chars AS VARCHAR) <> '?'"),
+            f"lang <> '{MISSING}' AND source <> '{MISSING}' AND CAST(n_chars AS VARCHAR) <> '{MISSING}'"),
         "split_counts_docs": query(
-            f10.base()[:2], f"SELECT gs.g AS rep, CASE WHEN {b} < 700 THEN 'train' ELSE 'test' END "
+            f10.base()[:2], f"SELECT gs.g AS rep, CASE WHEN {train} THEN 'train' ELSE 'test' END "
             f"AS side, count(*) AS n FROM cb CROSS JOIN gs GROUP BY ALL"),
         "kfold_counts_docs": query(
-            f.base()[:1], f"SELECT CAST(((id * {MUL_ID}) % {BUCKETS}) % 10 AS INTEGER) AS fold, "
+            f.base()[:1], f"SELECT {sql_fold('id', 10)} AS fold, "
             f"count(*) AS n FROM cb GROUP BY ALL"),
         "csv_roundtrip_docs": query(
             f.base()[:1], "SELECT CAST(id AS DOUBLE) AS doc_id, CAST(label AS VARCHAR) AS label, "
@@ -147,40 +147,43 @@ def _prep() -> dict[str, str]:
     }
 
 
-def _nb_ctes() -> list[str]:
-    """Multinomial naive Bayes (smoothing 1) over indexed features, argmax with first-max ties."""
-    f = _f("docs")
-    ctes = f.base() + [_index("lang", "li"), _index("source", "si"),
-                       _index("label", "yi", "CAST(label AS VARCHAR)")]
-    x = ("{t}.id AS id, {t}.label AS label, coalesce(li.idx, (SELECT count(*) FROM li)) AS x0, "
-         "coalesce(si.idx, (SELECT count(*) FROM si)) AS x1, {t}.n_chars AS x2")
-    j = (" FROM {t} LEFT JOIN li ON li.value = {t}.lang LEFT JOIN si ON si.value = {t}.source")
+def _nb_ctes(reps: int = 0) -> list[str]:
+    """Multinomial naive Bayes (smoothing 1) over indexed features, argmax with first-max ties;
+    one model a repetition ``g``."""
+    ctes = _f("docs", reps).base() + [_index("lang", "li"), _index("source", "si"),
+                                      _index("label", "yi", "CAST(label AS VARCHAR)")]
+    x = ("{t}.g, {t}.id AS id, {t}.label AS label, coalesce(li.idx, nl.c) AS x0, "
+         "coalesce(si.idx, ns.c) AS x1, {t}.n_chars AS x2")
+    j = (" FROM {t} JOIN (SELECT g, count(*) AS c FROM li GROUP BY g) nl ON nl.g = {t}.g "
+         "JOIN (SELECT g, count(*) AS c FROM si GROUP BY g) ns ON ns.g = {t}.g "
+         "LEFT JOIN li ON li.g = {t}.g AND li.value = {t}.lang "
+         "LEFT JOIN si ON si.g = {t}.g AND si.value = {t}.source")
     ctes += [
         "xtr AS (SELECT yi.idx AS y, " + x.format(t="tr") + j.format(t="tr")
-        + " JOIN yi ON yi.value = CAST(tr.label AS VARCHAR))",
+        + " JOIN yi ON yi.g = tr.g AND yi.value = CAST(tr.label AS VARCHAR))",
         "xte AS (SELECT " + x.format(t="te") + j.format(t="te") + ")",
-        "cc AS (SELECT y, count(*) AS n, sum(x0) AS s0, sum(x1) AS s1, sum(x2) AS s2 "
-        "FROM xtr GROUP BY y)",
-        "nl AS (SELECT count(*) AS c, sum(n) AS nn FROM cc)",
-        "th AS (SELECT y, ln(n + 1.0) - ln(nn + c * 1.0) AS pi, "
+        "cc AS (SELECT g, y, count(*) AS n, sum(x0) AS s0, sum(x1) AS s1, sum(x2) AS s2 "
+        "FROM xtr GROUP BY g, y)",
+        "nl AS (SELECT g, count(*) AS c, sum(n) AS nn FROM cc GROUP BY g)",
+        "th AS (SELECT cc.g, y, ln(n + 1.0) - ln(nn + c * 1.0) AS pi, "
         "ln(s0 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t0, ln(s1 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t1, "
-        "ln(s2 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t2 FROM cc CROSS JOIN nl)",
-        "sc AS (SELECT xte.id, xte.label, th.y, "
-        "t0 * x0 + t1 * x1 + t2 * x2 + pi AS score FROM xte CROSS JOIN th)",
-        "pred AS (SELECT sc.id AS query_id, sc.label, CAST(yi.value AS INTEGER) AS prediction "
-        "FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, y) AS r FROM sc) sc "
-        "JOIN yi ON yi.idx = sc.y WHERE r = 1)",
+        "ln(s2 + 1.0) - ln(s0 + s1 + s2 + 3.0) AS t2 FROM cc JOIN nl ON nl.g = cc.g)",
+        "sc AS (SELECT xte.g, xte.id, xte.label, th.y, "
+        "t0 * x0 + t1 * x1 + t2 * x2 + pi AS score FROM xte JOIN th ON th.g = xte.g)",
+        "pred AS (SELECT sc.g, sc.id AS query_id, sc.label, CAST(yi.value AS INTEGER) AS prediction "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY score DESC, y) AS r FROM sc) sc "
+        "JOIN yi ON yi.g = sc.g AND yi.idx = sc.y WHERE r = 1)",
     ]
     return ctes
 
 
 def _baselines() -> dict[str, str]:
     nb = _nb_ctes()
-    g = [c.replace("pred AS (SELECT sc.id AS query_id,", "pred AS (SELECT 0 AS g, sc.id AS query_id,")
-         for c in nb]
     return {
         "nb_predict_docs": query(nb, "SELECT query_id, label, prediction FROM pred"),
-        "metrics_nb_docs": query(g + Forms.metrics(), f"SELECT {_METRIC_COLS} FROM mt"),
+        "metrics_nb_docs": query(nb + Forms.metrics(), f"SELECT {_METRIC_COLS} FROM mt"),
+        "holdout_nb_docs": query(_nb_ctes(REPS) + Forms.metrics(),
+                                 f"SELECT g AS rep, {_METRIC_COLS}, 'nb' AS method FROM mt"),
     }
 
 
@@ -241,9 +244,10 @@ def oracle_sql() -> dict[str, str]:
         "knn_topk_evt": _knn_topk("evt"),
         "knn_topk_emb": _knn_topk("emb"),
         "knn_topk_ord": _knn_topk("ord"),
-        # loo_neighbors_ord and adapt_predict_ord have no oracle: their plain SQL
-        # materialises 110 M / 140 M candidate rows at sf0.01; they are checked
-        # against the plain blocked search instead (tests/test_properties.py)
+        "loo_neighbors_ord": query(
+            _f("ord").base() + _f("ord").stats() + _f("ord").knn("lo", RADIUS, "tr", True),
+            "SELECT query_id, rank, case_id, distance FROM lo"),
+        "adapt_predict_ord": _adapt_predict("ord"),
         "knn_predict_ord": _knn_predict("ord"),
         "kth_distance_docs": query(
             _f("docs").base() + _f("docs").stats() + _f("docs").knn("nb", K + 1),

@@ -10,7 +10,7 @@ single split) through every step.
 
 from __future__ import annotations
 
-from ..functions.splits import BUCKETS, MUL_ID, MUL_REP
+from ..functions.splits import sql_fold, sql_is_train
 from ..sources import casebases as CB
 
 ONE = "CAST(1 AS DOUBLE)"
@@ -74,7 +74,7 @@ def _vdm_cte(name: str, joint: str, tot: str, cls: str) -> str:
 class Forms:
     """SQL builder for one case base; ``reps`` > 0 adds the repetition key."""
 
-    def __init__(self, cb: str, reps: int = 0, k: int = 5, radius: int = 3, rno: int = 5,
+    def __init__(self, cb: str, reps: int = 0, k: int = 10, radius: int = 10, rno: int = 10,
                  split: bool = True, folds: int = 0):
         self.cb, self.spec, self.reps, self.folds = cb, _SPECS[cb], reps or folds, folds
         self.k, self.radius, self.rno, self.split = k, radius, rno, split
@@ -83,15 +83,15 @@ class Forms:
     def base(self) -> list[str]:
         gs = (f"SELECT CAST(range AS INTEGER) AS g FROM range(0, {self.reps})" if self.reps
               else "SELECT 0 AS g")
-        bucket = f"(cb.id * {MUL_ID} + gs.g * {MUL_REP}) % {BUCKETS}"
+        train = sql_is_train("cb.id", "gs.g")
         ctes = [f"cb AS ({_SOURCES[self.cb]})", f"gs AS ({gs})"]
         if self.folds:
-            fold = f"((cb.id * {MUL_ID}) % {BUCKETS}) % {self.folds}"
+            fold = sql_fold("cb.id", self.folds)
             ctes += [f"tr AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE {fold} <> gs.g)",
                      f"te AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE {fold} = gs.g)"]
         elif self.split:
-            ctes += [f"tr AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE {bucket} < 700)",
-                     f"te AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE {bucket} >= 700)"]
+            ctes += [f"tr AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE {train})",
+                     f"te AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs WHERE NOT ({train}))"]
         else:
             ctes += ["tr AS (SELECT gs.g, cb.* FROM cb CROSS JOIN gs)"]
         return ctes
@@ -107,7 +107,7 @@ class Forms:
                      "cls AS (SELECT DISTINCT g, label FROM tr)",
                      _vdm_cte("vdm", "jt", "tot", "cls")]
         if spec.numeric:
-            cols = ", ".join(f"round(stddev_samp({f}), 6) AS s_{f}" for f in spec.numeric)
+            cols = ", ".join(f"CAST(printf('%.9e', stddev_samp({f})) AS DOUBLE) AS s_{f}" for f in spec.numeric)
             ctes.append(f"sig AS (SELECT g, {cols} FROM tr GROUP BY g)")
         else:
             ctes.append("sig AS (SELECT DISTINCT g FROM tr)")
@@ -127,7 +127,43 @@ class Forms:
                 terms.append(_num_term(f"{q}.{f}", f"{t}.{f}", f"s.s_{f}"))
         return " + ".join(terms), " ".join(joins)
 
+    @property
+    def profiles(self) -> bool:
+        """All features categorical: the SQL compares distinct vectors instead of rows."""
+        return not self.spec.numeric
+
+    def _alike(self, a: str, b: str, pa: str = "", pb: str = "") -> str:
+        return " AND ".join(f"{a}.{pa}{f} = {b}.{pb}{f}" for f in self.spec.order)
+
+    def _top_by_profile(self, name: str, left: str, right: str, key: str, ids: str, keep: str,
+                        k: int, vdm: str) -> list[str]:
+        """``{name}_c``: the k best ``right`` rows of every distinct vector of ``left``, by distance
+        and ``ids``; only the k first rows of equal vectors can be among them."""
+        fs = ", ".join(self.spec.order)
+        expr, joins = self._distance("q", "t", vdm, "v")
+        qf = ", ".join(f"q.{f} AS q_{f}" for f in self.spec.order)
+        tf = ", ".join(f"t.{f} AS t_{f}" for f in self.spec.order)
+        part = f"d.g, d.{key}, " + ", ".join(f"d.q_{f}" for f in self.spec.order)
+        return [
+            f"{name}_r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, {key}, {fs} "
+            f"ORDER BY {ids}) AS nth FROM ({right})) WHERE nth <= {k})",
+            f"{name}_q AS (SELECT DISTINCT g, {key}, {fs} FROM ({left}))",
+            f"{name}_t AS (SELECT DISTINCT g, {key}, {fs} FROM {name}_r)",
+            f"{name}_d AS (SELECT q.g, q.{key}, {qf}, {tf}, sqrt({expr}) AS distance FROM {name}_q q "
+            f"JOIN {name}_t t ON q.g = t.g AND q.{key} = t.{key} {joins})",
+            f"{name}_c AS (SELECT * FROM (SELECT d.*, {keep}, row_number() OVER (PARTITION BY {part} "
+            f"ORDER BY distance, {ids}) AS nr FROM {name}_d d JOIN {name}_r r ON r.g = d.g "
+            f"AND r.{key} = d.{key} AND {self._alike('r', 'd', '', 't_')}) WHERE nr <= {k})"]
+
     def knn(self, name: str, k: int, left: str = "te", loo: bool = False) -> list[str]:
+        if self.profiles:
+            cond = " WHERE q.id <> c.case_id" if loo else ""
+            return self._top_by_profile(
+                name, f"SELECT *, 0 AS one FROM {left}", "SELECT *, 0 AS one, id AS case_id FROM tr",
+                "one", "case_id", "r.case_id", k + 1 if loo else k, "vdm") + [
+                f"{name} AS (SELECT * FROM (SELECT q.g, q.id AS query_id, c.case_id, c.distance, "
+                f"{_rn('q.g, q.id', 'c.distance, c.case_id')} AS rank FROM {left} q JOIN {name}_c c "
+                f"ON c.g = q.g AND {self._alike('q', 'c', '', 'q_')}{cond}) WHERE rank <= {k})"]
         expr, joins = self._distance("q", "t", "vdm", "v")
         cond = " AND q.id <> t.id" if loo else ""
         d = (f"{name}_d AS (SELECT q.g, q.id AS query_id, t.id AS case_id, sqrt({expr}) AS distance "
@@ -184,6 +220,15 @@ class Forms:
     def retrieval(self, sfx: str = "", rno: int | None = None) -> list[str]:
         """Rule distances of every antecedent to the rules of its base label, top ``rno``."""
         rno = rno or self.rno
+        if self.profiles:
+            return self._top_by_profile(
+                f"rt{sfx}", "SELECT *, base_label AS cls FROM an",
+                f"SELECT *, from_label AS cls FROM rc{sfx}", "cls", "src_id, dst_id, direction",
+                "r.src_id, r.dst_id, r.direction, r.to_label", rno, f"rvdm{sfx}") + [
+                f"rt{sfx} AS (SELECT a.g, a.query_id, a.base_id, a.base_rank, c.src_id, c.dst_id, "
+                f"c.direction, c.to_label, c.distance AS rule_distance, CAST(c.nr AS INTEGER) "
+                f"AS rule_rank FROM an a JOIN rt{sfx}_c c ON c.g = a.g AND c.cls = a.base_label "
+                f"AND {self._alike('a', 'c', '', 'q_')})"]
         expr, joins = self._distance("a", "r", f"rvdm{sfx}", "w")
         return [
             f"rd{sfx} AS (SELECT a.g, a.query_id, a.base_id, a.base_rank, r.src_id, r.dst_id, "
@@ -216,7 +261,7 @@ class Forms:
             "pv AS (SELECT g, query_id, case_label AS prediction FROM (SELECT nb.g, nb.query_id, "
             "t.label AS case_label, row_number() OVER (PARTITION BY nb.g, nb.query_id "
             "ORDER BY count(*) DESC, t.label) AS r FROM nb JOIN tr t ON t.g = nb.g "
-            "AND t.id = nb.case_id GROUP BY nb.g, nb.query_id, t.label) WHERE r = 1)")
+            "AND t.id = nb.case_id AND t.label IS NOT NULL GROUP BY nb.g, nb.query_id, t.label) WHERE r = 1)")
         ctes.append(
             "pred AS (SELECT te.g, te.id AS query_id, te.label, pv.prediction FROM te "
             "LEFT JOIN pv ON pv.g = te.g AND pv.query_id = te.id)")

@@ -40,6 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not conf and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a shared folder")
     if not conf:
         conf = tempfile.mkdtemp(prefix="casebase-ckpt-")
     sc.setCheckpointDir(conf)

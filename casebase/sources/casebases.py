@@ -59,6 +59,8 @@ def evt(spark: SparkSession, sf_dir: str) -> tuple[FeatureSpec, DataFrame]:
 
 def emb(spark: SparkSession, sf_dir: str) -> tuple[FeatureSpec, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
+    wide = F.col("embedding").isNull() | (F.size("embedding") == EMB_DIMS)
+    e = e.where(F.assert_true(wide, f"embeddings must have {EMB_DIMS} dimensions").isNull())
     dims = [F.col("embedding").getItem(i).cast("double").alias(f"e{i}") for i in range(EMB_DIMS)]
     return EMB, to_cases(e.select("vec_id", "label", *dims), EMB)
 

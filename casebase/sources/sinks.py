@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Result rows (one per rep and method, or per parameter point).
+def write_results(df: DataFrame, path: str, fmt: str = "csv", run_id: str = "",
+                  started: datetime | None = None) -> None:
+    """Result rows (one per rep and method, or per parameter point), each with the run's
+    id, start (default: now) and end.
 
     ``csv`` writes tab-separated text with a header line like the reference's
-    result file; ``parquet`` keeps types.
+    result file; ``parquet`` keeps types.  The end is the time at which the rows are written.
     """
+    started = started or datetime.now(timezone.utc)
+    rows = df.columns
+    df = df.select(F.lit(run_id).alias("run_id"), F.lit(started).alias("started"),
+                   F.current_timestamp().alias("ended"), *rows)
     w = df.write.mode("overwrite")
     if fmt == "csv":
         w.option("sep", "\t").option("header", "true").csv(path)
@@ -28,10 +36,13 @@ def read_results(spark: SparkSession, path: str, fmt: str = "csv",
     return spark.read.parquet(path)
 
 
-def write_neighbours(nb: DataFrame, path: str, buckets: int = 16) -> None:
-    """O2: neighbour lists as parquet, clustered by a hash bucket of the query."""
+def write_neighbours(nb: DataFrame, path: str, buckets: int | None = None) -> None:
+    """O2: neighbour lists as parquet, clustered by a hash bucket of the query; as many buckets
+    (and write tasks) as shuffle partitions unless given."""
+    if buckets is None:
+        buckets = int(nb.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (nb.withColumn("qbucket", F.pmod(F.xxhash64("query_id"), F.lit(buckets)))
-     .repartition("qbucket").write.mode("overwrite").partitionBy("qbucket").parquet(path))
+     .repartition(buckets, "qbucket").write.mode("overwrite").partitionBy("qbucket").parquet(path))
 
 
 def write_libsvm(df: DataFrame, path: str, label: str = "label_idx",

@@ -16,7 +16,7 @@ def model(spark, micro):
 
 def test_sigma(model):
     row = model.sigma.collect()[0]
-    assert row["feature"] == "f3" and row["sigma"] == round(1.7474471175321524, 6)
+    assert row["feature"] == "f3" and row["sigma"] == round(1.7474471175321524, 9)
 
 
 def test_vdm(model):
@@ -77,9 +77,9 @@ def test_chosen_rules(model, micro):
 
 def test_predictions(model, micro):
     knn = {r.query_id: r.prediction for r in knn_classify(micro[1], model, 3).collect()}
-    eac = {r.query_id: r.prediction for r in adapt_classify(micro[1], model, 2, 3).collect()}
+    adapted = {r.query_id: r.prediction for r in adapt_classify(micro[1], model, 2, 3).collect()}
     assert knn == {100: "P", 101: "N", 102: "P"}
-    assert eac == {100: "P", 101: "N", 102: "P"}
+    assert adapted == {100: "P", 101: "N", 102: "P"}
 
 
 def test_transform_and_roundtrip(spark, micro, tmp_path):

@@ -45,7 +45,7 @@ def test_topk_independent_of_grid(spark, docs):
     right = m.cases.select(F.col(spec.id).alias("case_id"), *spec.order)
     for lrows, rrows in [(7, 11), (1, 3), (10_000, 10_000)]:
         got = blocked_topk(left, right, left_key=["query_id"], right_key=["case_id"], k=5,
-                           kernels=m.kernels, left_block_rows=lrows, right_block_rows=rrows,
+                           kernel=m.metric.kernel, attach=m.metric.attach, left_block_rows=lrows, right_block_rows=rrows,
                            min_groups=1)
         got = sorted(tuple(r) for r in got.select("query_id", "rank", "case_id", "distance")
                      .collect())
