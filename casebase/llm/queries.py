@@ -108,4 +108,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+    return oracles.oracle_sql()
