@@ -10,6 +10,8 @@ single split) through every step.
 
 from __future__ import annotations
 
+import re
+
 from ..functions.splits import sql_fold, sql_is_train
 from ..sources import casebases as CB
 
@@ -177,11 +179,15 @@ class Forms:
         cols = ", ".join(f"a.{f} AS {f}_from, b.{f} AS {f}_to" for f in spec.order)
         lo = f"lo{sfx}"
         ctes = self.knn(lo, radius, left="tr", loo=True)
+        # two steps: with all three sides in one, a and b may be joined first, on g alone
+        own = ", ".join(f"a.{f}" for f in spec.order)
+        ctes.append(
+            f"rla{sfx} AS (SELECT {lo}.*, a.label, {own} FROM {lo} JOIN tr a "
+            f"ON a.g = {lo}.g AND a.id = {lo}.query_id)")
         ctes.append(
-            f"rl{sfx} AS (SELECT {lo}.g, {lo}.query_id AS src_id, {lo}.case_id AS dst_id, "
-            f"0 AS direction, {lo}.rank, a.label AS from_label, b.label AS to_label, {cols} "
-            f"FROM {lo} JOIN tr a ON a.g = {lo}.g AND a.id = {lo}.query_id "
-            f"JOIN tr b ON b.g = {lo}.g AND b.id = {lo}.case_id)")
+            f"rl{sfx} AS (SELECT a.g, a.query_id AS src_id, a.case_id AS dst_id, "
+            f"0 AS direction, a.rank, a.label AS from_label, b.label AS to_label, {cols} "
+            f"FROM rla{sfx} a JOIN tr b ON b.g = a.g AND b.id = a.case_id)")
         enc = []
         for f in spec.order:
             if spec.kind(f) == "cat":
@@ -211,11 +217,12 @@ class Forms:
                 enc.append(f"b.{f} || {SEP} || q.{f} AS {f}")
             else:
                 enc.append(f"b.{f} - q.{f} AS {f}")
+        own = ", ".join(f"q.{f}" for f in spec.order)
         return self.knn("nb", self.k) + [
-            f"an AS (SELECT nb.g, nb.query_id, nb.case_id AS base_id, nb.rank AS base_rank, "
-            f"b.label AS base_label, {', '.join(enc)} FROM nb "
-            f"JOIN te q ON q.g = nb.g AND q.id = nb.query_id "
-            f"JOIN tr b ON b.g = nb.g AND b.id = nb.case_id)"]
+            f"ana AS (SELECT nb.*, {own} FROM nb JOIN te q ON q.g = nb.g AND q.id = nb.query_id)",
+            f"an AS (SELECT q.g, q.query_id, q.case_id AS base_id, q.rank AS base_rank, "
+            f"b.label AS base_label, {', '.join(enc)} FROM ana q "
+            f"JOIN tr b ON b.g = q.g AND b.id = q.case_id)"]
 
     def retrieval(self, sfx: str = "", rno: int | None = None) -> list[str]:
         """Rule distances of every antecedent to the rules of its base label, top ``rno``."""
@@ -296,7 +303,12 @@ class Forms:
         ]
 
 
+# small tables that later steps read more than once
+_KEPT = re.compile(r"(vdm|lo|nb|rla|rl|rc|ana|an|rjt|rtot|rvdm|rt|(lo|nb|rt)(_\d+)?_[rqtc])(_\d+)? AS \(")
+
+
 def query(ctes: list[str], select: str) -> str:
+    ctes = [c.replace(" AS (", " AS MATERIALIZED (", 1) if _KEPT.match(c) else c for c in ctes]
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
