@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import FeatureSpec
+from .bounded import bounded_topk
 from .compressed import profile_topk
 from .topk import blocked_topk
 
@@ -29,6 +30,21 @@ def _payload(spec: FeatureSpec, prefix: str, label_as: str | None) -> dict:
     return out
 
 
+# the same rows either way: cells with bounds pay off for few numbers and many cases (measured on
+# events: 26 s against 17 s at 70,000 cases, but growing far slower than the square)
+BOUNDED_NUMBERS, BOUNDED_CASES = 2, 250_000
+
+
+def _plain_or_bounded(left, right, model, by, k, exclude_self, n_left, lp, rp) -> DataFrame:
+    n, spec = model.n_cases, model.spec
+    bounded = 0 < len(spec.numeric) <= BOUNDED_NUMBERS and n is not None and n >= BOUNDED_CASES
+    keys = {"by" if bounded else "eq": by}
+    return (bounded_topk if bounded else blocked_topk)(
+        left, right, left_key=["query_id"], right_key=["case_id"], k=k, kernel=model.metric.kernel,
+        attach=model.metric.attach, exclude_self=exclude_self, n_left=n_left, n_right=n,
+        left_payload=lp, right_payload=rp, **keys)
+
+
 def nearest(queries: DataFrame, model, k: int, n_queries: int | None = None,
             query_payload: dict | None = None, case_payload: dict | None = None) -> DataFrame:
     """``(by.., query_id, rank, case_id, distance)``, the ``k`` nearest
@@ -46,10 +62,7 @@ def nearest(queries: DataFrame, model, k: int, n_queries: int | None = None,
                            right_key=["case_id"], eq=by, k=k, kernel=model.metric.kernel,
                            attach=model.metric.attach, left_payload=qp, right_payload=cp)
     else:
-        res = blocked_topk(left, right, left_key=["query_id"], right_key=["case_id"], eq=by,
-                           k=k, kernel=model.metric.kernel, attach=model.metric.attach,
-                           n_left=n_queries,
-                           n_right=model.n_cases, left_payload=qp, right_payload=cp)
+        res = _plain_or_bounded(left, right, model, by, k, None, n_queries, qp, cp)
     return res.select(*by, "query_id", "rank", "case_id", "distance", *qp, *cp)
 
 
@@ -70,10 +83,8 @@ def nearest_within(model, radius: int, payload: bool = False) -> DataFrame:
                            kernel=model.metric.kernel, attach=model.metric.attach, left_payload=lp, right_payload=rp,
                            exclude_self=("query_id", "case_id"))
     else:
-        res = blocked_topk(left, right, left_key=["query_id"], right_key=["case_id"], eq=by,
-                           k=radius, kernel=model.metric.kernel, attach=model.metric.attach,
-                           exclude_self=("query_id", "case_id"), n_left=model.n_cases,
-                           n_right=model.n_cases, left_payload=lp, right_payload=rp)
+        res = _plain_or_bounded(left, right, model, by, radius, ("query_id", "case_id"),
+                                model.n_cases, lp, rp)
     return res.select(*by, "query_id", "rank", "case_id", "distance", *lp, *rp)
 
 

@@ -71,7 +71,8 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
                  left_block_rows: int = 4096, right_block_rows: int = 32768,
                  min_groups: int | None = None, n_left: int | None = None,
                  n_right: int | None = None, left_payload: dict | None = None,
-                 right_payload: dict | None = None, weight: str | None = None) -> DataFrame:
+                 right_payload: dict | None = None, weight: str | None = None,
+                 merge: bool = True, within: str | None = None) -> DataFrame:
     """Top-``k`` right rows per left row, by ``(distance, right key)``.
 
     ``attach`` adds the kernel's metric columns to the rows of a side.
@@ -82,6 +83,10 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
     ``(eq.., left_key.., left payload.., right_key.., right payload.., distance,
     rank)``.
 
+    With ``merge=False`` the winners of the blocks are returned as they are, each with its
+    rank in its block, for a caller that ranks them itself; ``within`` names a left column with
+    the largest distance that matters.
+
     With ``weight`` (a right column), right rows are profiles standing for
     that many cases: each left row keeps the profiles up to the distance at
     which the cumulative weight reaches ``k`` (see ``topk_weighted``); the
@@ -148,6 +153,9 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
             else:
                 rows, cols, vals = topk_weighted(d, rpdf[weight].to_numpy(np.float64), k)
                 rank = np.zeros(len(rows), dtype=np.int32)
+            if within is not None:
+                near = vals <= lch[within].to_numpy(dtype=np.float64)[rows]
+                rows, cols, vals, rank = rows[near], cols[near], vals[near], rank[near]
             part = {}
             for i, c in enumerate(eq):
                 part[c] = [key[i]] * len(rows)
@@ -167,7 +175,7 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
     winners = (L.groupBy(*eq, "_lb", "_rb")
                .cogroup(R.groupBy(*eq, "_lb", "_rb"))
                .applyInPandas(run, schema=out_schema))
-    if rb == 1 or weight is not None:
+    if rb == 1 or weight is not None or not merge:
         # one right block: every left row met all right rows in a single group,
         # so the per-group ranking is already final (no merge shuffle)
         return winners
