@@ -41,7 +41,8 @@ HEAD, SLOT = "<qii", "<q"                  # fixed formats: key, part, tokens; s
 HEAD_SIZE, SLOT_SIZE = struct.calcsize(HEAD), struct.calcsize(SLOT)
 NO_KEY = -2**63
 ROUNDS = 4
-PRESS = 6                                  # zstd level of what is held or shuffled
+PRESS = 9                                  # zstd level of what is held or shuffled
+PACK = 4 << 20                             # bytes of ids in a row of the token table
 HELD = 32 << 20                            # bytes of sequences that a task packs together
 
 
@@ -85,7 +86,8 @@ class Feistel:
 
 def tokenised(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], *,
               key: str = "doc_id", text: str = "text", id_bytes: int = 2) -> DataFrame:
-    """``(key, n_tokens, ids)`` of every document with tokens; the ids are compressed.
+    """``(keys, counts, ids)``: documents with tokens, their token counts, and their ids one after
+    the other, compressed; as many documents a row as make about PACK bytes.
 
     ``encoder()`` is called once a task and returns the function from a text to ids.
     """
@@ -94,8 +96,17 @@ def tokenised(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, press = encoder(), zstandard.ZstdCompressor(level=PRESS).compress
+        keys, parts, size = [], [], 0
+
+        def packed():
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([list(keys)], pa.list_(pa.int64())),
+                 pa.array([[len(x) // id_bytes for x in parts]], pa.list_(pa.int64())),
+                 pa.array([press(b"".join(parts))], pa.binary())], ["keys", "counts", "ids"])
+            keys.clear()
+            parts.clear()
+            return row
         for b in batches:
-            keys, counts, packed = [], [], []
             for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.asarray(encode(x.as_py() or ""))
                 if not len(ids):
@@ -103,14 +114,16 @@ def tokenised(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]
                 if int(ids.max()) >= 256 ** id_bytes:
                     raise ValueError(f"an id does not fit {id_bytes} bytes")
                 keys.append(k)
-                counts.append(len(ids))
-                packed.append(press(ids.astype(kind).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
-                ["key", "n_tokens", "ids"])
+                parts.append(ids.astype(kind).tobytes())
+                size += len(parts[-1])
+                if size >= PACK:
+                    yield packed()
+                    size = 0
+        if keys:
+            yield packed()
 
     return (docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_x"))
-            .mapInArrow(run, "key long, n_tokens long, ids binary"))
+            .mapInArrow(run, "keys array<long>, counts array<long>, ids binary"))
 
 
 def materialise(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], folder: str, *,
@@ -121,7 +134,8 @@ def materialise(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarra
     # a written table: its partitions and their rows stay as they are from here on
     rows = cut_lineage(tokenised(docs, encoder, key=key, text=text, id_bytes=id_bytes))
     rows = rows.withColumns({"at": F.monotonically_increasing_id(),
-                             "parts": F.expr(f"(n_tokens + {length - 1}) div {length}")})
+                             "parts": F.expr(f"aggregate(counts, 0L, (a, c) -> "
+                                             f"a + (c + {length - 1}) div {length})")})
     sums = (rows.groupBy(F.expr("shiftright(at, 33)").cast("int").alias("p"))
             .agg(F.sum("parts").alias("n")).collect())             # a number a partition
     n = sum(r.n for r in sums)
@@ -147,19 +161,21 @@ def materialise(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarra
             return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()),
                                                pa.array(out, pa.binary())], ["shard", "blob"])
         for b in batches:
-            keys, ids, at, parts = (b.column(i).to_pylist() for i in range(4))
-            if number is None and keys:
-                number = int(starts.value[at[0] >> 33])            # tasks read partitions whole
-            slots = order.slot(np.arange(number, number + sum(parts))).tolist() if keys else []
-            number, i = (number or 0) + len(slots), 0
-            for k, x, m in zip(keys, ids, parts, strict=True):
-                raw = open_ids(x)
-                for part in range(m):
-                    body = raw[part * length * id_bytes:(part + 1) * length * id_bytes]
-                    held.setdefault(slots[i] // shard_slots, []).append(
-                        struct.pack(SLOT, slots[i]) + struct.pack(HEAD, NO_KEY if k is None else k, part,
-                                                        len(body) // id_bytes) + body)
-                    size, i = size + len(body), i + 1
+            for keys, counts, ids, at, parts in zip(*(b.column(i).to_pylist() for i in range(5)),
+                                                    strict=True):
+                if number is None:
+                    number = int(starts.value[at >> 33])           # tasks read partitions whole
+                slots = order.slot(np.arange(number, number + parts)).tolist()
+                number, i, raw, begin = number + parts, 0, open_ids(ids), 0
+                for k, n_tokens in zip(keys, counts, strict=True):
+                    for part, p in enumerate(range(0, n_tokens, length)):
+                        m = min(length, n_tokens - p)
+                        body = raw[begin + p * id_bytes:begin + (p + m) * id_bytes]
+                        held.setdefault(slots[i] // shard_slots, []).append(
+                            struct.pack(SLOT, slots[i])
+                            + struct.pack(HEAD, NO_KEY if k is None else k, part, m) + body)
+                        size, i = size + len(body), i + 1
+                    begin += n_tokens * id_bytes
                 if size >= HELD:
                     yield packed()
                     size = 0
@@ -193,7 +209,7 @@ def materialise(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarra
             [pa.array([path]), pa.array([shard * shard_slots], pa.int64()), pa.array([seen], pa.int64())],
             ["path", "first_slot", "n_slots"])
 
-    dealt = rows.select("key", "ids", "at", "parts").mapInArrow(deal, "shard int, blob binary")
+    dealt = rows.select("keys", "counts", "ids", "at", "parts").mapInArrow(deal, "shard int, blob binary")
     return cut_lineage(dealt.repartitionById(count, F.col("shard")).mapInArrow(
         write, "path string, first_slot long, n_slots long"))
 
