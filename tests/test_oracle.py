@@ -10,7 +10,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 _DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
-TABLES = ["customer", "events", "documents", "embeddings", "labels", "lineitem", "orders"]
+TABLES = ["customer", "events", "documents", "embeddings", "labels", "lineitem", "orders", "pages"]
 
 
 def _norm(v):
