@@ -24,6 +24,7 @@ NAMES = [
     "kfold_counts_docs", "csv_roundtrip_docs", "libsvm_roundtrip_docs", "model_roundtrip_docs",
     "neighbours_sink_docs", "results_sink_docs",
     "sweep_docs", "sweep_best_docs", "nb_predict_docs", "metrics_nb_docs", "lr_predict_docs", "tvs_predict_docs",
+    "tvs_cases_docs", "tvs_grid_docs", "lr_cases_docs", "holdout_lr_counts_docs",
     "rf_tune_small_docs", "rf_cv_docs", "rf_cv_report_docs", "metrics_rf_docs",
 ]
 

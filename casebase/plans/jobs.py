@@ -395,10 +395,38 @@ def rf_tune_small_docs(spark, sf):
     return _rf(spark, sf, True)[0]
 
 
-def tvs_predict_docs(spark, sf):
+def _tvs(spark, sf):
     from .baselines import random_forest_tvs
-    spec, train, test = _baseline_sides(spark, sf)
-    return random_forest_tvs(train, test, spec)[0]
+    key = _key(spark, sf, "tvs")
+    if key not in _CACHE:
+        spec, train, test = _baseline_sides(spark, sf)
+        _CACHE[key] = random_forest_tvs(train, test, spec)
+    return _CACHE[key]
+
+
+def tvs_predict_docs(spark, sf):
+    return _tvs(spark, sf)[0]
+
+
+def tvs_cases_docs(spark, sf):
+    """The queries that the tuned forest has a prediction for: all, once."""
+    return tvs_predict_docs(spark, sf).where("prediction IS NOT NULL").select("query_id", "label")
+
+
+def tvs_grid_docs(spark, sf):
+    """The grid points of the report that have a metric: all, once."""
+    report = _tvs(spark, sf)[1]
+    return report.where("avg_metric BETWEEN 0 AND 1").select(
+        "num_trees", "max_depth", "max_bins", "impurity")
+
+
+def lr_cases_docs(spark, sf):
+    """The queries that the logistic model has a prediction for: all, once."""
+    return lr_predict_docs(spark, sf).where("prediction IS NOT NULL").select("query_id", "label")
+
+
+def holdout_lr_counts_docs(spark, sf):
+    return holdout_lr_docs(spark, sf).select("rep", "n_test", "method")
 
 
 def metrics_nb_docs(spark, sf):

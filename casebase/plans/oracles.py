@@ -178,8 +178,20 @@ def _nb_ctes(reps: int = 0) -> list[str]:
 
 
 def _baselines() -> dict[str, str]:
+    from .baselines import RF_GRID
     nb = _nb_ctes()
+    cases = query(_f("docs").base(), "SELECT id AS query_id, label FROM te")
+    points = " CROSS JOIN ".join(
+        f"(VALUES {', '.join(f'({v!r})' for v in RF_GRID[name])}) {name}(v)" for name in RF_GRID)
     return {
+        "tvs_cases_docs": cases,
+        "lr_cases_docs": cases,
+        "tvs_grid_docs": "SELECT CAST(numTrees.v AS INTEGER) AS num_trees, CAST(maxDepth.v AS INTEGER) "
+                         "AS max_depth, CAST(maxBins.v AS INTEGER) AS max_bins, impurity.v AS impurity "
+                         f"FROM {points}",
+        "holdout_lr_counts_docs": query(
+            _f("docs", REPS).base(),
+            "SELECT g AS rep, count(*) AS n_test, 'lr' AS method FROM te GROUP BY g"),
         "nb_predict_docs": query(nb, "SELECT query_id, label, prediction FROM pred"),
         "metrics_nb_docs": query(nb + Forms.metrics(), f"SELECT {_METRIC_COLS} FROM mt"),
         "holdout_nb_docs": query(_nb_ctes(REPS) + Forms.metrics(),
