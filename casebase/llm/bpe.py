@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 
 CHUNK_BYTES = 400_000        # bytes of distinct pieces in one recursive query
-CACHE_ENTRIES = 250_000      # remembered pieces of a worker (about 50 MB each way)
+CACHE_ENTRIES = 400_000      # remembered pieces of a worker (about 80 MB each way)
 GROUP_BYTES = 4_000_000      # bytes of texts or ids that are worked on together
 CACHE_LEN = 64               # longer pieces are not remembered
 LONG_PIECE = 48              # pieces above this contract equal ranks together
@@ -265,6 +266,14 @@ class Codec:
                 for x in "".join(got.column("chars").to_pylist()).split(_END)]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about GROUP_BYTES of its second column."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+    group = np.cumsum(size.astype(np.int64)) // GROUP_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 def _groups(rows: list) -> Iterator[list]:
     """The rows in runs of about GROUP_BYTES; bounds what a batch takes in memory."""
     at = size = 0
@@ -312,7 +321,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole)):
             got = c.decode([x or b"" for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())],
                                              ["_k", "_b"])
@@ -335,7 +344,7 @@ def _apply(docs, path, pattern, key, text, digests, with_ids=True):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole)):
             ids = c.encode(b.column(1).to_pylist())
             if not digests:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())],

@@ -23,13 +23,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     """All of ``rows`` if they are at most ``bound``, else about ``bound`` of them by
-    key hash (never more than twice as many): the documented sample of a fit."""
+    key hash: the documented sample of a fit.  If few keys hold most rows, so that the
+    hash keeps more than twice as many, those are thinned out at random (with a seed)."""
     n = rows.count()
     if n <= bound:
         return rows
     cut = max(1, int(2**31 * bound / n))
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(2**31)) < cut
-    return rows.where(part).limit(2 * bound)
+    part = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(2**31)) < cut)
+    m = part.count()
+    return part if m <= 2 * bound else part.where(F.rand(7) < bound / m)
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

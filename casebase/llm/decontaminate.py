@@ -51,7 +51,7 @@ million billion
 LITERAL, NUM, NAME, UNIT, NONE = 0, 1, 2, 3, -1
 MARK = np.array([0, 11, 13, 17], dtype=np.uint64)        # hashes of the placeholders
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 400_000                                          # words that a worker remembers
+CACHE = 200_000                                          # words that a worker remembers
 SLICE = 1_000_000                                        # characters read at once
 BLANK = re.compile(r"\s")
 

@@ -33,7 +33,7 @@ from .common import bounded_sample
 
 UND = "und"
 SLICE = 1_000_000            # characters read at once
-CACHE = 500_000              # scored words that a worker remembers
+CACHE = 250_000              # scored words that a worker remembers
 ALPHA = 0.5                  # added to every count
 
 

@@ -204,8 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
              .agg(F.min(label).alias("y"), F.max(label).alias("_max")).where("y = _max").drop("_max"))
     sample = bounded_sample(clean, "_k", fit_rows)         # at most 2 * fit_rows keys
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).join(
-        F.broadcast(sample), "_k").limit(2 * fit_rows)
-    got = sorted((tuple(r.x), r.y) for r in _features(rows, "_x", ["y"]).collect())
+        F.broadcast(sample), "_k")
+    # one row a key, should documents repeat a key
+    one = _features(rows, "_x", ["_k", "y"]).groupBy("_k").agg(F.min(F.struct("x", "y")).alias("r"))
+    got = sorted((tuple(r.x), r.y) for r in one.select("r.*").collect())
     x = np.array([v for v, _ in got], dtype=np.float64).reshape(-1, len(FEATURES))
     return train(x, np.array([v for _, v in got], dtype=np.float64), **options)
 
