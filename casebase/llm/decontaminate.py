@@ -15,6 +15,13 @@ Only windows whose hash is in the benchmark leave the scan: the set of those has
 to the tasks if it has at most ``sent_hashes`` entries; a larger one is met by a
 shuffled semi-join on the same rows, with the same result.
 
+Edits that change the number of tokens: windows are also taken with every run of names
+and every run of numbers and units as one placeholder ("New York" meets "Boston", "60 km"
+meets "60km").  Of an item that no single alignment reveals, the windows of one place of
+the document (gaps of at most ``GAP`` windows) are chained over all alignments, both
+positions ascending; the slots must be consistent over the chain, and its windows must
+cover as many tokens.  No token of the document stands for two of the item.
+
 Defined cases: NULL, empty or blank texts have no windows; items of fewer tokens than
 a window are compared as one window of their own length; items without enough
 literals never match; repeated rows, also with a NULL key, give one row for each key
@@ -25,6 +32,7 @@ read whole, in slices.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +61,7 @@ MARK = np.array([0, 11, 13, 17], dtype=np.uint64)        # hashes of the placeho
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 200_000                                          # words that a worker remembers
 SLICE = 1_000_000                                        # characters read at once
+GAP = 2                                                  # windows between the parts of a chain
 BLANK = re.compile(r"\s")
 
 
@@ -133,6 +142,10 @@ class Template:
         after[1:] = self.kind[:-1] == NUM
         self.kind[after & np.concatenate(units)] = UNIT
         self.hash = np.where(self.kind == LITERAL, value, MARK[self.kind])
+        # runs of names, and of numbers with units, as one placeholder
+        self.run = np.where(self.kind == UNIT, np.int8(NUM), self.kind)
+        self.starts = np.ones(len(self.kind), bool)
+        self.starts[1:] = (self.run[1:] == LITERAL) | (self.run[1:] != self.run[:-1])
         self.shown: tuple[int, list[str]] = (-1, [])
 
     def word(self, i: int) -> str:
@@ -144,69 +157,99 @@ class Template:
 
     def windows(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, hashes) of the windows of n tokens that have enough literals."""
-        if len(self.kind) < n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        m = len(self.kind) - n + 1
-        total = np.zeros(m, np.uint64)
-        for i in range(n):
-            total = total * BASE + self.hash[i:i + m]
-        total ^= total >> np.uint64(29)
-        count = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        keep = np.flatnonzero(count[n:] - count[:-n] >= literals)
-        return keep, total[keep]
-
-    def describe(self, at: int, n: int) -> tuple[str, list[dict]]:
-        """The template as text, and its slots."""
+        return _windows(self.hash, self.kind == LITERAL, n, literals)
+
+    def merged(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, hashes, tokens) of such windows with a run of several tokens in them."""
+        at = np.flatnonzero(self.starts)
+        kind = self.run[at]
+        pos, h = _windows(np.where(kind == LITERAL, self.hash[at], MARK[kind]), kind == LITERAL,
+                          n, literals)
+        span = np.append(at, len(self.kind))[pos + n] - at[pos]
+        keep = np.flatnonzero(span > n)
+        return at[pos[keep]], h[keep], span[keep]
+
+    def shapes(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, hashes, tokens) of the windows of both kinds."""
+        pos, h = self.windows(n, literals)
+        found = (pos, h, np.full(len(pos), n)), self.merged(n, literals)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def describe(self, at: int, n: int, span: int | None = None) -> tuple[str, list[dict]]:
+        """The template as text, and its slots; runs are merged if ``span`` is not ``n``."""
         text, slots = [], []
-        for i in range(at, at + n):
-            kind, word = int(self.kind[i]), self.word(i)
+        merge = span is not None and span != n
+        for i in range(at, at + (n if span is None else span)):
+            kind, word = int(self.run[i] if merge else self.kind[i]), self.word(i)
+            if merge and i > at and not self.starts[i]:
+                slots[-1]["value"] += word if self.kind[i] == UNIT else " " + word
+                continue
             text.append(word if kind == LITERAL else f"<{kind}>")
             if kind != LITERAL:
                 slots.append({"k": i - at, "kind": kind, "value": word})
         return " ".join(text), slots
 
 
+def _windows(tokens: np.ndarray, literal: np.ndarray, n: int,
+             literals: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(tokens) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    m = len(tokens) - n + 1
+    total = np.zeros(m, np.uint64)
+    for i in range(n):
+        total = total * BASE + tokens[i:i + m]
+    total ^= total >> np.uint64(29)
+    count = np.concatenate([[0], np.cumsum(literal)])
+    keep = np.flatnonzero(count[n:] - count[:-n] >= literals)
+    return keep, total[keep]
+
+
 def _need(n: int, window: int, literals: int) -> int:
     return literals if n == window else -(-n * literals // window)
 
 
 def item_windows(items: DataFrame, item: str, text: str, window: int, literals: int) -> DataFrame:
-    """``(item, n_tokens, n, hash, j, template, slots)`` of the benchmark."""
+    """``(item, n_tokens, n, hash, j, item_span, template, slots)`` of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, rows = Lexicon(), []
         for b in batches:
             for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = Template(x, lexicon)
-                n = min(window, len(t.kind))
-                if n == 0:
+                if len(t.kind) == 0:
                     continue
-                for j, h in zip(*(a.tolist() for a in t.windows(n, _need(n, window, literals))),
-                                strict=True):
-                    shape, slots = t.describe(j, n)
-                    rows.append((key, len(t.kind), n, h - 2**64 if h >= 2**63 else h, j, shape, slots))
-        cols = list(zip(*rows, strict=True)) or [()] * 7
+                n = min(window, len(t.kind))
+                short = min(window, int(t.starts.sum()))
+                pos, h = t.windows(n, _need(n, window, literals))
+                found = [(n, *x, n) for x in zip(pos.tolist(), h.tolist(), strict=True)]
+                found += [(short, *x) for x in zip(
+                    *(a.tolist() for a in t.merged(short, _need(short, window, literals))), strict=True)]
+                for size, j, v, span in found:
+                    shape, slots = t.describe(j, size, span)
+                    rows.append((key, len(t.kind), size, v - 2**64 if v >= 2**63 else v, j, span,
+                                 shape, slots))
+        cols = list(zip(*rows, strict=True)) or [()] * 8
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(cols, _TYPES, strict=True)], _NAMES)
 
     kind = items.schema[item].dataType.simpleString()
-    _TYPES = [None, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(),
+    _TYPES = [None, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(),
               pa.list_(pa.struct([("k", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))]
     _TYPES[0] = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    _NAMES = ["item", "n_tokens", "n", "hash", "j", "template", "slots"]
+    _NAMES = ["item", "n_tokens", "n", "hash", "j", "item_span", "template", "slots"]
     return (items.select(F.col(item).alias("_i"), F.col(text).alias("_x"))
-            .mapInArrow(run, f"item {kind}, n_tokens int, n int, hash long, j int, template string, "
-                             "slots array<struct<k:int,kind:int,value:string>>"))
+            .mapInArrow(run, f"item {kind}, n_tokens int, n int, hash long, j int, item_span int, "
+                             "template string, slots array<struct<k:int,kind:int,value:string>>"))
 
 
 def _scan(docs: DataFrame, text: str, sizes: list[int], window: int, literals: int,
           known: np.ndarray | None) -> DataFrame:
-    """``(content, n, hash, i, template, slots)``: windows of the texts, only those with a
+    """``(content, n, hash, i, span, template, slots)``: windows of the texts, only those with a
     known hash if ``known`` is given; ``content`` is the text's hash."""
     spark = docs.sparkSession
     sent = None if known is None else spark.sparkContext.broadcast(np.sort(known.view(np.uint64)))
-    names = ["content", "n", "hash", "i", "template", "slots"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(),
+    names = ["content", "n", "hash", "i", "span", "template", "slots"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(),
              pa.list_(pa.struct([("k", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,22 +263,23 @@ def _scan(docs: DataFrame, text: str, sizes: list[int], window: int, literals: i
             for key, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = Template(x.as_py(), lexicon)
                 for n in sizes:
-                    pos, h = t.windows(n, _need(n, window, literals))
+                    pos, h, span = t.shapes(n, _need(n, window, literals))
                     if table is not None:
                         maybe = np.flatnonzero(quick[(h >> np.uint64(44)).astype(np.int64)])
                         if len(maybe):
                             p = np.minimum(np.searchsorted(table, h[maybe]), len(table) - 1)
                             maybe = maybe[table[p] == h[maybe]]
-                        pos, h = pos[maybe], h[maybe]
-                    for i, v in zip(pos.tolist(), h.view(np.int64).tolist(), strict=True):
-                        rows.append((key, n, v, i, *t.describe(i, n)))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+                        pos, h, span = pos[maybe], h[maybe], span[maybe]
+                    for i, v, m in zip(pos.tolist(), h.view(np.int64).tolist(), span.tolist(),
+                                       strict=True):
+                        rows.append((key, n, v, i, m, *t.describe(i, n, m)))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return (docs.select(F.xxhash64(F.col(text)).alias("_c"), F.col(text).alias("_x"))
-            .mapInArrow(run, "content long, n int, hash long, i int, template string, "
-                             "slots array<struct<k:int,kind:int,value:string>>"))
+            .mapInArrow(run, "content long, n int, hash long, i int, span int, "
+                             "template string, slots array<struct<k:int,kind:int,value:string>>"))
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -245,6 +289,113 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
     return out.drop(*["_k_" + c for c in keys])
 
 
+def _segments(wins: list[tuple]) -> list[list[tuple]]:
+    """Windows of one alignment that touch are one segment; merged ones stand alone."""
+    out, last = [], {}
+    for w in wins:
+        i, span, j, item_span = w[:4]
+        part = last.get(i - j) if span == item_span else None
+        if part is not None and i <= part[-1][0] + part[-1][1]:
+            part.append(w)
+            continue
+        out.append([w])
+        if span == item_span:
+            last[i - j] = out[-1]
+    return sorted(out, key=lambda x: (x[0][0], x[-1][0] + x[-1][1], x[0][2], x[-1][2] + x[-1][3]))
+
+
+def _gain(i0, i1, j0, j1, slack, i_end, j_end):
+    """Item tokens that [j0, j1) adds after j_end, if [i0, i1) has as many after i_end."""
+    return np.minimum(j1 - np.maximum(j0, j_end), i1 - np.maximum(i0, i_end) + slack)
+
+
+def _chains(parts: list[list[tuple]], reach: int, need: int) -> Iterator[list[tuple]]:
+    """Chains of segments, both positions ascending, that cover most; no segment twice."""
+    i0, j0 = (np.array([x[0][k] for x in parts]) for k in (0, 2))
+    i1, j1 = (np.array([x[-1][k] + x[-1][k + 1] for x in parts]) for k in (0, 2))
+    slack = np.maximum(0, (j1 - j0) - (i1 - i0))
+    best, before = (j1 - j0).astype(float), np.full(len(parts), -1)
+    first = np.searchsorted(i0, i0 - reach - int((i1 - i0).max()))
+    for b in range(len(parts)):
+        a = slice(first[b], b)
+        gain = _gain(i0[b], i1[b], j0[b], j1[b], slack[b], i1[a], j1[a])
+        fits = ((i1[a] >= i0[b] - reach) & (i1[a] <= i1[b]) & (j0[a] <= j0[b])
+                & (j1[a] <= j1[b]) & (gain > 0))
+        if fits.any():           # of equal chains the one with the smaller jumps
+            jump = np.abs((i0[b] - j0[b]) - (i1[a] - j1[a]))
+            total = np.where(fits, best[a] + gain - 0.5 * jump / (1 + jump) / len(parts), -1)
+            if total.max() > best[b]:
+                before[b], best[b] = first[b] + int(total.argmax()), total.max()
+    used = np.zeros(len(parts), bool)
+    for b in np.argsort(-best, kind="stable").tolist():
+        if best[b] <= need - 1:
+            break
+        chain = []
+        while b >= 0 and not used[b]:
+            used[b] = True
+            chain.append(parts[b])
+            b = int(before[b])
+        if chain:
+            yield [w for x in reversed(chain) for w in x]
+
+
+def _consistent(chain: list[tuple]) -> tuple[int, int]:
+    """(covered item tokens, replaced values) of the windows whose slots agree."""
+    pairs = [[(p["k"] + w[2], p["kind"], q["value"], p["value"])
+              for p, q in zip(w[5], w[4], strict=True)] for w in chain]
+    votes = Counter((kind, mine, theirs) for x in pairs for _, kind, mine, theirs in x)
+    mine_of, theirs_of = {}, {}
+    for (kind, mine, theirs), n in votes.items():
+        theirs_of[kind, mine] = max(theirs_of.get((kind, mine), (0, "")), (n, theirs))
+        mine_of[kind, theirs] = max(mine_of.get((kind, theirs), (0, "")), (n, mine))
+    covered = i_end = j_end = 0
+    plain, merged = {}, {}
+    for (i, span, j, item_span, *_), x in zip(chain, pairs, strict=True):
+        if any(theirs_of[kind, mine][1] != theirs or mine_of[kind, theirs][1] != mine
+               for _, kind, mine, theirs in x):
+            continue
+        gain = int(_gain(i, i + span, j, j + item_span, max(0, item_span - span), i_end, j_end))
+        if gain > 0:
+            covered, i_end, j_end = covered + gain, max(i_end, i + span), max(j_end, j + item_span)
+        (plain if span == item_span else merged).update((p, v) for p, *v in x)
+    return covered, len({tuple(v) for v in (merged | plain).values() if v[1] != v[2]})
+
+
+def _chained(pairs: DataFrame, window: int, min_tokens: int) -> DataFrame:
+    """``(content, item, covered, item_tokens, replaced)`` of the chains that cover enough."""
+    kind = pairs.schema["item"].dataType.simpleString()
+    schema = f"content long, item {kind}, covered int, item_tokens int, replaced int"
+    found = (pairs.groupBy("content", "item")
+             .agg(F.max("n_tokens").alias("item_tokens"),
+                  (F.max(F.expr("j + item_span")) - F.min("j")).alias("width"),
+                  F.collect_list(F.struct("i", "span", "j", "item_span", "slots",
+                                          "item_slots")).alias("wins"))
+             .where(F.col("width") >= F.least(F.lit(min_tokens), F.col("item_tokens")))
+             .select("content", "item", "item_tokens", "wins"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            picked, figures = [], []
+            for at in range(b.num_rows):
+                size = b.column(2)[at].as_py()
+                need = min(min_tokens, size)
+                wins = sorted((tuple(w.values()) for w in b.column(3)[at].as_py()),
+                              key=lambda w: (w[0], w[1], w[2], w[3]))
+                for chain in _chains(_segments(wins), GAP * window, need):
+                    covered, replaced = _consistent(chain)
+                    if covered >= need:
+                        picked.append(at)
+                        figures.append((covered, size, replaced))
+                        break
+            rows = b.select([0, 1]).take(pa.array(picked, pa.int64()))
+            cols = list(zip(*figures, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, *(pa.array(c, pa.int32()) for c in cols)],
+                ["content", "item", "covered", "item_tokens", "replaced"])
+
+    return found.mapInArrow(run, schema)
+
+
 def contaminated_contents(docs: DataFrame, items: DataFrame, *, text: str = "text",
                           item: str = "item_id", item_text: str = "text", window: int = 8,
                           literals: int = 5, min_tokens: int = 13,
@@ -259,9 +410,11 @@ def contaminated_contents(docs: DataFrame, items: DataFrame, *, text: str = "tex
     hits = _scan(docs, text, sizes, window, literals, known)
     if not few:
         hits = hits.join(keys, "hash", "left_semi")
-    hits = cut_lineage(hits.dropDuplicates(["content", "n", "i"]))
-    pairs = hits.join(bench.withColumnRenamed("slots", "item_slots"), ["n", "hash", "template"])
-    pairs = pairs.withColumn("shift", F.col("i") - F.col("j"))
+    hits = cut_lineage(hits.dropDuplicates(["content", "n", "i", "span"]))
+    every = hits.join(bench.withColumnRenamed("slots", "item_slots"), ["n", "hash", "template"])
+    pairs = (every.where((F.col("span") == F.col("n")) & (F.col("item_span") == F.col("n"))
+                         & (F.col("n") == F.least(F.lit(window), F.col("n_tokens"))))
+             .withColumn("shift", F.col("i") - F.col("j")))
     line = ["content", "item", "shift"]
     slot = (pairs.select(*line, "i", F.explode(F.arrays_zip("slots", "item_slots")).alias("z"))
             .select(*line, "i", F.col("z.slots.kind").alias("kind"),
@@ -285,10 +438,13 @@ def contaminated_contents(docs: DataFrame, items: DataFrame, *, text: str = "tex
     found = _join(found, changed, line, "left")
     # of several alignments the one that covers most, and then replaces least
     best = F.max(F.struct("covered", (-F.coalesce("replaced", F.lit(0))).alias("kept")))
-    return (found.groupBy("content", "item")
-            .agg(best.alias("best"), F.max("item_tokens").alias("item_tokens"))
-            .select("content", "item", F.col("best.covered").alias("covered_tokens"), "item_tokens",
-                    (-F.col("best.kept")).alias("replaced_slots")))
+    single = cut_lineage(
+        found.groupBy("content", "item")
+        .agg(best.alias("best"), F.max("item_tokens").alias("item_tokens"))
+        .select("content", "item", F.col("best.covered").alias("covered_tokens"), "item_tokens",
+                (-F.col("best.kept")).alias("replaced_slots")))
+    rest = _join(every, single.select("content", "item"), ["content", "item"], "left_anti")
+    return single.union(_chained(rest, window, min_tokens))
 
 
 def contaminations(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text",

@@ -131,3 +131,40 @@ def test_slices_change_nothing(monkeypatch):
     assert len(cut.parts) > 50
     assert (cut.kind == whole.kind).all() and (cut.hash == whole.hash).all()
     assert cut.describe(100, 8) == whole.describe(100, 8)
+
+
+def _found(spark, texts, item=ITEM, **options):
+    """The numbers of the texts in which the item is found."""
+    pad = "some other words that nobody has ever asked about in this place "
+    docs = [(k, pad + x + " " + pad, "x") for k, x in enumerate(texts)]
+    return {d for d, *_ in _run(spark, docs, [(1, item)], **options)}
+
+
+SHORT = "the fast train from Boston needs about 60km of free track before it can stop there safely"
+
+
+def test_edits_that_change_the_number_of_tokens(spark):
+    middle = "a passage of many plain old words that another word in the middle cuts in two equal parts"
+    assert _found(spark, [middle.replace("another", "another short"),
+                          middle.replace("another ", "")], middle) == {0, 1}
+    texts = [SHORT.replace("Boston", "New York"), SHORT.replace("60km", "60 km"),
+             SHORT.replace("60km", "sixty five km"),
+             SHORT.replace("Boston", "New York").replace("60km of", "60km or so of"),
+             SHORT.replace("Boston", "Salt Lake City").replace("60km", "75 km")]
+    assert _found(spark, texts, SHORT) == {0, 1, 2, 3, 4}
+    assert _found(spark, texts, SHORT, sent_hashes=0) == {0, 1, 2, 3, 4}
+    assert _found(spark, [SHORT], SHORT.replace("Boston", "New York")) == {0}
+
+
+def test_chains_are_of_one_place_in_order_and_consistent(spark):
+    a = "first we look at all the old red houses near"
+    b = "then they walk along a long green river again"
+    pad = " some other words that nobody has ever asked about in this place" * 3 + " "
+    item = a + " " + b
+    assert _found(spark, [a + " and " + b, b + " and " + a, a + pad + b, a], item) == {0}
+    # one repeated phrase of the document does not stand for three of the item
+    phrase = "over and over we go round "
+    assert _found(spark, [phrase * 2, phrase * 6], phrase * 6) == {1}
+    # six people for one, with an inserted word
+    assert _found(spark, [MIXED.replace("cake", "good cake"),
+                          WALK.replace("Ann", "Joe").replace("cake", "good cake")], WALK) == {1}
