@@ -22,9 +22,13 @@ the document (gaps of at most ``GAP`` windows) are chained over all alignments,
 positions ascending; the slots must be consistent over the chain, and its windows must
 cover as many tokens.  No token of the document stands for two of the item.
 
+Copies in any case, and items of few literals: the same windows over all words, lower-cased
+and without the floor of literals, are met as well, each slot having its own value.  They
+count in the chains only, so what typed windows alone reveal keeps its figures.
+
 Defined cases: NULL, empty or blank texts have no windows; items of fewer tokens than
 a window are compared as one window of their own length; items without enough
-literals never match; repeated rows, also with a NULL key, give one row for each key
+literals match only word by word; repeated rows, also with a NULL key, give one row for each key
 and item; other columns are ignored; empty tables give an empty result.  Texts are
 read whole, in slices.
 """
@@ -58,6 +62,7 @@ million billion
 """.split())
 LITERAL, NUM, NAME, UNIT, NONE = 0, 1, 2, 3, -1
 MARK = np.array([0, 11, 13, 17], dtype=np.uint64)        # hashes of the placeholders
+VERBATIM = np.uint64(0xC2B2AE3D27D4EB4F)                 # sets the hashes of plain words apart
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 200_000                                          # words that a worker remembers
 SLICE = 1_000_000                                        # characters read at once
@@ -142,6 +147,7 @@ class Template:
         after[1:] = self.kind[:-1] == NUM
         self.kind[after & np.concatenate(units)] = UNIT
         self.hash = np.where(self.kind == LITERAL, value, MARK[self.kind])
+        self.value = value
         # runs of names, and of numbers with units, as one placeholder
         self.run = np.where(self.kind == UNIT, np.int8(NUM), self.kind)
         self.starts = np.ones(len(self.kind), bool)
@@ -170,13 +176,25 @@ class Template:
         return at[pos[keep]], h[keep], span[keep]
 
     def shapes(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions, hashes, tokens) of the windows of both kinds."""
+        """(positions, hashes, tokens) of the windows of all kinds; 0 tokens for words as such."""
         pos, h = self.windows(n, literals)
-        found = (pos, h, np.full(len(pos), n)), self.merged(n, literals)
+        at, plain = self.verbatim(n)
+        found = ((pos, h, np.full(len(pos), n)), self.merged(n, literals),
+                 (at, plain, np.zeros(len(at), np.int64)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def verbatim(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, hashes) of all windows of n lower-cased words."""
+        pos, h = _windows(self.value, np.ones(len(self.value), bool), n, 0)
+        return pos, h ^ VERBATIM
+
     def describe(self, at: int, n: int, span: int | None = None) -> tuple[str, list[dict]]:
-        """The template as text, and its slots; runs are merged if ``span`` is not ``n``."""
+        """The template as text, and its slots; runs are merged if ``span`` is not ``n``, and
+        words are shown as such, behind a mark, if it is 0."""
+        if span == 0:
+            words = [self.word(i) for i in range(at, at + n)]
+            return "= " + " ".join(words), [{"k": k, "kind": int(self.kind[at + k]), "value": x}
+                                            for k, x in enumerate(words) if self.kind[at + k] != LITERAL]
         text, slots = [], []
         merge = span is not None and span != n
         for i in range(at, at + (n if span is None else span)):
@@ -224,6 +242,7 @@ def item_windows(items: DataFrame, item: str, text: str, window: int, literals:
                 found = [(n, *x, n) for x in zip(pos.tolist(), h.tolist(), strict=True)]
                 found += [(short, *x) for x in zip(
                     *(a.tolist() for a in t.merged(short, _need(short, window, literals))), strict=True)]
+                found += [(n, *x, 0) for x in zip(*(a.tolist() for a in t.verbatim(n)), strict=True)]
                 for size, j, v, span in found:
                     shape, slots = t.describe(j, size, span)
                     rows.append((key, len(t.kind), size, v - 2**64 if v >= 2**63 else v, j, span,
@@ -443,6 +462,12 @@ def contaminated_contents(docs: DataFrame, items: DataFrame, *, text: str = "tex
         .agg(best.alias("best"), F.max("item_tokens").alias("item_tokens"))
         .select("content", "item", F.col("best.covered").alias("covered_tokens"), "item_tokens",
                 (-F.col("best.kept")).alias("replaced_slots")))
+    # a window of plain words has n tokens, and the item's values in its slots
+    plain = F.col("span") == 0
+    every = every.select("content", "item", "n_tokens", "i", "j", "item_slots",
+                         F.when(plain, F.col("item_slots")).otherwise(F.col("slots")).alias("slots"),
+                         *(F.when(plain, F.col("n")).otherwise(F.col(c)).alias(c)
+                           for c in ("span", "item_span")))
     rest = _join(every, single.select("content", "item"), ["content", "item"], "left_anti")
     return single.union(_chained(rest, window, min_tokens))
 

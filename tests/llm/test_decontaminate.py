@@ -168,3 +168,14 @@ def test_chains_are_of_one_place_in_order_and_consistent(spark):
     # six people for one, with an inserted word
     assert _found(spark, [MIXED.replace("cake", "good cake"),
                           WALK.replace("Ann", "Joe").replace("cake", "good cake")], WALK) == {1}
+
+
+def test_copies_in_any_case_and_items_of_few_literals(spark):
+    assert _found(spark, [ITEM.upper(), ITEM.title(), ITEM.lower(), ITEM.upper().replace("ANOTHER", "AN OTHER")]) \
+        == {0, 1, 2, 3}
+    sums = "12 + 7 = 19, 3 + 4 = 7, 25 + 30 = 55, 8 + 9 = 17"
+    other = sums.replace("7", "6").replace("5", "1")
+    assert _found(spark, [sums, other], sums) == {0}
+    assert _found(spark, [sums, other], sums, sent_hashes=0) == {0}
+    names = "Ann Bob Cid Dan Eve Fay Gus Hal Ida"
+    assert _found(spark, [names, names.lower(), names.replace("Eve", "Joe")], names) == {0, 1}
