@@ -2,9 +2,10 @@
 
 A URL's tokens are its scheme, the suffixes of its host, its path segments and query
 names (digits as ``#``).  FP-growth over the tokens of labelled URLs, with the label as one
-more item, finds token combinations; those of at most ``max_tokens`` tokens whose count
-with the bad label reaches the support and whose confidence reaches ``min_confidence``
-are the rules.  A URL is blocked if it holds all tokens of a rule.  Rules are found by an
+more item, finds token combinations; those of any length (at most ``max_tokens`` tokens if
+given) whose count with the bad label reaches the support and whose confidence reaches
+``min_confidence`` are the rules, without those that hold all tokens of a shorter rule: what
+they block, it blocks.  A URL is blocked if it holds all tokens of a rule.  Rules are found by an
 inverted index: each is listed under its rarest token, so common tokens such as
 ``https`` list nothing that a rarer token of the rule can list.
 
@@ -72,7 +73,7 @@ def url_tokens(rows: DataFrame, url: str) -> DataFrame:
             .withColumn("tokens", F.coalesce(F.array_distinct(tokens), none)).drop("_u"))
 
 
-def mine(labelled: DataFrame, *, max_tokens: int = 2, min_confidence: float = 0.8,
+def mine(labelled: DataFrame, *, max_tokens: int | None = None, min_confidence: float = 0.8,
          support_per_mille: int = 2, min_count: int = 20) -> DataFrame:
     """``(tokens, confidence, listed)`` of the rules from ``labelled(tokens, bad boolean)``;
     ``listed`` is the token of the rule that the fewest labelled URLs have."""
@@ -85,15 +86,26 @@ def mine(labelled: DataFrame, *, max_tokens: int = 2, min_confidence: float = 0.
         return spark.createDataFrame([], "tokens array<string>, confidence double, listed string")
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n,
                      minConfidence=min_confidence).fit(items)
-    rules = (model.associationRules
-             .where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= max_tokens))
+    rules = (model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
              .select(F.array_sort("antecedent").alias("tokens"), "confidence"))
+    if max_tokens is not None:
+        rules = rules.where(F.size("tokens") <= max_tokens)
+    rules = cut_lineage(rules)
     single = (model.freqItemsets.where(F.size("items") == 1)
               .select(F.col("items")[0].alias("token"), "freq"))
     listed = (rules.withColumn("token", F.explode("tokens")).join(single, "token")
               .groupBy("tokens", "confidence")
               .agg(F.min(F.struct("freq", "token")).alias("rarest")))
-    return cut_lineage(listed.select("tokens", "confidence", F.col("rarest.token").alias("listed")))
+    listed = cut_lineage(listed.select("tokens", "confidence", F.col("rarest.token").alias("listed")))
+    # by length: what holds a kept rule goes; that one is listed under one of the tokens
+    for (size,) in sorted(listed.select(F.size("tokens")).distinct().collect())[:-1]:
+        kept = (listed.where(F.size("tokens") == size)
+                .select(F.col("listed").alias("token"), F.col("tokens").alias("part")))
+        idle = (listed.where(F.size("tokens") > size)
+                .select("tokens", F.explode("tokens").alias("token")).join(kept, "token")
+                .where(F.size(F.array_except("part", "tokens")) == 0).select("tokens").distinct())
+        listed = cut_lineage(listed.join(idle, "tokens", "left_anti").select(listed.columns))
+    return listed
 
 
 def matched(urls: DataFrame, rules: DataFrame, url: str) -> DataFrame:

@@ -80,3 +80,23 @@ def test_no_python_and_no_rows(spark):
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Cartesian" not in plan
     assert U.judge(pages.where(F.lit(False)), labels, URL_POLICY).count() == 0
+
+
+def test_rules_of_more_than_two_tokens(spark):
+    """Bad only if host, path and query name meet; no two of them reach the confidence."""
+    rows, labelled, i = [], [], 0
+    for host in ("x.net", "y.net"):
+        for path in ("p", "q"):
+            for query in ("a", "b"):
+                for _ in range(30):
+                    rows.append((i, f"http://{host}/{path}?{query}={i}"))
+                    labelled.append((i, int((host, path, query) != ("x.net", "p", "a")), 0))
+                    i += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in U.judge(pages, labels, []).collect()}
+    assert got == {k: "block" if u.startswith("http://x.net/p?a=") else "allow" for k, u in rows}
+    tokens = U.url_tokens(U.url_parts(pages.select("page_id", F.col("url").alias("_url")), "_url"), "_url")
+    mined = U.mine(tokens.join(labels, tokens.page_id == labels.doc_id)
+                   .select("tokens", (F.col("quality") == 0).alias("bad"))).collect()
+    assert [r.tokens for r in mined] == [["host=x.net", "path=p", "query=a"]]
