@@ -16,8 +16,8 @@ share of the labelled URLs.  Distinct URLs are matched, so a URL that a third of
 repeat is matched once.
 
 Defined cases: a NULL URL or one without ``://`` has empty host and path, no tokens and
-the method's verdict ``allow``; labels other than 0 and 1 are ignored; a URL with
-any bad label is bad; without labels there are no mined rules; repeated rows are
+the method's verdict ``allow``; labels other than 0 and 1 are ignored, a row
+counts if either of its labels is 0 or 1; a URL with any bad label is bad; without labels there are no mined rules; repeated rows are
 repeated; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -134,7 +134,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], *,
           quality: str = "quality", toxic: str = "toxic", **options) -> DataFrame:
     """``(key, host, path, rule, verdict)`` of every page."""
     bad = F.max(((F.col(quality) == 0) | (F.col(toxic) == 1)).cast("int")) == 1
-    known = (labels.where(F.col(quality).isin(0, 1)).groupBy(F.col(label_key).alias("_k")).agg(
+    known = (labels.where(F.col(quality).isin(0, 1) | F.col(toxic).isin(0, 1)).groupBy(F.col(label_key).alias("_k")).agg(
         F.coalesce(bad, F.lit(False)).alias("bad")))
     rows = url_parts(pages.select(F.col(key).alias("_k"), F.col(url).alias("_url")), "_url")
     tokens = url_tokens(rows, "_url")

@@ -100,3 +100,13 @@ def test_rules_of_more_than_two_tokens(spark):
     mined = U.mine(tokens.join(labels, tokens.page_id == labels.doc_id)
                    .select("tokens", (F.col("quality") == 0).alias("bad"))).collect()
     assert [r.tokens for r in mined] == [["host=x.net", "path=p", "query=a"]]
+
+
+def test_toxic_rows_without_quality_are_learned(spark):
+    pages = spark.createDataFrame([(i, f"http://{'xy'[i % 2]}.net/{i}") for i in range(80)],
+                                  "page_id long, url string")
+    labels = spark.createDataFrame([(i, None if i % 2 == 0 else 1, 1 if i % 2 == 0 else None)
+                                    for i in range(80)] + [(1, None, None), (3, 7, None)],
+                                   "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in U.judge(pages, labels, []).collect()}
+    assert got == {i: "allow" if i % 2 else "block" for i in range(80)}
