@@ -95,7 +95,27 @@ SELECT page_id, host, path, CASE {' '.join(fits)} END AS rule,
 FROM k LEFT JOIN hit ON hit.url = k.url"""
 
 
+def lexical(k: int = 10) -> str:
+    terms = "regexp_extract_all(" + _lower("text") + \
+        r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d WHERE len(t) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(t) * docs) // terms AS m FROM d, s WHERE len(t) > 0),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct({terms}) AS t
+      FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT q, item_id, unnest(t) AS term FROM i),
+f AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY q, item_id, r, doc_id)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS n FROM f WHERE score > 0)
+WHERE n <= {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
     assert BUCKETS == 16 ** HEX
     return {"op5_url_rules": url_rules(), "op7_warc_members": warc(),
-            "op8_stratified_interleave": sharding()}
+            "op8_stratified_interleave": sharding(), "op11_lexical_search": lexical()}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, quality, sharding, simhash, trainorder, urlrules, warc
+from . import (ann, decontaminate, langid, lexical, packing, quality, sharding, simhash, trainorder, urlrules,
+               warc, whitening)
 from .common import held_out, shared_folder
 
 
@@ -98,9 +99,40 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  public_tokenizers.PATTERN)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = lexical.index(_table(spark, sf_dir, "documents"), shared_folder(spark, "lexical"))
+    return lexical.search(blocks, _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, components=16, scale=64, shift=1_000_000)
+    found = whitening.transform(vectors, model)
+    of = [(e / model.trace) for e in model.values.tolist()]
+    return (found.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+            .select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
+                    "deviation", "whitened",
+                    F.element_at(F.array(*map(F.lit, of)).cast("array<double>"), F.col("at") + 1)
+                    .alias("explained"), F.lit(model.identity_error).alias("identity_error")))
+
+
+WINDOW = 2048
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.cut(_table(spark, sf_dir, "documents"), lambda: packing.word_encoder(path),
+                         shared_folder(spark, "packing"), length=WINDOW, end_id=1)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), WINDOW).select(
+        "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens",
+        "sequence_id", "offset")
+
+
 QUERIES = (op1_quality_gam, op2_simhash_near_dedup, op3_template_decontamination,
            op4_learned_partitions, op5_url_rules, op6_training_order, op7_warc_members,
-           op8_stratified_interleave, op9_language_id, op10_byte_bpe)
+           op8_stratified_interleave, op9_language_id, op10_byte_bpe, op11_lexical_search,
+           op12_whitening, op13_packing)
 
 
 def queries() -> dict:

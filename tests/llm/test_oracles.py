@@ -21,7 +21,7 @@ def _norm(rows, cols):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_like_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = Q.queries()[name](spark, SF)
     rel = con.execute(Q.oracle_sql()[name])
