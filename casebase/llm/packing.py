@@ -24,6 +24,7 @@ piece; other columns are ignored.  Keys have any type.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from ..session import ship_package
 
 HELD = 8 << 20                             # bytes of ids in a batch that a task returns
-JOINED = 400_000                           # (task, length) counts up to which they are broadcast
+JOINED = 100_000                           # (task, length) counts up to which they are broadcast
 STEP = "length int, first long, n long, each long, window long, at int"
 
 
@@ -109,7 +110,7 @@ def cut(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes]
     """Write the pieces of ``docs`` to ``folder`` and read them: ``(key, start, length, doc_tokens,
     ids, task, number)``; ids are little-endian unsigned 32-bit integers.
 
-    ``encoder()`` is called once a task and returns the function from texts to their ids as bytes.
+    ``encoder()`` is called in every task and returns the function from texts to their ids as bytes.
     """
     ship_package(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
@@ -202,6 +203,7 @@ KEPT = 150_000                             # words, and pieces, that a worker re
 WORD = 64                                  # letters up to which it does
 
 
+@functools.cache                           # once a worker
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts -> ids (little-endian unsigned 32 bits) by the ``tokenizers`` library's file ``path``, of the
     kind that normalises (NFC, white space, lower case), splits by PIECE and merges
@@ -220,46 +222,44 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
     split, merged = regex.compile(PIECE).findall, whole.model.tokenize
-    words, pieces = _Recent(KEPT), _Recent(KEPT)
     spelling = str.maketrans({chr(i): c for i, c in enumerate(_spelled_bytes())})
 
     def piece(p: str) -> bytes:
         spelled = p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(spelling)
-        out = np.array([t.id for t in merged(spelled)], "<u4").tobytes()
-        if len(p) <= WORD:
-            pieces.put(p, out)
-        return out
+        return np.array([t.id for t in merged(spelled)], "<u4").tobytes()
 
     def word(w: str) -> bytes:
-        out = words.old.get(w) or b"".join([pieces.get(p) or piece(p) for p in
-                                            ([w] if w.isascii() and w.isalpha() else split(w))])
-        if len(w) <= WORD:
-            words.put(w, out)
-        return out
+        if w.isascii() and w.isalpha():
+            return piece(w)
+        return b"".join([pieces[p] for p in split(w)])
+
+    words, pieces = _Recent(word), _Recent(piece)
 
     def text(x: str) -> bytes:
         if not x.isascii() or any(c in x for c in "\x1c\x1d\x1e\x1f"):
             if OTHER.search(x):
                 return np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
             x = unicodedata.normalize("NFC", x)
-        return b"".join([words.new.get(w) or word(w) for w in x.lower().split()])
+        return b"".join(map(words.__getitem__, x.lower().split()))
 
     return lambda texts: [text(x) for x in texts]
 
 
-class _Recent:
-    """The last entries put, between ``size`` and twice as many."""
+class _Recent(dict):
+    """A function of short words, with its last results: between KEPT and twice as many."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, of: Callable[[str], bytes]):
+        super().__init__()
+        self.of, self.old = of, {}
 
-    def get(self, k):
-        return self.new.get(k) or self.old.get(k)
-
-    def put(self, k, v) -> None:
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
-        self.new[k] = v
+    def __missing__(self, w: str) -> bytes:
+        out = self.old.get(w) or self.of(w)
+        if len(w) <= WORD:
+            if len(self) >= KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[w] = out
+        return out
 
 
 def _spelled_bytes() -> str:
