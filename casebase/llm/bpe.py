@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import release
 
 CHUNK_BYTES = 400_000        # bytes of distinct pieces in one recursive query
-CACHE_ENTRIES = 400_000      # remembered pieces of a worker (about 80 MB each way)
+# a worker's memory: vocabulary and merges 60 MB, the caches 80 MB, DuckDB as below, and about
+# 20 times GROUP_BYTES for what is worked on
+CACHE_ENTRIES = 100_000      # pieces of a worker remembered at least, and half of the most, each way
 GROUP_BYTES = 4_000_000      # bytes of texts or ids that are worked on together
+ENGINE_MEMORY = "128MB"      # of DuckDB; beyond, it spills to the task's temporary folder
 CACHE_LEN = 64               # longer pieces are not remembered
 LONG_PIECE = 48              # pieces above this contract equal ranks together
 MARKS = ".,;:!?*#$%&|)"      # ASCII marks that often end a segment
@@ -138,7 +143,8 @@ class Codec:
         self.blank = regex.compile(r"[\s\x1c-\x1f] ").search
         single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
         self.single = np.array(single, dtype=np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": ENGINE_MEMORY,
+                                          "temp_directory": tempfile.gettempdir()})
         merges = merge_table(self.ranks)
         self.con.register("merges_in", merges)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
@@ -151,8 +157,7 @@ class Codec:
         self.con.register("vocab_in", pa.table({"id": np.arange(size + 1, dtype=np.int32),
                                                 "chars": chars}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.pieces, self.chunks = _Recent(CACHE_LEN), _Recent(4 * CACHE_LEN)
 
     # -- encoding ---------------------------------------------------------
     def _cut(self, text: str) -> list[str]:
@@ -220,12 +225,12 @@ class Codec:
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._cut(x) if x else [] for x in texts]
         parts = {s: self._split(s) for s in set().union(*cut)}
-        new = set().union(*parts.values()).difference(self.pieces)
+        new = self.pieces.missing(set().union(*parts.values()))
         self._learn(new)
         known = self.pieces
         ids = {s: known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
                for s, ps in parts.items()}
-        _trim(known, new, CACHE_LEN)
+        known.trim(new)
         return [b"".join(map(ids.__getitem__, segs)) for segs in cut]
 
     # -- decoding ---------------------------------------------------------
@@ -242,7 +247,7 @@ class Codec:
             cuts = np.flatnonzero(self.opens[a]) * 4
             ends = [0, *cuts[cuts > 0].tolist(), len(x)]
             runs.append([x[p:q] for p, q in zip(ends, ends[1:], strict=False)])
-        new = list(set().union(*runs).difference(self.chunks))
+        new = list(self.chunks.missing(set().union(*runs)))
         at = 0
         while at < len(new):
             end, size = at, 0
@@ -252,7 +257,7 @@ class Codec:
             self.chunks.update(zip(new[at:end], self._bytes(new[at:end]), strict=True))
             at = end
         out = [b"".join(map(self.chunks.__getitem__, r)) for r in runs]
-        _trim(self.chunks, new, 4 * CACHE_LEN)
+        self.chunks.trim(new)
         return out
 
     def _bytes(self, runs: list[bytes]) -> list[bytes]:
@@ -285,14 +290,28 @@ def _groups(rows: list) -> Iterator[list]:
     yield rows[at:]
 
 
-def _trim(known: dict, new, longest: int) -> None:
-    """Forget long entries; forget all when there are too many."""
-    if len(known) > CACHE_ENTRIES:
-        known.clear()
-        return
-    for x in new:
-        if len(x) > longest:
-            del known[x]
+class _Recent(dict):
+    """What was looked up last: the entries of this generation and of the one before."""
+
+    def __init__(self, longest: int):
+        super().__init__()
+        self.longest, self.before = longest, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that are new; the others are in this generation from now on."""
+        keys = keys.difference(self)
+        again = keys.intersection(self.before)
+        self.update((k, self.before[k]) for k in again)
+        return keys - again
+
+    def trim(self, new) -> None:
+        """Forget long entries, and the generation before if this one is full."""
+        for x in new:
+            if len(x) > self.longest:
+                del self[x]
+        if len(self) > CACHE_ENTRIES:
+            self.before = dict(self)
+            self.clear()
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -357,6 +376,8 @@ def _apply(docs, path, pattern, key, text, digests, with_ids=True):
             if with_ids:
                 cols.append(pa.array(ids, pa.binary()))
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["_k", *names[:len(cols)]])
+            del ids, back, cols
+            release()
 
     kind = docs.schema[key].dataType.simpleString()
     if not digests:

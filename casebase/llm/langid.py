@@ -21,15 +21,15 @@ never read; an empty table gives an empty result.  Long texts are read in slices
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from .common import bounded_sample
+from .common import bounded_sample, release
 
 UND = "und"
 SLICE = 1_000_000            # characters read at once
@@ -149,7 +149,7 @@ class _Rows(dict):
         return i
 
 
-def predict_texts(model: Model, texts: list[str | None], rows: _Rows | None = None):
+def predict_texts(model: Model, texts: Iterable[str | None], rows: _Rows | None = None):
     """``(languages, scores)`` of a list of texts."""
     words, gap = _patterns()
     rows = _Rows(model) if rows is None else rows
@@ -174,24 +174,34 @@ def predict_texts(model: Model, texts: list[str | None], rows: _Rows | None = No
     return names, scores
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text",
-            keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all if None) with ``lang_pred`` and ``score``,
-    which replace columns of the same names."""
-    spark = docs.sparkSession
+def language_of(model: Model, text: Column) -> Column:
+    """The language of a text, as a struct ``(lang_pred, score)``.  Tasks get the texts alone; the other
+    columns of a row stay where they are."""
+    spark = SparkSession.getActiveSession()
     ship_package(spark)
     sent = spark.sparkContext.broadcast(model)
-    names = [c for c in (docs.columns if keep is None else keep)
-             if c not in ("lang_pred", "score")]
-    src = docs.select(*names, F.col(text).alias("_text"))
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rows = _Rows(sent.value)
         for b in batches:
-            lang, score = predict_texts(sent.value, b.columns[-1].to_pylist(), rows)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                schema.fieldNames())
+            lang, score = predict_texts(sent.value, (x.as_py() for x in b), rows)
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             ["lang_pred", "score"])
+        del rows
+        release()
+    return F.arrow_udf(run, "struct<lang_pred:string,score:double>")(text)
+
+
+def predict(docs: DataFrame, model: Model, *, text: str = "text",
+            keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all if None) with ``lang_pred`` and ``score``,
+    which replace columns of the same names."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    found = language_of(model, docs[text])
+    return docs.select(*names, found["lang_pred"].alias("lang_pred"), found["score"].alias("score"))
+
 
-    return src.mapInArrow(run, schema)
+def accepted(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``least``, as they are."""
+    found = language_of(model, docs[text])
+    return docs.where((found["lang_pred"] != UND) & (found["score"] >= least))

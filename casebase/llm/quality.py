@@ -27,12 +27,12 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import bounded_sample
+from .common import bounded_sample, release
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "letters", "upper", "digits", "symbols", "stops",
@@ -212,21 +212,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     return train(x, np.array([v for _, v in got], dtype=np.float64), **options)
 
 
-def score(docs: DataFrame, model: Gam, *, text: str = "text", threshold: float = 0.7,
-          keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all if None) with ``score`` and ``predicted``."""
-    spark = docs.sparkSession
+def score_of(model: Gam, text: Column) -> Column:
+    """The score of a text.  Tasks get the texts alone; the other columns of a row stay where they are."""
+    spark = SparkSession.getActiveSession()
     ship_package(spark)
     sent = spark.sparkContext.broadcast(model)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    schema = docs.select(*names).schema.add("score", "double").add("predicted", T.IntegerType())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            x = np.array([text_features(t.as_py()) for t in b.columns[-1]], dtype=np.float64)
-            p = sent.value.score(x.reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
-                schema.fieldNames())
+            x = np.array([text_features(t.as_py()) for t in b], dtype=np.float64)
+            yield pa.array(sent.value.score(x.reshape(-1, len(FEATURES))))
+        release()
+    return F.arrow_udf(run, "double")(text)
+
+
+def score(docs: DataFrame, model: Gam, *, text: str = "text", threshold: float = 0.7,
+          keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all if None) with ``score`` and ``predicted``, which replace columns
+    of the same names."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    p = score_of(model, docs[text])
+    return docs.select(*names, p.alias("score"), (p >= threshold).cast("int").alias("predicted"))
+
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+def accepted(docs: DataFrame, model: Gam, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, as they are."""
+    return docs.where(score_of(model, docs[text]) >= threshold)

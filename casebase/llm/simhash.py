@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from .common import components, connected
+from .common import components, connected, release
 
 SEED = 42
 SLICE = 65_536               # words hashed at once
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                              dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))],
                                              ["_k", "fp"])
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(F.col(key).alias("_k"), F.col(text).alias("_x"))

@@ -96,3 +96,14 @@ def test_run_and_no_rows(spark, sf):
         out = stage(spark, docs, sf)
         assert out.count() == 0
         docs = out if "text" in out.columns else docs
+
+
+def test_columns_named_like_results_stay(spark, sf):
+    """The first two stages return the documents' own columns, whatever their names."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 20").withColumns({
+        "score": F.lit(77.0), "predicted": F.lit("p"), "lang_pred": F.lit("xx"), "_text": F.lit(5), "x": F.lit(1)})
+    for _, stage in C.STAGES[:2]:
+        out = stage(spark, docs, sf)
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        rows = out.collect()
+        assert rows and {(r.score, r.predicted, r.lang_pred, r["_text"], r.x) for r in rows} == {(77.0, "p", "xx", 5, 1)}
