@@ -35,6 +35,7 @@ read whole, in slices.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -46,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
+from .common import release
 
 # fixed values: units of measure and written numbers that count as such
 UNITS = frozenset("""
@@ -130,28 +132,39 @@ def parts(text: str) -> Iterator[str]:
 
 
 class Template:
-    """The template tokens of one text; words are looked up again when a window is shown."""
-
-    def __init__(self, text: str | None, lexicon: Lexicon):
-        self.parts = list(parts(text or ""))
-        kinds, values, units = [], [], []
-        for x in self.parts:
-            ids = lexicon.ids(x.split())
-            ids = ids[lexicon.kind[ids] != NONE]
-            kinds.append(lexicon.kind[ids])
-            values.append(lexicon.value[ids])
-            units.append(lexicon.unit[ids])
-        self.first = np.cumsum([0, *map(len, kinds)])
+    """The template tokens of some texts, one after the other; ``bounds`` are the texts' borders.
+    Words are looked up again when a window is shown."""
+
+    def __init__(self, texts: list[str | None], lexicon: Lexicon):
+        self.parts, kinds, values, units, text_of = [], [], [], [], []
+        for t, text in enumerate(texts):
+            for x in parts(text or ""):
+                ids = lexicon.ids(x.split())
+                kind = lexicon.kind[ids]
+                if (kind == NONE).any():
+                    ids, kind = ids[kind != NONE], kind[kind != NONE]
+                self.parts.append(x)
+                text_of.append(t)
+                kinds.append(kind)
+                values.append(lexicon.value[ids])
+                units.append(lexicon.unit[ids])
+        sizes = [len(k) for k in kinds]
+        self.first = np.cumsum([0, *sizes])
+        self.text = np.repeat(np.array(text_of, np.int64), sizes)
+        self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
         self.kind, value = np.concatenate(kinds), np.concatenate(values)
+        opens = np.ones(len(self.kind), bool)            # the first token of a text
+        opens[1:] = self.text[1:] != self.text[:-1]
         after = np.zeros(len(self.kind), bool)
-        after[1:] = self.kind[:-1] == NUM
+        after[1:] = (self.kind[:-1] == NUM) & ~opens[1:]
         self.kind[after & np.concatenate(units)] = UNIT
-        self.hash = np.where(self.kind == LITERAL, value, MARK[self.kind])
+        self.literal = self.kind == LITERAL
+        self.hash = np.where(self.literal, value, MARK[self.kind])
         self.value = value
         # runs of names, and of numbers with units, as one placeholder
         self.run = np.where(self.kind == UNIT, np.int8(NUM), self.kind)
-        self.starts = np.ones(len(self.kind), bool)
-        self.starts[1:] = (self.run[1:] == LITERAL) | (self.run[1:] != self.run[:-1])
+        self.starts = opens | self.literal
+        self.starts[1:] |= self.run[1:] != self.run[:-1]
         self.shown: tuple[int, list[str]] = (-1, [])
 
     def word(self, i: int) -> str:
@@ -161,32 +174,38 @@ class Template:
             self.shown = p, [value for kind, value in found if kind != NONE]
         return self.shown[1][i - int(self.first[p])]
 
-    def windows(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, hashes) of the windows of n tokens that have enough literals."""
-        return _windows(self.hash, self.kind == LITERAL, n, literals)
+    def windows(self, n: int, literals: int, known=None) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, hashes) of the windows of n tokens of one text that have enough literals; with
+        ``known`` (from hashes to booleans), only of hashes that may be known."""
+        pos, h = _windows(self.hash, self.literal, n, literals, known)
+        keep = self.text[pos] == self.text[pos + n - 1]
+        return pos[keep], h[keep]
 
-    def merged(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def merged(self, n: int, literals: int, known=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions, hashes, tokens) of such windows with a run of several tokens in them."""
         at = np.flatnonzero(self.starts)
+        if len(at) == len(self.kind):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         kind = self.run[at]
         pos, h = _windows(np.where(kind == LITERAL, self.hash[at], MARK[kind]), kind == LITERAL,
-                          n, literals)
+                          n, literals, known)
         span = np.append(at, len(self.kind))[pos + n] - at[pos]
-        keep = np.flatnonzero(span > n)
+        keep = np.flatnonzero((span > n) & (self.text[at[pos]] == self.text[at[pos] + span - 1]))
         return at[pos[keep]], h[keep], span[keep]
 
-    def shapes(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def shapes(self, n: int, literals: int, known=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions, hashes, tokens) of the windows of all kinds; 0 tokens for words as such."""
-        pos, h = self.windows(n, literals)
-        at, plain = self.verbatim(n)
-        found = ((pos, h, np.full(len(pos), n)), self.merged(n, literals),
+        pos, h = self.windows(n, literals, known)
+        at, plain = self.verbatim(n, known)
+        found = ((pos, h, np.full(len(pos), n)), self.merged(n, literals, known),
                  (at, plain, np.zeros(len(at), np.int64)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def verbatim(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def verbatim(self, n: int, known=None) -> tuple[np.ndarray, np.ndarray]:
         """(positions, hashes) of all windows of n lower-cased words."""
-        pos, h = _windows(self.value, np.ones(len(self.value), bool), n, 0)
-        return pos, h ^ VERBATIM
+        pos, h = _windows(self.value, None, n, 0, known and (lambda x: known(x ^ VERBATIM)))
+        keep = self.text[pos] == self.text[pos + n - 1]
+        return pos[keep], h[keep] ^ VERBATIM
 
     def describe(self, at: int, n: int, span: int | None = None) -> tuple[str, list[dict]]:
         """The template as text, and its slots; runs are merged if ``span`` is not ``n``, and
@@ -208,20 +227,50 @@ class Template:
         return " ".join(text), slots
 
 
-def _windows(tokens: np.ndarray, literal: np.ndarray, n: int,
-             literals: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(tokens: np.ndarray, literal: np.ndarray | None, n: int, literals: int,
+             known=None) -> tuple[np.ndarray, np.ndarray]:
     if len(tokens) < n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     m = len(tokens) - n + 1
-    total = np.zeros(m, np.uint64)
-    for i in range(n):
-        total = total * BASE + tokens[i:i + m]
+    # hashes of 1, 2, 4, ... tokens make those of n, the leftmost token having the highest power
+    total, done, part, size, power = np.zeros(m, np.uint64), 0, tokens, 1, np.array([BASE])
+    left = n
+    while left:
+        if left & 1:
+            total = total * power + part[done:done + m]
+            done += size
+        left >>= 1
+        if left:
+            part = part[:-size] * power + part[size:]
+            size, power = 2 * size, power * power
     total ^= total >> np.uint64(29)
-    count = np.concatenate([[0], np.cumsum(literal)])
-    keep = np.flatnonzero(count[n:] - count[:-n] >= literals)
+    keep = np.arange(m) if known is None else np.flatnonzero(known(total))
+    if literals and len(keep):
+        count = np.concatenate([[0], np.cumsum(literal)])
+        keep = keep[count[keep + n] - count[keep] >= literals]
     return keep, total[keep]
 
 
+def _groups(keys: list, column: pa.Array) -> Iterator[tuple[list, list]]:
+    """Keys and texts in groups of about SLICE characters."""
+    some, texts, size = [], [], 0
+    for key, x in zip(keys, column, strict=True):
+        some.append(key)
+        texts.append(x.as_py())
+        size += len(texts[-1] or "")
+        if size >= SLICE:
+            yield some, texts
+            some, texts, size = [], [], 0
+    if some:
+        yield some, texts
+
+
+@functools.cache
+def _lexicon() -> Lexicon:
+    """The worker's lexicon, kept between its tasks."""
+    return Lexicon()
+
+
 def _need(n: int, window: int, literals: int) -> int:
     return literals if n == window else -(-n * literals // window)
 
@@ -233,7 +282,7 @@ def item_windows(items: DataFrame, item: str, text: str, window: int, literals:
         lexicon, rows = Lexicon(), []
         for b in batches:
             for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = Template(x, lexicon)
+                t = Template([x], lexicon)
                 if len(t.kind) == 0:
                     continue
                 n = min(window, len(t.kind))
@@ -272,29 +321,31 @@ def _scan(docs: DataFrame, text: str, sizes: list[int], window: int, literals: i
              pa.list_(pa.struct([("k", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, table, quick = Lexicon(), None, None
+        lexicon, table, known = _lexicon(), None, None
         if sent is not None:
             table = sent.value
             quick = np.zeros(1 << 20, bool)
             quick[(table >> np.uint64(44)).astype(np.int64)] = True
-        for b in batches:
+
+            def known(h):
+                return quick[(h >> np.uint64(44)).astype(np.int64)]
+        for keys, texts in (x for b in batches for x in _groups(b.column(0).to_pylist(), b.column(1))):
             rows = []
-            for key, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = Template(x.as_py(), lexicon)
-                for n in sizes:
-                    pos, h, span = t.shapes(n, _need(n, window, literals))
-                    if table is not None:
-                        maybe = np.flatnonzero(quick[(h >> np.uint64(44)).astype(np.int64)])
-                        if len(maybe):
-                            p = np.minimum(np.searchsorted(table, h[maybe]), len(table) - 1)
-                            maybe = maybe[table[p] == h[maybe]]
-                        pos, h, span = pos[maybe], h[maybe], span[maybe]
-                    for i, v, m in zip(pos.tolist(), h.view(np.int64).tolist(), span.tolist(),
-                                       strict=True):
-                        rows.append((key, n, v, i, m, *t.describe(i, n, m)))
+            t = Template(texts, lexicon)
+            for n in sizes:
+                pos, h, span = t.shapes(n, _need(n, window, literals), known)
+                if table is not None and len(pos):
+                    p = np.minimum(np.searchsorted(table, h), len(table) - 1)
+                    hit = table[p] == h
+                    pos, h, span = pos[hit], h[hit], span[hit]
+                of = t.text[pos]
+                for at, d, i, v, m in zip(pos.tolist(), of.tolist(), (pos - t.bounds[of]).tolist(),
+                                          h.view(np.int64).tolist(), span.tolist(), strict=True):
+                    rows.append((keys[d], n, v, i, m, *t.describe(at, n, m)))
             cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        release()
 
     return (docs.select(F.xxhash64(F.col(text)).alias("_c"), F.col(text).alias("_x"))
             .mapInArrow(run, "content long, n int, hash long, i int, span int, "

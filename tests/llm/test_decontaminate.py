@@ -28,7 +28,7 @@ def test_canonical():
     assert D.canonical("Boston,") == (D.NAME, "boston") and D.canonical("(60)") == (D.NUM, "60")
     assert D.canonical("travels") == (D.LITERAL, "travels") and D.canonical("--") == (D.NONE, "")
     assert D.canonical("Three") == (D.NUM, "three") and D.canonical("3.5%")[0] == D.NUM
-    t = D.Template("60 miles of miles", D.Lexicon())
+    t = D.Template(["60 miles of miles"], D.Lexicon())
     assert t.kind.tolist() == [D.NUM, D.UNIT, D.LITERAL, D.LITERAL]
 
 
@@ -124,10 +124,10 @@ def test_decontaminate_keeps_the_rest(spark):
 
 def test_slices_change_nothing(monkeypatch):
     text = " ".join(f"w{i % 37} N{i % 5} {i} km" for i in range(300))
-    whole = D.Template(text, D.Lexicon())
+    whole = D.Template([text], D.Lexicon())
     monkeypatch.setattr(D, "SLICE", 50)
     monkeypatch.setattr(D, "CACHE", 20)
-    cut = D.Template(text, D.Lexicon())
+    cut = D.Template([text], D.Lexicon())
     assert len(cut.parts) > 50
     assert (cut.kind == whole.kind).all() and (cut.hash == whole.hash).all()
     assert cut.describe(100, 8) == whole.describe(100, 8)
