@@ -26,6 +26,15 @@ import pandas as pd
 
 # largest term table (distinct left values x right rows) kept for a whole block
 COLUMN_CELLS = 8_000_000
+CHUNK_CELLS = 1_000_000      # distances computed at once
+CELL = 64                    # right rows that are bounded together, at most
+TILE = 16                    # left rows that look at cells together
+PIVOTS = 12                  # of a block, used with more than RANGED numbers
+RANGED = 3
+QUANTILES = 511              # places of a number on the curve
+MARGIN = 1e-9                # far above the rounding of distances, far below any that matters
+LEAST = 8192                 # right rows of a block from which cells are made
+TRIAL = 8                    # tiles after which bounds that exclude too little are given up
 
 
 def vdm_terms(left: list[dict | None], right: list[dict | None]) -> np.ndarray:
@@ -116,7 +125,7 @@ class Block:
     """Two blocks, encoded once; ``distances`` gives slices of left rows."""
 
     def __init__(self, kernel: Kernel, left: pd.DataFrame, right: pd.DataFrame):
-        self.kernel, self.n_right = kernel, len(right)
+        self.kernel, self.n_left, self.n_right = kernel, len(left), len(right)
         self.left, self.right, self.table, self.sigma = {}, {}, {}, {}
         for f in kernel.order:
             if kernel.kinds[f] == "cat":
@@ -134,8 +143,10 @@ class Block:
                 return self.table[f][self.left[f].codes[start:stop]]
             own = self.left[f].rows(start, stop)
             return term_table(own, self.right[f])[own.codes][:, self.right[f].codes]
-        a, b = self.left[f][start:stop, None], self.right[f][None, :]
-        s = self.sigma[f]
+        return self.number_terms(f, self.left[f][start:stop], self.right[f])
+
+    def number_terms(self, f: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b, s = a[:, None], b[None, :], self.sigma[f]
         if not np.isfinite(s) or s == 0.0:
             return np.where(a == b, 0.0, 1.0)
         t = np.subtract(a, b)              # least(1, abs(a - b) / (4 * s)), in place
@@ -143,6 +154,52 @@ class Block:
         np.divide(t, 4.0 * s, out=t)
         return np.fmin(t, 1.0, out=t)      # a missing number is at 1.0
 
+    def some_distances(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Distances of some left rows to some right rows."""
+        acc = np.zeros((len(rows), len(cols)))
+        for f in self.kernel.order:
+            if f in self.table:
+                acc += self.table[f][self.left[f].codes[rows][:, None], cols[None, :]]
+            else:
+                acc += self.number_terms(f, self.left[f][rows], self.right[f][cols])
+        return np.sqrt(acc, out=acc)
+
+    def nearest(self, k: int, hide=lambda d, rows, cols: d, within: np.ndarray | None = None,
+                compared=None):
+        """``(rows, cols, values, rank)`` of the k nearest right rows of the left rows, in parts.
+
+        ``hide(distances, rows, cols)`` puts infinity where a pair is excluded; ``within`` has
+        the largest distance of each left row that matters; ``compared`` is told the pairs looked at."""
+        kernel, n = self.kernel, self.n_left
+        tables = all(f in self.table for f in kernel.order if kernel.kinds[f] == "cat")
+        cells = Cells(self) if tables and self.n_right >= LEAST and k < CELL else None
+        order = np.arange(n)
+        if cells is not None:
+            order = cells.by_values(self.left) if cells.pivots is None else cells.by_pivots(order, self.left, self.table)
+        whole, tile, at, looked = np.arange(self.n_right), max(1, CHUNK_CELLS // max(1, self.n_right)), 0, 0
+        tried = 0
+        while at < n:
+            if cells is not None and at >= TRIAL * TILE and 3 * (looked + cells.tried) > at * self.n_right:
+                tried, cells, order = cells.tried, None, np.concatenate([order[:at], np.sort(order[at:])])
+            rows = order[at:at + (tile if cells is None else TILE)]
+            cols = whole if cells is None else cells.looked_at(rows, k, hide, within)
+            if cells is None and rows[-1] - rows[0] + 1 == len(rows):
+                d = self.distances(int(rows[0]), int(rows[-1]) + 1)
+            elif tables:
+                d = self.some_distances(rows, cols)
+            else:
+                d = np.concatenate([self.distances(int(r), int(r) + 1) for r in rows])
+            looked += len(rows) * len(cols)
+            i, j, values, rank = topk_per_row(hide(d, rows, cols), k)
+            i, j = rows[i], cols[j]
+            if within is not None:
+                near = values <= within[i]
+                i, j, values, rank = i[near], j[near], values[near], rank[near]
+            yield i, j, values, rank
+            at += len(rows)
+        if compared is not None:
+            compared.add(looked + (tried if cells is None else cells.tried))
+
     def distances(self, start: int, stop: int) -> np.ndarray:
         acc = np.zeros((stop - start, self.n_right))
         for i, f in enumerate(self.kernel.order):
@@ -151,6 +208,157 @@ class Block:
         return np.sqrt(acc, out=acc)
 
 
+class Cells:
+    """The right rows of a block in cells with lower bounds, for an exact top-k that looks at few rows.
+
+    Rows lie in the order of their values, or with many numbers by their nearest pivot and
+    their distance to it; ``CELL`` rows in a row are a cell.  A row's distance to a cell is at least
+
+    * the root of the sum of its least terms: the least term of the values in the cell, or the term to
+      the nearer end of the numbers' range (the same operations in the same order as the distance's,
+      all monotone under rounding);
+    * by the triangle inequality, its distance to a pivot less the largest one of the cell, or the cell's least
+      one less its own, with ``MARGIN`` for rounding.  Distances are a metric: the
+      VDM is one on class distributions, a seen value is at 1 from an unseen one and at most 2 from
+      a seen one, roots of capped differences are one, and the root of a sum of squared metrics is one.
+      This holds for changes of rules as for values of cases.
+    """
+
+    def __init__(self, block: Block):
+        self.block, kernel, self.tried = block, block.kernel, 0
+        nums = [f for f in kernel.order if kernel.kinds[f] == "num"]
+        self.pivots = self._pivots() if len(nums) > RANGED else None
+        if self.pivots is not None:
+            rows = np.arange(block.n_right)
+            to = self.pivot_distances(rows, block.right, block.table_right)
+            self.order = self.by_pivots(rows, block.right, block.table_right)
+        else:
+            self.order = self.by_values(block.right)
+        self.starts = self._borders()
+        self.sizes = np.diff(np.append(self.starts, block.n_right))
+        if self.pivots is not None:
+            self.low = np.minimum.reduceat(to[self.order], self.starts, axis=0)
+            self.high = np.maximum.reduceat(to[self.order], self.starts, axis=0)
+        self.least, self.range = {}, {}
+        for f in kernel.order:
+            if f in nums:
+                x = block.right[f][self.order]
+                self.range[f] = np.fmin.reduceat(x, self.starts), np.fmax.reduceat(x, self.starts)
+            else:
+                self.least[f] = np.minimum.reduceat(block.table[f][:, self.order], self.starts, axis=1)
+
+    def _borders(self) -> np.ndarray:
+        """Where cells begin: after CELL rows, and at other categorical values if these have rows enough."""
+        block, n = self.block, self.block.n_right
+        new = np.zeros(n, bool)
+        new[0] = True
+        if self.pivots is None:
+            for f in block.table:
+                codes = block.right[f].codes[self.order]
+                new[1:] |= codes[1:] != codes[:-1]
+            if np.count_nonzero(new) * 16 > n:
+                new[1:] = False
+        run = np.flatnonzero(new)
+        place = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
+        return np.flatnonzero(place % CELL == 0)
+
+    def by_values(self, side: dict) -> np.ndarray:
+        """Rows by their categorical values, then along a curve that keeps rows with like numbers together:
+        the bits of the numbers' places among the right rows' quantiles, in turns."""
+        block, turn = self.block, 0
+        nums = [f for f in block.kernel.order if block.kernel.kinds[f] == "num"]
+        for i, f in enumerate(nums):
+            edges = np.unique(block.right[f][np.isfinite(block.right[f])])
+            edges = edges[np.linspace(0, len(edges) - 1, QUANTILES).astype(int)] if len(edges) else edges
+            place = np.searchsorted(edges, side[f]).astype(np.int64)      # NaN: behind all
+            if len(nums) == 1:
+                turn = side[f]
+                break
+            for bit in range(QUANTILES.bit_length()):
+                turn = turn + ((place >> bit & 1) << (bit * len(nums) + i))
+        keys = [side[f].codes for f in block.kernel.order if block.kernel.kinds[f] == "cat"]
+        return np.lexsort([turn + np.zeros(len(next(iter(side.values())).codes) if keys else len(side[nums[0]])),
+                           *reversed(keys)])
+
+    def _pivots(self) -> np.ndarray | None:
+        """Right rows far from each other, one after the other (from the first row on)."""
+        block = self.block
+        if any(len(block.right[f].distinct) ** 2 > COLUMN_CELLS for f in block.table):
+            return None
+        block.table_right = {f: term_table(v, v) for f, v in block.right.items() if f in block.table}
+        found, away = [0], None
+        for _ in range(min(PIVOTS, block.n_right) - 1):
+            self.pivots = np.array(found[-1:])
+            d = self.pivot_distances(np.arange(block.n_right), block.right, block.table_right)[:, 0]
+            away = d if away is None else np.minimum(away, d)
+            found.append(int(away.argmax()))
+        return np.array(found)
+
+    def by_pivots(self, rows: np.ndarray, side: dict, tables: dict) -> np.ndarray:
+        """Rows by their nearest pivot and their distance to it."""
+        to = self.pivot_distances(rows, side, tables)
+        near = to.argmin(axis=1)
+        return np.lexsort((to[rows, near], near))
+
+    def pivot_distances(self, rows: np.ndarray, side: dict, tables: dict) -> np.ndarray:
+        block, acc = self.block, np.zeros((len(rows), len(self.pivots)))
+        for f in block.kernel.order:
+            if f in tables:
+                at = block.right[f].codes[self.pivots]
+                acc += tables[f][side[f].codes[rows]][:, at if tables is block.table_right else self.pivots]
+            else:
+                acc += block.number_terms(f, side[f][rows], block.right[f][self.pivots])
+        return np.sqrt(acc)
+
+    def bounds(self, rows: np.ndarray) -> np.ndarray:
+        """Lower bounds of the distances of left rows to the cells."""
+        block, acc = self.block, np.zeros((len(rows), len(self.starts)))
+        for f in block.kernel.order:
+            if f in self.least:
+                acc += self.least[f][block.left[f].codes[rows]]
+                continue
+            x, (lo, hi), s = block.left[f][rows, None], self.range[f], block.sigma[f]
+            if not np.isfinite(s) or s == 0.0:
+                t = np.where((x >= lo) & (x <= hi), 0.0, 1.0)
+            else:
+                below, above = np.abs(x - lo) / (4.0 * s), np.abs(x - hi) / (4.0 * s)
+                t = np.fmin(np.where(x < lo, below, np.where(x > hi, above, 0.0)), 1.0)
+                t[np.isnan(x) | np.isnan(lo)] = 1.0
+            acc += t
+        acc = np.sqrt(acc, out=acc)
+        if self.pivots is not None:
+            own = self.pivot_distances(rows, block.left, block.table)
+            for p in range(len(self.pivots)):
+                x = own[:, p, None]
+                np.maximum(acc, np.maximum(self.low[:, p] - x, x - self.high[:, p]) - MARGIN, out=acc)
+        return acc
+
+    def columns(self, cells: np.ndarray) -> np.ndarray:
+        """The right rows of some cells, in the rows' own order."""
+        at = [self.order[self.starts[c]:self.starts[c] + self.sizes[c]] for c in cells]
+        return np.sort(np.concatenate(at))
+
+    def looked_at(self, rows: np.ndarray, k: int, hide, within) -> np.ndarray:
+        """The right rows among which the k nearest of all ``rows`` are."""
+        bound = self.bounds(rows)
+        limit = np.full(len(rows), np.inf) if within is None else within[rows]
+        seen, best = np.zeros(len(self.starts), bool), np.full((len(rows), k), np.inf)
+        for near in (2, 6):                # cells a row: the nearest ones first, for a limit of the others
+            left = np.where(seen | (bound > limit[:, None]), np.inf, bound)
+            near = min(near, left.shape[1])
+            cells = np.argpartition(left, near - 1, axis=1)[:, :near]
+            new = np.unique(cells[np.isfinite(np.take_along_axis(left, cells, axis=1))])
+            if not len(new):
+                break
+            seen[new] = True
+            cols = self.columns(new)
+            self.tried += len(rows) * len(cols)
+            best = np.concatenate([best, hide(self.block.some_distances(rows, cols), rows, cols)], axis=1)
+            best = np.partition(best, k - 1, axis=1)[:, :k]
+            limit = np.minimum(limit, best.max(axis=1))
+        return self.columns(np.flatnonzero(seen | (bound <= limit[:, None]).any(axis=0)))
+
+
 def topk_per_row(d: np.ndarray, k: int):
     """Per row of ``d``, the ``k`` smallest entries ordered by (value, column).
 

@@ -33,7 +33,17 @@ from ..session import cut_lineage, ship_package
 from .topk import CHUNK_CELLS, blocked_topk
 
 CELL_ROWS = 256              # least rows of a cell
-QUERY_ROWS = 4096            # queries that meet the summaries together
+QUERY_ROWS = 4096            # queries that meet summaries together
+SUMMARY_ROWS = 65_536        # summaries that they meet
+# rows from which queries are routed to cells between tasks, if the numbers are few; below, blocks meet whole
+# and each looks at its own cells (kernels.Cells).  The rows are the same either way
+BOUNDED_NUMBERS, BOUNDED_ROWS = 2, 250_000
+
+
+def search_for(spec, n_right: int | None):
+    """The search for a right side of ``n_right`` rows."""
+    routed = 0 < len(spec.numeric) <= BOUNDED_NUMBERS and n_right is not None and n_right >= BOUNDED_ROWS
+    return bounded_topk if routed else blocked_topk
 
 
 def cells_of(rows: DataFrame, kernel: Kernel, by: Sequence[str], key: Sequence[str],
@@ -88,16 +98,19 @@ def lower_bounds(kernel: Kernel, left: pd.DataFrame, cells: pd.DataFrame, tables
 
 
 def _route(left: DataFrame, summary: DataFrame, kernel: Kernel, by: list, key: list, k: int,
-           blocks: int, limit: str | None) -> DataFrame:
+           blocks: int, split: int, limit: str | None) -> DataFrame:
     """``(by.., key.., _cell)``: the nearest cell of every query, or with ``limit`` (a column)
-    all cells within it."""
+    all cells within it.  ``blocks`` of queries meet each of ``split`` parts of the summaries, so a group holds
+    about QUERY_ROWS queries and SUMMARY_ROWS summaries, however many there are."""
     keys = [F.col(c) for c in key]
     L = left.withColumn("_lb", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    R = summary.withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    L = L.withColumn("_sb", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
+    R = summary.withColumn("_sb", F.pmod(F.xxhash64("_cell"), F.lit(split)).cast("int")).withColumn(
+        "_lb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # fresh attributes: a self search co-groups one lineage with itself
     L, R = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (L, R))
     schema = T.StructType([left.schema[c] for c in [*by, *key]]
-                          + [T.StructField("_cell", T.LongType())])
+                          + [T.StructField("_cell", T.LongType()), T.StructField("_d", T.DoubleType())])
     names = schema.fieldNames()
 
     def run(group, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,26 +127,32 @@ def _route(left: DataFrame, summary: DataFrame, kernel: Kernel, by: list, key: l
             if limit is None:
                 if full.any():
                     d[:, ~full] = np.inf
-                i, c = np.arange(len(part)), code[d.argmin(axis=1)]
+                i, near = np.arange(len(part)), d.argmin(axis=1)
+                c, away = code[near], d[np.arange(len(part)), near]
             else:
                 i, c = np.nonzero(d <= part[limit].to_numpy(dtype=np.float64)[:, None])
                 both = np.unique(i * len(cell) + code[c])
                 i, c = both // len(cell), both % len(cell)
+                away = np.zeros(len(i))
             found = {n: part[n].to_numpy()[i] for n in [*by, *key]}
-            out.append(pd.DataFrame(found | {"_cell": cell[c]}, columns=names))
+            out.append(pd.DataFrame(found | {"_cell": cell[c], "_d": away}, columns=names))
         return pd.concat(out, ignore_index=True)
 
-    return (L.groupBy(*by, "_lb").cogroup(R.groupBy(*by, "_lb")).applyInPandas(run, schema))
+    found = L.groupBy(*by, "_lb", "_sb").cogroup(R.groupBy(*by, "_lb", "_sb")).applyInPandas(run, schema)
+    if limit is None and split > 1:              # the nearest of the parts' nearest cells
+        w = Window.partitionBy(*by, *key).orderBy("_d", "_cell")
+        found = found.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return found.drop("_d")
 
 
 def bounded_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
                  right_key: Sequence[str], k: int, kernel: Kernel, attach,
-                 by: Sequence[str] = (), exclude_self: tuple[str, str] | None = None,
+                 eq: Sequence[str] = (), exclude_self: tuple[str, str] | None = None,
                  n_left: int | None = None, n_right: int | None = None,
                  left_payload: dict | None = None, right_payload: dict | None = None,
                  cell_rows: int | None = None) -> DataFrame:
-    """The contract of ``blocked_topk`` with ``eq = by``."""
-    left_key, right_key, by = list(left_key), list(right_key), list(by)
+    """The contract of ``blocked_topk``: equality keys are repetitions, folds, or the label of rules."""
+    left_key, right_key, by = list(left_key), list(right_key), list(eq)
     ship_package(left.sparkSession)
     n_left = left.count() if n_left is None else n_left
     n_right = right.count() if n_right is None else n_right
@@ -143,12 +162,14 @@ def bounded_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
                    right_payload=right_payload, n_left=n_left, n_right=n_right)
     cells = cells_of(attach(right), kernel, by, right_key, cell_rows, n_right)
     summary = cut_lineage(summaries(cells, kernel, by))
-    if summary.count() * 8 > n_right:            # nearly as many summaries as rows: no gain
+    n_summaries = summary.count()
+    if n_summaries * 8 > n_right:                # nearly as many summaries as rows: no gain
         return blocked_topk(left, right, eq=by, attach=attach, **options)
     asked = cut_lineage(attach(left))
     blocks = max(1, math.ceil(n_left / QUERY_ROWS))
     fresh = asked.select(*[F.col(c).alias(c) for c in asked.columns])
-    home = _route(asked, summary, kernel, by, left_key, k, blocks, None)
+    split = max(1, math.ceil(n_summaries / SUMMARY_ROWS))
+    home = _route(asked, summary, kernel, by, left_key, k, blocks, split, None)
 
     def search(queries: DataFrame, pairs: DataFrame, within: str | None = None) -> DataFrame:
         return blocked_topk(queries.join(pairs, [*by, *left_key]), cells, eq=[*by, "_cell"],
@@ -158,7 +179,7 @@ def bounded_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
              .agg(F.min("distance").alias("_t")))
     limited = cut_lineage(fresh.join(limit, [*by, *left_key], "left").withColumn(
         "_t", F.coalesce("_t", F.lit(float("inf")))))
-    pairs = cut_lineage(_route(limited, summary, kernel, by, left_key, k, blocks, "_t"))
+    pairs = cut_lineage(_route(limited, summary, kernel, by, left_key, k, blocks, split, "_t"))
     w = Window.partitionBy(*by, *left_key).orderBy("distance", *right_key)
     limited = limited.select(*[F.col(c).alias(c) for c in limited.columns])
     return (search(limited, pairs, "_t").drop("_cell").withColumn("rank", F.row_number().over(w))

@@ -9,6 +9,8 @@ weighs ``n_c / N``;
 * f1_c = 2 p r / (p + r), 0 when p + r = 0;
 * fpr_c = fp / (N - n_c).
 
+A row is right if its prediction equals its label; a NULL on either side is an error, in counts and metrics alike.
+
 Metrics are rounded to 9 places: per-class terms are summed in shuffle order.
 Everything is one aggregation over the confusion counts, which have at most
 ``classes^2`` rows per group.
@@ -31,7 +33,7 @@ def confusion(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def error_count(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by.., n_test, n_errors)``."""
-    wrong = F.when(F.col("prediction").isNull() | (F.col("prediction") != F.col("label")), 1)
+    wrong = F.when(~F.coalesce(F.col("prediction") == F.col("label"), F.lit(False)), 1)
     return pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n_test"),
                                  F.coalesce(F.sum(wrong), F.lit(0)).cast("long").alias("n_errors"))
 

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import FeatureSpec
-from .bounded import bounded_topk
+from .bounded import search_for
 from .compressed import profile_topk
-from .topk import blocked_topk
 
 
 def _side(df: DataFrame, spec: FeatureSpec, by: Sequence[str], key: str,
@@ -30,19 +29,12 @@ def _payload(spec: FeatureSpec, prefix: str, label_as: str | None) -> dict:
     return out
 
 
-# the same rows either way: cells with bounds pay off for few numbers and many cases (measured on
-# events: 26 s against 17 s at 70,000 cases, but growing far slower than the square)
-BOUNDED_NUMBERS, BOUNDED_CASES = 2, 250_000
-
-
 def _plain_or_bounded(left, right, model, by, k, exclude_self, n_left, lp, rp) -> DataFrame:
-    n, spec = model.n_cases, model.spec
-    bounded = 0 < len(spec.numeric) <= BOUNDED_NUMBERS and n is not None and n >= BOUNDED_CASES
-    keys = {"by" if bounded else "eq": by}
-    return (bounded_topk if bounded else blocked_topk)(
+    n = model.n_cases
+    return search_for(model.spec, n)(
         left, right, left_key=["query_id"], right_key=["case_id"], k=k, kernel=model.metric.kernel,
         attach=model.metric.attach, exclude_self=exclude_self, n_left=n_left, n_right=n,
-        left_payload=lp, right_payload=rp, **keys)
+        left_payload=lp, right_payload=rp, eq=by)
 
 
 def nearest(queries: DataFrame, model, k: int, n_queries: int | None = None,

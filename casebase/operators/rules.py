@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..spec import FeatureSpec
 from .stats import class_counts, joint_counts, value_counts
 from .compressed import profile_topk
-from .topk import blocked_topk
+from .bounded import search_for
 from .vdm import vdm
 
 SEP = "\u0001"
@@ -159,8 +159,9 @@ def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, metric,
     """J3 + D2 + K7: the ``rno`` closest rules with ``from_label = base_label``.
 
     Ordered by ``(rule distance, src_id, dst_id, direction)``.  The label is an
-    equality key of the blocked search, so the dominant class is split into
-    blocks like any other key instead of landing in one task.
+    equality key of the search, so the dominant class is split into blocks (large rule bases:
+    into range cells of change vectors, of which an antecedent is sent only to those within its bound) like
+    any other key instead of landing in one task.
     Returns ``(by.., query_id, base_id, base_rank, src_id, dst_id, direction,
     rule_rank, rule_distance, to_label)``.
     """
@@ -177,11 +178,12 @@ def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, metric,
                            left_payload={c: c for c in keep},
                            right_payload={"to_label": "to_label"})
     else:
-        top = blocked_topk(left, right, left_key=["query_id", "base_id", "base_rank"],
-                           right_key=RULE_KEY, eq=[*by, "_cls"], k=rno,
-                           kernel=metric.kernel, attach=metric.attach, n_left=n_ante, n_right=n_rules,
-                           left_payload={c: c for c in keep},
-                           right_payload={"to_label": "to_label"})
+        search = search_for(spec, n_rules)
+        top = search(left, right, left_key=["query_id", "base_id", "base_rank"],
+                     right_key=RULE_KEY, eq=[*by, "_cls"], k=rno,
+                     kernel=metric.kernel, attach=metric.attach, n_left=n_ante, n_right=n_rules,
+                     left_payload={c: c for c in keep},
+                     right_payload={"to_label": "to_label"})
     return top.select(*by, "query_id", *keep, "base_id", "base_rank", *RULE_KEY,
                       F.col("rank").alias("rule_rank"), F.col("distance").alias("rule_distance"),
                       "to_label")

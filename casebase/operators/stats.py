@@ -56,12 +56,15 @@ def sigma(cases: DataFrame, spec: FeatureSpec, by: Sequence[str] = ()) -> DataFr
 
     Rounding makes the value independent of the order in which partial
     variances are merged; significant digits keep small units as exact as large ones.  Constants in ``spec.sigma`` override the estimate.
+    Missing numbers (NULL, NaN) are left out; with fewer than two others the spread is NULL.
     """
     if not spec.numeric:
         schema = ", ".join([f"`{b}` string" for b in by] + ["feature string", "sigma double"])
         return cases.sparkSession.createDataFrame([], schema)
-    aggs = [F.format_string("%.9e", F.stddev_samp(F.col(f))).cast("double").alias(f) for f in spec.numeric]
-    wide = cases.groupBy(*by).agg(*aggs)
+    wide = cases.groupBy(*by).agg(*[F.stddev_samp(F.when(~F.isnan(f), F.col(f))).alias(f) for f in spec.numeric])
+    # the text of a NULL is not NULL
+    wide = wide.select(*by, *[F.when(F.col(f).isNotNull(), F.format_string("%.9e", F.col(f)))
+                              .cast("double").alias(f) for f in spec.numeric])
     long = wide.unpivot(ids=list(by), values=list(spec.numeric),
                         variableColumnName="feature", valueColumnName="sigma")
     if spec.sigma:

@@ -9,8 +9,8 @@ therefore works on a grid of blocks:
 * left rows are replicated to all ``Rb`` right blocks and right rows to all
   ``Lb`` left blocks, then both sides are co-grouped on
   ``(eq keys, lb, rb)``;
-* each group evaluates its distance matrix in vectorised chunks and emits
-  only the ``k`` best right rows per left row;
+* each group looks for the ``k`` best right rows per left row in cells with lower bounds
+  (``kernels.Cells``), so most distances are never computed, and emits only those;
 * a ``row_number() <= k`` window (planned as a partial ``WindowGroupLimit``
   before the shuffle) merges the per-block winners.
 
@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kernels import Kernel, topk_per_row, topk_weighted
+from ..functions.kernels import CHUNK_CELLS, Kernel, topk_weighted
 from ..session import ship_package
 
-CHUNK_CELLS = 1_000_000
+COMPARED = None              # an accumulator that is told how many pairs the searches look at (benchmark)
 
 
 def _grid(n_left: int, n_right: int, left_block_rows: int, right_block_rows: int,
@@ -133,36 +133,43 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
         + [T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
     out_cols = [f.name for f in out_schema.fields]
     self_l, self_r = exclude_self if exclude_self else (None, None)
+    compared = COMPARED
 
     def run(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
             # object dtype: an empty float column would not convert to a string field
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in out_cols})
         rpdf = rpdf.sort_values(right_key, kind="mergesort").reset_index(drop=True)
-        chunk = max(1, CHUNK_CELLS // len(rpdf))
         block = kernel.block(lpdf, rpdf)          # both sides encoded once per group
-        parts = []
-        for start in range(0, len(lpdf), chunk):
-            lch = lpdf.iloc[start:start + chunk]
-            d = block.distances(start, start + len(lch))
-            if self_l is not None:
-                same = lch[self_l].to_numpy()[:, None] == rpdf[self_r].to_numpy()[None, :]
-                d = np.where(same, np.inf, d)
+        self_values = (lpdf[self_l].to_numpy(), rpdf[self_r].to_numpy()) if self_l is not None else None
+
+        def hide(d, rows, cols):
+            if self_values is None:
+                return d
+            return np.where(self_values[0][rows][:, None] == self_values[1][cols][None, :], np.inf, d)
+
+        def found():
             if weight is None:
-                rows, cols, vals, rank = topk_per_row(d, k)
-            else:
-                rows, cols, vals = topk_weighted(d, rpdf[weight].to_numpy(np.float64), k)
-                rank = np.zeros(len(rows), dtype=np.int32)
-            if within is not None:
-                near = vals <= lch[within].to_numpy(dtype=np.float64)[rows]
-                rows, cols, vals, rank = rows[near], cols[near], vals[near], rank[near]
+                limit = None if within is None else lpdf[within].to_numpy(dtype=np.float64)
+                yield from block.nearest(k, hide, limit, compared)
+                return
+            chunk, cols, weights = max(1, CHUNK_CELLS // len(rpdf)), np.arange(len(rpdf)), \
+                rpdf[weight].to_numpy(np.float64)
+            for start in range(0, len(lpdf), chunk):
+                rows = np.arange(start, min(start + chunk, len(lpdf)))
+                d = hide(block.distances(start, start + len(rows)), rows, cols)
+                i, j, values = topk_weighted(d, weights, k)
+                yield i + start, j, values, np.zeros(len(i), dtype=np.int32)
+
+        parts = []
+        for rows, cols, vals, rank in found():
             part = {}
             for i, c in enumerate(eq):
                 part[c] = [key[i]] * len(rows)
             for c in left_key:
-                part[c] = lch[c].to_numpy()[rows]
+                part[c] = lpdf[c].to_numpy()[rows]
             for o, c in lpay.items():
-                part[o] = lch[c].to_numpy()[rows]
+                part[o] = lpdf[c].to_numpy()[rows]
             for c in right_key:
                 part[c] = rpdf[c].to_numpy()[cols]
             for o, c in rpay.items():

@@ -52,7 +52,18 @@ def holdout(cases: DataFrame, spec: FeatureSpec, method: str, reps: int = 10, k:
     train, test = holdout_sides(cases, spec.id, reps, fraction)
     m = CaseModel.fit(train, spec, radius=radius if method == "adapt" else None, by=["rep"])
     pred = knn_classify(test, m, k) if method == "knn" else adapt_classify(test, m, k, rno)
-    return E.metrics(pred, ["rep"]).withColumn("method", F.lit(method))
+    out = cut_lineage(E.metrics(pred, ["rep"]).withColumn("method", F.lit(method)))      # a row a repetition
+    m.release()
+    return out
+
+
+def compare(cases: DataFrame, spec: FeatureSpec, methods: Sequence[str] = METHODS, **options) -> DataFrame:
+    """E9 for several methods: their metrics over the same repetitions, in one table."""
+    out = None
+    for method in methods:
+        rows = holdout(cases, spec, method, **options)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _holdout_baseline(cases: DataFrame, spec: FeatureSpec, method: str, reps: int,
@@ -98,9 +109,18 @@ def sweep(cases: DataFrame, spec: FeatureSpec, ks: Sequence[int] = KS,
         pred = vote_bounded(per_base, ["fold", "k", "rno", "query_id", "label"], "target")
         pred = pred.withColumn("radius", F.lit(int(radius)))
         preds = pred if preds is None else preds.unionByName(pred)
-    wrong = F.when(F.col("prediction") == F.col("label"), F.lit(0.0)).otherwise(F.lit(1.0))
-    per_fold = preds.groupBy("radius", "k", "rno", "fold").agg(F.avg(wrong).alias("e"))
-    return per_fold.groupBy("radius", "k", "rno").agg(F.round(F.avg("e"), 9).alias("mean_error"))
+    right = preds.where(F.col("prediction") == F.col("label")).groupBy("radius", "k", "rno", "fold").agg(
+        F.count(F.lit(1)).alias("right"))
+    # every test case counts at every point, also where no base has a label or a rule
+    points = test.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    for name, values in (("radius", radii), ("k", ks), ("rno", rnos)):
+        points = points.withColumn(name, F.explode(F.array(*[F.lit(int(v)) for v in sorted(set(values))])))
+    per_fold = points.join(right, ["radius", "k", "rno", "fold"], "left").withColumn(
+        "e", (F.col("n") - F.coalesce("right", F.lit(0))) / F.col("n"))
+    report = cut_lineage(per_fold.groupBy("radius", "k", "rno").agg(
+        F.round(F.avg("e"), 9).alias("mean_error")))                                     # a row a point
+    base.release()
+    return report
 
 
 def best(report: DataFrame) -> DataFrame:

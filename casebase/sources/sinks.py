@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def write_results(df: DataFrame, path: str, fmt: str = "csv", run_id: str = "",
                   started: datetime | None = None) -> None:
@@ -15,12 +17,13 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv", run_id: str = "",
     id, start (default: now) and end.
 
     ``csv`` writes tab-separated text with a header line like the reference's
-    result file; ``parquet`` keeps types.  The end is the time at which the rows are written.
+    result file; ``parquet`` keeps types.  The rows (few) are computed first; the end is the time at
+    which they are there.
     """
     started = started or datetime.now(timezone.utc)
-    rows = df.columns
+    rows, df = df.columns, cut_lineage(df)
     df = df.select(F.lit(run_id).alias("run_id"), F.lit(started).alias("started"),
-                   F.current_timestamp().alias("ended"), *rows)
+                   F.lit(datetime.now(timezone.utc)).alias("ended"), *rows)
     w = df.write.mode("overwrite")
     if fmt == "csv":
         w.option("sep", "\t").option("header", "true").csv(path)

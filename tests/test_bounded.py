@@ -28,7 +28,7 @@ def _both(model, left, right, by=(), exclude=None, k=7, cell_rows=20):
     cols = [*by, "query_id", "rank", "case_id", "distance", "label", "case_label"]
     rows = lambda df: sorted(map(str, df.select(cols).collect()))
     a = rows(blocked_topk(left, right, eq=list(by), **options))
-    return a, rows(bounded_topk(left, right, by=list(by), cell_rows=cell_rows, **options))
+    return a, rows(bounded_topk(left, right, eq=list(by), cell_rows=cell_rows, **options))
 
 
 @pytest.mark.parametrize("numbers", [("x",), ("x", "y")])
@@ -72,5 +72,93 @@ def test_sends_queries_to_few_cells(spark):
     cells = bounded.cells_of(right, m.metric.kernel, [], ["case_id"], 50, 4000)
     summary = bounded.summaries(cells, m.metric.kernel, [])
     left = m.metric.attach(cases.limit(100).withColumnRenamed("id", "query_id")).withColumn("_t", F.lit(0.02))
-    pairs = bounded._route(left, summary, m.metric.kernel, [], ["query_id"], 5, 1, "_t")
+    pairs = bounded._route(left, summary, m.metric.kernel, [], ["query_id"], 5, 1, 1, "_t")
     assert 100 <= pairs.count() < 100 * 20 and cells.select("_cell").distinct().count() >= 80
+
+
+def test_summaries_in_parts(spark, monkeypatch):
+    from casebase.operators import bounded
+    monkeypatch.setattr(bounded, "SUMMARY_ROWS", 9)
+    monkeypatch.setattr(bounded, "QUERY_ROWS", 60)
+    spec = FeatureSpec("id", "label", ("f2",), ("x",))
+    train, test = _table(spark, 1500, 1), _table(spark, 200, 2, 10_000)
+    m = CaseModel.fit(train, spec)
+    a, b = _both(m, test.withColumnRenamed("id", "query_id"), m.cases.withColumnRenamed("id", "case_id"), cell_rows=30)
+    assert a == b and len(a) == 1400
+
+
+def test_rules_in_cells(spark, monkeypatch):
+    """Rule retrieval through range cells of change vectors gives the rules of the plain search."""
+    from casebase.operators import bounded
+    from casebase.operators.classify import adapt_classify
+    spec = FeatureSpec("id", "label", ("f2",), ("x", "y"))
+    train, test = _table(spark, 500, 4), _table(spark, 60, 5, 10_000)
+    m = CaseModel.fit(train, spec, radius=6)
+    rows = lambda: sorted(map(str, adapt_classify(test, m, 4, 5).collect()))
+    plain = rows()
+    used = []
+    routed = bounded.bounded_topk
+    monkeypatch.setattr(bounded, "BOUNDED_ROWS", 600)
+    monkeypatch.setattr(bounded, "CELL_ROWS", 32)
+    monkeypatch.setattr(bounded, "bounded_topk", lambda *a, **o: used.append(1) or routed(*a, **o))
+    assert rows() == plain and len(plain) == 60 and used == [1]
+
+
+class _Sum:
+    n = 0
+
+    def add(self, x):
+        self.n += x
+
+
+def _block(cats, nums, n_left=600, n_right=6000, values=6, clusters=False):
+    """Two sides with NULLs, NaNs, unseen values and a constant number."""
+    import json
+
+    import pandas as pd
+
+    from casebase.functions.kernels import Kernel
+    centres = np.random.default_rng(9).normal(size=(12, max(nums, 1))) * 3
+
+    def side(n, seed):
+        rng, out = np.random.default_rng(seed), {}
+        of = rng.integers(0, 12, n)
+        for i in range(cats):
+            v = [None if x == 0 and rng.random() < 0.3 else f"v{x}" for x in rng.integers(0, values, n)]
+            counts = {f"v{x}": json.dumps({str(c): int(z) for c, z in enumerate(
+                np.random.default_rng(x + 100 * i).integers(1, 50, 5))}) for x in range(values)} | {"v1": None}
+            out[f"c{i}"], out[f"_v_c{i}"] = np.array(v, object), [counts.get(x) for x in v]
+        for i in range(nums):
+            x = centres[of, i] + rng.normal(size=n) * 0.05 if clusters else rng.normal(size=n).round(2)
+            x[rng.random(n) < 0.02] = np.nan
+            out[f"n{i}"], out[f"_s_n{i}"] = x, np.full(n, 0.0 if i == 2 and nums == 3 else 2.0)
+        return pd.DataFrame(out, index=range(n))
+    kinds = {f"c{i}": "cat" for i in range(cats)} | {f"n{i}": "num" for i in range(nums)}
+    return Kernel(tuple(kinds), kinds).block(side(n_left, 1), side(n_right, 2))
+
+
+@pytest.mark.parametrize("cats, nums, clusters, most", [
+    (2, 1, False, 0.3), (3, 0, False, 0.5), (0, 2, False, 0.8), (2, 3, False, 2), (1, 5, True, 2),
+    (0, 16, True, 0.9), (0, 16, False, 2), (1, 1, False, 0.3)])
+def test_cells_of_a_block(monkeypatch, cats, nums, clusters, most):
+    """The k nearest by cells (ranges, or pivots with many numbers) are those of all distances."""
+    from casebase.functions import kernels as K
+    monkeypatch.setattr(K, "LEAST", 1000)
+    block = _block(cats, nums, clusters=clusters)
+    n = block.n_right
+    for exclude in (False, True):
+        def hide(d, rows, cols, exclude=exclude):
+            return np.where(rows[:, None] == cols[None, :], np.inf, d) if exclude else d
+        looked = _Sum()
+        got = [np.concatenate(x) for x in zip(*block.nearest(9, hide, None, looked), strict=True)]
+        every = np.concatenate([block.distances(i, i + 1) for i in range(block.n_left)])
+        want = K.topk_per_row(hide(every, np.arange(block.n_left), np.arange(n)), 9)
+        order = np.lexsort((got[3], got[0]))
+        assert all((g[order] == w).all() for g, w in zip(got, want, strict=True))
+        assert looked.n < most * block.n_left * n
+    limit = np.quantile(every, 0.001, axis=1)
+    within = [np.concatenate(x) for x in zip(*block.nearest(9, lambda d, r, c: d, limit), strict=True)]
+    got = K.topk_per_row(every, 9)
+    keep = got[2] <= limit[got[0]]
+    order = np.lexsort((within[3], within[0]))
+    assert (within[1][order] == got[1][keep]).all() and (within[2][order] == got[2][keep]).all()
