@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import release
+from .common import release, worker_state
 
 CHUNK_BYTES = 400_000        # bytes of distinct pieces in one recursive query
 # a worker's memory: vocabulary and merges 60 MB, the caches 80 MB, DuckDB as below, and about
@@ -314,16 +314,9 @@ class _Recent(dict):
             self.clear()
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """The worker's codec of a vocabulary; kept between tasks of one worker."""
-    key = (os.getpid(), path, pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(path, pattern)
-    return _CODECS[key]
+    return worker_state(("bpe", os.getpid(), path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id",

@@ -27,6 +27,19 @@ def release() -> None:
         trim(0)
 
 
+_STATE: dict = {}
+
+
+def worker_state(owner, make=dict):
+    """What a worker keeps for ``owner`` between tasks, made when first asked for.  A worker keeps the state of
+    one owner: another operator's task drops it, so stages don't add up in memory."""
+    if owner not in _STATE:
+        _STATE.clear()
+        release()
+        _STATE[owner] = make()
+    return _STATE[owner]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -35,7 +35,6 @@ read whole, in slices.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -47,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from .common import release
+from .common import release, worker_state
 
 # fixed values: units of measure and written numbers that count as such
 UNITS = frozenset("""
@@ -265,12 +264,6 @@ def _groups(keys: list, column: pa.Array) -> Iterator[tuple[list, list]]:
         yield some, texts
 
 
-@functools.cache
-def _lexicon() -> Lexicon:
-    """The worker's lexicon, kept between its tasks."""
-    return Lexicon()
-
-
 def _need(n: int, window: int, literals: int) -> int:
     return literals if n == window else -(-n * literals // window)
 
@@ -321,7 +314,7 @@ def _scan(docs: DataFrame, text: str, sizes: list[int], window: int, literals: i
              pa.list_(pa.struct([("k", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, table, known = _lexicon(), None, None
+        lexicon, table, known = worker_state("decontaminate", Lexicon), None, None
         if sent is not None:
             table = sent.value
             quick = np.zeros(1 << 20, bool)

@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from .common import bounded_sample, release
+from .common import bounded_sample, release, worker_state
 
 UND = "und"
 SLICE = 1_000_000            # characters read at once
-CACHE = 250_000              # scored words that a worker remembers
+CACHE = 100_000              # scored words that a worker remembers
 ALPHA = 0.5                  # added to every count
 
 
@@ -58,6 +58,7 @@ def _count_grams(rows: DataFrame, lang: str, text: str, n_max: int) -> DataFrame
     """``(lang, n, gram, count)``: n = 0 for whole words, 1..n_max for n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("langid")
         words, gap = _patterns()
         for b in batches:
             by_lang: dict[str, Counter] = {}
@@ -182,6 +183,7 @@ def language_of(model: Model, text: Column) -> Column:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_state("langid")
         rows = _Rows(sent.value)
         for b in batches:
             lang, score = predict_texts(sent.value, (x.as_py() for x in b), rows)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import bounded_sample, release
+from .common import bounded_sample, release, worker_state
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "letters", "upper", "digits", "symbols", "stops",
@@ -219,6 +219,7 @@ def score_of(model: Gam, text: Column) -> Column:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_state("quality")
         for b in batches:
             x = np.array([text_features(t.as_py()) for t in b], dtype=np.float64)
             yield pa.array(sent.value.score(x.reshape(-1, len(FEATURES))))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from .common import components, connected, release
+from .common import components, connected, release, worker_state
 
 SEED = 42
 SLICE = 65_536               # words hashed at once
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for b in batches:
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)),
                              dtype=np.uint64, count=b.num_rows)
