@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .stats import value_counts
 
 _DEC = "decimal(38,0)"
-SALT = 16
+BLOCK = 1000                              # values of a key that one task pairs with as many
 
 
 def _with_totals(joint: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -36,32 +36,59 @@ def _ratio(num, den):
     return num.cast("double") / den.cast("double")
 
 
-def vdm(joint: DataFrame, by: Sequence[str] = (), dense: bool = True) -> DataFrame:
+def _value_pairs(rows: DataFrame, keys: Sequence[str], carried: Sequence[str],
+                 block: int) -> DataFrame:
+    """``(keys.., v1, v2, <c>1, <c>2)`` with ``v1 < v2``: all pairs of ``value`` with equal ``keys``.
+
+    The values of a key are dealt over parts of about ``block``; a triangle of pairs of
+    parts computes every pair of values once, and no task holds more than two parts of a key at a time.
+    """
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_p"))
+    dealt = rows.join(sizes, list(keys)).withColumn(
+        "_i", F.pmod(F.xxhash64("value"), F.col("_p")).cast("int"))
+    a = dealt.select(*keys, *[F.col(c).alias(c + "_a") for c in ("value", *carried)], "_i",
+                     F.explode(F.sequence("_i", F.col("_p") - 1)).alias("_j"))
+    b = dealt.select(*keys, *[F.col(c).alias(c + "_b") for c in ("value", *carried)],
+                     F.explode(F.sequence(F.lit(0), F.col("_i"))).alias("_k"), F.col("_i").alias("_j")
+                     ).withColumnRenamed("_k", "_i")
+    ordered = F.col("value_a") < F.col("value_b")
+    pairs = a.join(b, [*keys, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | ordered)
+
+    def pick(c: str, first: str, second: str):
+        return F.when(ordered, F.col(c + first)).otherwise(F.col(c + second))
+    return pairs.select(*keys, pick("value", "_a", "_b").alias("v1"), pick("value", "_b", "_a").alias("v2"),
+                        *[pick(c, "_a", "_b").alias(c + "1") for c in carried],
+                        *[pick(c, "_b", "_a").alias(c + "2") for c in carried])
+
+
+def vdm(joint: DataFrame, by: Sequence[str] = (), dense: bool = True, block: int = BLOCK) -> DataFrame:
     """``(by.., feature, v1, v2, vdm)`` with ``v1 < v2``.
 
     ``dense=True`` lists every pair of seen values (the full metric, an output of
-    the square of the number of values); ``dense=False`` only pairs that share a class
-    (all others are 2.0).  Values carry their class counts as a map, so there is one join
-    on the feature, dealt over ``SALT`` parts of the first value, and no join on classes.
+    the square of the number of values).  ``dense=False`` lists only pairs that share a class
+    (all others are 2.0): they come from the posting lists of the classes, so values
+    without a common class never meet.
     """
-    counts = F.map_from_entries(F.collect_list(F.struct("label", "n")))
-    jt = (joint.where(F.col("value").isNotNull() & F.col("label").isNotNull())
-          .groupBy(*by, "feature", "value").agg(counts.alias("m"), F.sum("n").alias("t")))
-    a = jt.select(*by, "feature", F.col("value").alias("v1"), F.col("m").alias("m1"),
-                  F.col("t").alias("t1"), F.pmod(F.xxhash64("value"), F.lit(SALT)).alias("_p"))
-    b = jt.select(*by, "feature", F.col("value").alias("v2"), F.col("m").alias("m2"),
-                  F.col("t").alias("t2"),
-                  F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("_p"))
-    pairs = a.join(b, [*by, "feature", "_p"]).where(F.col("v1") < F.col("v2"))
-    both = F.array_intersect(F.map_keys("m1"), F.map_keys("m2"))
-    shared = F.aggregate(both, F.lit(0).cast(_DEC), lambda s, c: (
-        s + F.least(F.col("m1")[c].cast(_DEC) * F.col("t2").cast(_DEC),
-                    F.col("m2")[c].cast(_DEC) * F.col("t1").cast(_DEC))).cast(_DEC))
-    if not dense:
-        pairs = pairs.where(F.size(both) > 0)
+    seen = joint.where(F.col("value").isNotNull() & F.col("label").isNotNull())
+    keys = [*by, "feature"]
+    common = lambda n1, n2: F.least(n1.cast(_DEC) * F.col("t2").cast(_DEC),
+                                    n2.cast(_DEC) * F.col("t1").cast(_DEC)).cast(_DEC)
+    if dense:
+        counts = F.map_from_entries(F.collect_list(F.struct("label", "n")))
+        jt = seen.groupBy(*keys, "value").agg(counts.alias("m"), F.sum("n").alias("t"))
+        shared = F.aggregate(
+            F.array_intersect(F.map_keys("m1"), F.map_keys("m2")), F.lit(0).cast(_DEC),
+            lambda s, c: (s + common(F.col("m1")[c], F.col("m2")[c])).cast(_DEC))
+        pairs = _value_pairs(jt, keys, ["m", "t"], block).withColumn("shared", shared)
+    else:
+        totals = seen.groupBy(*keys, "value").agg(F.sum("n").alias("t"))
+        listed = seen.select(*keys, "label", "value", "n").join(totals, [*keys, "value"])
+        pairs = (_value_pairs(listed, [*keys, "label"], ["n", "t"], block)
+                 .groupBy(*keys, "v1", "v2", "t1", "t2")
+                 .agg(F.sum(common(F.col("n1"), F.col("n2"))).cast(_DEC).alias("shared")))
     prod = F.col("t1").cast(_DEC) * F.col("t2").cast(_DEC)
-    return pairs.select(*by, "feature", "v1", "v2",
-                        _ratio(F.lit(2).cast(_DEC) * prod - F.lit(2).cast(_DEC) * shared, prod)
+    return pairs.select(*keys, "v1", "v2",
+                        _ratio(F.lit(2).cast(_DEC) * prod - F.lit(2).cast(_DEC) * F.col("shared"), prod)
                         .alias("vdm"))
 
 

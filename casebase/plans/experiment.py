@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators.classify import (adapt_classify, adaptation_votes, knn_classify,
                                    neighbours_with_payload)
+from ..operators.naive_bayes import naive_bayes_by_key
 from ..operators.neighbors import nearest_within
 from ..operators.prepare import fold_sides, holdout_sides
 from ..operators.vote import vote_bounded
@@ -40,16 +41,19 @@ def holdout(cases: DataFrame, spec: FeatureSpec, method: str, reps: int = 10, k:
             rno: int = 5, radius: int = 3, fraction: float = 0.7) -> DataFrame:
     """Metrics per repetition.
 
-    ``knn``/``adapt`` run all repetitions in one job (``rep`` is a key);
-    the library learners (``nb``, ``lr``, ``rf``) fit one model per
+    ``knn``/``adapt``/``nb`` run all repetitions in one job (``rep`` is a key);
+    the library learners (``lr``, ``rf``) fit one model per
     repetition and the predictions are unioned before one metrics pass
     (``rf`` tuned on the small grid by a train/validation split).
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}: expected one of {METHODS}")
-    if method in ("nb", "lr", "rf"):
+    if method in ("lr", "rf"):
         return _holdout_baseline(cases, spec, method, reps, fraction)
     train, test = holdout_sides(cases, spec.id, reps, fraction)
+    if method == "nb":
+        pred = naive_bayes_by_key(train, test, spec, ["rep"])
+        return E.metrics(pred, ["rep"]).withColumn("method", F.lit(method))
     m = CaseModel.fit(train, spec, radius=radius if method == "adapt" else None, by=["rep"])
     pred = knn_classify(test, m, k) if method == "knn" else adapt_classify(test, m, k, rno)
     out = cut_lineage(E.metrics(pred, ["rep"]).withColumn("method", F.lit(method)))      # a row a repetition
@@ -74,9 +78,7 @@ def _holdout_baseline(cases: DataFrame, spec: FeatureSpec, method: str, reps: in
     for rep in range(reps):
         t = is_train(spec.id, rep, fraction)
         train, test = cases.where(t), cases.where(~t)
-        if method == "nb":
-            p = B.naive_bayes(train, test, spec)
-        elif method == "lr":
+        if method == "lr":
             p = B.logistic(train, test, spec)
         else:
             p = B.random_forest_tvs(train, test, spec, B.RF_GRID_SMALL)[0]
