@@ -19,7 +19,10 @@ components take no part; vectors of another length than the most frequent
 one are searched exhaustively among those of their own length; a query with no candidate
 has no result rows; a row's own id is never its neighbour, nor are rows that repeat that id;
 repeated queries are answered once; ties go to the smaller id; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored.  A query whose parts hold fewer than k others is
+searched in all parts.  There are at most k + 1 such queries a part: every query is itself
+indexed in its first part.  Components of any finite size are compared without overflow, the distance itself
+is infinite only where it exceeds a double.
 """
 
 from __future__ import annotations
@@ -56,6 +59,31 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def tame(x: np.ndarray) -> np.ndarray:
+    """Whether squares of numbers up to ``x`` stay within the doubles."""
+    return (x == 0) | ((x > 1e-140) & (x < 1e140))
+
+
+def unit_of(x: np.ndarray) -> float:
+    """A power of two that brings the largest component to about 1 if it isn't tame, else 1."""
+    big = np.abs(x).max() if x.size else np.float64(0)
+    return 1.0 if tame(big) else float(2.0 ** -np.clip(np.frexp(big)[1], -1000, 1000))
+
+
+def distances(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The Euclidean distance of every row of ``v`` from ``q``."""
+    with np.errstate(over="ignore"):
+        diff = v - q
+        out = np.sqrt((diff ** 2).sum(axis=1))
+        odd = ~tame(np.abs(diff).max(axis=1))
+        if odd.any():
+            half = v[odd] / 2 - q / 2                     # of halves, no difference overflows
+            shift = np.frexp(np.abs(half).max(axis=1))[1]
+            root = np.sqrt((np.ldexp(half, -shift[:, None]) ** 2).sum(axis=1))
+            out[odd] = np.ldexp(root, shift + 1)
+    return out
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indexes of the k nearest rows of every row, itself left out."""
     n = len(x)
@@ -113,13 +141,14 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, m: int, rng, slack: float =
 class Router:
     """One hidden layer; probabilities of the parts."""
 
-    def __init__(self, mean, scale, w1, b1, w2, b2, probes: int):
-        self.mean, self.scale, self.probes = mean, scale, probes
+    def __init__(self, mean, scale, w1, b1, w2, b2, probes: int, unit: float = 1.0):
+        self.mean, self.scale, self.probes, self.unit = mean, scale, probes, unit
         self.w1, self.b1, self.w2, self.b2 = w1, b1, w2, b2
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0.0)
-        return h @ self.w2 + self.b2
+        with np.errstate(over="ignore", invalid="ignore"):       # far beyond the sample: any part will do
+            h = np.maximum((x * self.unit - self.mean) / self.scale @ self.w1 + self.b1, 0.0)
+            return np.nan_to_num(h @ self.w2 + self.b2)
 
 
 def train_router(x: np.ndarray, target: np.ndarray, rng, hidden: int = 128, epochs: int = 40,
@@ -157,6 +186,8 @@ def fit(x: np.ndarray, *, k: int = 10, parts: int = 32, target: float = 0.97,
         seed: int = 5) -> Router:
     """Learn the parts and the router from the sample ``x`` (one row a vector)."""
     rng = np.random.default_rng(seed)
+    unit = unit_of(x)
+    x = x * unit
     m = max(1, min(parts, len(x) // 50))
     if m == 1:
         d = x.shape[1]
@@ -180,6 +211,7 @@ def fit(x: np.ndarray, *, k: int = 10, parts: int = 32, target: float = 0.97,
     router = train_router(x, goal, rng)
     router.probes = int(np.searchsorted(found, target)) + 1
     router.probes = min(m, router.probes + 1)
+    router.unit = unit
     return router
 
 
@@ -226,17 +258,19 @@ def best_of(query_id, q, vec_id, v, k: int):
     out: list[list[np.ndarray]] = [[], [], []]
     vec_id, v, most = _distinct(vec_id, v)
     step = max(1, 4_000_000 // max(1, len(v)))
+    plain = all(tame(np.abs(m).max()) for m in (q, v) if m.size)
     for at in range(0, len(q), step):
-        d = squares(q[at:at + step], v)
+        # where squares could overflow, all of the block are ranked by their exact distance
+        d = squares(q[at:at + step], v) if plain else np.zeros((len(q[at:at + step]), len(v)))
         d[query_id[at:at + step][:, None] == vec_id[None, :]] = np.inf
         kk = min(k * most, d.shape[1])
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
         # the quick distances round differently: keep all within their error, rank exactly
-        big = (q[at:at + step] ** 2).sum(1) + (v ** 2).sum(1).max()
+        big = (q[at:at + step] ** 2).sum(1) + (v ** 2).sum(1).max() if plain else np.zeros(len(d))
         for i, row in enumerate(d):
             near = np.flatnonzero(row <= kth[i] + 1e-12 * big[i]) if np.isfinite(kth[i]) \
                 else np.flatnonzero(np.isfinite(row))
-            exact = np.sqrt(((v[near] - q[at + i]) ** 2).sum(axis=1))
+            exact = distances(v[near], q[at + i])
             first = np.lexsort((vec_id[near], exact))
             place = np.unique(vec_id[near][first], return_index=True)[1]
             top = np.sort(place)[:k]                     # an id counts once
@@ -268,18 +302,6 @@ def search(vectors: DataFrame, queries, *, key: str = "vec_id", vector: str = "e
     asked = cut_lineage(_routed(usable(vectors.where(queries), key, vector).dropDuplicates(["id"]),
                                 router, dim, probes)
                         .select("id", "v", F.explode("parts").alias("part")))
-    # the blocks of a part, from the counts of its vectors and queries (a row a part)
-    grid = (index.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-            .join(asked.groupBy("part").agg(F.count(F.lit(1)).alias("q")), "part")
-            .select("part", F.ceil(F.col("n") / block).cast("int").alias("vb"),
-                    F.ceil(F.col("q") / query_block).cast("int").alias("qb")))
-    spread = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
-    pick = lambda by: F.pmod(F.xxhash64("id"), F.col(by)).cast("int")
-    left = asked.join(grid, "part").select("part", spread("vb").alias("b"), pick("qb").alias("c"),
-                                           "id", "v")
-    right = index.join(grid, "part").select("part", pick("vb").alias("b"), spread("qb").alias("c"),
-                                            "id", "v")
-
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         cols = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if a.num_rows and b.num_rows:
@@ -289,9 +311,37 @@ def search(vectors: DataFrame, queries, *, key: str = "vec_id", vector: str = "e
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),
                          "score": pa.array(cols[2], pa.float64())})
 
-    met = (left.groupBy("part", "b", "c").cogroup(right.groupBy("part", "b", "c"))
-           .applyInArrow(meet, "query_id long, vec_id long, score double"))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    def nearest(asked: DataFrame) -> DataFrame:
+        """The k best of every query in the parts that it is asked of."""
+        # the blocks of a part, from the counts of its vectors and queries (a row a part)
+        grid = (index.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+                .join(asked.groupBy("part").agg(F.count(F.lit(1)).alias("q")), "part")
+                .select("part", F.ceil(F.col("n") / block).cast("int").alias("vb"),
+                        F.ceil(F.col("q") / query_block).cast("int").alias("qb")))
+        spread = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+        pick = lambda by: F.pmod(F.xxhash64("id"), F.col(by)).cast("int")
+        left = asked.join(grid, "part").select("part", spread("vb").alias("b"), pick("qb").alias("c"),
+                                               "id", "v")
+        right = index.join(grid, "part").select("part", pick("vb").alias("b"), spread("qb").alias("c"),
+                                                "id", "v")
+        met = (left.groupBy("part", "b", "c").cogroup(right.groupBy("part", "b", "c"))
+               .applyInArrow(meet, "query_id long, vec_id long, score double"))
+        return ranked(met)
+
+    def ranked(met: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return (met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+                .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+                .select("query_id", "rank", "vec_id", "score"))
+
+    found = cut_lineage(nearest(asked))
+    m = router.w2.shape[1] if router else 1
+    if probes < m:                                        # queries whose parts hold fewer than k others
+        got = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        few = (asked.where("part >= 0").dropDuplicates(["id"]).join(got, "id", "left")
+               .where(F.coalesce("n", F.lit(0)) < k)
+               .select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part")))
+        few = cut_lineage(few)
+        if few.limit(1).count():
+            found = ranked(found.drop("rank").unionByName(nearest(few).drop("rank")))
+    return found

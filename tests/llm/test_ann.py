@@ -80,3 +80,32 @@ def test_one_vector_holds_a_third(spark):
     got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(
         df, F.col("vec_id") >= 1195, k=5, parts=8, block=50, query_block=2).collect()}
     assert got == {(q, r): i for q, r, i, _ in brute(rows, lambda i: i >= 1195, 5)}
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e160, 0.0]), (1, [1.5e160, 1e159]), (2, [-1e160, 2.0]), (3, [1.0, 2.0]), (4, [1.0, 2.5]),
+            (5, [1e-170, 0.0]), (6, [3e-170, 0.0]), (7, [1e308, 0.0]), (8, [-1e308, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.lit(True), k=3).collect()
+    assert len(got) == 27
+    score = {(r.query_id, r.vec_id): r.score for r in got}
+    assert score[3, 4] == 0.5 and score[5, 6] == pytest.approx(2e-170, rel=1e-12)
+    assert score[0, 1] == pytest.approx(np.hypot(0.5e160, 1e159), rel=1e-12)
+    assert {r.vec_id for r in got if r.query_id == 7} == {0, 1, 2} and min(
+        r.score for r in got if r.query_id == 7) < float("inf")
+
+
+def test_a_query_in_a_tiny_part_gets_k_rows(spark, monkeypatch):
+    """Only three vectors lie in the part that their queries visit."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(600, 4)), 50 + rng.normal(size=(3, 4))])
+
+    def two_parts(sample, **_):
+        w = np.zeros((4, 2))
+        w[0, 1] = 1.0
+        return ann.Router(np.full(4, 20.0), np.ones(4), np.eye(4), np.zeros(4), w, np.array([0.5, 0.0]), 1)
+    monkeypatch.setattr(ann, "fit", two_parts)
+    rows = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(df, F.col("vec_id") >= 599, k=5).collect()}
+    assert got == {(q, r): i for q, r, i, _ in brute(rows, lambda i: i >= 599, 5)}
