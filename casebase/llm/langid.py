@@ -7,9 +7,10 @@ the one with the largest sum over all its words; the score is that language's
 share after a softmax of the sums.
 
 The model is fitted on a sample of at most about ``fit_rows`` labelled rows
-(a documented bound, drawn by key hash) and holds at most ``max_cells`` table
-cells, so what is sent to the tasks is bounded.  Every word of every text
-is scored.
+(a documented bound, drawn by key hash and shared evenly among the languages: those with
+few rows give all) and holds at most ``max_cells`` table cells, so what is sent to the tasks is
+bounded.  Beyond that bound every language and n-gram length keeps equally many of its most
+frequent entries, so frequent languages don't push out rare ones.  Every word of every text is scored.
 
 Defined cases: a NULL text or one without a letter is ``und`` with score 0, and
 so is everything if there are no labelled rows; a text whose letters the model
@@ -25,11 +26,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from .common import bounded_sample, release, worker_state
+from .common import release, worker_state
 
 UND = "und"
 SLICE = 1_000_000            # characters read at once
@@ -102,13 +103,32 @@ class Model:
         return np.zeros(len(self.langs))
 
 
+def sample_by_language(rows: DataFrame, key: str, lang: str, bound: int) -> DataFrame:
+    """``rows`` if they are at most ``bound``, else about ``bound`` by key hash, as evenly from the
+    languages as their rows allow.  The number of languages reaches the driver, a row each."""
+    sizes = sorted((r.n, r.code) for r in rows.groupBy(F.col(lang).alias("code"))
+                   .agg(F.count(F.lit(1)).alias("n")).collect())
+    if sum(n for n, _ in sizes) <= bound:
+        return rows
+    left, cuts = bound, []
+    for i, (n, code) in enumerate(sizes):
+        take = min(n, left // (len(sizes) - i))
+        left -= take
+        cuts.append((code, -(-2**31 * take // n)))
+    cut = rows.sparkSession.createDataFrame(cuts, "_code string, _cut long")
+    part = (rows.join(F.broadcast(cut), F.col(lang).cast("string") == F.col("_code"))
+            .where(F.pmod(F.xxhash64(F.col(key)), F.lit(2**31)) < F.col("_cut")).drop("_code", "_cut"))
+    m = part.count()                         # one key may hold most rows
+    return part if m <= 2 * bound else part.where(F.rand(7) < bound / m)
+
+
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang",
         n_max: int = 4, min_count: int = 2, fit_rows: int = 8_000,
         max_cells: int = 800_000) -> Model:
     """Learn from the labelled rows of ``docs`` (the caller leaves out held-out ones)."""
     ship_package(docs.sparkSession)
-    rows = bounded_sample(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()),
-                          key, fit_rows)
+    rows = sample_by_language(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+                              .select(key, lang, text), key, lang, fit_rows)
     counts = cut_lineage(_count_grams(rows, lang, text, n_max))
     sums = {(r.n, r.lang): (r.s, r.v) for r in
             counts.groupBy("n", "lang").agg(F.sum("count").alias("s"),
@@ -116,12 +136,15 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     langs = sorted({x for _, x in sums})
     if not langs:
         return Model([], [{} for _ in range(n_max + 1)], np.zeros((0, 0)))
-    # one row a gram with its counts by language; the most frequent ones up to the bound
-    per_gram = (counts.groupBy("n", "gram")
-                .agg(F.sum("count").alias("total"),
+    # one row a gram with its counts by language; up to the bound, those that come first in the list
+    # of a language and length
+    entries = max(1, max_cells // len(langs))
+    place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram"))
+    per_gram = (counts.withColumn("place", place).groupBy("n", "gram")
+                .agg(F.sum("count").alias("total"), F.min("place").alias("place"),
                      F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
                 .where((F.col("total") >= min_count) | (F.col("n") == 1))
-                .orderBy(F.desc("total"), "n", "gram").limit(max(1, max_cells // len(langs))))
+                .orderBy("place", "n", "gram").limit(entries))
     got = per_gram.collect()
     index: list[dict[str, int]] = [{} for _ in range(n_max + 1)]
     table = np.empty((len(got), len(langs)))

@@ -57,3 +57,22 @@ def test_nothing_to_learn_or_read(spark, prose):
     m = L.fit(docs.where("lang = 'zz'"))
     assert {(r.lang_pred, r.score) for r in L.predict(docs, m).collect()} == {("und", 0.0)}
     assert L.predict(docs.where(F.lit(False)), L.fit(docs)).count() == 0
+
+
+def test_rare_languages_keep_their_rows_and_entries(spark):
+    """100 languages, the first with 60 times the rows of the others; bounds far below what there is."""
+    def word(lang, j):
+        return "".join(chr(ord("a") + (lang * 7 + j * 5 + i * (lang % 13 + 1)) % 26) for i in range(6)) + chr(
+            0x4e00 + lang)
+    rows, i = [], 0
+    for lang in range(100):
+        for n in range(300 if lang == 0 else 5):
+            rows.append((i, " ".join(word(lang, (n + j) % 9) for j in range(8)), f"l{lang:02d}"))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = L.sample_by_language(docs, "doc_id", "lang", 520).groupBy("lang").count().collect()
+    assert len(few) == 100 and {r["count"] for r in few if r.lang != "l00"} == {5}
+    m = L.fit(docs, fit_rows=520, max_cells=100 * 1500)
+    assert len(m.langs) == 100 and sum(map(len, m.index)) == 1500
+    names, _ = L.predict_texts(m, [t for _, t, _ in rows])
+    assert sum(a == lang for a, (_, _, lang) in zip(names, rows, strict=True)) >= 0.95 * len(rows)
