@@ -52,8 +52,7 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
        CAST(NULL AS INTEGER) AS grown_shard, source, CAST(position AS BIGINT) AS position FROM s"""
 
 
-def url_rules(max_tokens: int = 2, confidence: float = 0.8, per_mille: int = 2, least: int = 20) -> str:
-    assert max_tokens == 2
+def url_rules(confidence: float = 0.8, least: int = 20) -> str:
     fits, verdicts = [], []
     for site, v in sorted(URL_POLICY, key=lambda r: -len(r[0])):
         host, slash, path = site.partition("/")
@@ -62,7 +61,7 @@ def url_rules(max_tokens: int = 2, confidence: float = 0.8, per_mille: int = 2,
         fits.append(cond + f"'{site}'")
         verdicts.append(cond + f"'{v}'")
     return f"""
-WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0
+WITH RECURSIVE u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0
                   THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 h AS (SELECT *, {_lower("coalesce(regexp_extract(rest, '^[^/?#]*', 0), '')")} AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
@@ -77,18 +76,22 @@ k AS (SELECT *, list_distinct(
         || list_transform(args, lambda x: 'query=' || regexp_replace(
              regexp_extract(x, '^[^=]*', 0), '[0-9]+', '#', 'g'))) AS tokens FROM l),
 y AS (SELECT doc_id, coalesce(max(CAST(quality = 0 OR toxic = 1 AS INTEGER)) = 1, false) AS bad
-      FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-tr AS (SELECT row_number() OVER () AS id, tokens, bad FROM k JOIN y ON y.doc_id = k.page_id),
-m AS (SELECT greatest({least}, (count(*) * {per_mille} + 999) // 1000) AS least FROM tr),
-it AS (SELECT id, bad, unnest(tokens) AS t FROM tr),
-one AS (SELECT t, count(*) AS n, count(*) FILTER (bad) AS b FROM it GROUP BY t),
-often AS (SELECT t FROM one JOIN m ON b >= least),
-two AS (SELECT x.t AS t1, y.t AS t2, count(*) AS n, count(*) FILTER (x.bad) AS b
-        FROM it x JOIN it y ON x.id = y.id AND x.t < y.t JOIN often o ON o.t = x.t
-        JOIN often q ON q.t = y.t GROUP BY x.t, y.t),
-rules AS (SELECT [t] AS r FROM one JOIN m ON b >= least WHERE CAST(b AS DOUBLE) / n >= {confidence}
-          UNION ALL SELECT [t1, t2] FROM two JOIN m ON b >= least
-          WHERE CAST(b AS DOUBLE) / n >= {confidence}),
+      FROM labels WHERE quality IN (0, 1) OR toxic IN (0, 1) GROUP BY doc_id),
+tr AS (SELECT tokens, count(*) AS n, count(*) FILTER (bad) AS b
+       FROM (SELECT list_sort(tokens) AS tokens, bad FROM k JOIN y ON y.doc_id = k.page_id) GROUP BY tokens),
+one AS (SELECT t, sum(n) AS n, sum(b) AS b FROM (SELECT n, b, unnest(tokens) AS t FROM tr)
+        GROUP BY t HAVING sum(b) >= {least}),
+often AS (SELECT coalesce(list(t), []) AS known FROM one),
+held AS (SELECT tokens, sum(n) AS n, sum(b) AS b FROM (
+  SELECT list_filter(tokens, lambda x: list_contains(known, x)) AS tokens, n, b FROM tr, often) GROUP BY tokens),
+sets AS (SELECT [t] AS r, CAST(n AS DOUBLE) AS n, CAST(b AS DOUBLE) AS b FROM one
+         UNION ALL
+         SELECT r, CAST(sum(n) AS DOUBLE), CAST(sum(b) AS DOUBLE)
+         FROM (SELECT unnest(list_transform(list_filter(w.tokens, lambda x: x > s.r[-1]),
+                             lambda x: list_append(s.r, x))) AS r, w.n, w.b
+               FROM sets s JOIN held w ON list_has_all(w.tokens, s.r) WHERE s.b / s.n < {confidence})
+         GROUP BY r HAVING sum(b) >= {least}),
+rules AS (SELECT r FROM sets WHERE b / n >= {confidence}),
 hit AS (SELECT DISTINCT url FROM k JOIN rules ON list_has_all(tokens, r))
 SELECT page_id, host, path, CASE {' '.join(fits)} END AS rule,
        CASE {' '.join(verdicts)} WHEN hit.url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict

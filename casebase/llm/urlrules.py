@@ -1,19 +1,23 @@
 """URL filters by association rules, in DataFrame functions and Spark's FP-growth.
 
 A URL's tokens are its scheme, the suffixes of its host, its path segments and query
-names (digits as ``#``).  FP-growth over the tokens of labelled URLs, with the label as one
-more item, finds token combinations; those of any length (at most ``max_tokens`` tokens if
-given) whose count with the bad label reaches the support and whose confidence reaches
-``min_confidence`` are the rules, without those that hold all tokens of a shorter rule: what
-they block, it blocks.  A URL is blocked if it holds all tokens of a rule.  Rules are found by an
+names (digits as ``#``).  FP-growth over the tokens of the bad labelled URLs finds token
+combinations; those of any length (at most ``max_tokens`` tokens if given) on at least ``min_count``
+bad rows, whose confidence (bad rows of all labelled rows that hold them) reaches ``min_confidence``
+are the rules, without those that hold all tokens of a shorter rule: what they block, it blocks.
+The support is a number of rows, the same for tables of every size.
+
+Two things keep the combinations few, without changing what is blocked: tokens on exactly the same
+labelled rows (the many segments of one repeated URL) are one item, any of them standing for the
+others; and a token that is a rule alone is left out of the mining.  A URL is blocked if it holds all tokens of a rule.  Rules are found by an
 inverted index: each is listed under its rarest token, so common tokens such as
 ``https`` list nothing that a rarer token of the rule can list.
 
 A policy list of (site, verdict) rules decides first; the longest fitting one wins.
 
-The number of rules is bounded whatever the rows: every itemset needs the support
-share of the labelled URLs.  Distinct URLs are matched, so a URL that a third of all rows
-repeat is matched once.
+Copies of a URL are counted as rows but joined, counted and matched once, so a URL that a third of all
+rows repeat costs no more.  What is left to FP-growth are tokens that good URLs hold as well; a URL on
+``min_count`` bad rows with many such tokens, each on other rows, still yields all their combinations.
 
 Defined cases: a NULL URL or one without ``://`` has empty host and path, no tokens and
 the method's verdict ``allow``; labels other than 0 and 1 are ignored, a row
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-BAD = "label=bad"
+CHUNK = 1000                              # copies of a token set that are dealt together
 
 
 def lower_ascii(c: Column) -> Column:
@@ -73,34 +77,82 @@ def url_tokens(rows: DataFrame, url: str) -> DataFrame:
             .withColumn("tokens", F.coalesce(F.array_distinct(tokens), none)).drop("_u"))
 
 
+def _weighted(labelled: DataFrame) -> DataFrame:
+    """``(tokens, n, b)``: distinct token sets with their rows and bad rows, so that the copies of one URL
+    are one row."""
+    return cut_lineage(labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b"))
+        .where(F.size("tokens") > 0))
+
+
+def _items(weighted: DataFrame, min_count: int) -> DataFrame:
+    """``(item, alike, n, b)``: the tokens with enough bad rows; those on exactly the same rows are one
+    item, named by the first of them.  Equal rows are told by two 64-bit digests."""
+    digest = [F.xxhash64("tokens", F.lit(i)).alias(f"d{i}") for i in (1, 2)]
+    same = [F.bit_xor(f"d{i}").alias(f"d{i}") for i in (1, 2)]
+    return cut_lineage(
+        weighted.select(F.explode("tokens").alias("token"), "n", "b", *digest)
+        .groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), *same)
+        .where(F.col("b") >= min_count)
+        .groupBy("d1", "d2", "n", "b").agg(F.array_sort(F.collect_list("token")).alias("alike"))
+        .select(F.col("alike")[0].alias("item"), "alike", "n", "b"))
+
+
+def _combinations(weighted: DataFrame, items: DataFrame, min_count: int) -> DataFrame | None:
+    """``(tokens, n, b)`` of the combinations of at least two ``items``, by FP-growth on the bad rows;
+    ``n`` is counted on all rows."""
+    rows = cut_lineage(
+        weighted.withColumn("token", F.explode("tokens"))
+        .join(items.select("item", F.explode("alike").alias("token")), "token")
+        .groupBy("tokens", "n", "b").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        .groupBy("items").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        .where(F.size("items") > 1))
+    total = rows.agg(F.sum("b")).first()[0] or 0
+    if total < min_count:
+        return None
+    # FP-growth has no weights: a set comes as often as it has bad rows, dealt in chunks
+    bad = (rows.where(F.col("b") > 0)
+           .select("items", "b", F.explode(F.expr(f"sequence(0, (b - 1) div {CHUNK})")).alias("chunk"))
+           .repartition(F.xxhash64("items", "chunk"))
+           .select("items", F.explode(F.expr(f"sequence(1, least({CHUNK}, b - chunk * {CHUNK}))")).alias("i")))
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / total).fit(bad.select("items"))
+    sets = cut_lineage(model.freqItemsets.where(F.size("items") > 1)
+                       .select(F.array_sort("items").alias("tokens"), F.col("freq").alias("b")))
+    listed = (sets.withColumn("item", F.explode("tokens")).join(items.select("item", "n"), "item")
+              .groupBy("tokens", "b").agg(F.min(F.struct("n", "item"))["item"].alias("item")))
+    counts = (rows.select("items", "n", F.explode("items").alias("item")).join(listed, "item")
+              .where(F.size(F.array_except("tokens", "items")) == 0)
+              .groupBy("tokens", "b").agg(F.sum("n").alias("n")))
+    return counts.select("tokens", "n", "b")
+
+
 def mine(labelled: DataFrame, *, max_tokens: int | None = None, min_confidence: float = 0.8,
-         support_per_mille: int = 2, min_count: int = 20) -> DataFrame:
-    """``(tokens, confidence, listed)`` of the rules from ``labelled(tokens, bad boolean)``;
-    ``listed`` is the token of the rule that the fewest labelled URLs have."""
-    spark = labelled.sparkSession
-    items = cut_lineage(labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD)))
-                                        .otherwise(F.col("tokens")).alias("items")))
-    n = items.count()
-    least = max(min_count, -(-n * support_per_mille // 1000))
-    if least > n:
-        return spark.createDataFrame([], "tokens array<string>, confidence double, listed string")
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n,
-                     minConfidence=min_confidence).fit(items)
-    rules = (model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-             .select(F.array_sort("antecedent").alias("tokens"), "confidence"))
-    if max_tokens is not None:
-        rules = rules.where(F.size("tokens") <= max_tokens)
-    rules = cut_lineage(rules)
-    single = (model.freqItemsets.where(F.size("items") == 1)
-              .select(F.col("items")[0].alias("token"), "freq"))
-    listed = (rules.withColumn("token", F.explode("tokens")).join(single, "token")
-              .groupBy("tokens", "confidence")
-              .agg(F.min(F.struct("freq", "token")).alias("rarest")))
-    listed = cut_lineage(listed.select("tokens", "confidence", F.col("rarest.token").alias("listed")))
+         min_count: int = 20) -> DataFrame:
+    """``(tokens, confidence, alike, listed)`` of the rules from ``labelled(tokens, bad boolean)``:
+    ``alike`` holds for each of the ``tokens`` those on the same labelled rows, any of which stands for it;
+    ``listed`` those of the token that the fewest labelled rows have."""
+    weighted = _weighted(labelled)
+    items = _items(weighted, min_count)
+    sure = F.col("b").cast("double") / F.col("n") >= min_confidence
+    found = items.where(sure).select(F.array("item").alias("tokens"), "n", "b")
+    if max_tokens is None or max_tokens > 1:
+        # what holds a rule of one token goes, so those tokens are left out
+        more = _combinations(weighted, items.where(~sure), min_count)
+        if more is not None:
+            if max_tokens is not None:
+                more = more.where(F.size("tokens") <= max_tokens)
+            found = found.unionByName(more.where(sure))
+    place = F.sort_array(F.collect_list(F.struct("item", "alike")))
+    listed = cut_lineage(
+        found.select("tokens", (F.col("b").cast("double") / F.col("n")).alias("confidence"),
+                     F.explode("tokens").alias("item"))
+        .join(items.select("item", "alike", "n"), "item").groupBy("tokens", "confidence")
+        .agg(F.transform(place, lambda x: x["alike"]).alias("alike"),
+             F.min(F.struct("n", "item", "alike"))["alike"].alias("listed")))
     # by length: what holds a kept rule goes; that one is listed under one of the tokens
     for (size,) in sorted(listed.select(F.size("tokens")).distinct().collect())[:-1]:
         kept = (listed.where(F.size("tokens") == size)
-                .select(F.col("listed").alias("token"), F.col("tokens").alias("part")))
+                .select(F.col("listed")[0].alias("token"), F.col("tokens").alias("part")))
         idle = (listed.where(F.size("tokens") > size)
                 .select("tokens", F.explode("tokens").alias("token")).join(kept, "token")
                 .where(F.size(F.array_except("part", "tokens")) == 0).select("tokens").distinct())
@@ -111,9 +163,9 @@ def mine(labelled: DataFrame, *, max_tokens: int | None = None, min_confidence:
 def matched(urls: DataFrame, rules: DataFrame, url: str) -> DataFrame:
     """The distinct ``url`` of ``urls(url, tokens)`` that hold all tokens of a rule."""
     one = urls.select(url, "tokens").dropDuplicates([url])
-    return (one.withColumn("listed", F.explode("tokens"))
-            .join(rules.select("listed", F.col("tokens").alias("rule_tokens")), "listed")
-            .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+    return (one.withColumn("token", F.explode("tokens"))
+            .join(rules.select(F.explode("listed").alias("token"), "alike"), "token")
+            .where(F.forall("alike", lambda c: F.arrays_overlap(c, F.col("tokens"))))
             .select(url).distinct())
 
 

@@ -110,3 +110,44 @@ def test_toxic_rows_without_quality_are_learned(spark):
                                    "doc_id long, quality int, toxic int")
     got = {r.page_id: r.verdict for r in U.judge(pages, labels, []).collect()}
     assert got == {i: "allow" if i % 2 else "block" for i in range(80)}
+
+
+def test_copies_of_a_long_url_end_soon(spark):
+    """Thirty path segments on the same rows are one item; any of them blocks."""
+    long = "http://a.b.spam.net/" + "/".join(f"s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30))
+    rows = [(i, long if i < 1000 else f"http://good{i % 7}.net/sx/{i}") for i in range(2000)]
+    pages = spark.createDataFrame([*rows, (5000, "http://new.org/saa/1"), (5001, "http://new.org/other")],
+                                  "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 1000), 0) for i in range(2000)],
+                                   "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in U.judge(pages, labels, []).collect()}
+    assert got == {i: "block" if i < 1000 or i == 5000 else "allow" for i in [*range(2000), 5000, 5001]}
+
+
+def test_tokens_on_the_same_rows_stand_for_each_other(spark):
+    """Bad where two pairs of inseparable tokens meet: one of each pair blocks, in any combination."""
+    rows, labelled, i = [], [], 0
+    for host in ("x.net", "y.net"):
+        for path in ("p/pp", "q/qq"):
+            for _ in range(30):
+                rows.append((i, f"http://{host}/{path}"))
+                labelled.append((i, int((host, path) != ("x.net", "p/pp")), 0))
+                i += 1
+    new = {i: "http://x.net/p", i + 1: "http://x.net/pp", i + 2: "http://x.net/z", i + 3: "http://z.net/p"}
+    pages = spark.createDataFrame(rows + list(new.items()), "page_id long, url string")
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in U.judge(pages, labels, []).collect()}
+    assert [got[k] for k in new] == ["block", "block", "allow", "allow"]
+    assert {k for k in range(i) if got[k] == "block"} == {k for k, _, _ in labelled if k < 30}
+
+
+def test_support_is_the_same_at_every_size(spark):
+    """25 bad rows of a host make a rule among 10,000 labelled rows and among 60,000."""
+    for n in (10_000, 60_000):
+        pages = spark.range(n).select(F.col("id").alias("page_id"), F.when(F.col("id") < 25, "http://spam.net/")
+                                      .otherwise(F.concat(F.lit("http://h"), F.col("id") % 90, F.lit(".org/")))
+                                      .alias("url"))
+        labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") >= 25).cast("int").alias("quality"),
+                                       F.lit(0).alias("toxic"))
+        got = U.judge(pages, labels, []).where("verdict = 'block'").select("page_id").collect()
+        assert sorted(r.page_id for r in got) == list(range(25))
