@@ -5,9 +5,9 @@ rank ``(rank - 1/2) / rows of the source`` sorts all rows so that every stretch
 order holds the sources in proportion; equal cuts of the order are the shards.
 
 No window holds a whole source or table: ranks are counted within (source, hash
-bucket) and positions within buckets of the fractional rank, and the sums of
-the bucket counts that come before (tables of at most ``buckets`` rows a source, and
-``buckets`` rows) are added.  Only row keys, hashes and numbers are shuffled, not texts.
+bucket), positions within the ranges of a distributed sort by fractional rank and hash, and the sums of
+the counts that come before (tables of at most ``buckets`` rows a source, and a row a
+range) are added.  Sources of equal size have equal fractions; their hashes split them into ranges.  Only row keys, hashes and numbers are shuffled, not texts.
 
 Defined cases: a NULL source is a source of its own; a NULL text has no bytes (size
 1, crc32 0); NULL keys are hashed as such; rows with the same key, bytes and checksum
@@ -53,18 +53,20 @@ def interleave(docs: DataFrame, shards: int, *, key: str = "doc_id", source: str
               .join(counts, ["stratum", "bucket"])
               .withColumn("fraction", (2 * (F.col("before") + F.col("i")) - 1).cast("double")
                           / (2 * F.col("total")).cast("double"))
-              .drop("i", "before", "total", "bucket")
-              .withColumn("bucket", F.floor(F.col("fraction") * BUCKETS).cast("int")))
-    ranked = cut_lineage(ranked)
+              .drop("i", "before", "total", "bucket"))
+    # sorted in ranges of (fraction, hash, ..): rows with equal fractions fall into many ranges
+    ordered = cut_lineage(ranked.orderBy("fraction", "h", "stratum", *order[1:])
+                          .withColumn("at", F.monotonically_increasing_id())
+                          .withColumn("part", F.shiftright("at", 33))
+                          .withColumn("at", F.col("at") - F.shiftleft("part", 33)))
 
-    sums = (ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-            .select("bucket", F.coalesce(F.sum("n").over(
-                Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
+    sums = (ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))          # a row a range
+            .select("part", F.coalesce(F.sum("n").over(
+                Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
                 F.lit(0)).alias("before"),
                 F.sum("n").over(Window.partitionBy()).alias("total")))
-    inside = Window.partitionBy("bucket").orderBy("fraction", "h", "stratum", *order[1:])
-    placed = (ranked.withColumn("i", F.row_number().over(inside)).join(sums, "bucket")
-              .withColumn("position", F.col("before") + F.col("i") - 1)
+    placed = (ordered.join(F.broadcast(sums), "part")
+              .withColumn("position", F.col("before") + F.col("at"))
               .withColumn("shard", F.expr(f"position * {shards} div total").cast("int"))
               .withColumn("slot", F.expr(
                   f"position - (shard * total + {shards} - 1) div {shards}")))

@@ -68,3 +68,18 @@ def test_no_python_and_no_rows(spark):
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan
     assert S.interleave(_frame(spark, _rows()).where(F.lit(False)), 4).count() == 0
+
+
+def test_many_sources_of_one_row(spark):
+    """Their fractions are all one half: the ranges of the sort split them by hash."""
+    rows = [(i, "t", f"only{i}" if i % 3 == 0 else f"s{i % 7}") for i in range(3000)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = S.interleave(_frame(spark, rows), 8)
+        got = sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in df.collect()), key=str)
+        most = max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == plain(rows, 8)
+    assert most < 1000
