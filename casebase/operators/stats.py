@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import splits
 from ..spec import FeatureSpec
 
 
@@ -51,6 +52,33 @@ def value_counts(joint: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return joint.groupBy(*by, "feature", "value").agg(F.sum("n").alias("n"))
 
 
+def joint_counts_by_fold(cases: DataFrame, spec: FeatureSpec, k: int, seed: int = 0) -> DataFrame:
+    """A3 of the training side of every fold: ``(fold, feature, value, label, n)``.
+
+    Every case is counted once, in its own fold; a fold's training counts are the totals without it.
+    """
+    own = joint_counts(cases.withColumn("fold", splits.fold(spec.id, k, seed)), spec, ["fold"])
+    per = own.groupBy("feature", "value", "label").agg(
+        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("own"))
+    return (per.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+            .withColumn("n", F.col("total") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0)))
+            .where(F.col("n") > 0).select("fold", "feature", "value", "label", "n"))
+
+
+def joint_counts_by_rep(cases: DataFrame, spec: FeatureSpec, reps: int, fraction: float = 0.7) -> DataFrame:
+    """A3 of the training side of every hold-out repetition: ``(rep, feature, value, label, n)``.
+
+    Every case is read once and counted in all repetitions that train on it: a sum a repetition.
+    """
+    sides = [f"_t{r}" for r in range(reps)]
+    marked = cases.select(spec.label, *spec.categorical,
+                          *[splits.is_train(spec.id, r, fraction).cast("long").alias(t) for r, t in enumerate(sides)])
+    per = (unpivot_categorical(marked, spec, sides).withColumnRenamed(spec.label, "label")
+           .groupBy("feature", "value", "label").agg(F.array(*[F.sum(t) for t in sides]).alias("each")))
+    return (per.select("feature", "value", "label", F.posexplode("each").alias("rep", "n"))
+            .where(F.col("n") > 0).select("rep", "feature", "value", "label", "n"))
+
+
 def sigma(cases: DataFrame, spec: FeatureSpec, by: Sequence[str] = ()) -> DataFrame:
     """A4: ``(by.., feature, sigma)``, sample standard deviation to 10 significant digits.
 

@@ -6,6 +6,7 @@ from . import jobs
 
 NAMES = [
     "class_counts_docs", "joint_counts_docs", "value_counts_docs", "joint_counts_line",
+    "joint_counts_folds_docs", "joint_counts_reps_docs",
     "sigma_docs", "sigma_cust", "sigma_evt",
     "vdm_docs", "vdm_cust", "vdm_evt", "vdm_line", "value_profile_docs",
     "knn_topk_docs", "knn_topk_cust", "knn_topk_evt", "knn_topk_emb", "knn_topk_ord",

@@ -1,7 +1,7 @@
 """Experiments: repeated hold-out (E9) and the (k, rno, radius) sweep.
 
 Repetitions and folds are key columns, so every repetition or fold runs in the
-same jobs as the others.  In the sweep, neighbours are searched once at the
+same jobs as the others.  Their counts come from one reading of the cases, not from copies.  In the sweep, neighbours are searched once at the
 largest ``k``, leave-self-out neighbours once at the largest radius, and rules
 retrieved once per radius at the largest ``rno``;
 every grid point is then a pair of rank filters, expressed by exploding each
@@ -23,6 +23,7 @@ from ..operators.classify import (adapt_classify, adaptation_votes, knn_classify
 from ..operators.naive_bayes import naive_bayes_by_key
 from ..operators.neighbors import nearest_within
 from ..operators.prepare import fold_sides, holdout_sides
+from ..operators.stats import joint_counts_by_fold, joint_counts_by_rep
 from ..operators.vote import vote_bounded
 from ..session import cut_lineage
 from ..spec import FeatureSpec
@@ -54,7 +55,8 @@ def holdout(cases: DataFrame, spec: FeatureSpec, method: str, reps: int = 10, k:
     if method == "nb":
         pred = naive_bayes_by_key(train, test, spec, ["rep"])
         return E.metrics(pred, ["rep"]).withColumn("method", F.lit(method))
-    m = CaseModel.fit(train, spec, radius=radius if method == "adapt" else None, by=["rep"])
+    joint = joint_counts_by_rep(cases, spec, reps, fraction) if spec.categorical else None
+    m = CaseModel.fit(train, spec, radius=radius if method == "adapt" else None, by=["rep"], joint=joint)
     pred = knn_classify(test, m, k) if method == "knn" else adapt_classify(test, m, k, rno)
     out = cut_lineage(E.metrics(pred, ["rep"]).withColumn("method", F.lit(method)))      # a row a repetition
     m.release()
@@ -97,7 +99,8 @@ def sweep(cases: DataFrame, spec: FeatureSpec, ks: Sequence[int] = KS,
           seed: int = 0) -> DataFrame:
     """``(radius, k, rno, mean_error)``: mean over folds of the per-fold error."""
     train, test = fold_sides(cases, spec.id, folds, seed)
-    base = CaseModel.fit(train, spec, by=["fold"])
+    joint = joint_counts_by_fold(cases, spec, folds, seed) if spec.categorical else None
+    base = CaseModel.fit(train, spec, by=["fold"], joint=joint)
     nb = cut_lineage(neighbours_with_payload(test, base, max(ks)))
     near = cut_lineage(nearest_within(base, max(radii), payload=True))   # one search for all radii
     preds = None

@@ -16,7 +16,8 @@ from ..operators import rules as R
 from ..operators.classify import adapt_classify, adaptation_votes, knn_classify
 from ..operators.neighbors import kth_distance, nearest, nearest_within
 from ..operators.prepare import split
-from ..operators.stats import class_counts, joint_counts, sigma, value_counts
+from ..operators.stats import (class_counts, joint_counts, joint_counts_by_fold, joint_counts_by_rep,
+                               sigma, value_counts)
 from ..operators.vdm import value_profile, vdm
 from ..sources import casebases as CB
 from .model import CaseModel
@@ -83,6 +84,16 @@ def value_counts_docs(spark, sf):
     return value_counts(joint_counts(train, spec))
 
 
+def joint_counts_folds_docs(spark, sf):
+    spec, cases = CB.docs(spark, sf)
+    return joint_counts_by_fold(cases, spec, REPS)
+
+
+def joint_counts_reps_docs(spark, sf):
+    spec, cases = CB.docs(spark, sf)
+    return joint_counts_by_rep(cases, spec, REPS)
+
+
 def joint_counts_line(spark, sf):
     spec, cases = CB.line(spark, sf)
     return joint_counts(cases, spec)

@@ -50,14 +50,16 @@ class CaseModel:
     @classmethod
     def fit(cls, cases: DataFrame, spec: FeatureSpec, radius: int | None = None,
             by: Sequence[str] = (), bidirectional: bool = False,
-            persist: bool = True, compress: bool | None = None) -> CaseModel:
+            persist: bool = True, compress: bool | None = None,
+            joint: DataFrame | None = None) -> CaseModel:
+        """``joint`` gives the counts of ``cases`` (A3) if they are known from elsewhere."""
         by = tuple(by)
         if persist:
             cases = cases.persist(StorageLevel.MEMORY_AND_DISK)
         if spec.categorical:
             # small (distinct values x classes) and read by the value table, the
             # VDM and the profile views: computed once
-            joint = joint_counts(cases, spec, by)
+            joint = joint_counts(cases, spec, by) if joint is None else joint
             if persist:
                 joint = joint.persist(StorageLevel.MEMORY_AND_DISK)
         else:

@@ -16,6 +16,11 @@ def _stats(cb: str, select: str, split: bool = True) -> str:
     return query(f.base() + f.stats(), select)
 
 
+def _joint(key: str, **options) -> str:
+    f = Forms("docs", **options)
+    return query(f.base() + f.stats(), f"SELECT g AS {key}, feature, value, label, n FROM jt")
+
+
 def _sigma(cb: str) -> str:
     f = _f(cb)
     sel = " UNION ALL ".join(f"SELECT '{n}' AS feature, s_{n} AS sigma FROM sig"
@@ -240,6 +245,8 @@ def oracle_sql() -> dict[str, str]:
         "joint_counts_docs": _stats("docs", "SELECT feature, value, label, n FROM jt"),
         "value_counts_docs": _stats("docs", "SELECT feature, value, n FROM tot"),
         "joint_counts_line": _stats("line", "SELECT feature, value, label, n FROM jt", split=False),
+        "joint_counts_folds_docs": _joint("fold", folds=10),
+        "joint_counts_reps_docs": _joint("rep", reps=10),
         "sigma_docs": _sigma("docs"),
         "sigma_cust": _sigma("cust"),
         "sigma_evt": _sigma("evt"),

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from casebase import FeatureSpec
 from casebase.operators.naive_bayes import naive_bayes_by_key
-from casebase.operators.prepare import assemble, holdout_sides, string_index, value_index
+from casebase.operators.prepare import assemble, fold_sides, holdout_sides, string_index, value_index
+from casebase.operators.stats import joint_counts, joint_counts_by_fold, joint_counts_by_rep
 from casebase.operators.vdm import vdm
 from casebase.plans import baselines as B
 from casebase.plans import jobs
+from casebase.sources import casebases as CB
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +117,23 @@ def test_naive_bayes_odd_rows(spark):
     assert {r.prediction for r in naive_bayes_by_key(df.where("false"), df, spec).collect()} == {None}
     with pytest.raises(Exception, match="negative"):
         naive_bayes_by_key(df.withColumn("x", F.lit(-1.0)), df, spec).collect()
+
+
+def test_counts_of_folds_and_repetitions_like_those_of_copies(spark):
+    """Also with NULLs, empty folds and a case base without rows."""
+    spec = FeatureSpec("id", "label", ("f", "g"))
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"v{i % 4}", f"w{i % 3}", None if i % 7 == 0 else f"c{i % 2}")
+                                for i in range(60)] + [(None, "only", None, "c0")],
+                               "id long, f string, g string, label string")
+    for cases in (df, df.limit(2), df.where("false")):
+        for key, got, train in (("fold", joint_counts_by_fold(cases, spec, 5, 3), fold_sides(cases, "id", 5, 3)[0]),
+                                ("rep", joint_counts_by_rep(cases, spec, 4, 0.5), holdout_sides(cases, "id", 4, 0.5)[0])):
+            want = joint_counts(train, spec, [key])
+            assert got.columns == want.columns and got.dtypes == want.dtypes
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_counts_of_folds_read_each_case_once(spark):
+    spec, cases = CB.docs(spark, SF)
+    plan = joint_counts_by_fold(cases, spec, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == 1 and plan.index("explode") < plan.index("Expand")
