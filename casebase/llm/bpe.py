@@ -15,7 +15,7 @@ Defined cases: a NULL or empty text has no ids and decodes to no bytes; ids
 without an entry in the vocabulary raise; repeated rows give repeated results;
 columns besides the key and the text are ignored; an empty table gives an
 empty result.  Memory in a task is bounded by the batch, by ``CHUNK_BYTES``
-and by ``CACHE_ENTRIES`` remembered pieces.
+and by the ``remember`` pieces (at least, and half of the most, each way) that a worker keeps.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from .common import release, worker_state
 CHUNK_BYTES = 400_000        # bytes of distinct pieces in one recursive query
 # a worker's memory: vocabulary and merges 60 MB, the caches 80 MB, DuckDB as below, and about
 # 20 times GROUP_BYTES for what is worked on
-CACHE_ENTRIES = 100_000      # pieces of a worker remembered at least, and half of the most, each way
+CACHE_ENTRIES = 100_000      # pieces remembered unless told otherwise: the share of a stage among others
 GROUP_BYTES = 4_000_000      # bytes of texts or ids that are worked on together
 ENGINE_MEMORY = "128MB"      # of DuckDB; beyond, it spills to the task's temporary folder
 CACHE_LEN = 64               # longer pieces are not remembered
@@ -134,7 +134,7 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 class Codec:
     """Encoder and decoder of one task; holds one DuckDB connection."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remember: int | None = None):
         import duckdb
         import regex
 
@@ -157,7 +157,7 @@ class Codec:
         self.con.register("vocab_in", pa.table({"id": np.arange(size + 1, dtype=np.int32),
                                                 "chars": chars}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
-        self.pieces, self.chunks = _Recent(CACHE_LEN), _Recent(4 * CACHE_LEN)
+        self.pieces, self.chunks = _Recent(CACHE_LEN, remember), _Recent(4 * CACHE_LEN, remember)
 
     # -- encoding ---------------------------------------------------------
     def _cut(self, text: str) -> list[str]:
@@ -293,9 +293,9 @@ def _groups(rows: list) -> Iterator[list]:
 class _Recent(dict):
     """What was looked up last: the entries of this generation and of the one before."""
 
-    def __init__(self, longest: int):
+    def __init__(self, longest: int, most: int | None):
         super().__init__()
-        self.longest, self.before = longest, {}
+        self.longest, self.most, self.before = longest, most, {}
 
     def missing(self, keys: set) -> set:
         """Those of ``keys`` that are new; the others are in this generation from now on."""
@@ -309,14 +309,14 @@ class _Recent(dict):
         for x in new:
             if len(x) > self.longest:
                 del self[x]
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > (self.most or CACHE_ENTRIES):
             self.before = dict(self)
             self.clear()
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, remember: int | None = None) -> Codec:
     """The worker's codec of a vocabulary; kept between tasks of one worker."""
-    return worker_state(("bpe", os.getpid(), path, pattern), lambda: Codec(path, pattern))
+    return worker_state(("bpe", os.getpid(), path, pattern, remember), lambda: Codec(path, pattern, remember))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id",
@@ -343,19 +343,19 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, key: str = "doc_id",
 
 
 def roundtrip_digests(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id",
-                      text: str = "text", with_ids: bool = False) -> DataFrame:
+                      text: str = "text", with_ids: bool = False, remember: int | None = None) -> DataFrame:
     """Encode, decode the ids again, and return per row
-    ``(key, n_tokens, ids_sha256, decoded_sha256)``, and the ``ids`` if asked for."""
-    return _apply(docs, path, pattern, key, text, digests=True, with_ids=with_ids)
+    ``(key, n_tokens, ids_sha256, decoded_sha256)``, and the ``ids`` if asked for.  ``remember`` costs memory (about 1 kB a piece) and saves merges."""
+    return _apply(docs, path, pattern, key, text, digests=True, with_ids=with_ids, remember=remember)
 
 
-def _apply(docs, path, pattern, key, text, digests, with_ids=True):
+def _apply(docs, path, pattern, key, text, digests, with_ids=True, remember=None):
     ship_package(docs.sparkSession)
     src = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x"))
     names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, remember)
         for b in (part for whole in batches for part in _parts(whole)):
             ids = c.encode(b.column(1).to_pylist())
             if not digests:

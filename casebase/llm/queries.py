@@ -96,7 +96,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
     return bpe.roundtrip_digests(_table(spark, sf_dir, "documents"),
                                  public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-                                 public_tokenizers.PATTERN)
+                                 public_tokenizers.PATTERN, remember=500_000)
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
