@@ -345,7 +345,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, key: str = "doc_id",
 def roundtrip_digests(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id",
                       text: str = "text", with_ids: bool = False, remember: int | None = None) -> DataFrame:
     """Encode, decode the ids again, and return per row
-    ``(key, n_tokens, ids_sha256, decoded_sha256)``, and the ``ids`` if asked for.  ``remember`` costs memory (about 1 kB a piece) and saves merges."""
+    ``(key, n_tokens, ids_sha256, decoded_sha256)``, and the ``ids`` if asked for.  ``remember`` costs
+    memory (about 1 kB a piece, not measured) and saves merges."""
     return _apply(docs, path, pattern, key, text, digests=True, with_ids=with_ids, remember=remember)
 
 
