@@ -71,7 +71,8 @@ def adaptation_votes(queries: DataFrame, model, k: int, rno: int,
     ante = cut_lineage(R.antecedents_from(nb, spec, by, keep))
     return R.nearest_rules(ante, model.rule_cases, spec, model.rule_metric, rno, by,
                            n_ante=n_queries * k, n_rules=model.n_rules, keep=keep,
-                           use_profiles=getattr(model, "use_profiles", False))
+                           use_profiles=getattr(model, "use_profiles", False),
+                           lines=getattr(model, "compress", None) is None)
 
 
 def adapt_classify(queries: DataFrame, model, k: int, rno: int,

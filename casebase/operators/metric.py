@@ -40,6 +40,7 @@ class Metric:
     vectors: DataFrame
     sigma: DataFrame
     small: bool
+    line: object = None          # the kernel of the search on number lines, once made (operators.line)
 
     @classmethod
     def of(cls, spec: FeatureSpec, joint: DataFrame, sigma: DataFrame,

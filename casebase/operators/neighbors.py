@@ -1,6 +1,7 @@
 """Neighbour search over a case base (J2, J4, K1-K7 minus the all-pairs forms).
 
-All searches go through :func:`blocked_topk`; the learned metric comes as columns of
+All searches go through :func:`blocked_topk`, with one numeric feature on number lines
+(:mod:`casebase.operators.line`); the learned metric comes as columns of
 the rows (:mod:`casebase.operators.metric`), so its size is not bounded by the driver.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..spec import FeatureSpec
 from .bounded import search_for
 from .compressed import profile_topk
+from .line import line_search
 
 
 def _side(df: DataFrame, spec: FeatureSpec, by: Sequence[str], key: str,
@@ -31,6 +33,12 @@ def _payload(spec: FeatureSpec, prefix: str, label_as: str | None) -> dict:
 
 def _plain_or_bounded(left, right, model, by, k, exclude_self, n_left, lp, rp) -> DataFrame:
     n = model.n_cases
+    if getattr(model, "compress", None) is None:
+        res = line_search(left, right, feats=model.spec.order, left_key=["query_id"], right_key=["case_id"], k=k,
+                          metric=model.metric, eq=by, exclude_self=exclude_self, n_left=n_left, n_right=n,
+                          left_payload=lp, right_payload=rp)
+        if res is not None:
+            return res
     return search_for(model.spec, n)(
         left, right, left_key=["query_id"], right_key=["case_id"], k=k, kernel=model.metric.kernel,
         attach=model.metric.attach, exclude_self=exclude_self, n_left=n_left, n_right=n,

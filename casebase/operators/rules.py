@@ -20,6 +20,7 @@ from ..spec import FeatureSpec
 from .stats import class_counts, joint_counts, value_counts
 from .compressed import profile_topk
 from .bounded import search_for
+from .line import line_search
 from .vdm import vdm
 
 SEP = "\u0001"
@@ -155,12 +156,12 @@ def antecedents_from(nb: DataFrame, spec: FeatureSpec, by: Sequence[str] = (),
 def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, metric, rno: int,
                   by: Sequence[str] = (), n_ante: int | None = None,
                   n_rules: int | None = None, keep: Sequence[str] = (),
-                  use_profiles: bool = False) -> DataFrame:
+                  use_profiles: bool = False, lines: bool = True) -> DataFrame:
     """J3 + D2 + K7: the ``rno`` closest rules with ``from_label = base_label``.
 
     Ordered by ``(rule distance, src_id, dst_id, direction)``.  The label is an
-    equality key of the search, so the dominant class is split into blocks (large rule bases:
-    into range cells of change vectors, of which an antecedent is sent only to those within its bound) like
+    equality key of the search, so the dominant class is split into blocks (with one number: into slabs of the
+    number line, of which an antecedent is sent only to those within its bound) like
     any other key instead of landing in one task.
     Returns ``(by.., query_id, base_id, base_rank, src_id, dst_id, direction,
     rule_rank, rule_distance, to_label)``.
@@ -171,6 +172,7 @@ def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, metric,
                        "base_rank", *keep, *spec.order)
     right = rcases.select(*by, F.col("from_label").alias("_cls"), *RULE_KEY, "to_label",
                           *spec.order)
+    top = None
     if use_profiles:
         top = profile_topk(left, right, feats=spec.order,
                            left_key=["query_id", "base_id", "base_rank"], right_key=RULE_KEY,
@@ -178,6 +180,11 @@ def nearest_rules(ante: DataFrame, rcases: DataFrame, spec: FeatureSpec, metric,
                            left_payload={c: c for c in keep},
                            right_payload={"to_label": "to_label"})
     else:
+        top = line_search(left, right, feats=spec.order, left_key=["query_id", "base_id", "base_rank"],
+                          right_key=RULE_KEY, eq=[*by, "_cls"], k=rno, metric=metric, n_left=n_ante,
+                          n_right=n_rules, left_payload={c: c for c in keep},
+                          right_payload={"to_label": "to_label"}) if lines else None
+    if top is None:
         search = search_for(spec, n_rules)
         top = search(left, right, left_key=["query_id", "base_id", "base_rank"],
                      right_key=RULE_KEY, eq=[*by, "_cls"], k=rno,
