@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from ..functions.kernels import CHUNK_CELLS, Kernel, topk_weighted
 from ..session import ship_package
 
+MOST_TASKS = 4096            # tasks that the blocks of one search are spread over, at most
 COMPARED = None              # an accumulator that is told how many pairs the searches look at (benchmark)
 
 
@@ -119,6 +120,10 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
             "_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))) if rb > 1 else F.lit(0))
         R = attach(right).withColumn("_rb", F.pmod(rhash, F.lit(rb)).cast("int")).withColumn(
             "_lb", F.explode(F.sequence(F.lit(0), F.lit(lb - 1))) if lb > 1 else F.lit(0))
+    spread = 0 if eq else min(2 * lb * rb, MOST_TASKS)
+    if spread > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        # blocks grow with the product of the sides: tasks with them, so none gets ever more blocks
+        L, R = (x.repartition(spread, "_lb", "_rb") for x in (L, R))
     # fresh attributes on both sides: a self search co-groups one lineage with itself
     L = L.select(*[F.col(c).alias(c) for c in L.columns])
     R = R.select(*[F.col(c).alias(c) for c in R.columns])

@@ -52,3 +52,20 @@ def test_line_search_matches_plain(spark, number, slab_rows, eq, exclude):
                  for df in (plain, lines))
     assert len(want) > 0
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_blocks_are_spread_over_tasks(spark):
+    spec = FeatureSpec("id", "label", (), ("x", "y"))
+    cases = spark.createDataFrame([(i, "AB"[i % 2], float(i * i % 97), float(i % 31)) for i in range(400)],
+                                  "id long, label string, x double, y double")
+    metric = Metric.of(spec, spark.createDataFrame([], "feature string, value string, label string, n long"),
+                       sigma(cases, spec))
+    options = dict(left_key=["query_id"], right_key=["case_id"], k=3, kernel=metric.kernel, attach=metric.attach,
+                   merge=False)
+    left, right = cases.withColumnRenamed("id", "query_id"), cases.withColumnRenamed("id", "case_id")
+    found = blocked_topk(left, right, left_block_rows=40, right_block_rows=100, **options)
+    assert found.rdd.getNumPartitions() >= 40
+    key = ["query_id", "distance", "case_id"]
+    best = found.toPandas().sort_values(key).groupby("query_id").head(3).reset_index(drop=True)[key]
+    whole = blocked_topk(left, right, **options).toPandas().sort_values(key).reset_index(drop=True)[key]
+    pd.testing.assert_frame_equal(best, whole)
