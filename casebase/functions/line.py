@@ -17,8 +17,8 @@ import pandas as pd
 
 from .kernels import CHUNK_CELLS, Values, term_table, topk_per_row
 
-LOOP_CELLS = 20_000          # distances that cost as much as the visit of one profile
-FEW = 4                      # profiles visited before that is weighed
+FIRST = 4                    # times k: rows of small profiles that are looked at together at first
+MOST_ROWS = 4096             # and at last
 ROWS = 4096                  # queries that visit a profile together
 
 
@@ -86,6 +86,7 @@ class LineBlock:
         self.codes = {f: t.right.codes[first] for f, t in self.terms.items()}
         cols = np.lexsort((np.arange(len(right)), self.y, self.profile))       # NaN: behind all
         starts = np.searchsorted(self.profile[cols], np.arange(len(first) + 1))
+        self.lengths = np.diff(starts)
         self.lines = [cols[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.numbers = []
         for line in self.lines:
@@ -124,15 +125,20 @@ class LineBlock:
 
     def _search(self, x, rows, least, visits, k, limit):
         best, cols = np.full((len(x), k), np.inf), np.full((len(x), k), len(self.y))
-        limit = limit.copy()
-        for i, p in enumerate(visits):
-            some = np.flatnonzero(least[p] <= limit)
+        limit, i, size = limit.copy(), 0, FIRST * k
+        ahead, sizes = least[visits], np.append(0, np.cumsum(self.lengths[visits]))
+        while i < len(visits):
+            p, some = visits[i], np.flatnonzero(ahead[i] <= limit)
             if not len(some):
                 break
-            rest = np.searchsorted(least[visits], limit[some].max(), side="right") - i if i >= FEW else 0
-            if rest * LOOP_CELLS > len(some) * len(self.y):
-                self._whole(x, rows, k, some, best, cols)
-                break
+            # small profiles next in the order are looked at together, ever more of them
+            last = np.searchsorted(ahead, limit[some].max(), side="right")
+            last = min(last, np.searchsorted(sizes, sizes[i] + size, side="right") - 1)
+            if last > i:
+                self._whole(x, rows, visits[i:last], k, some, best, cols, limit)
+                i, size = last, min(2 * size, MOST_ROWS)
+                continue
+            i += 1
             terms = [r[p] for r in rows]
             known = some[~np.isnan(x[some])]
             gone = some[np.isnan(x[some])]
@@ -184,17 +190,18 @@ class LineBlock:
             again = np.concatenate(again)
             some, place, width = some[again], place[again], width * 4
 
-    def _whole(self, x, rows, k, some, best, cols):
-        """All rows of the block, for few queries that many profiles could answer."""
-        every = [r[self.profile] for r in rows]
-        step = max(1, CHUNK_CELLS // len(self.y))
+    def _whole(self, x, rows, profiles, k, some, best, cols, limit):
+        """All rows of some profiles."""
+        every = np.sort(np.concatenate([self.lines[p] for p in profiles]))
+        terms, y = [r[self.profile[every]] for r in rows], self.y[every]
+        step = max(1, CHUNK_CELLS // len(every))
         for at in range(0, len(some), step):
             now = some[at:at + step]
-            d = self._distance(every, self._number(x[now, None], self.y[None, :]))
-            self.looked += d.size
-            i, j, values, rank = topk_per_row(d, k)
-            best[now], cols[now] = np.inf, len(self.y)
-            best[now[i], rank - 1], cols[now[i], rank - 1] = values, j
+            i, j, values, rank = topk_per_row(self._distance(terms, self._number(x[now, None], y[None, :])), k)
+            d, c = np.full((len(now), k), np.inf), np.full((len(now), k), len(self.y))
+            d[i, rank - 1], c[i, rank - 1] = values, every[j]
+            self.looked += len(now) * (len(every) - k)
+            self._merge(now, d, c, best, cols, limit)
 
     def nearest(self, k: int, hide=None, within: np.ndarray | None = None, compared=None):
         """Like ``kernels.Block.nearest``, in one part; nothing is hidden."""
