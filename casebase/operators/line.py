@@ -28,6 +28,7 @@ from ..session import cut_lineage, ship_package
 from .topk import blocked_topk, key_grid
 
 SLAB_ROWS = 65_536
+LEAST_ROWS = 32_768          # right rows up to which the plain search has one block of them
 LEFT_ROWS = 32_768
 MOST_KEYS = 5_000            # equality keys with edges of their own
 MOST_SLABS = 5_000           # of all keys
@@ -167,10 +168,10 @@ def line_search(left: DataFrame, right: DataFrame, *, feats: Sequence[str], left
                 right_key: Sequence[str], k: int, metric, eq: Sequence[str] = (),
                 exclude_self: tuple[str, str] | None = None, n_left: int | None = None,
                 n_right: int | None = None, left_payload: dict | None = None,
-                right_payload: dict | None = None, **sizes) -> DataFrame | None:
-    """The contract of ``blocked_topk`` by number lines; None where they do not serve: not exactly one
+                right_payload: dict | None = None, least_rows: int = LEAST_ROWS, **sizes) -> DataFrame | None:
+    """The contract of ``blocked_topk`` by number lines; None where they do not serve: few right rows, not exactly one
     number, a metric or a list of equality keys too large for tables, or a key of too many rows."""
-    kernel = line_kernel(metric)
+    kernel = line_kernel(metric) if n_right is None or n_right > least_rows else None
     if kernel is None:
         return None
     feats, lk, rk, eq = list(feats), list(left_key), list(right_key), list(eq)

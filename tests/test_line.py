@@ -46,7 +46,7 @@ def test_line_search_matches_plain(spark, number, slab_rows, eq, exclude):
                    exclude_self=("query_id", "case_id") if exclude else None,
                    left_payload={"own": "label"}, right_payload={"found": "label"})
     plain = blocked_topk(left, right, kernel=metric.kernel, attach=metric.attach, **options)
-    lines = line_search(left, right, feats=SPEC.order, metric=metric, slab_rows=slab_rows, left_rows=50, **options)
+    lines = line_search(left, right, feats=SPEC.order, metric=metric, slab_rows=slab_rows, left_rows=50, least_rows=0, **options)
     names = [*eq, "query_id", "rank", "case_id", "distance", "own", "found"]
     want, got = (df.select(*names).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
                  for df in (plain, lines))
