@@ -168,6 +168,7 @@ class LineBlock:
             self._merge(some, self._distance(terms, np.ones((len(some), 1))), missing[:k], best, cols, limit)
         if not len(y):
             return
+        some = self._near(x, some, p, terms, best, cols, limit, 2 * width)
         place = np.searchsorted(y, x[some])
         while len(some):
             step, again = max(1, CHUNK_CELLS // (2 * width)), []
@@ -190,6 +191,32 @@ class LineBlock:
             again = np.concatenate(again)
             some, place, width = some[again], place[again], width * 4
 
+    def _near(self, x, some, p, terms, best, cols, limit, most):
+        """Queries with at most ``most`` rows of a line within their limits look at these rows; returns the others."""
+        if self.flat:
+            return some
+        y, line, least = self.numbers[p], self.lines[p], sum(terms)
+        with np.errstate(invalid="ignore", over="ignore"):
+            room = limit[some] ** 2 - least
+            # a margin far above rounding; with room for the cap of the term every row counts
+            r = 4.0 * self.sigma * (room + 1e-9 * (2.0 + least)) + np.abs(x[some]) * 1e-12
+            lo, hi = np.searchsorted(y, x[some] - r), np.searchsorted(y, x[some] + r, side="right")
+        bounded = (room < 1.0 - 1e-6) & (hi - lo <= most)
+        at = np.flatnonzero(bounded & (hi > lo))
+        if len(at):
+            width = int((hi - lo)[at].max())
+            step = max(1, CHUNK_CELLS // width)
+            for start in range(0, len(at), step):
+                part = at[start:start + step]
+                now = some[part]
+                place_of = lo[part, None] + np.arange(width)[None, :]
+                inside = place_of < hi[part, None]
+                place_of = np.minimum(place_of, len(y) - 1)
+                d = self._distance(terms, self._number(x[now, None], y[place_of]))
+                self._merge(now, np.where(inside, d, np.inf), np.where(inside, line[place_of], len(self.y)),
+                            best, cols, limit)
+        return some[~bounded]
+
     def _whole(self, x, rows, profiles, k, some, best, cols, limit):
         """All rows of some profiles."""
         every = np.sort(np.concatenate([self.lines[p] for p in profiles]))

@@ -6,8 +6,8 @@ Rows with equal features are at equal distances: a vector of features keeps its
 The right rows of an equality key are cut by quantiles of their number into slabs of about
 ``SLAB_ROWS`` rows of all categorical values; a slab is searched by places on lines
 (:class:`~casebase.functions.line.LineBlock`).  A query is searched in the slab of its own number; the k-th
-distance found there bounds the numbers that can matter, and the query is answered in the slabs that they
-reach (nearly always that one).  Rows are those of the plain search; no pair of blocks meets
+distance found there bounds the numbers that can matter, and the query is sent to the other slabs that they
+reach (mostly none).  Rows are those of the plain search; no pair of blocks meets
 that the bound excludes, so work grows with the rows of both sides.
 """
 
@@ -25,11 +25,12 @@ from pyspark.sql import types as T
 
 from ..functions.line import LineKernel
 from ..session import cut_lineage, ship_package
-from .topk import blocked_topk, key_grid
+from .topk import MOST_TASKS, blocked_topk, key_grid
 
 SLAB_ROWS = 65_536
 LEAST_ROWS = 32_768          # right rows up to which the plain search has one block of them
 LEFT_ROWS = 32_768
+PIECE_ROWS = 512             # left rows of one profile that stay together
 MOST_KEYS = 5_000            # equality keys with edges of their own
 MOST_SLABS = 5_000           # of all keys
 MOST_VALUES = 2_000          # values of a categorical feature and key
@@ -115,22 +116,29 @@ def line_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str], rig
     R = cut_lineage(R.withColumn("_slab", slab("_code", number)).drop("_code"))
     L = cut_lineage(L.withColumn("_slab", slab("_code", number)))
     at = [*eq, "_slab"]
-    if all(len(x) == 0 for x in edges.values()):
-        return blocked_topk(L.drop("_code", "_slab"), R.drop("_slab"), eq=eq, n_left=n_left, n_right=n_right,
-                            left_block_rows=left_rows, right_block_rows=1 << 30, **options)
-
-    # the k-th distance in the own slab, and the slabs that can hold a nearer row
-    groups = 2 * spark.sparkContext.defaultParallelism
-    blocks = key_grid(L, R, at, left_rows, 1 << 30, groups, R.count()).select(*at, "_lbn")
+    # every left row in its own slab: the rows found there, and the other slabs that can hold a nearer one
+    blocks = key_grid(L, R, at, left_rows, 1 << 30, 2 * spark.sparkContext.defaultParallelism, R.count()).select(*at, "_lbn")
     lhash = F.xxhash64(*[F.col(c) for c in left_key])
-    asked = L.join(F.broadcast(blocks), at).withColumn("_lb", F.pmod(lhash, F.col("_lbn")).cast("int")).drop("_lbn")
+    # left rows of like categorical values meet a block together, in pieces, so a frequent profile is spread
+    profile = F.xxhash64(*[F.col(c) for c in kernel.order if c != number], F.lit(0))
+    asked = L.withColumn("_profile", profile)
+    sizes = asked.groupBy(*at, "_profile").agg(F.ceil(F.count(F.lit(1)) / PIECE_ROWS).alias("_pieces"))
+    asked = asked.join(F.broadcast(blocks), at).join(sizes, [*at, "_profile"]).withColumn("_lb", F.pmod(F.xxhash64(
+        "_profile", F.pmod(lhash, F.col("_pieces"))), F.col("_lbn")).cast("int")).drop("_lbn", "_profile", "_pieces")
     home = R.join(F.broadcast(blocks), at).withColumn(
         "_lb", F.explode(F.sequence(F.lit(0), F.col("_lbn") - 1))).drop("_lbn")
+    # a fixed number of tasks: few bytes can be much work, so small partitions are not put together
+    spread = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked, home = (x.repartition(min(spread, MOST_TASKS), *at, "_lb") for x in (asked, home))
     asked, home = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (asked, home))
-    carried = [c for c in left.columns]
-    schema = T.StructType([left.schema[c] for c in carried] + [
-        T.StructField("_from", T.IntegerType()), T.StructField("_to", T.IntegerType()),
-        T.StructField("_t", T.DoubleType())])
+    carried, pay = list(left.columns), dict(right_payload or {})
+    schema = T.StructType(
+        [T.StructField(c, left.schema[c].dataType) for c in carried]
+        + [T.StructField(c, right.schema[c].dataType) for c in right_key]
+        + [T.StructField(o, right.schema[c].dataType) for o, c in pay.items()]
+        + [T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType()),
+           T.StructField("_home", T.IntegerType()), T.StructField("_from", T.IntegerType()),
+           T.StructField("_to", T.IntegerType()), T.StructField("_t", T.DoubleType())])
     names = schema.fieldNames()
 
     def reach(group, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,24 +146,48 @@ def line_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str], rig
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
         rpdf = rpdf.sort_values(right_key, kind="mergesort").reset_index(drop=True)
         block = kernel.block(lpdf, rpdf)
-        t = block.topk(k)[0][:, -1]
+        best, cols = block.topk(k)
+        rows, rank = np.nonzero(np.isfinite(best))
+        found = lpdf[carried].iloc[rows].reset_index(drop=True)
+        taken = rpdf.iloc[cols[rows, rank]]
+        for o, c in ({c: c for c in right_key} | pay).items():
+            found[o] = taken[c].to_numpy()
+        found["distance"], found["rank"] = best[rows, rank], (rank + 1).astype(np.int32)
+        found["_home"], found["_from"], found["_to"], found["_t"] = 0, -1, -1, np.nan
+        t, own = best[:, -1].copy(), int(lpdf["_slab"].iloc[0])
         cuts, x = shared.value[int(lpdf["_code"].iloc[0])], block.x
         t[np.isnan(x)] = np.inf
         near = t < 1.0 - 1e-9                   # beyond, rows at the cap of the term or without a number count too
         r = np.zeros(len(x)) if block.flat else 4.0 * block.sigma * np.where(near, t, 0.0) ** 2 * (1 + 1e-6)
         r = r + np.abs(x) * 1e-12
-        out = lpdf[carried].copy()
-        out["_from"] = np.where(near, np.searchsorted(cuts, x - r, side="right"), 0).astype(np.int32)
-        out["_to"] = np.where(near, np.searchsorted(cuts, x + r, side="right"), len(cuts)).astype(np.int32)
-        out["_t"] = t
-        return out[names]
-
-    reached = cut_lineage(asked.groupBy(*at, "_lb").cogroup(home.groupBy(*at, "_lb")).applyInPandas(reach, schema))
-    sent = reached.withColumn("_slab", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
-    found = blocked_topk(sent, R, eq=at, within="_t", merge=False, left_block_rows=left_rows,
-                         right_block_rows=1 << 30, n_left=n_left, n_right=n_right or 1, **options)
+        first = np.where(near, np.searchsorted(cuts, x - r, side="right"), 0)
+        last = np.where(near, np.searchsorted(cuts, x + r, side="right"), len(cuts))
+        beyond = np.flatnonzero((first < own) | (last > own))
+        if not len(beyond):
+            return found[names]
+        more = lpdf[carried].iloc[beyond].reset_index(drop=True)
+        for c in [*right_key, *pay]:
+            more[c] = pd.Series([None] * len(more), dtype=object)
+            found[c] = found[c].astype(object)
+        more["distance"], more["rank"], more["_home"] = np.nan, 0, own
+        more["_from"], more["_to"], more["_t"] = first[beyond], last[beyond], t[beyond]
+        return pd.concat([found[names], more[names]], ignore_index=True)
+
+    found = asked.groupBy(*at, "_lb").cogroup(home.groupBy(*at, "_lb")).applyInPandas(reach, schema)
+    out = [*eq, *left_key, *right_key, *pay, "distance", "rank"]
     w = Window.partitionBy(*eq, *left_key).orderBy("distance", *right_key)
-    return found.drop("_slab").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if all(len(x) == 0 for x in edges.values()):
+        found = found.select(*out)
+        if not eq:
+            return found
+    else:
+        found = cut_lineage(found)
+        sent = found.where("_from >= 0").withColumn("_slab", F.explode(F.sequence("_from", "_to"))).where(
+            "_slab <> _home").select(*carried, "_slab", "_t")
+        others = blocked_topk(sent, R, eq=at, within="_t", merge=False, left_block_rows=left_rows,
+                              right_block_rows=1 << 30, n_left=n_left, n_right=n_right or 1, **options)
+        found = found.where("_from < 0").select(*out).unionByName(others.select(*out))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _copies(rows: DataFrame, key: list) -> int:

@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from casebase.functions.line import LineKernel
+from casebase.operators import line
 from casebase.operators.line import line_search
 from casebase.operators.metric import Metric
 from casebase.operators.stats import joint_counts, sigma
@@ -69,3 +71,35 @@ def test_blocks_are_spread_over_tasks(spark):
     best = found.toPandas().sort_values(key).groupby("query_id").head(3).reset_index(drop=True)[key]
     whole = blocked_topk(left, right, **options).toPandas().sort_values(key).reset_index(drop=True)[key]
     pd.testing.assert_frame_equal(best, whole)
+
+
+def test_rows_beyond_the_limit_are_not_looked_at():
+    class Tables:
+        value = {((), "f"): {f"v{i}": {"A": 1, "B": 1} for i in range(40)}}, {(): 1000.0}
+    rng = np.random.default_rng(3)
+    cases = pd.DataFrame({"f": [f"v{i % 40}" for i in range(20_000)], "x": rng.uniform(0, 1000, 20_000)})
+    asked = cases.sample(200, random_state=4).reset_index(drop=True)
+    block = LineKernel(("f", "x"), "x", (), Tables()).block(asked, cases)
+    found, cols = block.topk(5)
+    whole = np.sqrt(np.abs(asked["x"].to_numpy()[:, None] - cases["x"].to_numpy()[None, :]) / 4000.0)
+    want = np.lexsort((np.broadcast_to(np.arange(20_000), whole.shape), whole), axis=1)[:, :5]
+    assert (cols == want).all() and (found == np.take_along_axis(whole, want, axis=1)).all()
+    assert block.looked < 200 * 500                  # before: a window of 25 rows in each of 40 profiles
+
+
+def test_only_rows_that_reach_other_slabs_are_searched_again(spark, monkeypatch):
+    cases = spark.createDataFrame([(i, "AB"[i % 2], "pq"[i % 3 % 2], "uv"[i % 2], float(i)) for i in range(2000)],
+                                  "id long, label string, f string, g string, x double")
+    metric = Metric.of(SPEC, joint_counts(cases, SPEC), sigma(cases, SPEC))
+    again = []
+    plain = line.blocked_topk
+
+    def counted(left, right, **options):
+        again.append(left.count())
+        return plain(left, right, **options)
+    monkeypatch.setattr(line, "blocked_topk", counted)
+    options = dict(left_key=["query_id"], right_key=["case_id"], k=3, n_right=2000, least_rows=0, slab_rows=500)
+    got = line_search(cases.withColumnRenamed("id", "query_id"), cases.withColumnRenamed("id", "case_id"),
+                      feats=SPEC.order, metric=metric, **options)
+    assert got.count() == 6000
+    assert len(again) == 1 and again[0] < 200        # before: all 2000
