@@ -4,8 +4,8 @@ Repetitions and folds are key columns, so every repetition or fold runs in the
 same jobs as the others.  Their counts come from one reading of the cases, not from copies.  In the sweep, neighbours are searched once at the
 largest ``k``, leave-self-out neighbours once at the largest radius, and rules
 retrieved once per radius at the largest ``rno``;
-every grid point is then a pair of rank filters, expressed by exploding each
-chosen rule into the grid points it belongs to (a generator, not a join).
+every grid point is then a pair of rank filters over a query's chosen rules, which
+are brought together once for all points (``vote.grid_right``).
 Only the radius changes the rule base (and its metric), so there are
 ``len(radii)`` rule fits, not one per grid point.
 """
@@ -24,7 +24,7 @@ from ..operators.naive_bayes import naive_bayes_by_key
 from ..operators.neighbors import nearest_within
 from ..operators.prepare import fold_sides, holdout_sides
 from ..operators.stats import joint_counts_by_fold, joint_counts_by_rep
-from ..operators.vote import vote_bounded
+from ..operators.vote import grid_right
 from ..session import cut_lineage
 from ..spec import FeatureSpec
 from .model import CaseModel
@@ -89,11 +89,6 @@ def _holdout_baseline(cases: DataFrame, spec: FeatureSpec, method: str, reps: in
     return E.metrics(preds, ["rep"]).withColumn("method", F.lit(method))
 
 
-def _grid_col(values: Sequence[int], rank: str):
-    arr = F.array(*[F.lit(int(v)) for v in sorted(values)])
-    return F.explode(F.filter(arr, lambda x: x >= F.col(rank)))
-
-
 def sweep(cases: DataFrame, spec: FeatureSpec, ks: Sequence[int] = KS,
           rnos: Sequence[int] = RNOS, radii: Sequence[int] = RADII, folds: int = 10,
           seed: int = 0) -> DataFrame:
@@ -103,19 +98,12 @@ def sweep(cases: DataFrame, spec: FeatureSpec, ks: Sequence[int] = KS,
     base = CaseModel.fit(train, spec, by=["fold"], joint=joint)
     nb = cut_lineage(neighbours_with_payload(test, base, max(ks)))
     near = cut_lineage(nearest_within(base, max(radii), payload=True))   # one search for all radii
-    preds = None
+    n_rows, right = test.count() * max(ks) * max(rnos), None
     for radius in radii:
         m = base.with_rules(radius, neighbours=near)
         chosen = adaptation_votes(test, m, max(ks), max(rnos), neighbours=nb, keep_label=True)
-        grid = (chosen.withColumn("k", _grid_col(ks, "base_rank"))
-                .withColumn("rno", _grid_col(rnos, "rule_rank")))
-        per_base = vote_bounded(grid, ["fold", "k", "rno", "query_id", "label", "base_id"],
-                                "to_label", "target")
-        pred = vote_bounded(per_base, ["fold", "k", "rno", "query_id", "label"], "target")
-        pred = pred.withColumn("radius", F.lit(int(radius)))
-        preds = pred if preds is None else preds.unionByName(pred)
-    right = preds.where(F.col("prediction") == F.col("label")).groupBy("radius", "k", "rno", "fold").agg(
-        F.count(F.lit(1)).alias("right"))
+        rows = grid_right(chosen, ["fold"], ks, rnos, n_rows).withColumn("radius", F.lit(int(radius)))
+        right = rows if right is None else right.unionByName(rows)
     # every test case counts at every point, also where no base has a label or a rule
     points = test.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
     for name, values in (("radius", radii), ("k", ks), ("rno", rnos)):
