@@ -12,9 +12,9 @@ remaining intervals get their own bounds.  An interval ends once its bound is be
 or equal to it with no smaller key inside.  The k best go on from block to block of a task, so later blocks
 start with a high limit.  Nothing is approximate: every document that isn't scored is below its bound.
 
-On Spark: blocks are rows of a written table, so a task holds one block (a fixed number of terms; a longer document
-is a block of its own).  Document frequencies are one aggregation, of as many terms as the queries
-have.  A task returns the k best of each query, which a window merges.  Queries are broadcast in sets of at
+On Spark: blocks are rows of a written table, each a row group of its own and sent to Python alone, so a task holds
+one block (a fixed number of terms; a longer document is a block of its own) however large its file is.  Document
+frequencies are one aggregation, of as many terms as the queries have.  A task returns the k best of each query, which a window merges.  Queries are broadcast in sets of at
 most ``SET_TERMS`` terms, whatever their number, each searched against all blocks.
 
 Defined cases: NULL and empty texts and texts without terms are no documents, such queries have no
@@ -29,16 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-BLOCK_TERMS = 2_000_000                    # terms of a block, repeats included
+BLOCK_TERMS = 1_000_000                    # terms of a block, repeats included
 BLOCK_DOCS = 32_768
 SLICE = 4 << 20                            # bytes of a text split at once
 SET_TERMS, SET_QUERIES = 500_000, 4096     # of queries broadcast at once
 AT_ONCE = 64                               # intervals split together
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20    # of texts, and of blocks, that a task sends to Python at once
 NO_KEY = 2**63 - 1                         # stands for NULL: last among equals
 # a term is a run of digits, ASCII letters (A-Z lower-cased) and characters beyond ASCII
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -59,6 +61,11 @@ def slices(text: str) -> Iterator[list[bytes]]:
         at = end + 1
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class _Numbers(dict):
     def __missing__(self, term):
         self[term] = n = len(self)
@@ -68,6 +75,7 @@ class _Numbers(dict):
 def index(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the blocks of ``docs`` to ``folder`` and read them."""
     ship_package(docs.sparkSession)
+    _small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, keys, sizes, ids, tfs = _Numbers(), [], [], [], []
@@ -120,7 +128,7 @@ def index(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "tex
             yield block()
 
     (docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_x")).mapInArrow(run, BLOCK)
-     .write.option("compression", "zstd").parquet(folder))
+     .write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(folder))
     return docs.sparkSession.read.schema(BLOCK).parquet(folder)
 
 
@@ -162,15 +170,13 @@ class Postings:
             self.log[1 << i:] = i
         # level j: where the largest impact of the 2**j postings from each one on is; a range that leaves its
         # list is never asked for
-        level = np.arange(len(self.docs), dtype=np.int32)
-        self.table = [level]
-        for j in range(1, most.bit_length()):
-            right = level[1 << (j - 1):]
-            level = level.copy()
-            left = level[:len(right)]
+        self.table = np.empty((most.bit_length(), len(self.docs)), np.int32)
+        self.table[0] = np.arange(len(self.docs))
+        for j in range(1, len(self.table)):
+            right = self.table[j - 1, 1 << (j - 1):]
+            self.table[j] = self.table[j - 1]
+            left = self.table[j, :len(right)]
             np.copyto(left, right, where=self.impacts[right] > self.impacts[left])
-            self.table.append(level)
-        self.table = np.array(self.table)
 
     def bounds(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For intervals x terms of posting ranges: the sum of the terms' largest impacts, and the document
@@ -245,15 +251,13 @@ def search(blocks: DataFrame, queries: DataFrame, k: int = 10, *, query_key: str
     """``(query_key, rank, key, score)``: the k best documents of ``blocks`` (of :func:`index`) for each query."""
     spark = blocks.sparkSession
     ship_package(spark)
+    _small_batches(spark)
     kind = queries.schema[query_key].dataType.simpleString()
     schema = f"`{query_key}` {kind}, rank int, `{key}` long, score long"
     sums = blocks.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("l")).head()
     out = None
     for asked in _sets(queries, query_key, text) if sums.n else ():
-        vocabulary = spark.createDataFrame([(t,) for t in sorted({t for _, ts in asked for t in ts})], "term binary")
-        weights = (blocks.select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
-                   .select(F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
-                   .join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.sum("n").alias("df"))
+        weights = (_frequencies(blocks, {t for _, ts in asked for t in ts}).groupBy("term").agg(F.sum("n").alias("df"))
                    .select("term", F.floor(1000 * F.log((2 * F.lit(sums.n) + 2) / (2 * F.col("df") + 1)))
                            .alias("w")))
         found = _searched(blocks, [ts for _, ts in asked], {bytes(r.term): r.w for r in weights.collect()},
@@ -267,6 +271,20 @@ def search(blocks: DataFrame, queries: DataFrame, k: int = 10, *, query_key: str
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def _frequencies(blocks: DataFrame, vocabulary: set[bytes]) -> DataFrame:
+    """``(term, n)``: how many documents of each block have a term of ``vocabulary``."""
+    sent = blocks.sparkSession.sparkContext.broadcast(sorted(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value, pa.binary())
+        for b in batches:
+            terms, n = (b.column(i).flatten() for i in (0, 1))
+            here = pc.is_in(terms, value_set=known)
+            yield pa.RecordBatch.from_arrays([terms.filter(here), n.filter(here)], ["term", "n"])
+
+    return blocks.select("terms", "counts").mapInArrow(run, "term binary, n int")
+
+
 def _searched(blocks: DataFrame, asked: list[list[bytes]], weights: dict[bytes, int], n: int, total: int,
               k: int) -> DataFrame:
     """``(query, doc, score)``: at least the k best of each query, from the blocks of each task."""
@@ -274,20 +292,21 @@ def _searched(blocks: DataFrame, asked: list[list[bytes]], weights: dict[bytes,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, weights = sent.value
+        known = pa.array([t for t, w in weights.items() if w], pa.binary())
         best = [Best(k) for _ in asked]
         for batch in batches:
             for b in (batch.slice(i, 1) for i in range(len(batch))):
                 keys, sizes = (np.asarray(b.column(i).flatten()) for i in (0, 2))
                 m = _length_norm(sizes, n, total)
                 counts = np.asarray(b.column(4).flatten())
-                doc, tf = (np.frombuffer(b.column(i)[0].as_py(), "<u4").astype(np.int64) for i in (5, 6))
-                ends = np.cumsum(counts)
+                doc, tf = (np.frombuffer(b.column(i)[0].as_buffer(), "<u4") for i in (5, 6))
+                ends, terms = np.cumsum(counts), b.column(3).flatten()
+                at = np.flatnonzero(pc.is_in(terms, value_set=known).to_numpy(zero_copy_only=False))
                 here, lists = {}, []
-                for t, e, c in zip(b.column(3).flatten().to_pylist(), ends.tolist(), counts.tolist(), strict=True):
-                    w = weights.get(t)
-                    if w:
-                        here[t] = len(lists)
-                        lists.append((doc[e - c:e], _impacts(w, doc[e - c:e], tf[e - c:e], m)))
+                for t, e, c in zip(terms.take(pa.array(at)).to_pylist(), ends[at].tolist(), counts[at].tolist(),
+                                   strict=True):
+                    here[t] = len(lists)
+                    lists.append((doc[e - c:e], _impacts(weights[t], doc[e - c:e], tf[e - c:e].astype(np.int64), m)))
                 if not lists:
                     continue
                 postings = Postings(lists, keys, b.column(1)[0].as_py())

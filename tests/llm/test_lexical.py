@@ -5,6 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from casebase.llm import lexical
@@ -76,6 +78,25 @@ def test_no_rows(spark, tmp_path):
     assert ranked(spark, [(1, "w1", "", "")], [], tmp_path / "b") == []
 
 
+def test_a_task_holds_one_block_of_a_large_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(lexical, "BATCH_BYTES", 500)
+    docs = list(enumerate(x + " w0" for x in _texts(6, 70)))
+    queries = list(enumerate(_texts(7, 9, most=9)))
+    blocks = lexical.index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), str(tmp_path / "i"))
+    file, = (tmp_path / "i").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1] * 10
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"])
+
+    assert [r.n for r in blocks.coalesce(1).mapInArrow(sizes, "n long").collect()] == [1] * 10
+    found = lexical.search(blocks, spark.createDataFrame(queries, "item_id long, text string"), 5).collect()
+    assert sorted(map(tuple, found), key=repr) == plain_search(docs, queries, 5)
+
+
 def test_slices_of_a_long_text(monkeypatch):
     text = " ".join(["ab", "Cd9", "é" * 40, "x"] * 50) + "  !"
     monkeypatch.setattr(lexical, "SLICE", 16)
