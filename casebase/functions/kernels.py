@@ -35,6 +35,15 @@ QUANTILES = 511              # places of a number on the curve
 MARGIN = 1e-9                # far above the rounding of distances, far below any that matters
 LEAST = 8192                 # right rows of a block from which cells are made
 TRIAL = 8                    # tiles after which bounds that exclude too little are given up
+# screening, with more than RANGED numbers and nothing else (see Screen)
+SCREENED = 1024              # right rows of a block from which pairs are screened
+SCREEN_CELLS = 8_000_000     # pairs screened at once
+SCREEN_GAIN = 16             # pairs screened in the time of one distance, about
+SCREEN_TRIAL = 2             # tiles after which bounds that exclude less than that are given up
+PLACES = (0, .04, .17, .33, .5, .67, .83, .96, 1)    # quantiles of a number that are its knots
+FOLD = 16                    # right rows that share a least bound
+CLIP = 16.0                  # spreads (of 4 sigma) from the median beyond which a number counts as this far
+WIDE_LEFT, LEFT = 8192, 4096                         # left rows of a block
 
 
 def vdm_terms(left: list[dict | None], right: list[dict | None]) -> np.ndarray:
@@ -117,10 +126,26 @@ class Kernel:
         """The metric columns that both sides carry."""
         return [("_v_" if self.kinds[f] == "cat" else "_s_") + f for f in self.order]
 
+    @property
+    def wide(self) -> bool:
+        """Many numbers and nothing else."""
+        return len(self.order) > RANGED and all(kind == "num" for kind in self.kinds.values())
+
+    @property
+    def left_rows(self) -> int:
+        """Left rows of a block: with many numbers more, as right rows are copied to each block of left ones."""
+        return WIDE_LEFT if self.wide else LEFT
+
     def block(self, left: pd.DataFrame, right: pd.DataFrame) -> Block:
         return Block(self, left, right)
 
 
+def spread(f: str, left: pd.DataFrame, right: pd.DataFrame) -> float:
+    """The spread of a number, from whichever side carries it."""
+    side = right if "_s_" + f in right else left
+    return float(side["_s_" + f].iloc[0]) if len(side) else np.nan
+
+
 class Block:
     """Two blocks, encoded once; ``distances`` gives slices of left rows."""
 
@@ -135,7 +160,7 @@ class Block:
             else:
                 self.left[f] = left[f].to_numpy(dtype=np.float64)
                 self.right[f] = right[f].to_numpy(dtype=np.float64)
-                self.sigma[f] = float(right["_s_" + f].iloc[0]) if len(right) else np.nan
+                self.sigma[f] = spread(f, left, right)
 
     def _term(self, f: str, start: int, stop: int) -> np.ndarray:
         if self.kernel.kinds[f] == "cat":
@@ -164,12 +189,26 @@ class Block:
                 acc += self.number_terms(f, self.left[f][rows], self.right[f][cols])
         return np.sqrt(acc, out=acc)
 
+    def pair_distances(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Distances of left rows to one right row each, if all features are numbers."""
+        acc = np.zeros(len(rows))
+        for f in self.kernel.order:
+            a, b, s = self.left[f][rows], self.right[f][cols], self.sigma[f]
+            if not np.isfinite(s) or s == 0.0:
+                acc += np.where(a == b, 0.0, 1.0)
+                continue
+            t = np.subtract(a, b, out=a)
+            np.abs(t, out=t)
+            np.divide(t, 4.0 * s, out=t)
+            acc += np.fmin(t, 1.0, out=t)
+        return np.sqrt(acc, out=acc)
+
     def nearest(self, k: int, hide=lambda d, rows, cols: d, within: np.ndarray | None = None,
                 compared=None):
         """``(rows, cols, values, rank)`` of the k nearest right rows of the left rows, in parts.
 
         ``hide(distances, rows, cols)`` puts infinity where a pair is excluded; ``within`` has
-        the largest distance of each left row that matters; ``compared`` is told the pairs looked at."""
+        the largest distance of each left row that matters; ``compared`` is told the distances computed."""
         kernel, n = self.kernel, self.n_left
         tables = all(f in self.table for f in kernel.order if kernel.kinds[f] == "cat")
         cells = Cells(self) if tables and self.n_right >= LEAST and k < CELL else None
@@ -177,10 +216,23 @@ class Block:
         if cells is not None:
             order = cells.by_values(self.left) if cells.pivots is None else cells.by_pivots(order, self.left, self.table)
         whole, tile, at, looked = np.arange(self.n_right), max(1, CHUNK_CELLS // max(1, self.n_right)), 0, 0
-        tried = 0
+        screens = kernel.wide and self.n_right >= max(SCREENED, 4 * FOLD * k)
+        tried, screen, whole_to = 0, None, 0
         while at < n:
-            if cells is not None and at >= TRIAL * TILE and 3 * (looked + cells.tried) > at * self.n_right:
+            share = (looked + cells.tried) / (at * self.n_right) if cells is not None and at else 0
+            if share * 3 > 1 and at >= (SCREEN_TRIAL if screens else TRIAL) * TILE:
                 tried, cells, order = cells.tried, None, np.concatenate([order[:at], np.sort(order[at:])])
+            if screens and at >= whole_to and (
+                    screen or cells is None or at >= SCREEN_TRIAL * TILE and share * SCREEN_GAIN > 1):
+                screen = screen or Screen(self)
+                rows = order[at:at + max(1, SCREEN_CELLS // self.n_right)]
+                found = screen.nearest(rows, k, hide, within)
+                if found is None:              # too many are left: back to cells, or all distances of these rows
+                    screens, whole_to = cells is None, at + len(rows)
+                    continue
+                yield found
+                at += len(rows)
+                continue
             rows = order[at:at + (tile if cells is None else TILE)]
             cols = whole if cells is None else cells.looked_at(rows, k, hide, within)
             if cells is None and rows[-1] - rows[0] + 1 == len(rows):
@@ -198,7 +250,7 @@ class Block:
             yield i, j, values, rank
             at += len(rows)
         if compared is not None:
-            compared.add(looked + (tried if cells is None else cells.tried))
+            compared.add(looked + (tried if cells is None else cells.tried) + (screen.looked if screen else 0))
 
     def distances(self, start: int, stop: int) -> np.ndarray:
         acc = np.zeros((stop - start, self.n_right))
@@ -359,6 +411,114 @@ class Cells:
         return self.columns(np.flatnonzero(seen | (bound <= limit[:, None]).any(axis=0)))
 
 
+class Screen:
+    """Lower bounds of all pairs of a block by one matrix product in single precision, for an exact top-k that
+    computes the distances of the few pairs below the k-th one.
+
+    A number's term as a function of the right value is ``min(1, |a - b|)`` in spreads of 4 sigma.  Through its values at
+    knots (quantiles of the right values, their ends included) runs a polygon that is nowhere above it, except next
+    to ``a``: there the nearer knot gets its distance to ``a`` with a minus, so both edges at that knot stay below.  The value of
+    the polygon at ``b`` weighs the two knots around ``b``, so the sum over the numbers is the product of a row of polygons and
+    a row of weights.  Terms of numbers without spread count as 0 at least; a missing right number counts as
+    its first knot, whose term is 1 at most.  ``margin`` is above the rounding of the product.
+    """
+
+    def __init__(self, block: Block):
+        self.block, self.knots, self.centre, self.looked = block, {}, {}, 0
+        self.groups, width = -(-block.n_right // FOLD), 0
+        self.weights = np.zeros((self.groups * FOLD, len(block.sigma) * (len(PLACES) - 1)), np.float32)
+        for f, s in block.sigma.items():
+            if not np.isfinite(s) or s == 0.0:
+                continue
+            x = block.right[f]
+            some = x[np.isfinite(x)]
+            self.centre[f] = np.median(some) if len(some) else 0.0
+            v = self._scaled(f, x)
+            there = np.flatnonzero(~np.isnan(v))
+            if not len(there):
+                del self.centre[f]
+                continue
+            knots = self.knots[f] = np.unique(np.quantile(v[there], PLACES))
+            if len(knots) > 1:
+                v = v[there]
+                i = np.clip(np.searchsorted(knots, v, side="right") - 1, 0, len(knots) - 2)
+                part = np.clip((v - knots[i]) / (knots[i + 1] - knots[i]), 0.0, 1.0)
+                self.weights[there, width + i] = part          # the first knot's weight is what is missing to 1
+                inner = i > 0
+                self.weights[there[inner], width + i[inner] - 1] = 1.0 - part[inner]
+            width += len(knots) - 1
+        self.weights = self.weights[:, :width]
+        self.margin = (width + len(self.knots) + 8) * 2.0**-23 * 2 * max(1, len(self.knots))
+
+    def _scaled(self, f: str, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.clip((x - self.centre[f]) / (4.0 * self.block.sigma[f]), -CLIP, CLIP)
+
+    def bounds(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(parts, base)``: a lower bound of the sum of terms of each pair is its part and its row's base."""
+        base, polygons = np.zeros(len(rows)), []
+        for f, knots in self.knots.items():
+            a = self._scaled(f, self.block.left[f][rows])
+            g = np.fmin(np.abs(a[:, None] - knots), 1.0)      # a missing left number is at 1
+            i = np.searchsorted(knots, a, side="right") - 1
+            inside = np.flatnonzero((i >= 0) & (i < len(knots) - 1))
+            i, x = i[inside], a[inside]
+            below, above = x - knots[i], knots[i + 1] - x
+            g[inside, np.where(below <= above, i, i + 1)] = -np.minimum(np.minimum(below, above), 1.0)
+            base += g[:, 0]
+            polygons.append((g[:, 1:] - g[:, :1]).astype(np.float32))
+        if not polygons:
+            return np.zeros((len(rows), len(self.weights)), np.float32), base
+        low = np.concatenate(polygons, axis=1) @ self.weights.T
+        low[:, self.block.n_right:] = np.inf
+        return low, base
+
+    def nearest(self, rows: np.ndarray, k: int, hide, within: np.ndarray | None):
+        """``(rows, cols, values, rank)`` of the k nearest right rows of each of ``rows``; None if the bounds exclude
+        too little."""
+        block, n = self.block, len(rows)
+        low, base = self.bounds(rows)
+        shown = low[:, :block.n_right]
+        hidden = hide(shown, rows, np.arange(block.n_right))
+        if hidden is not shown:
+            shown[:] = hidden
+        folded = low.reshape(n, FOLD, self.groups)
+        least = folded.min(axis=1)
+        # the least bounds of k groups belong to k right rows: the largest of their distances is a limit
+        g = np.argpartition(least, k - 1, axis=1)[:, :k]
+        first = np.arange(n)[:, None]
+        col = (folded[first, :, g].argmin(axis=2) * self.groups + g).ravel()
+        row = np.repeat(np.arange(n), k)
+        shown = np.isfinite(low[row, col])
+        d = np.full(n * k, np.inf)
+        d[shown] = block.pair_distances(rows[row[shown]], col[shown])
+        self.looked += len(d)
+        limit = d.reshape(n, k).max(axis=1)
+        if within is not None:
+            limit = np.minimum(limit, within[rows])
+        most = np.where(np.isfinite(limit), limit * limit * (1 + 1e-9) - base + self.margin, 1e9)    # above all bounds
+        most = np.nextafter(most.astype(np.float32), np.float32(np.inf))[:, None]
+        near = least <= most
+        if np.count_nonzero(near) * 4 > near.size:
+            i, j = np.nonzero(low <= most)
+        else:
+            i, g = np.nonzero(near)
+            near, at = np.nonzero(folded[i, :, g] <= most[i])
+            i, j = i[near], at * self.groups + g[near]
+        if len(i) * 8 > n * block.n_right:
+            return None
+        self.looked += len(i)
+        values = block.pair_distances(rows[i], j)
+        if within is not None:
+            some = values <= within[rows[i]]
+            i, j, values = i[some], j[some], values[some]
+        order = np.lexsort((j, values, i))
+        i, j, values = i[order], j[order], values[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+        keep = rank < k
+        return rows[i[keep]], j[keep], values[keep], rank[keep] + 1
+
+
 def topk_per_row(d: np.ndarray, k: int):
     """Per row of ``d``, the ``k`` smallest entries ordered by (value, column).
 

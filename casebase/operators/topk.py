@@ -69,7 +69,7 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
                  right_key: Sequence[str], k: int, kernel: Kernel,
                  attach: Callable[[DataFrame], DataFrame],
                  eq: Sequence[str] = (), exclude_self: tuple[str, str] | None = None,
-                 left_block_rows: int = 4096, right_block_rows: int = 32768,
+                 left_block_rows: int | None = None, right_block_rows: int = 32768,
                  min_groups: int | None = None, n_left: int | None = None,
                  n_right: int | None = None, left_payload: dict | None = None,
                  right_payload: dict | None = None, weight: str | None = None,
@@ -99,6 +99,8 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
     lpay, rpay = dict(left_payload or {}), dict(right_payload or {})
     spark = left.sparkSession
     ship_package(spark)
+    if left_block_rows is None:
+        left_block_rows = kernel.left_rows
     if min_groups is None:
         min_groups = 2 * spark.sparkContext.defaultParallelism
     n_right = right.count() if n_right is None else n_right
@@ -120,6 +122,9 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, left_key: Sequence[str],
             "_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))) if rb > 1 else F.lit(0))
         R = attach(right).withColumn("_rb", F.pmod(rhash, F.lit(rb)).cast("int")).withColumn(
             "_lb", F.explode(F.sequence(F.lit(0), F.lit(lb - 1))) if lb > 1 else F.lit(0))
+    if getattr(kernel, "wide", False):
+        # the spreads of many numbers are as large as the numbers: the left rows, which are fewer in a block, carry them
+        R = R.drop(*[c for c in kernel.columns() if c.startswith("_s_")])
     spread = 0 if eq else min(2 * lb * rb, MOST_TASKS)
     if spread > int(spark.conf.get("spark.sql.shuffle.partitions")):
         # blocks grow with the product of the sides: tasks with them, so none gets ever more blocks

@@ -162,3 +162,74 @@ def test_cells_of_a_block(monkeypatch, cats, nums, clusters, most):
     keep = got[2] <= limit[got[0]]
     order = np.lexsort((within[3], within[0]))
     assert (within[1][order] == got[1][keep]).all() and (within[2][order] == got[2][keep]).all()
+
+
+@pytest.mark.parametrize("nums, kind", [
+    (16, "plain"), (4, "plain"), (6, "far"), (6, "copies"), (5, "flat"), (4, "missing")])
+def test_screen_of_a_block(monkeypatch, nums, kind):
+    """With many numbers most distances are not computed, and the k nearest are those of all distances."""
+    from casebase.functions import kernels as K
+    monkeypatch.setattr(K, "SCREEN_CELLS", 300_000)
+    block, rng = _block(0, nums, n_left=150), np.random.default_rng(4)
+    for i in range(nums):
+        f = f"n{i}"
+        a, b = block.left[f], block.right[f]
+        if kind == "far":                  # outliers, an offset far above the spread, infinite queries
+            b[rng.integers(0, len(b), 40)] = 1e13 * rng.normal(size=40)
+            a[rng.integers(0, len(a), 5)], a[:2] = 1e13, np.inf
+            if i == 1:
+                a += 1e9
+                b += 1e9
+        if kind == "copies":
+            b[1000:] = b[rng.integers(0, 40, len(b) - 1000)]
+            a[:75] = b[:75]
+        if kind == "flat" and i < 3:
+            b[:], block.sigma[f] = 1.5, [0.0, np.nan, 2.0][i]
+        if kind == "missing":
+            b[rng.random(len(b)) < 0.4] = np.nan
+            a[:30] = np.nan
+            if i == 2:
+                b[:] = np.nan
+    every = np.concatenate([block.distances(i, i + 1) for i in range(block.n_left)])
+    screen = K.Screen(block)
+    low, base = screen.bounds(np.arange(block.n_left))
+    assert (low[:, :block.n_right] + base[:, None] <= every ** 2 + screen.margin).all()
+    limit = np.quantile(every, 0.003, axis=1)
+    for exclude in (False, True):
+        def hide(d, rows, cols, exclude=exclude):
+            return np.where(rows[:, None] == cols[None, :], np.inf, d) if exclude else d
+        for within in (None, limit):
+            looked = _Sum()
+            got = [np.concatenate(x) for x in zip(*block.nearest(9, hide, within, looked), strict=True)]
+            want = K.topk_per_row(hide(every, np.arange(block.n_left), np.arange(block.n_right)), 9)
+            near = np.full(len(want[0]), True) if within is None else want[2] <= within[want[0]]
+            order = np.lexsort((got[3], got[0]))
+            assert all((g[order] == w[near]).all() for g, w in zip(got, want, strict=True))
+            if kind == "plain":
+                assert looked.n < 0.5 * block.n_left * block.n_right
+
+
+def test_many_numbers_like_all_distances(spark):
+    """Whole search over several blocks: the spreads come with the left rows only."""
+    import pandas as pd
+
+    from casebase.functions.kernels import Kernel
+    nums, spread = [f"n{i}" for i in range(6)], 0.7
+    kernel = Kernel(tuple(nums), dict.fromkeys(nums, "num"))
+    rng = np.random.default_rng(8)
+    sides = []
+    for key, n in (("q", 150), ("c", 5000)):
+        x = rng.normal(size=(n, 6)).round(3)
+        x[rng.random((n, 6)) < 0.01] = np.nan
+        sides.append(pd.DataFrame(x, columns=nums).assign(**{key: np.arange(n)}))
+    left, right = (spark.createDataFrame(s) for s in sides)
+    found = blocked_topk(left, right, left_key=["q"], right_key=["c"], k=4, kernel=kernel, right_block_rows=2000,
+                         left_block_rows=80,
+                         attach=lambda rows: rows.withColumns({f"_s_{f}": F.lit(spread) for f in nums}))
+    a, b = (s[nums].to_numpy() for s in sides)
+    total = np.zeros((150, 5000))
+    for i in range(6):
+        total += np.fmin(np.abs(a[:, i, None] - b[None, :, i]) / (4.0 * spread), 1.0)
+    d = np.sqrt(total)
+    want = [(q, c, d[q, c], i + 1) for q in range(150) for i, c in enumerate(np.argsort(d[q], kind="stable")[:4])]
+    assert sorted((r.q, r.c, r.distance, r.rank) for r in found.collect()) == sorted(want)
