@@ -94,8 +94,11 @@ def string_index(df: DataFrame, cols: Sequence[str], suffix: str = "_idx",
         other = F.coalesce(n.cast("double"), F.lit(0.0)) if unseen == "keep" else F.raise_error(
             F.concat(F.lit(f"value of {c} not seen in training: "),
                      F.coalesce(F.col(c), F.lit("NULL")))).cast("double")
-        meta = {} if by else {"ml_attr": {"type": "nominal", "name": c + suffix, "num_vals": int(
-            known["_n_" + c] or 0) + (unseen == "keep")}}
+        kinds = 0 if by else int(known["_n_" + c] or 0)
+        values = {"num_vals": kinds + (unseen == "keep")}
+        if unseen == "error" and 0 < kinds <= hot:       # few classes: their names
+            values = {"vals": [r.value for r in index.where(F.col("feature") == c).orderBy("idx").collect()]}
+        meta = {} if by else {"ml_attr": {"type": "nominal", "name": c + suffix} | values}
         names.append(c + suffix)
         out = out.withColumn(c + suffix, F.coalesce("_found", other).alias(c + suffix, metadata=meta)).drop("_found")
     return out.select(*names)
